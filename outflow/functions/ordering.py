@@ -46,7 +46,8 @@ def running_totals(
     inside = Window.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = blocks.select("*", *[F.sum(c).over(inside).alias(f"_l_{n}") for n, c in sums.items()])
     joined = local.join(offsets, [*by, BLOCK])
-    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
+    kept = [c for c in df.columns if c not in sums]
+    return joined.select(*kept, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "position") -> DataFrame:
@@ -55,10 +56,12 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: st
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Per distinct value: how many rows have it (``n``) and its average-tie rank (``mid_rank``)."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, by, [F.col(value)], {"upto": "n"})
-    return ranked.select(*by, value, "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias("mid_rank"))
+    """Per distinct value: how many rows have it (``copies``) and its average-tie rank (``mid_rank``)."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("copies"))
+    ranked = running_totals(counts, by, [F.col(value)], {"_upto": "copies"})
+    return ranked.select(
+        *by, value, "copies", (F.col("_upto") - F.col("copies") + (F.col("copies") + 1) / 2.0).alias("mid_rank")
+    )
 
 
 def previous_row(df: DataFrame, order: str, columns: Sequence[str], width: int) -> DataFrame:
@@ -76,3 +79,9 @@ def previous_row(df: DataFrame, order: str, columns: Sequence[str], width: int)
     with_lag = sliced.withColumn("_before", F.lag(packed).over(inside)).join(tails, "_slice")
     before = F.coalesce("_before", "_tail")
     return with_lag.select(*df.columns, *[before[c].alias(f"previous_{c}") for c in columns])
+
+
+def top_share(df: DataFrame, order: Sequence[Column], share: float) -> DataFrame:
+    """The first floor(share * rows) rows of the order, which must be unique."""
+    total = df.agg(F.count("*")).scalar()
+    return numbered(df, [], order).where(F.col("position") <= F.floor(total * share)).drop("position")

@@ -207,7 +207,7 @@ def score_status(scores: DataFrame, threshold: float = fx.HIGH) -> DataFrame:
         F.count_if(s >= threshold).alias("above_threshold"),
         *[F.count_if(level == name).alias(name.lower()) for name in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
     )
-    upto = running_totals(scores.groupBy("risk_score").agg(F.count("*").alias("upto")), [], [s], {"upto": "upto"})
+    upto = running_totals(scores.groupBy("risk_score").agg(F.count("*").alias("n")), [], [s], {"upto": "n"})
     n = scores.agg(F.count("*")).scalar()
     p90 = upto.where(F.col("upto") > F.bround(0.9 * (n - 1), 0)).agg(F.min("risk_score")).scalar()
     return row.select(
@@ -237,7 +237,7 @@ def terciles(df: DataFrame, column: str, name: str = "tercile") -> DataFrame:
 def gini(df: DataFrame, column: str) -> DataFrame:
     """Rank-weighted concentration. Tied values are taken together at their mean rank."""
     ranked = value_ranks(df, [], column)
-    x, n = F.col(column), F.col("n")
+    x, n = F.col(column), F.col("copies")
     sums = ranked.agg(
         F.sum(F.col("mid_rank") * n * x).alias("weighted"), F.sum(n * x).alias("total"), F.sum(n).alias("rows")
     )

@@ -289,8 +289,8 @@ class Tables:
             F.col("atm_id").alias("suspected_atm"),
             F.expr("case when amount > 50000 then 'freeze' else 'hold' end").alias("recommended_action"),
             F.expr("case when amount > 50000 then 'held' else 'freeze_requested' end").alias("status"),
-            F.expr("case when amount > 50000 then round(amount * 0.5, 2) else 0.0D end").alias("amount_held"),
-            F.expr("case when amount > 70000 then round(amount * 0.25, 2) else 0.0D end").alias("amount_recovered"),
+            F.expr("case when amount > 50000 then amount else 0.0D end").alias("amount_held"),
+            F.expr("case when amount > 70000 then amount else 0.0D end").alias("amount_recovered"),
         )
 
     @cached_property
@@ -470,8 +470,8 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                'BANK_' || (substring(account_token, 3)::BIGINT % 8) AS home_bank, amount AS amount_at_risk,
                atm_id AS suspected_atm, CASE WHEN amount > 50000 THEN 'freeze' ELSE 'hold' END AS recommended_action,
                CASE WHEN amount > 50000 THEN 'held' ELSE 'freeze_requested' END AS status,
-               CASE WHEN amount > 50000 THEN round(amount * 0.5::DOUBLE, 2) ELSE 0.0::DOUBLE END AS amount_held,
-               CASE WHEN amount > 70000 THEN round(amount * 0.25::DOUBLE, 2) ELSE 0.0::DOUBLE END AS amount_recovered
+               CASE WHEN amount > 50000 THEN amount ELSE 0.0::DOUBLE END AS amount_held,
+               CASE WHEN amount > 70000 THEN amount ELSE 0.0::DOUBLE END AS amount_recovered
         FROM order_withdrawals WHERE is_fraud_withdrawal"""),
     "audit_log": ([], f"""
         WITH entry AS (
