@@ -156,17 +156,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("c10_lookup", f"""
-    SELECT atm_id, {r6('coalesce(fraud_rate, (SELECT avg(fraud_rate) FROM rates))')} AS bank_fraud_rate_hist
-    FROM (SELECT atm_id, bank_name FROM atms) LEFT JOIN (SELECT * FROM rates) USING (bank_name)
-    """.replace("\n    SELECT atm_id", """
-    WITH rates AS (SELECT bank_name, avg(is_fraud_withdrawal::INT) AS fraud_rate FROM withdrawals JOIN atms USING (atm_id)
-                   WHERE bank_name <> 'BANK_3' GROUP BY 1) SELECT atm_id""", 1), ("withdrawals", "atms"))
-def _(t: Tables) -> DataFrame:
-    # One bank has no history, so its machines take the mean.
-    rates = agg.fraud_rate_by(t.withdrawals, t.atms.where("bank_name <> 'BANK_3'"), "bank_name")
-    return joins.lookup(
-        t.atms.select("atm_id", "bank_name"), rates, "bank_name", "fraud_rate", "bank_fraud_rate_hist"
-    ).select("atm_id", "bank_fraud_rate_hist")
+    WITH means AS (SELECT atm_id, avg(amount) AS mean_fraud FROM withdrawals WHERE is_fraud_withdrawal GROUP BY 1)
+    SELECT atm_id, {r6('coalesce(mean_fraud, (SELECT avg(mean_fraud) FROM means))')} AS mean_fraud_amount
+    FROM atms LEFT JOIN means USING (atm_id)""", ("withdrawals", "atms"))
+def _(t: Tables) -> DataFrame:
+    # Machines without any fraud take the mean over the others.
+    means = t.withdrawals.where("is_fraud_withdrawal").groupBy("atm_id").agg(F.avg("amount").alias("mean_fraud"))
+    return joins.lookup(t.atms.select("atm_id"), means, "atm_id", "mean_fraud", "mean_fraud_amount")
 
 
 @query("c11_link_atm_accounts_complaints", """

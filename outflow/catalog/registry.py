@@ -39,7 +39,7 @@ def presentable(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(F.round(c.cast("double"), 9), 6) + F.lit(0.0)
         elif isinstance(field.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -70,9 +70,13 @@ def ts(c: str) -> str:
 
 
 def r6(c: str) -> str:
-    return f"round(({c})::DOUBLE, 6)"
+    return f"round(round(({c})::DOUBLE, 9), 6)"
 
 
 def money(c: str) -> str:
     """Exact sum of two-decimal amounts, whatever the order of addition."""
     return f"coalesce(sum(({c})::DECIMAL(18,2)), 0)::DOUBLE"
+
+
+def r4(c: str) -> str:
+    return f"round(round(({c})::DOUBLE, 10), 4)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from outflow.catalog.registry import day, query, r6, ts
 from outflow.functions import scalar as fx
+from outflow.functions.ordering import exact_quantiles
 from outflow.operators import listing, scope
 from outflow.schemas import ADMIN, BANK, DISTRICT, STATE
 from outflow.sources import files, tables
@@ -375,8 +376,7 @@ def _(t: Tables) -> DataFrame:
                               quantile_cont(amount, 0.95) AS q95, quantile_cont(amount, 0.99) AS q99 FROM withdrawals)""",
     ("withdrawals",))
 def _(t: Tables) -> DataFrame:
-    cuts = F.percentile("amount", F.array(*[F.lit(q) for q in (0.5, 0.9, 0.95, 0.99)]))
-    q = t.withdrawals.agg(cuts).scalar()
+    q = exact_quantiles(t.withdrawals, [], "amount", [0.5, 0.9, 0.95, 0.99]).select("q").scalar()
     label = fx.percentile_label(F.col("amount"), [F.element_at("q", i) for i in (1, 2, 3, 4)])
     return t.withdrawals.withColumn("q", q).select("transaction_id", label.alias("label"))
 

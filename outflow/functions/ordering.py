@@ -85,3 +85,24 @@ def top_share(df: DataFrame, order: Sequence[Column], share: float) -> DataFrame
     """The first floor(share * rows) rows of the order, which must be unique."""
     total = df.agg(F.count("*")).scalar()
     return numbered(df, [], order).where(F.col("position") <= F.floor(total * share)).drop("position")
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[float]) -> DataFrame:
+    """(*by, rows, q): linearly interpolated quantiles as an array, from running counts of distinct values.
+
+    The built-in exact percentile keeps every distinct value of a group in one buffer; this spreads them out.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    run = running_totals(counts, by, [F.col(value)], {"_upto": "_n"})
+    rows = run.groupBy(*by).agg(F.max("_upto").alias("rows"))
+    sized = run.join(rows, list(by)) if by else run.withColumn("rows", rows.scalar())
+    picks = []
+    for i, q in enumerate(at):
+        place = (F.col("rows") - 1) * F.lit(float(q))
+        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col(value)))
+        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col(value)))
+        picks += [low.alias(f"_l{i}"), high.alias(f"_h{i}")]
+    found = sized.groupBy(*by, "rows").agg(*picks)
+    part = lambda i, q: (F.col("rows") - 1) * F.lit(float(q)) - F.floor((F.col("rows") - 1) * F.lit(float(q)))
+    values = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(i, q) for i, q in enumerate(at)]
+    return found.select(*by, "rows", F.array(*values).alias("q"))

@@ -44,6 +44,11 @@ EARTH_RADIUS_KM = 6371.0
 EPOCH_DAY = "2024-01-01"
 
 
+def rounded(value: Column, places: int = 4) -> Column:
+    """Half-up rounding that is not thrown off by the last bits of a double."""
+    return F.round(F.round(value, 10), places)
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2
@@ -168,7 +173,7 @@ def emerging_risk(f: Mapping[str, Column]) -> Column:
         f["counterparty_count_24h"] / F.greatest(f["distinct_accounts_24h"].cast("double"), F.lit(1.0)), F.lit(1.0)
     )
     velocity = F.least(f["withdrawals_6h"] / F.greatest(f["withdrawals_24h"] / 4.0, F.lit(1.0)), F.lit(2.0)) / 2.0
-    return F.round(F.least(0.4 * surge + 0.35 * mules + 0.25 * velocity, F.lit(1.0)), 4)
+    return rounded(F.least(0.4 * surge + 0.35 * mules + 0.25 * velocity, F.lit(1.0)), 4)
 
 
 def intervention_priority(f: Mapping[str, Column], p: Column) -> Column:
@@ -181,4 +186,4 @@ def intervention_priority(f: Mapping[str, Column], p: Column) -> Column:
         + 0.25 * F.least(f["n_complaints_city_24h"] / 40.0, F.lit(1.0)),
     )
     weight = F.when(p >= 0.80, 1.0).when(p >= 0.70, 0.7).otherwise(0.4)
-    return F.round((0.40 * p + 0.25 * exposure + 0.15 * emerging_risk(f) + 0.20 * evidence) * weight, 4)
+    return rounded((0.40 * p + 0.25 * exposure + 0.15 * emerging_risk(f) + 0.20 * evidence) * weight, 4)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
-from outflow.functions.ordering import running_totals, value_ranks
+from outflow.functions.ordering import exact_quantiles, running_totals, value_ranks
 from outflow.operators.listing import at, named_accounts, page
 from outflow.operators.scope import apply_scope, at_visible_atms
 from outflow.schemas import ADMIN, BANK
@@ -186,12 +186,15 @@ def fraud_rate_by(withdrawals: DataFrame, atms: DataFrame, dim: str, before: dat
     )
 
 
+def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """(*keep, feature, value): one row per row and column."""
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(*keep, F.inline(F.array(*pairs)))
+
+
 def quantiles(df: DataFrame, columns: Sequence[str], at_: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
-    """Exact interpolated quantiles, one row per column. Spark merges value counts, never raw rows."""
-    points = F.array(*[F.lit(q) for q in at_])
-    wide = df.agg(*[F.percentile(c, points).alias(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns])
-    return wide.select(F.inline(rows))
+    """(feature, q): exact interpolated quantiles of each column."""
+    return exact_quantiles(unpivoted(df, columns), ["feature"], "value", at_).select("feature", "q")
 
 
 def score_status(scores: DataFrame, threshold: float = fx.HIGH) -> DataFrame:
@@ -203,16 +206,17 @@ def score_status(scores: DataFrame, threshold: float = fx.HIGH) -> DataFrame:
     s = F.col("risk_score")
     level = fx.risk_level(s)
     row = scores.agg(
-        F.count("*").alias("atms_scored"), F.max(s).alias("max_risk"), F.percentile(s, F.lit(0.5)).alias("median_risk"),
+        F.count("*").alias("atms_scored"), F.max(s).alias("max_risk"),
         F.count_if(s >= threshold).alias("above_threshold"),
         *[F.count_if(level == name).alias(name.lower()) for name in ("CRITICAL", "HIGH", "MEDIUM", "LOW")],
     )
     upto = running_totals(scores.groupBy("risk_score").agg(F.count("*").alias("n")), [], [s], {"upto": "n"})
     n = scores.agg(F.count("*")).scalar()
     p90 = upto.where(F.col("upto") > F.bround(0.9 * (n - 1), 0)).agg(F.min("risk_score")).scalar()
+    median = exact_quantiles(scores, [], "risk_score", [0.5]).select(F.element_at("q", 1)).scalar()
     return row.select(
-        "atms_scored", F.round("max_risk", 4).alias("max_risk"), F.round("median_risk", 4).alias("median_risk"),
-        F.round(p90, 4).alias("p90_risk"), "above_threshold",
+        "atms_scored", fx.rounded(F.col("max_risk")).alias("max_risk"), fx.rounded(median).alias("median_risk"),
+        fx.rounded(p90).alias("p90_risk"), "above_threshold",
         ((F.col("atms_scored") > 0) & (F.col("max_risk") < threshold)).alias("calm_day"),
         "critical", "high", "medium", "low",
     )
@@ -227,7 +231,7 @@ def first_event(withdrawals: DataFrame) -> DataFrame:
 
 def terciles(df: DataFrame, column: str, name: str = "tercile") -> DataFrame:
     """low / mid / high by exact third quantiles, right-closed, so equal values share a group."""
-    cuts = df.agg(F.percentile(column, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
+    cuts = exact_quantiles(df, [], column, [1 / 3, 2 / 3]).select("q").scalar()
     c = F.col(column)
     cut = df.withColumn("_cuts", cuts)
     label = F.when(c <= F.element_at("_cuts", 1), "low").when(c <= F.element_at("_cuts", 2), "mid").otherwise("high")

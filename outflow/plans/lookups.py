@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
+from outflow.functions.ordering import exact_quantiles
 from outflow.operators import aggregates as agg
 from outflow.operators.joins import asof_forward
 from outflow.operators.listing import at
@@ -31,7 +32,8 @@ def latency_by_type(
     matched = asof_forward(asked, fraud, ["city"], "filing_timestamp", "timestamp", "next_fraud")
     days = fx.hours_between(F.col("filing_timestamp"), F.col("next_fraud")) / 24.0
     positive = matched.select("complaint_type", days.alias("d")).where(F.col("d") > 0)
-    return positive.groupBy("complaint_type").agg(F.percentile("d", F.lit(0.5)).alias("latency_days"))
+    medians = exact_quantiles(positive, ["complaint_type"], "d", [0.5])
+    return medians.select("complaint_type", F.element_at("q", 1).alias("latency_days"))
 
 
 def bank_fraud_rate(withdrawals: DataFrame, atms: DataFrame, before: datetime | None = None) -> DataFrame:
