@@ -13,7 +13,7 @@ from outflow.functions import scalar as fx
 from outflow.operators.joins import asof_forward
 from outflow.operators.listing import hotspots
 from outflow.plans import daily, enrich, hawkes, hourly, lookups, six_hour
-from outflow.plans.steps import city_steps
+from outflow.plans.steps import city_steps, data_span
 from outflow.schemas import FEATURE_TYPES
 from outflow.sources.views import Tables
 
@@ -21,9 +21,13 @@ from outflow.sources.views import Tables
 TRAIN_END, TRAIN_END_SQL = datetime(2024, 1, 22), "DATE '2024-01-22'"
 
 
-def learned(t: Tables) -> daily.Lookups:
+def span(t: Tables):
+    return data_span(t.complaints, t.withdrawals, 24)
+
+
+def learned(t: Tables, days=None) -> daily.Lookups:
     """Lookup tables from the training days."""
-    first, _last = daily.data_span(t.complaints, t.withdrawals)
+    first, _last = days or span(t)
     end = daily.step_of(F.lit(TRAIN_END).cast("timestamp_ntz"), 24)
     train_days = city_steps(t.complaints, t.city_centres, first, end - 1, 24)
     return daily.Lookups(
@@ -34,7 +38,8 @@ def learned(t: Tables) -> daily.Lookups:
 
 
 def matrix(t: Tables) -> DataFrame:
-    return daily.atm_day_features(t.complaints, t.withdrawals, t.atms, t.city_centres, learned(t))
+    days = span(t)
+    return daily.atm_day_features(t.complaints, t.withdrawals, t.atms, t.city_centres, learned(t, days), span=days)
 
 
 VIEWS = ("atms", "days", "withdrawals", "complaints", "places")
@@ -186,7 +191,7 @@ def _(t: Tables) -> DataFrame:
         n_complaints_city_24h, n_complaints_city_7d, n_complaints_district_24h, {r6('clat')} AS clat, {r6('clon')} AS clon,
         {r6('complaint_surge_velocity')} AS velocity FROM city_f""", VIEWS)
 def _(t: Tables) -> DataFrame:
-    first, last = daily.data_span(t.complaints, t.withdrawals)
+    first, last = span(t)
     features = daily.city_features(t.complaints, t.city_centres, first, last)
     return features.select(
         "city", F.to_date(daily.step_start(F.col("step"), 24)).alias("day"),
@@ -281,7 +286,7 @@ def _(t: Tables) -> DataFrame:
     FROM (SELECT atm_id, t FROM atms CROSS JOIN steps) g
     LEFT JOIN wd6 ON wd6.atm_id = g.atm_id AND x = g.t AND is_fraud_withdrawal GROUP BY 1, 2, g.t""", VIEWS)
 def _(t: Tables) -> DataFrame:
-    first, last = six_hour.data_span(t.complaints, t.withdrawals)
+    first, last = data_span(t.complaints, t.withdrawals, 6)
     return six_hour.atm_6h_label(t.withdrawals, t.atms, first, last)
 
 
@@ -375,7 +380,7 @@ def _(t: Tables) -> DataFrame:
     WITH {CITY_CTES}, {HAWKES_CTES} SELECT city, {day('day')} AS day, {r6('hawkes_intensity_24h')} AS hawkes_intensity_24h
     FROM hawkes_f""", VIEWS)
 def _(t: Tables) -> DataFrame:
-    first, last = daily.data_span(t.complaints, t.withdrawals)
+    first, last = span(t)
     dense = city_steps(t.complaints, t.city_centres, first, last, 24)
     return hawkes.hawkes_intensity(dense, learned(t).hawkes).select(
         "city", F.to_date(daily.step_start(F.col("step"), 24)).alias("day"), "hawkes_intensity_24h"

@@ -296,7 +296,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("e09_surge_ratio", f"""
-    SELECT victim_city, {day('day')} AS day, {r6('coalesce(n / greatest(b, 1), 1)')} AS surge_ratio FROM (
+    SELECT victim_city, {day('day')} AS day, {r6('CASE WHEN b IS NULL THEN 1 ELSE n / greatest(b, 1) END')} AS surge_ratio FROM (
         SELECT *, avg(n) OVER (PARTITION BY victim_city ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS b FROM (
             SELECT victim_city, filing_timestamp::DATE AS day, count(*) AS n FROM complaints GROUP BY 1, 2))""",
     ("complaints",))

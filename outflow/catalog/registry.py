@@ -70,7 +70,7 @@ def ts(c: str) -> str:
 
 
 def r6(c: str) -> str:
-    return f"round(round(({c})::DOUBLE, 9), 6)"
+    return f"(round(round(({c})::DOUBLE, 9), 6) + 0.0::DOUBLE)"
 
 
 def money(c: str) -> str:
@@ -79,4 +79,4 @@ def money(c: str) -> str:
 
 
 def r4(c: str) -> str:
-    return f"round(round(({c})::DOUBLE, 10), 4)"
+    return f"(round(round(({c})::DOUBLE, 10), 4) + 0.0::DOUBLE)"

@@ -58,9 +58,9 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: st
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Per distinct value: how many rows have it (``copies``) and its average-tie rank (``mid_rank``)."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("copies"))
-    ranked = running_totals(counts, by, [F.col(value)], {"_upto": "copies"})
+    ranked = running_totals(counts, by, [F.col(value)], {"__upto": "copies"})
     return ranked.select(
-        *by, value, "copies", (F.col("_upto") - F.col("copies") + (F.col("copies") + 1) / 2.0).alias("mid_rank")
+        *by, value, "copies", (F.col("__upto") - F.col("copies") + (F.col("copies") + 1) / 2.0).alias("mid_rank")
     )
 
 
@@ -92,17 +92,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, at: Sequence[f
 
     The built-in exact percentile keeps every distinct value of a group in one buffer; this spreads them out.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    run = running_totals(counts, by, [F.col(value)], {"_upto": "_n"})
-    rows = run.groupBy(*by).agg(F.max("_upto").alias("rows"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    run = running_totals(counts, by, [F.col(value)], {"__upto": "__n"})
+    rows = run.groupBy(*by).agg(F.max("__upto").alias("rows"))
     sized = run.join(rows, list(by)) if by else run.withColumn("rows", rows.scalar())
     picks = []
     for i, q in enumerate(at):
         place = (F.col("rows") - 1) * F.lit(float(q))
-        low = F.min(F.when(F.col("_upto") > F.floor(place), F.col(value)))
-        high = F.min(F.when(F.col("_upto") > F.ceil(place), F.col(value)))
-        picks += [low.alias(f"_l{i}"), high.alias(f"_h{i}")]
+        low = F.min(F.when(F.col("__upto") > F.floor(place), F.col(value)))
+        high = F.min(F.when(F.col("__upto") > F.ceil(place), F.col(value)))
+        picks += [low.alias(f"__l{i}"), high.alias(f"__h{i}")]
     found = sized.groupBy(*by, "rows").agg(*picks)
     part = lambda i, q: (F.col("rows") - 1) * F.lit(float(q)) - F.floor((F.col("rows") - 1) * F.lit(float(q)))
-    values = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * part(i, q) for i, q in enumerate(at)]
+    values = [F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * part(i, q) for i, q in enumerate(at)]
     return found.select(*by, "rows", F.array(*values).alias("q"))

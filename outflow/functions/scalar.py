@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -53,7 +54,8 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     half = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(
         F.sin(F.radians(lon2 - lon1) / 2), 2
     )
-    return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.least(F.sqrt(half), F.lit(1.0)))
+    angle = F.when(half >= 1, math.pi / 2).otherwise(F.asin(F.sqrt(half)))
+    return F.lit(2 * EARTH_RADIUS_KM) * angle
 
 
 def risk_level(score: Column) -> Column:

@@ -108,7 +108,7 @@ def surge_ratio(df: DataFrame, key: str, day: str) -> DataFrame:
     """Per key and observed day: rows against the mean of the up to seven observed days before, 1 without any."""
     counts = df.groupBy(key, day).agg(F.count("*").alias("n"))
     base = F.avg("n").over(rows_before(ordered([key], day), 7))
-    ratio = F.coalesce(F.col("n") / F.greatest(base, F.lit(1.0)), F.lit(1.0))
+    ratio = F.when(base.isNull(), 1.0).otherwise(F.col("n") / F.greatest(base, F.lit(1.0)))
     return counts.select(key, day, ratio.alias("surge_ratio"))
 
 

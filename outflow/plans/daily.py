@@ -12,7 +12,7 @@ from outflow.operators.aggregates import first_value_per
 from outflow.operators.joins import lookup
 from outflow.operators.windows import decayed_sum, ordered, rows_before
 from outflow.plans.hawkes import hawkes_intensity
-from outflow.plans.steps import Linked, before, city_daily, city_steps, hours_since_last, machine_steps, step_of, step_start
+from outflow.plans.steps import Linked, before, city_daily, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
 from outflow.schemas import FEATURE_TYPES
 
 __all__ = ["FEATURES", "Lookups", "atm_day_features", "atm_day_label", "city_daily", "city_features", "machine_features"]
@@ -116,15 +116,6 @@ def machine_features(withdrawals: DataFrame, complaints: DataFrame, atms: DataFr
     )
 
 
-def data_span(complaints: DataFrame, withdrawals: DataFrame) -> tuple[Column, Column]:
-    """First and last step with data, as scalar subqueries."""
-    filed, drawn = step_of(F.col("filing_timestamp"), HOURS), step_of(F.col("timestamp"), HOURS)
-    both = complaints.agg(F.min(filed).alias("a"), F.max(filed).alias("b")).unionByName(
-        withdrawals.agg(F.min(drawn).alias("a"), F.max(drawn).alias("b"))
-    )
-    return both.agg(F.min("a")).scalar(), both.agg(F.max("b")).scalar()
-
-
 def calendar_features(day: Column) -> dict[str, Column]:
     epoch = F.datediff(day, F.lit(fx.EPOCH_DAY).cast("date"))
     weekday = F.weekday(day)
@@ -140,13 +131,14 @@ def calendar_features(day: Column) -> dict[str, Column]:
 
 def atm_day_features(
     complaints: DataFrame, withdrawals: DataFrame, atms: DataFrame, centres: DataFrame, lookups: Lookups = Lookups(),
-    first_day: Column | None = None, last_day: Column | None = None, compat: bool = False,
+    first_day: Column | None = None, last_day: Column | None = None, span: tuple[Column, Column] | None = None,
+    compat: bool = False,
 ) -> DataFrame:
     """The matrix with meta columns and the label, for [first_day, last_day] (default: the days with data).
 
     Trailing windows always reach back to the first data day, also when a single day is asked for.
     """
-    start, end = data_span(complaints, withdrawals)
+    start, end = span or data_span(complaints, withdrawals, HOURS)
     as_step = lambda d: step_of(d.cast("timestamp_ntz"), HOURS)
     last = end if last_day is None else as_step(last_day)
     machines = machine_features(withdrawals, complaints, atms, start, last, compat)
@@ -166,7 +158,7 @@ def atm_day_features(
         {
             "dist_to_complaint_centroid_km": F.coalesce(to_centroid, F.lit(0.0)),
             "dist_to_city_center_km": F.coalesce(to_centre, F.lit(0.0)),
-            "complaint_decay_5km": F.coalesce(F.exp(-F.greatest(to_centroid, F.lit(0.0)) / 5.0), F.lit(0.0)),
+            "complaint_decay_5km": F.coalesce(F.exp(-to_centroid / 5.0), F.lit(0.0)),
             "pin_corridor_dist_km": F.coalesce(to_centroid, F.lit(0.0)),
             "upi_to_atm_transition_flag": F.when(
                 (F.col("t_upi_fraud_7d") > 0) & (F.col("withdrawals_24h") > 0), 1.0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outflow.functions import scalar as fx
 from outflow.operators.windows import ordered
 from outflow.plans.daily import Lookups, with_learned
-from outflow.plans.steps import Linked, before, city_steps, hours_since_last, machine_steps, step_of, step_start
+from outflow.plans.steps import Linked, before, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
 from outflow.schemas import FEATURE_TYPES
 
 HOURS = 6
@@ -26,17 +26,9 @@ FEATURES = [
 META = ["atm_id", "bank_name", "district", "state", "pin", "police_station_area", "latitude", "longitude", "city", "window_start"]
 
 
-def data_span(complaints: DataFrame, withdrawals: DataFrame) -> tuple[Column, Column]:
-    filed, drawn = step_of(F.col("filing_timestamp"), HOURS), step_of(F.col("timestamp"), HOURS)
-    both = complaints.agg(F.min(filed).alias("a"), F.max(filed).alias("b")).unionByName(
-        withdrawals.agg(F.min(drawn).alias("a"), F.max(drawn).alias("b"))
-    )
-    return both.agg(F.min("a")).scalar(), both.agg(F.max("b")).scalar()
-
-
 def six_hour_windows(complaints: DataFrame, withdrawals: DataFrame) -> DataFrame:
     """The aligned windows that cover the data."""
-    first, last = data_span(complaints, withdrawals)
+    first, last = data_span(complaints, withdrawals, HOURS)
     span = complaints.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("step"))
     return span.select(step_start(F.col("step"), HOURS).alias("window_start"))
 
@@ -44,7 +36,7 @@ def six_hour_windows(complaints: DataFrame, withdrawals: DataFrame) -> DataFrame
 def atm_6h_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataFrame, centres: DataFrame,
                     lookups: Lookups = Lookups(), compat: bool = False) -> DataFrame:
     """Counts named 6h / 24h cover 2 / 5 windows, kinds cover 28; three features are fixed at 0 in this set."""
-    first, last = data_span(complaints, withdrawals)
+    first, last = data_span(complaints, withdrawals, HOURS)
     # A window counts as night by its start hour, so only the one from midnight does.
     steps = machine_steps(
         withdrawals, complaints, atms, first, last, HOURS, {"linked_6h": Linked(2)}, F.hour("timestamp") < 6, compat
@@ -83,7 +75,7 @@ def atm_6h_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataFra
         {
             "window_start": start,
             "dist_to_complaint_centroid_km": distance, "dist_to_city_center_km": distance,
-            "pin_corridor_dist_km": distance, "complaint_decay_5km": F.exp(-F.greatest(distance, zero) / 5.0),
+            "pin_corridor_dist_km": distance, "complaint_decay_5km": F.exp(-distance / 5.0),
             "cash_refill_cycle_flag": fx.refill_cycle_flag(epoch),
             "is_salary_day": F.dayofmonth(day).isin(fx.SALARY_DAYS).cast("double"),
             "days_to_festival": fx.nearest_event_distance(day),

@@ -39,6 +39,16 @@ class Linked:
     fraud_only: bool = False
 
 
+def data_span(complaints: DataFrame, withdrawals: DataFrame, hours: int) -> tuple[Column, Column]:
+    """First and last step with data, as literals: one row is fetched so that every plan sees a fixed calendar."""
+    filed, drawn = F.col("filing_timestamp"), F.col("timestamp")
+    both = complaints.agg(F.min(filed).alias("a"), F.max(filed).alias("b")).unionByName(
+        withdrawals.agg(F.min(drawn).alias("a"), F.max(drawn).alias("b"))
+    )
+    row = both.agg(step_of(F.min("a"), hours).alias("first"), step_of(F.max("b"), hours).alias("last")).first()
+    return F.lit(row["first"]).cast("bigint"), F.lit(row["last"]).cast("bigint")
+
+
 def first_named(complaints: DataFrame, hours: int, compat: bool = False) -> DataFrame:
     """The step in which a complaint first names an account; with ``compat`` links apply to all of time."""
     named = complaints.where(F.col("linked_account_token").isNotNull())
@@ -91,7 +101,9 @@ def machine_steps(
         weight = F.lit(1) if spec.per_account else F.col("n")
         parts.append(F.when(applies, contribution(begin, False, name, weight)))
         parts.append(F.when(applies, contribution(end, False, name, -weight)))
-    entries = known.select("atm_id", F.inline(F.array_compact(F.array(*parts)))).where(F.col("step").between(first, last))
+    # Only rows of named accounts fan out; parts that do not apply come out null and fail the range filter.
+    fan = F.when(m.isNull(), F.array(parts[0])).otherwise(F.array(*parts))
+    entries = known.select("atm_id", F.inline(fan)).where(F.col("step").between(first, last))
 
     blank = atms.select("atm_id", F.explode(F.sequence(first, last)).alias("step")).select(
         "atm_id", "step", *[zero.alias(c) for c in ADDED], none.alias("amount_max"), *[zero.alias(c) for c in linked]
