@@ -49,12 +49,12 @@ ALL = f"{EDGES}, {_rank_ctes(ITERATIONS)}, {DEPTH}, {RISK}"
 
 
 def edges(t: Tables) -> DataFrame:
-    return graph.weighted_edges(t.transfers)
+    return graph.fixed_edges(t.transfers)
 
 
 @query("h01_transfer_nodes", f"WITH {EDGES} SELECT * FROM n", ("transfers",))
 def _(t: Tables) -> DataFrame:
-    return graph.transfer_nodes(edges(t))
+    return graph.transfer_nodes(graph.weighted_edges(t.transfers))
 
 
 @query("h02_pagerank", f"WITH {EDGES}, {_rank_ctes(ITERATIONS)} SELECT node, {r6('page_rank')} AS page_rank FROM ranks", ("transfers",))

@@ -31,6 +31,11 @@ def weighted_edges(transfers: DataFrame) -> DataFrame:
     )
 
 
+def fixed_edges(transfers: DataFrame) -> DataFrame:
+    """Weighted edges written down once, for the operators that read them many times."""
+    return durable(weighted_edges(transfers))
+
+
 def transfer_nodes(edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree, inflow): degrees count parallel transfers."""
     ends = edges.select(
@@ -47,41 +52,55 @@ def transfer_nodes(edges: DataFrame) -> DataFrame:
 def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_edges: int = HOT_EDGES) -> DataFrame:
     """(node, page_rank) after a fixed number of iterations, dangling mass spread evenly, largest rank = 1.
 
-    The edges stay where they are, partitioned by source and slice; a node with very many out-edges has its edges
-    in several slices and sends its rank to each. Per iteration only node rows are shuffled.
+    With M the transition matrix, an iteration is x' = d M x + c 1, where c depends only on the dangling mass of x.
+    So x is a combination of the vectors u_k = M^k 1, and only those need the graph: u_k is made from u_(k-1) by
+    one join, keeps only its non-zero rows and, where money cannot flow on in circles, soon has none. The
+    coefficients follow from one number per k, the dangling sum of u_k.
+
+    The edges stay in place, partitioned by source and slice; the edges of a node with very many of them lie in
+    several slices, and the node sends its value to each.
     """
-    spark = edges.sparkSession
-    width = shuffle_width(spark)
+    width = shuffle_width(edges.sparkSession)
     out = edges.groupBy("src").agg(F.sum("w").alias("out_w"), F.count("*").alias("pairs"))
-    slices = out.select("src", "out_w", F.ceil(F.col("pairs") / hot_edges).cast("int").alias("slices"))
+    slices = out.select("src", "out_w", F.ceil(F.col("pairs") / hot_edges).cast("int").alias("slices")).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     placed = edges.select("src", "dst", "w").join(slices, "src").select(
         "src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), "dst", (F.col("w") / F.col("out_w")).alias("share")
     ).repartition(width, "src", "slice").persist(StorageLevel.MEMORY_AND_DISK)
-    ids = edges.select(F.col("src").alias("node")).distinct().union(edges.select("dst").distinct()).distinct()
-    nodes = ids.join(slices.select(F.col("src").alias("node"), "slices"), "node", "left").repartition(width, "node").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    n = nodes.count()
+    senders = slices.select(F.col("src").alias("node"), "slices")
+    nodes = durable(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(senders, "node", "left"))
+    n, sinks = nodes.agg(F.count("*"), F.count_if(F.col("slices").isNull())).first()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("page_rank"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+
+    current = nodes.withColumn("u", F.lit(1.0))
+    powers: list[DataFrame] = []
+    dangling = [float(sinks)]
     for _ in range(iterations):
-        dangling = ranks.agg(F.coalesce(F.sum(F.when(F.col("slices").isNull(), F.col("rank"))), F.lit(0.0))).scalar()
-        sent = ranks.where(F.col("slices").isNotNull()).select(
-            F.col("node").alias("src"), "rank", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        sent = current.where(F.col("slices").isNotNull()).select(
+            F.col("node").alias("src"), "u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
         )
         received = placed.join(sent, ["src", "slice"]).groupBy(F.col("dst").alias("node")).agg(
-            F.sum(F.col("rank") * F.col("share")).alias("got")
-        )
-        base = (1.0 - damping) / n + damping * dangling / n
-        # The ranks are read twice in the next round, so every round is written down.
-        ranks = durable(
-            nodes.join(received, "node", "left").select(
-                "node", "slices", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank")
-            )
+            F.sum(F.col("u") * F.col("share")).alias("u")
         )
+        current = durable(received.join(senders, "node", "left"))
+        rows, lost = current.agg(F.count("*"), F.sum(F.when(F.col("slices").isNull(), F.col("u")))).first()
+        if rows == 0:
+            break
+        powers.append(current)
+        dangling.append(lost or 0.0)
+
+    weights = [1.0 / n]
+    for _ in range(iterations):
+        mass = sum(w * s for w, s in zip(weights, dangling))
+        weights = [(1.0 - damping) / n + damping * mass / n, *[damping * w for w in weights]]
+    total = nodes.select("node", F.lit(weights[0]).alias("x"))
+    for power, weight in zip(powers, weights[1:]):
+        total = total.unionByName(power.select("node", (F.col("u") * weight).alias("x")))
+    ranks = durable(total.groupBy("node").agg(F.sum("x").alias("rank")))
     placed.unpersist()
-    nodes.unpersist()
+    slices.unpersist()
     return ranks.select("node", (F.col("rank") / ranks.agg(F.max("rank")).scalar()).alias("page_rank"))
 
 
