@@ -85,3 +85,17 @@ def _(t: Tables) -> DataFrame:
         "at", F.when(F.col("kind") == "action", F.col("at") + F.expr("interval 30 minutes")).otherwise(F.col("at"))
     )
     return jobs.drained(stateful.stream_escalate(events.withWatermark("at", "1 hour")))
+
+
+@query("k09_hourly_cycle", f"""
+    SELECT atm_id, count(*) AS flagged FROM withdrawals WHERE amount >= 70000 GROUP BY 1""", ("withdrawals",))
+def _(t: Tables) -> DataFrame:
+    base = jobs.stream_folder(t.spark)
+
+    def cycle(batch: DataFrame, number: int) -> None:
+        # Each batch is written under its own number, so a repeated batch replaces itself.
+        flagged = batch.where(F.col("amount") >= 70000).groupBy("atm_id").agg(F.count("*").alias("n"))
+        flagged.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    jobs.hourly_cycle(streams(t)[1], cycle, f"{base}/state").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").groupBy("atm_id").agg(F.sum("n").alias("flagged"))
