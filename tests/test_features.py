@@ -77,7 +77,8 @@ def test_six_hour_rows_are_leak_safe(spark):
     def row(extra):
         inputs = frames(spark, BASE_C, BASE_W + extra)
         out = six_hour.atm_6h_features(*inputs).where((F.col("atm_id") == "A") & (F.col("window_start") == F.lit(t).cast("timestamp_ntz")))
-        return {c: out.first()[c] for c in six_hour.FEATURES}
+        found = out.first()
+        return {c: found[c] for c in six_hour.FEATURES}
 
     inside = [withdrawal(4, t + timedelta(hours=1))]
     assert row(inside) == row([withdrawal(4, t + timedelta(hours=2), amount=9.0)])
