@@ -13,6 +13,7 @@ from outflow.catalog.registry import day, money, query, r4, r6
 from outflow.functions import scalar as fx
 from outflow.operators import drift, fairness, metrics
 from outflow.plans import simulation, splits
+from outflow.session import durable
 from outflow.sources.views import Tables
 
 TIE = ["atm_id", "day"]
@@ -388,7 +389,8 @@ def _drift_ctes() -> str:
 
 
 def _drift_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
-    features = matrix(t).select("day", *[F.round(c, 6).alias(c) for c in DRIFT_CHECKED])
+    # Read three times: for the reference cuts, the reference shares and the current shares.
+    features = durable(matrix(t).select("day", *[F.round(c, 6).alias(c) for c in DRIFT_CHECKED]))
     return features.where(F.col("day") < F.lit(SPLIT)), features.where(F.col("day") >= F.lit(SPLIT))
 
 

@@ -53,7 +53,7 @@ CITY_CTES = f"""
     city8 AS (
         SELECT g.city, g.day, count(*) FILTER (fd >= g.day - 2) AS c24, count(fd) AS c7,
                {', '.join(f"count(*) FILTER (complaint_type = '{k}') AS t_{k}_7d" for k in FEATURE_TYPES)},
-               avg(victim_lat) AS la, avg(victim_lon) AS lo
+               sum(victim_lat::DECIMAL(12,6))::DOUBLE / count(fd) AS la, sum(victim_lon::DECIMAL(12,6))::DOUBLE / count(fd) AS lo
         FROM city_grid g LEFT JOIN comp c ON c.victim_city = g.city AND fd BETWEEN g.day - 8 AND g.day - 1 GROUP BY 1, 2),
     city_last AS (SELECT g.city, g.day, max(filing_timestamp) AS newest FROM city_grid g
                   JOIN comp c ON c.victim_city = g.city AND fd < g.day GROUP BY 1, 2),

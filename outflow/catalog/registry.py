@@ -34,12 +34,17 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()) -> Cal
 
 
 def presentable(df: DataFrame) -> DataFrame:
-    """Dates and times as text, doubles at six places: the form both engines print alike."""
+    """Dates and times as text, doubles at six places: the form both engines print alike.
+
+    The rounding is plain arithmetic with the tie moved off the half, so that neither the engines' own rounding
+    rules nor the last bits of a sum decide a digit.
+    """
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(F.round(c.cast("double"), 9), 6) + F.lit(0.0)
+            c = c.cast("double")
+            c = F.when(F.abs(c) < 1e9, F.floor(c * 1e6 + 0.50001) / 1e6).otherwise(c)
         elif isinstance(field.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -70,7 +75,7 @@ def ts(c: str) -> str:
 
 
 def r6(c: str) -> str:
-    return f"(round(round(({c})::DOUBLE, 9), 6) + 0.0::DOUBLE)"
+    return f"(floor(({c})::DOUBLE * 1e6 + 0.50001) / 1e6)"
 
 
 def money(c: str) -> str:

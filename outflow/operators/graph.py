@@ -105,11 +105,11 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_
 
 
 def chain_depth(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, depth): longest path from any source, 0 where no source reaches; capped where cycles would go on.
+    """(node, depth) from weighted edges: longest path from any source, 0 where no source reaches; capped where cycles would go on.
 
     Each round moves only the nodes whose depth has just grown.
     """
-    pairs = edges.select("src", "dst").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = edges.select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
     sources = pairs.select("src").distinct().join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
     depth = durable(sources.select(F.col("src").alias("node"), F.lit(0).alias("depth"), F.lit(True).alias("grew")))
     for _ in range(max_depth):

@@ -54,14 +54,17 @@ def city_features(complaints: DataFrame, centres: DataFrame, first: Column, last
     """Complaint features per city and day. ``centres`` lists the cities (city, cc_lat, cc_lon)."""
     spec = ordered(["city"], "step")
     steps = city_steps(complaints, centres, first, last, HOURS)
-    some = before("n", spec, 8) > 0
+    # Windows first, each once; everything derived from them in the next projection.
     rolled = steps.select(
         "city", "step", "n",
         before("n", spec, 2).alias("n_complaints_city_24h"), before("n", spec, 8).alias("n_complaints_city_7d"),
         hours_since_last(spec, HOURS).alias("hours_since_last_complaint_city"),
         *[before(t, spec, 8).alias(f"t_{t}_7d") for t in FEATURE_TYPES],
-        F.when(some, before("lat_sum", spec, 8) / before("n", spec, 8)).alias("clat"),
-        F.when(some, before("lon_sum", spec, 8) / before("n", spec, 8)).alias("clon"),
+        before("lat_sum", spec, 8).alias("_lat"), before("lon_sum", spec, 8).alias("_lon"),
+    )
+    some = F.col("n_complaints_city_7d") > 0
+    rolled = rolled.withColumns(
+        {"clat": F.when(some, F.col("_lat") / F.col("n_complaints_city_7d")), "clon": F.when(some, F.col("_lon") / F.col("n_complaints_city_7d"))}
     )
     previous = F.lag("n_complaints_city_24h", 1).over(spec)
     velocity = (F.col("n_complaints_city_24h") - previous) / F.greatest(previous, F.lit(1))
@@ -91,22 +94,13 @@ def machine_features(withdrawals: DataFrame, complaints: DataFrame, atms: DataFr
     steps = machine_steps(withdrawals, complaints, atms, first, last, HOURS, LINKED, compat=compat)
     spec = ordered(["atm_id"], "step")
     steps = steps.withColumn("amount_mean", F.when(F.col("n") > 0, F.col("cents") / F.col("n") / 100.0).otherwise(0.0))
-    w1, w24 = before("w1", spec, 1), before("n", spec, 1)
-    distinct = before("accounts", spec, 2)
-    return steps.select(
-        "atm_id", "step",
-        w1.alias("withdrawals_1h"), before("w6", spec, 1).alias("withdrawals_6h"), w24.alias("withdrawals_24h"),
-        (before("cents", spec, 1) / 100.0).alias("amount_sum_24h"),
-        distinct.alias("distinct_accounts_24h"),
-        F.when(w24 > 0, F.col("linked_withdrawals_24h") / w24).otherwise(0.0).alias("linked_proportion_24h"),
-        F.when(w24 > 0, w24 / F.greatest(distinct, F.lit(1))).otherwise(0.0).alias("transaction_frequency_24h"),
-        "counterparty_count_24h",
-        (before("cents", spec, 1) / 100.0 / 24.0).alias("fund_velocity_24h"),
-        F.when((w1 >= 3) & (w1 >= 2.0 * w24 / 24.0), 1.0).otherwise(0.0).alias("activity_spike_flag"),
-        "mule_reuse_count_7d",
-        F.when(w24 > 0, before("night_n", spec, 1) / w24).otherwise(0.0).alias("night_ratio_24h"),
-        before("amount_mean", spec, 7, F.avg).alias("amount_mean_7d"),
-        before("amount_max", spec, 7, F.max).alias("amount_max_7d"),
+    # Windows first, each once; everything derived from them in the next projection.
+    rolled = steps.select(
+        "atm_id", "step", "linked_withdrawals_24h", "counterparty_count_24h", "mule_reuse_count_7d",
+        before("w1", spec, 1).alias("withdrawals_1h"), before("w6", spec, 1).alias("withdrawals_6h"),
+        before("n", spec, 1).alias("withdrawals_24h"), (before("cents", spec, 1) / 100.0).alias("amount_sum_24h"),
+        before("accounts", spec, 2).alias("distinct_accounts_24h"), before("night_n", spec, 1).alias("_night"),
+        before("amount_mean", spec, 7, F.avg).alias("amount_mean_7d"), before("amount_max", spec, 7, F.max).alias("amount_max_7d"),
         before("round_n", spec, 7).alias("round_count_7d"), before("large_n", spec, 7).alias("large_count_7d"),
         before("heavy_n", spec, 7).alias("heavy_count_7d"),
         before("amount_max", spec, 1, F.max).alias("amount_max_1d"), before("large_n", spec, 1).alias("large_count_1d"),
@@ -114,6 +108,16 @@ def machine_features(withdrawals: DataFrame, complaints: DataFrame, atms: DataFr
         F.when(F.max("fraud_n").over(rows_before(spec, 7)) > 0, 1.0).otherwise(0.0).alias("prior_alert_fraud_flag"),
         F.when(F.col("fraud_n") > 0, 1).otherwise(0).alias("label"),
     )
+    w1, w24 = F.col("withdrawals_1h"), F.col("withdrawals_24h")
+    return rolled.withColumns(
+        {
+            "linked_proportion_24h": F.when(w24 > 0, F.col("linked_withdrawals_24h") / w24).otherwise(0.0),
+            "transaction_frequency_24h": F.when(w24 > 0, w24 / F.greatest("distinct_accounts_24h", F.lit(1))).otherwise(0.0),
+            "fund_velocity_24h": F.col("amount_sum_24h") / 24.0,
+            "activity_spike_flag": F.when((w1 >= 3) & (w1 >= 2.0 * w24 / 24.0), 1.0).otherwise(0.0),
+            "night_ratio_24h": F.when(w24 > 0, F.col("_night") / w24).otherwise(0.0),
+        }
+    ).drop("linked_withdrawals_24h", "_night")
 
 
 def calendar_features(day: Column) -> dict[str, Column]:

@@ -29,22 +29,23 @@ def atm_hour_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataF
     Trailing hours end where the row's hour begins. The label says whether fraud follows within 24 hours.
     """
     begin = first - history_hours
-    machines = machine_steps(
+    steps = machine_steps(
         withdrawals, complaints, atms, begin, last + 23, HOURS, {"linked_24h": Linked(24)}, F.lit(False), compat
     )
     spec = ordered(["atm_id"], "step")
-    n24, accounts = before("n", spec, 24), before("accounts", spec, 24)
-    amount = before("cents", spec, 24) / 100.0
-    fraud_ahead = F.max("fraud_n").over(spec.rowsBetween(0, 23))
-    machines = machines.select(
-        "atm_id", "step", before("n", spec, 1).alias("withdrawals_1h"), before("n", spec, 6).alias("withdrawals_6h"),
-        n24.alias("withdrawals_24h"), amount.alias("amount_sum_24h"),
-        (amount / F.greatest(n24, F.lit(1))).alias("amount_mean_24h"), accounts.alias("distinct_accounts_24h"),
-        accounts.alias("counterparty_count_24h"),
-        (F.col("linked_24h") / F.greatest(accounts, F.lit(1))).alias("linked_proportion_24h"),
-        (n24 / 24.0).alias("transaction_frequency_24h"),
-        F.when(fraud_ahead > 0, 1).otherwise(0).alias("label"),
+    rolled = steps.select(
+        "atm_id", "step", "linked_24h", before("n", spec, 1).alias("withdrawals_1h"), before("n", spec, 6).alias("withdrawals_6h"),
+        before("n", spec, 24).alias("withdrawals_24h"), (before("cents", spec, 24) / 100.0).alias("amount_sum_24h"),
+        before("accounts", spec, 24).alias("distinct_accounts_24h"), F.max("fraud_n").over(spec.rowsBetween(0, 23)).alias("_ahead"),
     ).where(F.col("step").between(first, last))
+    n24, accounts = F.col("withdrawals_24h"), F.col("distinct_accounts_24h")
+    machines = rolled.withColumns(
+        {
+            "amount_mean_24h": F.col("amount_sum_24h") / F.greatest(n24, F.lit(1)), "counterparty_count_24h": accounts,
+            "linked_proportion_24h": F.col("linked_24h") / F.greatest(accounts, F.lit(1)),
+            "transaction_frequency_24h": n24 / 24.0, "label": F.when(F.col("_ahead") > 0, 1).otherwise(0),
+        }
+    ).drop("linked_24h", "_ahead")
 
     by_city = ordered(["city"], "step")
     cities = city_steps(complaints, centres, begin, last, HOURS).select(

@@ -42,17 +42,21 @@ def atm_6h_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataFra
         withdrawals, complaints, atms, first, last, HOURS, {"linked_6h": Linked(2)}, F.hour("timestamp") < 6, compat
     )
     spec = ordered(["atm_id"], "step")
-    w1, w6, w24 = before("n", spec, 1), before("n", spec, 2), before("n", spec, 5)
-    amount = before("cents", spec, 2) / 100.0
-    machines = steps.select(
-        "atm_id", "step", w1.alias("withdrawals_1h"), w6.alias("withdrawals_6h"), w24.alias("withdrawals_24h"),
-        amount.alias("amount_sum_6h"), before("accounts", spec, 1).alias("distinct_accounts_6h"),
-        F.when(w6 > 0, F.col("linked_6h") / w6).otherwise(0.0).alias("linked_proportion_6h"),
-        (amount / 6.0).alias("fund_velocity_6h"),
-        F.when((w1 >= 3) & (w1 >= 2.0 * w6 / 6.0), 1.0).otherwise(0.0).alias("activity_spike_flag_6h"),
-        F.when(w24 > 0, before("night_n", spec, 5) / w24).otherwise(0.0).alias("night_ratio_6h"),
+    rolled = steps.select(
+        "atm_id", "step", "linked_6h", before("n", spec, 1).alias("withdrawals_1h"), before("n", spec, 2).alias("withdrawals_6h"),
+        before("n", spec, 5).alias("withdrawals_24h"), (before("cents", spec, 2) / 100.0).alias("amount_sum_6h"),
+        before("accounts", spec, 1).alias("distinct_accounts_6h"), before("night_n", spec, 5).alias("_night"),
         F.when(F.col("fraud_n") > 0, 1).otherwise(0).alias("label"),
     )
+    w1, w6, w24 = F.col("withdrawals_1h"), F.col("withdrawals_6h"), F.col("withdrawals_24h")
+    machines = rolled.withColumns(
+        {
+            "linked_proportion_6h": F.when(w6 > 0, F.col("linked_6h") / w6).otherwise(0.0),
+            "fund_velocity_6h": F.col("amount_sum_6h") / 6.0,
+            "activity_spike_flag_6h": F.when((w1 >= 3) & (w1 >= 2.0 * w6 / 6.0), 1.0).otherwise(0.0),
+            "night_ratio_6h": F.when(w24 > 0, F.col("_night") / w24).otherwise(0.0),
+        }
+    ).drop("linked_6h", "_night")
 
     by_city = ordered(["city"], "step")
     cities = city_steps(complaints, centres, first, last, HOURS).select(

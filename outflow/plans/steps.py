@@ -116,10 +116,15 @@ def machine_steps(
     )
 
 
+def exact_degrees(column: str) -> Column:
+    """Sum of coordinates in whole millionths of a degree: the same whatever the order of addition."""
+    return F.sum(F.round(F.col(column) * 1e6).cast("bigint")) / 1e6
+
+
 def city_daily(complaints: DataFrame, cities: DataFrame, first: Column, last: Column) -> DataFrame:
     """Dense (city, day) counts and coordinate sums."""
     counted = complaints.groupBy(F.col("victim_city").alias("city"), F.to_date("filing_timestamp").alias("day")).agg(
-        F.count("*").alias("n"), F.sum("victim_lat").alias("lat_sum"), F.sum("victim_lon").alias("lon_sum")
+        F.count("*").alias("n"), exact_degrees("victim_lat").alias("lat_sum"), exact_degrees("victim_lon").alias("lon_sum")
     )
     dense = cities.select("city", F.explode(F.sequence(first, last)).alias("day"))
     return dense.join(counted, ["city", "day"], "left").na.fill(0, ["n"]).na.fill(0.0, ["lat_sum", "lon_sum"])
@@ -130,7 +135,7 @@ def city_steps(complaints: DataFrame, cities: DataFrame, first: Column, last: Co
     zero = F.lit(0).cast("bigint")
     counted = complaints.groupBy(F.col("victim_city").alias("city"), step_of(F.col("filing_timestamp"), hours).alias("step")).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("complaint_type") == t).alias(t) for t in FEATURE_TYPES],
-        F.sum("victim_lat").alias("lat_sum"), F.sum("victim_lon").alias("lon_sum"),
+        exact_degrees("victim_lat").alias("lat_sum"), exact_degrees("victim_lon").alias("lon_sum"),
         F.max("filing_timestamp").alias("newest"),
     )
     blank = cities.select("city", F.explode(F.sequence(first, last)).alias("step")).select(
