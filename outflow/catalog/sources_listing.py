@@ -14,6 +14,7 @@ from outflow.operators import listing, scope
 from outflow.schemas import ADMIN, BANK, DISTRICT, STATE
 from outflow.sources import files, tables
 from outflow.sources.views import Tables
+from outflow.streaming.jobs import stream_folder
 
 AS_OF = datetime(2024, 1, 21)
 SINCE = datetime(2024, 1, 14)
@@ -153,6 +154,48 @@ def _(t: Tables) -> DataFrame:
     return bad.select("complaint_id", F.array_join("problems", ",").alias("problems"))
 
 
+@query("a05_read_dropzone_csv", f"""
+    SELECT victim_district AS district, {day('filing_timestamp')} AS date, count(*)::INT AS complaint_count FROM order_complaints
+    GROUP BY 1, 2""", ("order_complaints",))
+def _(t: Tables) -> DataFrame:
+    folder = stream_folder(t.spark)
+    counts = t.order_complaints.groupBy(
+        F.col("victim_district").alias("district"), F.to_date("filing_timestamp").alias("date")
+    ).agg(F.count("*").alias("complaint_count"))
+    files.export_tables({"dropzone": counts}, folder, "csv")
+    return files.read_dropzone_csv(
+        t.spark, f"{folder}/dropzone", {"district": "string", "date": "date", "complaint_count": "int"}
+    )
+
+
+@query("a07_write_sample", """
+    SELECT transaction_id, atm_id FROM withdrawals ORDER BY withdrawals.timestamp DESC, transaction_id DESC LIMIT 100""", ("withdrawals",))
+def _(t: Tables) -> DataFrame:
+    folder = stream_folder(t.spark)
+    files.write_sample(t.withdrawals, folder, ["timestamp", "transaction_id"], 100)
+    return t.spark.read.option("header", True).csv(folder).select("transaction_id", "atm_id")
+
+
+@query("a08_export_tables", """
+    SELECT atm_id AS id, city FROM atms UNION ALL SELECT complaint_id, victim_city FROM complaints""", ("atms", "complaints"))
+def _(t: Tables) -> DataFrame:
+    folder = stream_folder(t.spark)
+    files.export_tables({"atms": t.atms, "complaints": t.complaints}, folder)
+    atms, complaints = t.spark.read.parquet(f"{folder}/atms"), t.spark.read.parquet(f"{folder}/complaints")
+    return atms.select(F.col("atm_id").alias("id"), "city").unionByName(
+        complaints.select(F.col("complaint_id").alias("id"), F.col("victim_city").alias("city"))
+    )
+
+
+@query("a11_cached_matrix", f"SELECT atm_id, {day('day')} AS day, {r6('score')} AS score, label FROM scores", ("scores",))
+def _(t: Tables) -> DataFrame:
+    folder = stream_folder(t.spark)
+    stamp = tables.data_stamp({"withdrawals": (t.withdrawals, "timestamp")}).first()["stamp"]
+    files.cached_matrix(t.spark, stamp, lambda: t.scores, folder)
+    # The second call finds the stamp and reads the written matrix.
+    return files.cached_matrix(t.spark, stamp, lambda: t.scores, folder).select("atm_id", "day", "score", "label")
+
+
 # ---------------------------------------------------------------- listings
 
 
