@@ -3,16 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outflow.session import prepare
+from outflow.llm.class_lm import score_texts
+from outflow.llm.mixing import mix
+from outflow.llm.ngram_join import link_classes
+from outflow.llm.pieces import decode, encode
 from outflow.llm.substring_dedup import remove_repeats
+from outflow.llm.wordpiece import count_tokens
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Settings the results depend on; Python workers of a local session find the package where the driver does."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return prepare(spark)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
+    return ready(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -20,8 +32,36 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """The ids of every text, and the digest of the text decoded from them."""
+    coded = encode(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    back = decode(coded).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return back.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), "ids", "decoded_sha256")
+
+
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return link_classes(table(spark, folder, "documents"))
+
+
+def op9_class_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(table(spark, folder, "documents"))
+
+
+def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "ranges")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_token_counts": op4_token_counts,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_ngram_join": op7_ngram_join,
+    "op9_class_lm": op9_class_lm,
+    "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
@@ -37,4 +77,17 @@ SQL: dict[str, str] = {
         SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS words FROM documents),
+        sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                   ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS s FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 90 * (p.n + q.n - i)),
+        both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+        reach(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
+        FROM documents d JOIN reach r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id""",
 }
