@@ -1,17 +1,74 @@
-"""Documents to training data in five stages, each an operator of outflow.llm."""
+"""Documents to training data in five stages, each an operator of outflow.llm.
+
+Every stage takes the documents its predecessor kept, and all but the last return the columns of documents (doc_id,
+text, lang, source, n_chars). n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from outflow.llm.catalog import ready, table
+from outflow.llm.cotraining import classify
+from outflow.llm.mixing import WORD, mix
+from outflow.llm.ngram_join import link_classes
+from outflow.llm.pieces import encode
+from outflow.llm.substring_dedup import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return classify(docs, table(spark, sf_dir, "labels")).where("keep").select(COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays."""
+    ready(spark)
+    stays = link_classes(docs, width=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"))
+    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return kept.select(COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of words that occur earlier are cut out; a document of which nothing is left goes."""
+    ready(spark)
+    cut = remove_repeats(docs, carry=("lang", "source"), verbatim=True).where("n_removed = 0 OR n_removed < n_words")
+    return cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("bigint").alias("n_chars"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each whole copy of a document, and one of the words picked beyond."""
+    ready(spark)
+    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "passes", "ranges")
+    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("id")))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    picked = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
+    part = F.when(F.size("ranges") > 0, F.array(picked)).otherwise(F.array().cast("array<string>"))
+    copies = F.concat(F.array_repeat("text", F.col("passes").cast("int")), part)
+    rows = joined.select("doc_id", F.explode(copies).alias("text"), "lang", "source")
+    return rows.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text."""
+    ready(spark)
+    return encode(docs).select(*COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_ids"))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality), ("n-gram Jaccard join", near_copies), ("substring dedup", repeats),
+    ("mixing sources to target weights", mixture), ("SentencePiece encoding", pieces),
+]
 
-# The classifier and the seeded choices cannot be stated in SQL; tests/llm compares with brute force.
+# The classifier, the seeded choices and the piece ids cannot be stated in SQL; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from outflow.session import prepare
 from outflow.llm.class_lm import score_texts
+from outflow.llm.cotraining import classify
+from outflow.llm.imatch import fingerprints
 from outflow.llm.mixing import mix
 from outflow.llm.ngram_join import link_classes
+from outflow.llm.permutation_index import search
 from outflow.llm.pieces import decode, encode
 from outflow.llm.substring_dedup import remove_repeats
+from outflow.llm.url_filter import judge_urls
 from outflow.llm.wordpiece import count_tokens
 
 
@@ -32,6 +36,23 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return docs.select("doc_id", "text_score", "meta_score", "score", "keep")
+
+
+def op6_permutation_index(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), table(spark, folder, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -56,10 +77,14 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_token_counts": op4_token_counts,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_permutation_index": op6_permutation_index,
     "op7_ngram_join": op7_ngram_join,
+    "op8_url_filters": op8_url_filters,
     "op9_class_lm": op9_class_lm,
     "op10_mixing": op10_mixing,
 }

@@ -16,21 +16,30 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outflow.llm import exchange as X
 from outflow.llm.words import Words, joined, split, window_starts, windows
 
-RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
+RESULT_NAMES = ("doc_id", "n_words", "n_removed", "kept_text")
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, rows: int = 2, spare: int = 8) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, rows: int = 2, spare: int = 8, carry: tuple[str, ...] = (),
+    verbatim: bool = False,
+) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text): words outside every window that occurs earlier, joined by one space.
 
-    ``rows`` and ``spare`` size the sketch: rows of cells, and cells per expected window and row.
+    ``rows`` and ``spare`` size the sketch: rows of cells, and cells per expected window and row. Columns to ``carry`` follow
+    as they are, but for those with a name of the result. ``verbatim``: a text that loses nothing stays as it is.
     """
-    narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    carry = tuple(c for c in carry if c not in RESULT_NAMES)
+    held_columns = {f"carried_{i}": c for i, c in enumerate(carry)}
+    narrow = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(k) for k, c in held_columns.items()]
+    )
     size = X.text_bytes(narrow, "text")
     bounds = X.range_bounds(narrow, "doc_id", X.group_count(size))
     dealt = narrow.withColumn("grp", X.range_group("doc_id", bounds))
@@ -108,13 +117,21 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         keep = np.cumsum(step)[:-1] == 0
         kept = np.concatenate([[0], np.cumsum(keep)])[words.first]
         n_words = np.diff(words.first)
+        n_removed = n_words - np.diff(kept)
+        texts = joined(words, keep).cast(pa.string())
+        if verbatim:
+            texts = pa.compute.if_else(pa.array(n_removed > 0), texts, pa.concat_arrays(table.column("text").chunks))
         return pa.table({
             "doc_id": table.column("doc_id").combine_chunks(), "n_words": pa.array(n_words, pa.int64()),
-            "n_removed": pa.array(n_words - np.diff(kept), pa.int64()), "kept_text": joined(words, keep).cast(pa.string()),
+            "n_removed": pa.array(n_removed, pa.int64()), "kept_text": texts, **{k: table.column(k).combine_chunks() for k in held_columns},
         })
 
-    lists = dealt.groupBy("grp").applyInArrow(sketched, X.LISTS)
+    bare = dealt.select("doc_id", "text", "grp") if held_columns else dealt
+    lists = bare.groupBy("grp").applyInArrow(sketched, X.LISTS)
     answers = lists.groupBy("shard").applyInArrow(sketch.merger(lambda n: X.pack_bits(n > 1)), X.ANSWERS)
-    keys = dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(passed, "shard int, grp int, keys binary")
+    keys = bare.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(passed, "shard int, grp int, keys binary")
     earlier = keys.groupBy("shard").applyInArrow(settled, "grp int, earlier binary")
-    return dealt.groupBy("grp").cogroup(earlier.groupBy("grp")).applyInArrow(cleaned, RESULT)
+    types = dict(narrow.dtypes)
+    result = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string" + "".join(f", {k} {types[k]}" for k in held_columns)
+    out = dealt.groupBy("grp").cogroup(earlier.groupBy("grp")).applyInArrow(cleaned, result)
+    return out.select(*RESULT_NAMES, *[F.col(k).alias(c) for k, c in held_columns.items()])
