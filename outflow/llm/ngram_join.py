@@ -13,7 +13,8 @@ Which pairs are counted:
 * Linked documents share a shingle among the first few of either in the global order (prefix filter). Of each such
   list, every member is first paired with one centre only, whatever the length of the list. Members that end up in
   the centre's component need no further pairs, as only reachability is asked for. Those that do not are paired with
-  the list's members of other components. No linked pair is left out: it is counted, or already connected.
+  the list's members of other components, where both have enough shingles left, shared with any document, for the
+  threshold (positional filter). No linked pair is left out: it is counted, or already connected.
 
 Defined cases: null and empty texts have no shingles and link with nothing; texts shorter than a shingle have one, the
 whole sequence; rows with one id are separate documents that share the id; a null id never names a component of
@@ -35,7 +36,7 @@ from outflow.llm.components import components
 from outflow.llm.words import split, window_starts, windows
 from outflow.session import durable
 
-BASE = "doc_id bigint, uid bigint, n_shingles bigint, set_id binary, prefix array<bigint>, segments array<struct<frag:int,tokens:array<bigint>>>"
+BASE = "doc_id bigint, uid bigint, n_shingles bigint, set_id binary, shared bigint, weight double, prefix array<bigint>, segments array<struct<frag:int,tokens:array<bigint>>>"
 CUTS_LOG2 = 2
 SEGMENTS = pa.list_(pa.struct([("frag", pa.int32()), ("tokens", pa.list_(pa.int64()))]))
 
@@ -75,12 +76,14 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         known = np.unique(cells)
         level = sketch.answers(known, 0, answers, lambda blob, n: np.frombuffer(zlib.decompress(blob), np.uint8))
         levels = level[np.searchsorted(known, cells)] if len(cells) else np.zeros(0, np.uint8)
-        set_ids, prefixes, segments, seen, at = [], [], [], set(), 0
+        set_ids, prefixes, segments, shared_counts, weights, seen, at = [], [], [], [], [], set(), 0
         for own in sets:
             n, rank = len(own), levels[at : at + len(own)]
             at += n
             need = (percent * n + 99) // 100
             shared = int(np.count_nonzero(rank))
+            shared_counts.append(shared)
+            weights.append(float(rank.mean()) if n else 0.0)
             if n == 0 or shared < need:
                 set_ids.append(None)
                 prefixes.append(None)
@@ -103,6 +106,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
         return pa.table({
             "doc_id": table.column("doc_id").combine_chunks(), "uid": table.column("uid").combine_chunks(),
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "set_id": pa.array(set_ids, pa.binary()),
+            "shared": pa.array(shared_counts, pa.int64()), "weight": pa.array(weights, pa.float64()),
             "prefix": pa.array(prefixes, pa.list_(pa.int64())), "segments": pa.array(segments, SEGMENTS),
         })
 
@@ -114,36 +118,44 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     alive = base.where("set_id IS NOT NULL")
     first = alive.where("prefix IS NOT NULL").groupBy("set_id").agg(F.min("uid").alias("uid"))
     nodes = alive.where("prefix IS NOT NULL").join(first, ["set_id", "uid"], "left_semi")
-    lists = nodes.select("set_id", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    # What a pair can still share from a place of the list on.
+    lists = nodes.select("set_id", F.col("n_shingles").alias("n"), "weight", "shared", F.posexplode("prefix").alias("pos", "token"))
+    lists = lists.select("token", "set_id", "n", "weight", (F.col("shared") - F.col("pos")).alias("left"))
     segments = nodes.select("set_id", F.explode("segments").alias("s")).select("set_id", "s.frag", "s.tokens")
 
-    close = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
-    centres = lists.groupBy("token").agg(F.min(F.struct("set_id", "n")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    pairs = durable(
-        lists.join(centres, "token").where(F.col("set_id") != F.col("c.set_id")).where(close(F.col("n"), F.col("c.n")))
-        .select(F.col("c.set_id").alias("a"), F.col("set_id").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).distinct()
+    def may_link(n: str, left: str, other_n: str, other_left: str) -> Column:
+        """At the first shingle that a linked pair has in common, each has enough left."""
+        return (100 + percent) * F.least(left, other_left) >= percent * (F.col(n) + F.col(other_n))
+
+    # The member with the most frequent shingles is nearest to what the list's members have in common.
+    head = F.min(F.struct((-F.col("weight")).alias("w"), "set_id", "n", "left"))
+    centres = lists.groupBy("token").agg(head.alias("c"), F.count("*").alias("k")).where("k > 1").select(
+        "token", F.col("c.set_id").alias("a"), F.col("c.n").alias("na"), F.col("c.left").alias("la")
     )
+    pairs = lists.join(centres, "token").where(F.col("set_id") != F.col("a")).where(may_link("n", "left", "na", "la"))
+    pairs = durable(pairs.select("a", F.col("set_id").alias("b"), "na", F.col("n").alias("nb")).distinct())
     edges = durable(_linked(pairs, segments, percent))
     groups = durable(components(edges))
 
     # Members of a list that are not in its centre's component.
     placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    heads = placed.groupBy("token").agg(
-        F.min(F.struct("set_id", "component")).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    ).where("lo <> hi").select("token", "c")
-    open_lists = placed.join(heads, "token")
-    odd = open_lists.where(F.col("component") != F.col("c.component")).select(
-        "token", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx")
+    head = F.min(F.struct((-F.col("weight")).alias("w"), "set_id", "component"))
+    heads = placed.groupBy("token").agg(head.alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_lists = placed.join(heads.select("token", F.col("c.set_id").alias("a"), F.col("c.component").alias("ca")), "token")
+    odd = open_lists.where("component <> ca").select(
+        "token", F.col("set_id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"), F.col("component").alias("cx")
+    )
+    # The centre has been paired with all members. Two odd members meet twice: the distinct rows are the same.
+    rest = open_lists.where("set_id <> a").select("token", "set_id", "n", "left", "component")
+    more = rest.join(odd, "token").where("component <> cx").where(may_link("n", "left", "nx", "lx"))
+    first_is_x = F.col("x") < F.col("set_id")
+    more = durable(
+        more.select(
+            F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b"), F.when(first_is_x, F.col("nx")).otherwise(F.col("n")).alias("na"),
+            F.when(first_is_x, F.col("n")).otherwise(F.col("nx")).alias("nb"),
+        ).distinct()
     )
-    rest = open_lists.where(F.col("set_id") != F.col("c.set_id"))
-    more = rest.join(odd, "token").where(F.col("component") != F.col("cx")).where(close(F.col("n"), F.col("nx")))
-    # Two odd members meet twice, a member of the centre's component once: the distinct rows are the same.
-    more = more.select(
-        F.least("set_id", "x").alias("a"), F.greatest("set_id", "x").alias("b"),
-        F.when(F.col("set_id") < F.col("x"), F.col("n")).otherwise(F.col("nx")).alias("na"),
-        F.when(F.col("set_id") < F.col("x"), F.col("nx")).otherwise(F.col("n")).alias("nb"),
-    ).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = durable(_linked(durable(more), segments, percent))
+    more = durable(_linked(more, segments, percent))
     if not more.isEmpty():
         groups = durable(components(edges.union(more)))
 
