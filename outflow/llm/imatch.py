@@ -2,8 +2,8 @@
 
 Method: the lexicon holds the terms whose document frequency lies in a band: not so common that they tell nothing,
 not so rare that a small edit changes them. Every subset of the lexicon is a random choice of its terms, by a seeded hash, at one of several rates. A
-text's distinct terms of a subset are sorted and hashed; the hashes of all subsets are its fingerprint. The likeness of two fingerprints is the share of
-equal hashes among the subsets of which either text has a term.
+text's distinct terms of a subset are sorted and hashed; the hashes of all subsets are its fingerprint. The likeness of
+two fingerprints is the share of equal hashes among the subsets of which either text has a term, see ``likeness``.
 
 A term is a lower-case run of characters between white space, known by a 64-bit hash. A text without any term of the
 lexicon gets the digest of the text itself.
@@ -44,31 +44,44 @@ def lexicon(docs: DataFrame, text: str, low: float, high: float) -> DataFrame:
     return durable(seen.where((F.col("df") >= max(2.0, low * total)) & (F.col("df") <= max(2.0, high * total))).select("term"))
 
 
-def subset_hashes(sorted_terms: Column, rates: tuple[int, ...], each: int) -> Column:
-    """One hash per subset; null where the text has no term of it. A subset of rate r holds one of 2^r terms."""
-    out = []
-    for r in rates:
-        for i in range(each):
-            held = F.filter(sorted_terms, _member(r, i))
-            out.append(F.when(F.size(held) > 0, F.xxhash64(held)))
-    return F.array(*out)
+def level_terms(sorted_terms: Column, rate: int, each: int) -> Column:
+    """The terms of a level's subsets. A level deals the lexicon into 2^rate parts; its subsets are the first ``each`` of them."""
+    return F.filter(sorted_terms, lambda t: _part(t, rate) < each)
 
 
-def _member(rate: int, number: int) -> Callable[[Column], Column]:
-    return lambda term: F.xxhash64(term, F.lit(rate * 1000 + number)).bitwiseAND(F.lit((1 << rate) - 1)) == 0
+def subset_hashes(of_level: Column, rate: int, each: int) -> Column:
+    """The hash of each of a level's subsets, in 32 bits; null where the text has no term of it."""
+    parts = [F.filter(of_level, _in_part(rate, i)) for i in range(min(each, 1 << rate))]
+    return F.array(*[F.when(F.size(p) > 0, F.shiftrightunsigned(F.xxhash64(p), 32)) for p in parts])
 
 
-def likeness(a: Column, b: Column, whole_a: Column, whole_b: Column) -> Column:
-    """1 for equal fingerprints, else the share of equal hashes among the subsets that either has."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), None).otherwise(F.when(x.eqNullSafe(y), 1).otherwise(0)))
-    told = F.filter(pairs, lambda p: p.isNotNull())
-    share = F.aggregate(told, F.lit(0), lambda s, p: s + p) / F.size(told)
-    return F.when(whole_a == whole_b, 1.0).when(F.size(told) == 0, 0.0).otherwise(share)
+def _part(term: Column, rate: int) -> Column:
+    return F.xxhash64(term, F.lit(rate)).bitwiseAND(F.lit((1 << rate) - 1))
+
+
+def _in_part(rate: int, number: int) -> Callable[[Column], Column]:
+    return lambda term: _part(term, rate) == number
+
+
+def likeness(a: list[Column], b: list[Column], whole_a: Column, whole_b: Column) -> Column:
+    """1 for equal fingerprints, else the share of equal hashes among the subsets that either text has a term of.
+
+    Subsets with many of the text's terms nearly always differ after an edit and tell only that there was one. So the
+    levels count at which at most three quarters of the subsets are in use, or the sparsest one in use.
+    """
+    used, equal, last = F.lit(0), F.lit(0), F.lit(0.0)
+    for x, y in zip(a, b):
+        marks = F.zip_with(x, y, lambda p, q: F.when(p.isNull() & q.isNull(), 0).when(p.eqNullSafe(q), 2).otherwise(1))
+        n, same = F.size(F.filter(marks, lambda m: m > 0)), F.size(F.filter(marks, lambda m: m == 2))
+        sparse = 4 * n <= 3 * F.size(x)
+        used, equal = used + F.when(sparse, n).otherwise(0), equal + F.when(sparse, same).otherwise(0)
+        last = F.when(n > 0, same / n).otherwise(last)
+    return F.when(whole_a == whole_b, 1.0).when(used > 0, equal / used).otherwise(last)
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1, rates: tuple[int, ...] = (1, 3, 5, 7),
-    each: int = 8, broadcast_terms: int = 500_000,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", low: float = 0.001, high: float = 0.1, rates: tuple[int, ...] = (2, 4, 6, 8, 10),
+    each: int = 16, broadcast_terms: int = 500_000,
 ) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -112,18 +125,21 @@ def fingerprints(
     docs_again = held.groupBy("block", "at").agg(
         *[F.max(c).alias(c) for c in ("guest", "doc_id", "n_chars", "text_sha", "edited_sha256")], side(0).alias("own"), side(1).alias("other")
     )
-    hashed = docs_again.withColumn("a", subset_hashes(F.col("own"), rates, each)).withColumn("b", subset_hashes(F.col("other"), rates, each))
-    printed = hashed.withColumn("fingerprint", _printed("a", "own", "text_sha")).withColumn("edited_fingerprint", _printed("b", "other", "edited_sha256"))
+    levels = docs_again.withColumns({f"{t}{r}": level_terms(F.col(t), r, each) for t in ("own", "other") for r in rates})
+    hashed = levels.withColumns({f"{t}{r}": subset_hashes(F.col(f"{t}{r}"), r, each) for t in ("own", "other") for r in rates})
+    printed = hashed.withColumn("fingerprint", _printed("own", rates, "text_sha")).withColumn("edited_fingerprint", _printed("other", rates, "edited_sha256"))
     following = Window.partitionBy("block").orderBy("at")
-    pair = F.lead(F.struct("a", "fingerprint")).over(following)
+    pair = F.lead(F.struct("fingerprint", *[f"own{r}" for r in rates])).over(following)
     done = printed.withColumn("next", pair).where("guest = 0")
+    own, other, after = ([F.col(f"{t}{r}") for r in rates] for t in ("own", "other", "next.own"))
     return done.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("a"), F.col("b"), F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        F.coalesce(likeness(F.col("a"), F.col("next.a"), F.col("fingerprint"), F.col("next.fingerprint")), F.lit(1.0)).alias("near_next"),
+        likeness(own, other, F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        F.coalesce(likeness(own, after, F.col("fingerprint"), F.col("next.fingerprint")), F.lit(1.0)).alias("near_next"),
     )
 
 
-def _printed(hashes: str, own: str, digest: str) -> Column:
-    text = F.concat_ws("-", F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h)), F.lit("0"))))
-    return F.when(F.size(own) > 0, text).otherwise(F.concat(F.lit("t"), F.col(digest)))
+def _printed(terms_of: str, rates: tuple[int, ...], digest: str) -> Column:
+    hashes = F.concat(*[F.col(f"{terms_of}{r}") for r in rates])
+    text = F.array_join(F.transform(hashes, lambda h: F.lower(F.hex(h))), "-", "")
+    return F.when(F.size(terms_of) > 0, text).otherwise(F.concat(F.lit("t"), F.col(digest)))
