@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outflow.catalog.registry import money, query, r4, r6
+from outflow.functions.ordering import numbered
 from outflow.operators import graph, network
 from outflow.operators.listing import accounts_in_scope
 from outflow.schemas import BANK
@@ -87,25 +88,64 @@ def _busiest_target(t: Tables) -> str:
     return last.orderBy(F.round("a", 2).desc(), "to_token").first()["to_token"]
 
 
-@query("h06_money_trail", f"""
-    WITH {EDGES}, t AS (SELECT node FROM n WHERE starts_with(node, 'P') ORDER BY inflow DESC, node LIMIT 1),
+TRAIL = f"""{EDGES}, t AS (SELECT node FROM n WHERE starts_with(node, 'P') ORDER BY inflow DESC, node LIMIT 1),
     a AS (SELECT src, dst, row_number() OVER (ORDER BY amount DESC, src) AS b FROM e WHERE dst = (SELECT node FROM t)),
-    c AS (SELECT a.b AS b1, row_number() OVER (PARTITION BY a.src ORDER BY e.amount DESC, e.src) AS b2, e.src || '>' || a.src || '>' || a.dst AS chain
-          FROM a JOIN e ON e.dst = a.src WHERE a.b <= 6)
-    SELECT (row_number() OVER (ORDER BY b1, b2))::INT AS chain_no, chain FROM c WHERE b2 <= 6 ORDER BY b1, b2 LIMIT 8""", ("transfers",))
+    c AS (SELECT a.b AS b1, coalesce(row_number() OVER (PARTITION BY a.src ORDER BY e.amount DESC, e.src), 0) AS b2,
+                 CASE WHEN e.src IS NULL THEN [a.src, a.dst] ELSE [e.src, a.src, a.dst] END AS chain
+          FROM a LEFT JOIN e ON e.dst = a.src)"""
+
+
+@query("h06_money_trail", f"""
+    WITH {TRAIL} SELECT (row_number() OVER (ORDER BY b1, b2))::INT AS chain_no, array_to_string(chain, '>') AS chain, false AS cut FROM c""", ("transfers",))
 def _(t: Tables) -> DataFrame:
     trail = graph.money_trail(edges(t), _busiest_target(t))
-    return trail.select("chain_no", F.array_join("chain", ">").alias("chain"))
+    return trail.select("chain_no", F.array_join("chain", ">").alias("chain"), "cut")
 
 
-@query("h06_trail_edges")
+@query("h06_trail_edges", f"""
+    WITH {TRAIL}, touched AS (SELECT DISTINCT unnest(chain) AS node FROM c)
+    SELECT src, dst, w, amount FROM e WHERE src IN (SELECT node FROM touched) OR dst IN (SELECT node FROM touched)""", ("transfers",))
 def _(t: Tables) -> DataFrame:
     e = edges(t)
-    return graph.trail_edges(e, graph.money_trail(e, _busiest_target(t)))
+    return graph.trail_edges(e, graph.money_trail(e, _busiest_target(t))).select("src", "dst", "w", "amount")
+
+
+# Orders in a row, every seventh link left out: chains longer than any fixed number of rounds, and a ring with a tail for each supplier.
+LONG_CHAINS = """
+    long_chains AS (
+        SELECT 'O' || o_orderkey AS src, 'O' || lead(o_orderkey) OVER (ORDER BY o_orderkey) AS dst, o_orderkey FROM orders
+        QUALIFY lead(o_orderkey) OVER (ORDER BY o_orderkey) IS NOT NULL AND o_orderkey % 700 <> 7)"""
+
+
+def long_chains(t: Tables) -> DataFrame:
+    placed = numbered(t.raw("orders").select("o_orderkey"), [], [F.col("o_orderkey")])
+    here = placed.select(F.concat(F.lit("O"), "o_orderkey").alias("src"), "o_orderkey", "position")
+    after = placed.select(F.concat(F.lit("O"), "o_orderkey").alias("dst"), (F.col("position") - 1).alias("position"))
+    linked = here.join(after, "position").where("o_orderkey % 700 <> 7")
+    return linked.select("src", "dst")
+
+
+@query("h03_chain_depth_long", f"""
+    WITH {LONG_CHAINS}, firsts AS (SELECT src, o_orderkey FROM long_chains WHERE src NOT IN (SELECT dst FROM long_chains)),
+    placed AS (SELECT dst AS node, o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS p FROM long_chains),
+    heads AS (SELECT o_orderkey AS first, p AS begins FROM placed WHERE o_orderkey IN (SELECT o_orderkey FROM firsts))
+    SELECT node, (p - begins + 1)::INT AS depth FROM placed ASOF JOIN heads ON placed.o_orderkey >= heads.first
+    UNION ALL SELECT src, 0 FROM firsts""")
+def _(t: Tables) -> DataFrame:
+    return graph.chain_depth(long_chains(t).withColumn("w", F.lit(1)))
+
+
+@query("h11_connected_components_long", f"""
+    WITH {LONG_CHAINS}, firsts AS (SELECT src AS name, o_orderkey AS first FROM long_chains WHERE src NOT IN (SELECT dst FROM long_chains)),
+    ends AS (SELECT src AS node, o_orderkey FROM long_chains UNION SELECT dst, o_orderkey FROM long_chains),
+    grouped AS (SELECT DISTINCT node, first FROM ends ASOF JOIN firsts ON ends.o_orderkey >= firsts.first)
+    SELECT node, min(node) OVER (PARTITION BY first) AS component FROM grouped""")
+def _(t: Tables) -> DataFrame:
+    return network.connected_components(long_chains(t))
 
 
 SEED = """
-    seed AS (SELECT account_token FROM order_withdrawals WHERE is_fraud_withdrawal GROUP BY 1 ORDER BY count(*) DESC, account_token LIMIT 120)"""
+    seed AS (SELECT account_token FROM order_withdrawals WHERE is_fraud_withdrawal GROUP BY 1)"""
 
 
 @query("h07_network_seed", f"WITH {SEED} SELECT * FROM seed", ("order_withdrawals",))

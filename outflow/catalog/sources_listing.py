@@ -162,9 +162,11 @@ def _(t: Tables) -> DataFrame:
     counts = t.order_complaints.groupBy(
         F.col("victim_district").alias("district"), F.to_date("filing_timestamp").alias("date")
     ).agg(F.count("*").alias("complaint_count"))
-    files.export_tables({"dropzone": counts}, folder, "csv")
+    # Half of the files have their columns in another order.
+    odd = F.dayofmonth("date") % 2 == 1
+    files.export_tables({"dropzone/odd": counts.where(odd), "dropzone/even": counts.where(~odd).select("complaint_count", "date", "district")}, folder, "csv")
     return files.read_dropzone_csv(
-        t.spark, f"{folder}/dropzone", {"district": "string", "date": "date", "complaint_count": "int"}
+        t.spark, f"{folder}/dropzone/*", {"district": "string", "date": "date", "complaint_count": "int"}
     )
 
 
@@ -191,9 +193,11 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     folder = stream_folder(t.spark)
     stamp = tables.data_stamp({"withdrawals": (t.withdrawals, "timestamp")}).first()["stamp"]
-    files.cached_matrix(t.spark, stamp, lambda: t.scores, folder)
-    # The second call finds the stamp and reads the written matrix.
-    return files.cached_matrix(t.spark, stamp, lambda: t.scores, folder).select("atm_id", "day", "score", "label")
+    current = t.scores.select("atm_id", "day", F.col("label").alias("current"))
+    fresh = lambda matrix: matrix.join(current, ["atm_id", "day"]).withColumn("label", F.col("current"))
+    files.cached_matrix(t.spark, stamp, lambda: t.scores.withColumn("label", 1 - F.col("label")), folder, fresh)
+    # The second call finds the stamp and reads the written matrix, whose labels are out of date.
+    return files.cached_matrix(t.spark, stamp, lambda: t.scores, folder, fresh).select("atm_id", "day", "score", "label")
 
 
 # ---------------------------------------------------------------- listings
@@ -206,12 +210,12 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     return complaint_out(
         listing.list_complaints(
-            t.complaints, city="NATION_3", from_=datetime(2024, 1, 5), to=datetime(2024, 1, 25), offset=5
+            t.complaints, city="NATION_3", from_=datetime(2024, 1, 5), to=datetime(2024, 1, 25), limit=100, offset=5
         )
     )
 
 
-@query("b02_list_atms", "SELECT atm_id, city, bank_name FROM atms WHERE bank_name = 'BANK_2' ORDER BY atm_id LIMIT 1000", ("atms",))
+@query("b02_list_atms", "SELECT atm_id, city, bank_name FROM atms WHERE bank_name = 'BANK_2' ORDER BY atm_id", ("atms",))
 def _(t: Tables) -> DataFrame:
     return listing.list_atms(t.atms, bank="BANK_2").select("atm_id", "city", "bank_name")
 
@@ -219,21 +223,21 @@ def _(t: Tables) -> DataFrame:
 @query("b03_list_withdrawals_bank", f"""
     SELECT {WITHDRAWAL_OUT} FROM withdrawals
     WHERE is_fraud_withdrawal AND atm_id IN (SELECT atm_id FROM atms WHERE bank_name = 'BANK_2')
-    ORDER BY withdrawals.timestamp DESC, transaction_id LIMIT 200""", ("withdrawals", "atms"))
+    ORDER BY withdrawals.timestamp DESC, transaction_id""", ("withdrawals", "atms"))
 def _(t: Tables) -> DataFrame:
     return withdrawal_out(listing.list_withdrawals(t.withdrawals, t.atms, fraud=True, role=BANK, scope="BANK_2"))
 
 
 @query("b04_recent_withdrawals", f"""
     SELECT {WITHDRAWAL_OUT} FROM withdrawals WHERE atm_id = 'A3' AND timestamp >= TIMESTAMP '2024-01-14'
-    ORDER BY withdrawals.timestamp DESC, transaction_id LIMIT 1000""", ("withdrawals",))
+    ORDER BY withdrawals.timestamp DESC, transaction_id""", ("withdrawals",))
 def _(t: Tables) -> DataFrame:
     return withdrawal_out(listing.recent_withdrawals(t.withdrawals, "A3", SINCE))
 
 
 @query("b05_list_alerts", f"""
     SELECT {ALERT_OUT} FROM alerts WHERE status = 'new' AND state = 'ASIA'
-    ORDER BY alerts.created_at DESC, alert_id LIMIT 100""", ("alerts",))
+    ORDER BY alerts.created_at DESC, alert_id""", ("alerts",))
 def _(t: Tables) -> DataFrame:
     return alert_out(listing.list_alerts(t.alerts, status="new", role=STATE, scope="ASIA"))
 
@@ -245,7 +249,7 @@ def _(t: Tables) -> DataFrame:
     return alert_out(listing.get_alert(t.alerts, first))
 
 
-@query("b07_list_accounts", "SELECT account_token, home_bank FROM accounts WHERE home_bank = 'BANK_1' ORDER BY account_token LIMIT 500", ("accounts",))
+@query("b07_list_accounts", "SELECT account_token, home_bank FROM accounts WHERE home_bank = 'BANK_1' ORDER BY account_token", ("accounts",))
 def _(t: Tables) -> DataFrame:
     return listing.list_accounts(t.accounts, role=BANK, scope="BANK_1").select("account_token", "home_bank")
 
@@ -258,7 +262,7 @@ def _(t: Tables) -> DataFrame:
 @query("b08_list_handoffs", f"""
     SELECT handoff_id, origin_state, receiving_state, status, {ts('created_at')} AS created_at FROM handoffs
     WHERE lower(origin_state) LIKE '%asia%' OR lower(receiving_state) LIKE '%asia%'
-    ORDER BY handoffs.created_at DESC, handoff_id LIMIT 200""", ("handoffs",))
+    ORDER BY handoffs.created_at DESC, handoff_id""", ("handoffs",))
 def _(t: Tables) -> DataFrame:
     return listing.list_handoffs(t.handoffs, None, STATE, "Asia").select(
         "handoff_id", "origin_state", "receiving_state", "status", "created_at"
@@ -267,14 +271,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("b09_list_recovery", f"""
     SELECT rec_id, {ts('created_at')} AS created_at, amount_at_risk, status FROM recovery WHERE home_bank = 'BANK_3'
-    ORDER BY recovery.created_at DESC, rec_id LIMIT 500""", ("recovery",))
+    ORDER BY recovery.created_at DESC, rec_id""", ("recovery",))
 def _(t: Tables) -> DataFrame:
     return listing.list_recovery(t.recovery, bank="BANK_3").select("rec_id", "created_at", "amount_at_risk", "status")
 
 
 @query("b10_list_outcomes", f"""
     SELECT alert_id, {ts('evaluated_at')} AS evaluated_at, actual_fraud_happened FROM outcomes
-    ORDER BY outcomes.evaluated_at DESC, alert_id LIMIT 500""", ("outcomes",))
+    ORDER BY outcomes.evaluated_at DESC, alert_id""", ("outcomes",))
 def _(t: Tables) -> DataFrame:
     return listing.list_outcomes(t.outcomes).select("alert_id", "evaluated_at", "actual_fraud_happened")
 

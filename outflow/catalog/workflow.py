@@ -166,11 +166,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("i09_mirror_routing", f"""
-    WITH {ACKED} SELECT a.alert_id, CASE WHEN k.alert_id IS NULL THEN NULL WHEN k.status = 'complete' THEN 'handoff_complete'
+    WITH {ACKED} SELECT a.alert_id, CASE WHEN k.alert_id IS NULL THEN CASE WHEN tier = 'dispatch' THEN 'intra' ELSE 'none' END WHEN k.status = 'complete' THEN 'handoff_complete'
            WHEN k.status = 'ack' THEN 'handoff_ack' ELSE 'handoff' END AS routing_status
     FROM alerts a LEFT JOIN acked k ON a.alert_id = k.alert_id""", ("handoffs", "alerts"))
 def _(t: Tables) -> DataFrame:
-    return al.mirror_routing(t.alerts, al.ack_handoffs(t.handoffs, _acks(t))).select("alert_id", "routing_status")
+    alerts = t.alerts.withColumn("routing_status", F.when(F.col("tier") == "dispatch", "intra"))
+    return al.mirror_routing(alerts, al.ack_handoffs(t.handoffs, _acks(t))).select("alert_id", "routing_status")
 
 
 @query("i10_fund_block", f"""

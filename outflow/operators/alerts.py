@@ -157,10 +157,13 @@ def ack_handoffs(handoffs: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def mirror_routing(alerts: DataFrame, handoffs: DataFrame) -> DataFrame:
-    """Alerts with the routing status of their hand-off."""
+    """Alerts with the routing status of their newest hand-off; those without one keep theirs, or none."""
     mirrored = F.when(F.col("status") == "complete", "handoff_complete").when(F.col("status") == "ack", "handoff_ack").otherwise("handoff")
-    marks = handoffs.select("alert_id", mirrored.alias("routing_status"))
-    return alerts.drop("routing_status").join(marks, "alert_id", "left")
+    newest = F.struct("created_at", "handoff_id") if "created_at" in handoffs.columns else F.col("handoff_id")
+    marks = handoffs.groupBy("alert_id").agg(F.max_by(mirrored, newest).alias("_mirrored"))
+    own = F.col("routing_status") if "routing_status" in alerts.columns else F.lit(None)
+    joined = alerts.join(marks, "alert_id", "left").withColumn("routing_status", F.coalesce("_mirrored", own, F.lit("none")))
+    return joined.drop("_mirrored")
 
 
 def fund_block(alerts: DataFrame, withdrawals: DataFrame, complaints: DataFrame, accounts: DataFrame, as_of: datetime,

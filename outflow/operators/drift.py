@@ -96,6 +96,7 @@ def append_history(report: DataFrame, path: str) -> None:
     report.write.mode("append").parquet(path)
 
 
-def drift_history(spark: SparkSession, path: str, order: str, keep: int = 200) -> DataFrame:
-    """The newest reports of the history."""
-    return spark.read.parquet(path).orderBy(F.col(order).desc()).limit(keep)
+def drift_history(spark: SparkSession, path: str, order: str, keep: int | None = None) -> DataFrame:
+    """The reports of the history, newest first; the ``keep`` newest if asked for."""
+    reports = spark.read.parquet(path).orderBy(F.col(order).desc())
+    return reports if keep is None else reports.limit(keep)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
+from outflow.functions.ordering import numbered
 from outflow.operators.aggregates import exact_sum
 from outflow.operators.listing import at
 from outflow.operators.metrics import top_rows
@@ -104,28 +105,133 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_
     return ranks.select("node", (F.col("rank") / ranks.agg(F.max("rank")).scalar()).alias("page_rank"))
 
 
-def chain_depth(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, depth) from weighted edges: longest path from any source, 0 where no source reaches; capped where cycles would go on.
+def chain_depth(edges: DataFrame) -> DataFrame:
+    """(node, depth) from weighted edges: longest path from any source, 0 where no source reaches.
 
-    Each round moves only the nodes whose depth has just grown.
+    Nodes on a common cycle count as one, at the depth at which the longest path enters it. There is no limit of depth:
+    runs of nodes with one way in and one way out are shortened by jumps, and the rest is peeled off by in-degree; what
+    is left then lies on cycles or behind them, so the cycles are contracted and the peeling starts anew.
     """
-    pairs = edges.select("src", "dst").persist(StorageLevel.MEMORY_AND_DISK)
-    sources = pairs.select("src").distinct().join(pairs.select(F.col("dst").alias("src")).distinct(), "src", "left_anti")
-    depth = durable(sources.select(F.col("src").alias("node"), F.lit(0).alias("depth"), F.lit(True).alias("grew")))
-    for _ in range(max_depth):
-        grown = depth.where("grew").select(F.col("node").alias("src"), "depth")
-        reached = pairs.join(grown, "src").groupBy(F.col("dst").alias("node")).agg((F.max("depth") + 1).alias("new"))
-        merged = depth.select("node", "depth").join(reached, "node", "full")
-        grew = F.col("new").isNotNull() & (F.col("depth").isNull() | (F.col("new") > F.col("depth")))
-        depth = durable(
-            merged.select("node", F.greatest("depth", "new").alias("depth"), grew.alias("grew"))
-        )
-        if depth.where("grew").isEmpty():
+    pairs = durable(edges.select("src", "dst").where("src <> dst").distinct())
+    ids = durable(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    # A source has no way in, not even from itself.
+    entered = edges.select(F.col("dst").alias("node")).distinct()
+    roots = durable(ids.join(entered, "node", "left_anti"))
+    found, left = _peel(pairs, ids, roots)
+    if not left.isEmpty():
+        inner = pairs.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
+        groups = cycle_groups(inner.select("src", "dst"))
+        named = durable(ids.join(groups, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle")))
+        ends = lambda c: named.select(F.col("node").alias(c), F.col("cycle").alias(f"{c}_cycle"))
+        contracted = pairs.join(ends("src"), "src").join(ends("dst"), "dst").where("src_cycle <> dst_cycle")
+        contracted = durable(contracted.select(F.col("src_cycle").alias("src"), F.col("dst_cycle").alias("dst")).distinct())
+        found, _ = _peel(contracted, durable(named.select(F.col("cycle").alias("node")).distinct()), roots)
+        found = named.join(found.withColumnRenamed("node", "cycle"), "cycle").select("node", "depth")
+    return ids.join(found, "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
+
+
+def _peel(pairs: DataFrame, ids: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Depths of the nodes that no cycle leads to (null where no root does), and the nodes left over."""
+    ways_in = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
+    ways_out = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
+    degrees = durable(ids.join(ways_in, "node", "left").join(ways_out, "node", "left").na.fill(0, ["n_in", "n_out"]))
+    # Nodes in a run jump to the node that the run hangs on; a run that is a ring never gets there.
+    run = durable(degrees.where("n_in = 1 AND n_out = 1").select("node", F.col("before").alias("head"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("open")))
+    reach = 0
+    while True:
+        ahead = run.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+        run = durable(run.join(ahead, "head", "left").select(
+            "node", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")
+        ))
+        still = run.where("open").count()
+        # After as many doublings as the longest possible run has, only rings are open.
+        reach += 1
+        if still == 0 or 2**reach > run.count():
             break
-    ids = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
-    result = durable(ids.join(depth.select("node", "depth"), "node", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth")))
-    pairs.unpersist()
-    return result
+    inside = run.where("NOT open").select("node", "head", "steps")
+    hooks = run.select("node")
+    plain = degrees.join(hooks, "node", "left_anti")
+    ends = pairs.join(plain.select(F.col("node").alias("dst")), "dst", "left_semi")
+    links = ends.join(inside.select(F.col("node").alias("src"), "head", "steps"), "src", "left")
+    links = links.join(run.where("open").select(F.col("node").alias("src")), "src", "left_anti")
+    links = durable(links.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+
+    waiting = durable(plain.select("node", F.col("n_in").alias("missing"), F.lit(None).cast("bigint").alias("depth")))
+    start = waiting.where("missing = 0").join(roots.withColumn("root", F.lit(True)), "node", "left")
+    ready = durable(start.select("node", F.when(F.col("root"), F.lit(0).cast("bigint")).alias("depth")))
+    waiting = waiting.where("missing > 0")
+    done = [ready]
+    while not ready.isEmpty():
+        sent = links.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
+            F.count("*").alias("came"), F.max(F.col("depth") + F.col("steps")).alias("offer")
+        )
+        waiting = durable(waiting.join(sent, "node", "left").select(
+            "node", (F.col("missing") - F.coalesce("came", F.lit(0))).alias("missing"), F.greatest("depth", "offer").alias("depth")
+        ))
+        ready = waiting.where("missing = 0").select("node", "depth")
+        waiting = waiting.where("missing > 0")
+        done.append(ready)
+    heads = done[0]
+    for more in done[1:]:
+        heads = heads.unionByName(more)
+    heads = durable(heads)
+    on_run = inside.join(heads.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+    found = durable(heads.unionByName(on_run))
+    return found, ids.join(found.select("node"), "node", "left_anti")
+
+
+def cycle_groups(pairs: DataFrame) -> DataFrame:
+    """(node, cycle): for every node of the pairs the smallest node that it can reach and that can reach it.
+
+    Each pass drops the nodes without a way in or out, which are on no cycle; colours the rest by the largest node that reaches them; and
+    settles, for each colour, what reaches its own name back.
+    """
+    alone = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().select("node", F.col("node").alias("cycle"))
+    edges, settled = durable(pairs), []
+    while not edges.isEmpty():
+        both = edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
+        trimmed = _within(edges, both)
+        size = edges.count()
+        edges = durable(trimmed)
+        if edges.count() < size:
+            continue
+        colours = _spread(edges, edges.select(F.col("src").alias("node")).distinct().select("node", F.col("node").alias("colour")))
+        tint = lambda c: colours.select(F.col("node").alias(c), F.col("colour").alias(f"{c}_colour"))
+        same = durable(edges.join(tint("src"), "src").join(tint("dst"), "dst").where("src_colour = dst_colour"))
+        # Back from the node that named the colour.
+        reached = durable(colours.where("node = colour"))
+        fresh = reached
+        while not fresh.isEmpty():
+            back = same.join(fresh.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), F.col("src_colour").alias("colour"))
+            fresh = durable(back.distinct().join(reached.select("node"), "node", "left_anti"))
+            reached = durable(reached.unionByName(fresh))
+        settled.append(reached)
+        rest = colours.join(reached.select("node"), "node", "left_anti").select("node")
+        edges = durable(_within(edges, rest))
+    if not settled:
+        return alone
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    names = found.groupBy("colour").agg(F.min("node").alias("cycle"))
+    named = found.join(names, "colour").select("node", F.col("cycle").alias("name"))
+    return durable(alone.join(named, "node", "left").select("node", F.coalesce("name", "cycle").alias("cycle")))
+
+
+def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    kept = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return kept.select("src", "dst")
+
+
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
+    """The largest colour that reaches each node along the edges."""
+    colours = durable(colours)
+    fresh = colours
+    while not fresh.isEmpty():
+        sent = edges.join(fresh.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("offer"))
+        moved = durable(colours.join(sent, "node", "left").select("node", F.greatest("colour", "offer").alias("colour"), (F.col("offer") > F.col("colour")).alias("rose")))
+        colours, fresh = moved.select("node", "colour"), moved.where("rose").select("node", "colour")
+    return colours
 
 
 def terminal_risk(edges: DataFrame, ranks: DataFrame | None = None, depths: DataFrame | None = None) -> DataFrame:
@@ -160,44 +266,48 @@ def top_terminal(risk: DataFrame, k: int = 50, min_in_degree: int = 1, visible:
     return rows.orderBy(F.col("terminal_risk").desc(), "account_token").limit(k)
 
 
-def money_trail(edges: DataFrame, account: str, branches: int = 6, hops: int = 9, chains: int = 8) -> DataFrame:
-    """(chain_no, chain): the first chains of senders that lead to an account, source first.
+def money_trail(edges: DataFrame, account: str, branches: int | None = None, hops: int | None = None, chains: int | None = None) -> DataFrame:
+    """(chain_no, chain, cut): the chains of senders that lead to an account, source first.
 
-    Senders are followed by falling amount, at most ``branches`` per account. Chains are wanted in depth-first
-    order, which is the order of their branch numbers; any open chain yields at least one full chain in its
-    place, so after each step the first ``chains`` of them are enough and no other can be among the result.
+    Senders are followed by falling amount; an account that is already on the chain is not entered again. All chains are returned unless a
+    display asks for less: at most ``branches`` senders per account, ``hops`` steps, ``chains`` chains in depth-first order. ``cut`` marks a
+    chain that ended at the limit of steps.
     """
     spark = edges.sparkSession
-    paths = spark.range(1).select(
+    paths = durable(spark.range(1).select(
         F.array().cast("array<int>").alias("key"), F.array(F.lit(account)).alias("path"), F.lit(False).alias("done")
-    )
-    for _ in range(hops):
+    ))
+    step = 0
+    while hops is None or step < hops:
+        step += 1
         open_ = paths.where(~F.col("done"))
-        # At most ``chains`` rows.
-        into = edges.select("src", "dst", "amount").join(F.broadcast(open_.select("key", "path")), F.col("dst") == F.element_at("path", -1))
+        tips = open_.select("key", "path", F.element_at("path", -1).alias("dst"))
+        into = edges.select("src", "dst", "amount").join(tips, "dst").where(~F.array_contains("path", F.col("src")))
+        # The senders of one account: a chain has a group of its own.
         order = Window.partitionBy("key").orderBy(F.col("amount").desc(), "src")
-        followed = into.withColumn("b", F.row_number().over(order)).where(F.col("b") <= branches)
+        followed = into.withColumn("b", F.row_number().over(order))
+        if branches is not None:
+            followed = followed.where(F.col("b") <= branches)
         longer = followed.select(
             F.concat("key", F.array("b")).alias("key"), F.concat("path", F.array("src")).alias("path"), F.lit(False).alias("done")
         )
         ended = open_.join(into.select("key").distinct(), "key", "left_anti").withColumn("done", F.lit(True))
-        step = paths.where("done").unionByName(longer).unionByName(ended)
-        paths = durable(step.orderBy("key").limit(chains))
+        grown = paths.where("done").unionByName(longer).unionByName(ended)
+        # Any open chain yields a full one in its place, so the first ``chains`` are enough.
+        paths = durable(grown.orderBy("key").limit(chains) if chains is not None else grown)
         if paths.where(~F.col("done")).isEmpty():
             break
-    # At most ``chains`` rows.
-    return paths.select(
-        F.row_number().over(Window.orderBy("key")).alias("chain_no"), F.reverse("path").alias("chain")
-    )
+    placed = numbered(paths, [], [F.col("key")], "chain_no")
+    return placed.select(F.col("chain_no").cast("int").alias("chain_no"), F.reverse("path").alias("chain"), (~F.col("done")).alias("cut"))
 
 
-def trail_edges(edges: DataFrame, trail: DataFrame, limit: int = 60) -> DataFrame:
-    """Transfers touching the accounts of a trail, largest first."""
+def trail_edges(edges: DataFrame, trail: DataFrame, limit: int | None = None) -> DataFrame:
+    """Transfers touching the accounts of a trail, largest first; all of them unless a display asks for less."""
     nodes = trail.select(F.explode("chain").alias("node")).distinct()
-    touching = edges.join(F.broadcast(nodes.select(F.col("node").alias("src"))), "src", "left_semi").unionByName(
-        edges.join(F.broadcast(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi").select(edges.columns)
-    ).distinct()
-    return touching.orderBy(F.col("amount").desc(), "src", "dst").limit(limit)
+    touching = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(edges.columns).unionByName(
+        edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(edges.columns)
+    ).distinct().orderBy(F.col("amount").desc(), "src", "dst")
+    return touching if limit is None else touching.limit(limit)
 
 
 def fraud_cashout_accounts(withdrawals: DataFrame, split: datetime, days: int = 5) -> DataFrame:

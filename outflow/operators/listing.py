@@ -40,7 +40,7 @@ def between(df: DataFrame, column: str, from_: datetime | None, to: datetime | N
 def list_complaints(
     df: DataFrame, city: str | None = None, district: str | None = None, state: str | None = None,
     type: str | None = None, status: str | None = None, from_: datetime | None = None, to: datetime | None = None,
-    limit: int | None = 100, offset: int = 0, role: str = ADMIN, scope: str = "",
+    limit: int | None = None, offset: int = 0, role: str = ADMIN, scope: str = "",
 ) -> DataFrame:
     rows = equal_to(
         df, victim_city=city, victim_district=district, victim_state=state, complaint_type=type, status=status
@@ -50,7 +50,7 @@ def list_complaints(
 
 
 def list_atms(
-    df: DataFrame, city: str | None = None, bank: str | None = None, limit: int | None = 1000, offset: int = 0,
+    df: DataFrame, city: str | None = None, bank: str | None = None, limit: int | None = None, offset: int = 0,
     role: str = ADMIN, scope: str = "",
 ) -> DataFrame:
     rows = apply_scope(equal_to(df, city=city, bank_name=bank), "atms", role, scope)
@@ -59,7 +59,7 @@ def list_atms(
 
 def list_withdrawals(
     df: DataFrame, atms: DataFrame, atm_id: str | None = None, account: str | None = None, fraud: bool | None = None,
-    from_: datetime | None = None, to: datetime | None = None, limit: int | None = 200, offset: int = 0,
+    from_: datetime | None = None, to: datetime | None = None, limit: int | None = None, offset: int = 0,
     role: str = ADMIN, scope: str = "",
 ) -> DataFrame:
     rows = equal_to(df, atm_id=atm_id, account_token=account, is_fraud_withdrawal=fraud)
@@ -69,14 +69,14 @@ def list_withdrawals(
     return page(rows, [F.col("timestamp").desc(), F.col("transaction_id")], limit, offset)
 
 
-def recent_withdrawals(df: DataFrame, atm_id: str, since: datetime, limit: int | None = 1000) -> DataFrame:
+def recent_withdrawals(df: DataFrame, atm_id: str, since: datetime, limit: int | None = None) -> DataFrame:
     rows = between(equal_to(df, atm_id=atm_id), "timestamp", since, None)
     return page(rows, [F.col("timestamp").desc(), F.col("transaction_id")], limit)
 
 
 def list_alerts(
     df: DataFrame, status: str | None = None, atm_id: str | None = None, city: str | None = None,
-    limit: int | None = 100, offset: int = 0, role: str = ADMIN, scope: str = "",
+    limit: int | None = None, offset: int = 0, role: str = ADMIN, scope: str = "",
 ) -> DataFrame:
     rows = apply_scope(equal_to(df, status=status, atm_id=atm_id, city=city), "alerts", role, scope)
     return page(rows, [F.col("created_at").desc(), F.col("alert_id")], limit, offset)
@@ -90,7 +90,7 @@ def get_atm(df: DataFrame, atm_id: str, role: str = ADMIN, scope: str = "") -> D
     return apply_scope(equal_to(df, atm_id=atm_id), "atms", role, scope)
 
 
-def list_accounts(df: DataFrame, limit: int | None = 500, role: str = ADMIN, scope: str = "") -> DataFrame:
+def list_accounts(df: DataFrame, limit: int | None = None, role: str = ADMIN, scope: str = "") -> DataFrame:
     return page(apply_scope(df, "accounts", role, scope), [F.col("account_token")], limit)
 
 
@@ -98,17 +98,17 @@ def accounts_in_scope(df: DataFrame, role: str = ADMIN, scope: str = "") -> Data
     return apply_scope(df, "accounts", role, scope).select("account_token").distinct()
 
 
-def list_handoffs(df: DataFrame, status: str | None, role: str, scope: str, limit: int | None = 200) -> DataFrame:
+def list_handoffs(df: DataFrame, status: str | None, role: str, scope: str, limit: int | None = None) -> DataFrame:
     rows = scope_handoffs(equal_to(df, status=status), role, scope)
     return page(rows, [F.col("created_at").desc(), F.col("handoff_id")], limit)
 
 
-def list_recovery(df: DataFrame, since: datetime | None = None, bank: str | None = None, limit: int = 500) -> DataFrame:
+def list_recovery(df: DataFrame, since: datetime | None = None, bank: str | None = None, limit: int | None = None) -> DataFrame:
     rows = between(equal_to(df, home_bank=bank), "created_at", since, None)
     return page(rows, [F.col("created_at").desc(), F.col("rec_id")], limit)
 
 
-def list_outcomes(df: DataFrame, limit: int = 500) -> DataFrame:
+def list_outcomes(df: DataFrame, limit: int | None = None) -> DataFrame:
     return page(df, [F.col("evaluated_at").desc(), F.col("alert_id")], limit)
 
 

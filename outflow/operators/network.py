@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outflow.session import durable
 
 
-def network_seed(withdrawals: DataFrame, atm_id: str | None = None, k: int = 120) -> DataFrame:
-    """Accounts seen at a machine, or the k accounts with most fraud withdrawals."""
+def network_seed(withdrawals: DataFrame, atm_id: str | None = None, k: int | None = None) -> DataFrame:
+    """Accounts seen at a machine, or all accounts with fraud withdrawals (the k with most, if asked for)."""
     if atm_id is not None:
         return withdrawals.where(F.col("atm_id") == atm_id).select("account_token").distinct()
     fraud = withdrawals.where("is_fraud_withdrawal").groupBy("account_token").agg(F.count("*").alias("n"))
-    return fraud.orderBy(F.col("n").desc(), "account_token").limit(k).select("account_token")
+    return (fraud if k is None else fraud.orderBy(F.col("n").desc(), "account_token").limit(k)).select("account_token")
 
 
 def network_expand(seed: DataFrame, complaints: DataFrame, rounds: int = 2, include_phone: bool = True) -> DataFrame:
@@ -72,31 +71,37 @@ def neighbours(edges: DataFrame) -> DataFrame:
     return both.where(F.col("node") != F.col("other")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): the component is named by its smallest node id.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so long chains
-    shorten by jumps. One count per round is fetched; labels are written down every round.
+    Alternating star contractions: the neighbours of a node move to the smallest of its neighbourhood, first those
+    above the node, then those below it, until nothing moves. A long path takes about the logarithm of its length in rounds, of
+    which each fetches two numbers. There is no limit of rounds.
     """
-    near = neighbours(edges).persist(StorageLevel.MEMORY_AND_DISK)
     ends = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    labels = durable(ends.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
-        offered = near.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(
-            F.min("component").alias("offer")
-        )
-        lower = labels.join(offered, "node", "left").select("node", "component", F.least("component", "offer").alias("next"))
-        # Follow each label to its own label.
-        own = lower.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        moved = lower.join(own, "next", "left").select(
-            "node", F.least("next", F.coalesce("jump", "next")).alias("component"), F.col("component").alias("old")
-        )
-        moved = durable(moved)
-        labels = moved.select("node", "component")
-        if moved.where(F.col("component") != F.col("old")).isEmpty():
+    links = durable(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
+    mark = None
+    while True:
+        links = durable(_contract(_contract(links, True), False))
+        now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        if now == mark:
             break
-    near.unpersist()
-    return labels
+        mark = now
+    named = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return ends.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _contract(links: DataFrame, above: bool) -> DataFrame:
+    """Links (a, b) from nodes to the smallest node of a neighbourhood; ``above``: of the nodes above its centre, else of the others."""
+    if above:
+        sides = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        sides = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = sides.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    moved = sides.join(least, "a").where("b > a" if above else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    if not above:
+        moved = moved.union(least.select("a", F.col("m").alias("b")))
+    return moved.where("a <> b").distinct()
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -106,22 +111,29 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return near.groupBy("node").agg((F.count("*") / F.greatest(n - 1, F.lit(1))).alias("degree_centrality"))
 
 
-def betweenness(edges: DataFrame, max_nodes: int = 400) -> DataFrame:
+def betweenness(edges: DataFrame, batch_nodes: int = 400) -> DataFrame:
     """(node, betweenness): normalised shortest-path betweenness, unweighted.
 
-    All sources advance together, level by level; path counts go forward, dependencies come back. The state has
-    a row per (source, node), so graphs above ``max_nodes`` are refused.
+    The sources of a batch advance together, level by level; path counts go forward, dependencies come back. The state
+    has a row per (source, node) of one batch of about ``batch_nodes`` sources; the batches' sums are added up. The work is that of
+    a breadth-first search from every node.
     """
     near = durable(neighbours(edges))
-    n = near.select("node").distinct().count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes exceed the limit of {max_nodes} for betweenness")
+    ids = durable(near.select("node").distinct())
+    n = ids.count()
+    batches = max(1, -(-n // batch_nodes))
+    total = None
+    for batch in range(batches):
+        part = _dependencies(near, ids.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == batch))
+        total = part if total is None else durable(total.unionByName(part).groupBy("node").agg(F.sum("delta").alias("delta")))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+    return ids.join(total, "node", "left").select("node", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _dependencies(near: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, delta): the sources' dependencies on every other node they reach, added up."""
     level = 0
-    seen = durable(
-        near.select("node").distinct().select(
-            F.col("node").alias("source"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths")
-        )
-    )
+    seen = durable(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("level"), F.lit(1.0).alias("paths")))
     while True:
         at_level = seen.where(F.col("level") == level)
         stepped = at_level.join(near, "node").groupBy("source", F.col("other").alias("node")).agg(F.sum("paths").alias("paths"))
@@ -144,9 +156,7 @@ def betweenness(edges: DataFrame, max_nodes: int = 400) -> DataFrame:
             )
         )
         collected = collected.unionByName(dependency)
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    inner = collected.where(F.col("source") != F.col("node"))
-    return inner.groupBy("node").agg((F.sum("delta") * scale).alias("betweenness"))
+    return durable(collected.where(F.col("source") != F.col("node")).groupBy("node").agg(F.sum("delta").alias("delta")))
 
 
 def cluster_risk(components: DataFrame, shares: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -13,16 +13,32 @@ PENDING = "PENDING_REAL_DATA"
 
 
 def read_dropzone_csv(spark: SparkSession, path: str, required: dict[str, str]) -> DataFrame:
-    """Union of the CSV files of a folder; one status row while files or required columns are missing."""
+    """Union by column name of the CSV files of a folder; one status row while files or required columns are missing.
+
+    Files are read in groups of equal header lines, as a reader takes one header for all its files. A column that only
+    some files have is null in the others; a value that does not fit its type becomes null.
+    """
     pending = lambda note: spark.range(1).select(F.lit(PENDING).alias("status"), F.lit(note).alias("note"))
     try:
-        raw = spark.read.option("header", True).csv(path)
+        lines = spark.read.format("text").load(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     except AnalysisException:
         return pending("no files")
-    missing = sorted(set(required) - set(raw.columns))
+    # One row per distinct header, with its files.
+    firsts = lines.where("start = 0").groupBy("file").agg(F.first("value", ignorenulls=True).alias("header"))
+    headers = firsts.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    if not headers:
+        return pending("no files")
+    parts = [spark.read.option("header", True).csv(row["files"]) for row in headers]
+    missing = sorted(set(required) - {c for part in parts for c in part.columns})
     if missing:
         return pending("missing columns: " + ", ".join(missing))
-    return raw.select([F.col(name).cast(kind).alias(name) for name, kind in required.items()])
+    out = None
+    for part in parts:
+        typed = part.select([
+            (F.col(f"`{name}`").try_cast(kind) if name in part.columns else F.lit(None).cast(kind)).alias(name) for name, kind in required.items()
+        ])
+        out = typed if out is None else out.unionByName(typed)
+    return out
 
 
 def read_category_counts_json(spark: SparkSession, path: str) -> DataFrame:
@@ -72,14 +88,21 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select([_finite(field) for field in df.schema.fields])
 
 
-def cached_matrix(spark: SparkSession, stamp: str, builder: Callable[[], DataFrame], path: str) -> DataFrame:
-    """Reuse the matrix written under this stamp, else build and write it."""
+def cached_matrix(
+    spark: SparkSession, stamp: str, builder: Callable[[], DataFrame], path: str, labels: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """Reuse the matrix written under this stamp, else build and write it.
+
+    A folder without its success mark is the rest of a broken write and is built anew. ``labels`` is applied to what was
+    read, so that labels that have changed since are recomputed.
+    """
     target = f"{path}/stamp={stamp}"
     try:
-        return spark.read.parquet(target)
+        spark.read.format("binaryFile").load(f"{target}/_SUCCESS").select("path").first()
     except AnalysisException:
         builder().write.mode("overwrite").parquet(target)
-        return spark.read.parquet(target)
+    matrix = spark.read.parquet(target)
+    return labels(matrix) if labels else matrix
 
 
 def check_contract(df: DataFrame, required: list[str], enums: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:

@@ -6,7 +6,6 @@ are dropped from state, as Spark does; there is no other late-data rule.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -95,7 +94,7 @@ def stream_folder(spark: SparkSession) -> str:
     """A new folder for one run under the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     shared = spark.sparkContext.getCheckpointDir()
-    return f"{shared or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    return f"{shared}/stream-{uuid.uuid4().hex}"
 
 
 def drained(df: DataFrame) -> DataFrame:

@@ -27,8 +27,9 @@ def test_dropzone_reports_what_is_missing(spark, tmp_path):
     (tmp_path / "a.csv").write_text("district,other\nx,1\n")
     assert files.read_dropzone_csv(spark, str(tmp_path), need).first().note == "missing columns: complaint_count"
     (tmp_path / "a.csv").write_text("district,complaint_count\nx,1\n")
-    (tmp_path / "b.csv").write_text("district,complaint_count\ny,2\n")
-    assert sorted(map(tuple, files.read_dropzone_csv(spark, str(tmp_path), need).collect())) == [("x", 1), ("y", 2)]
+    (tmp_path / "b.csv").write_text("complaint_count,other,district\n2,5,y\n,5,z\nbad,5,u\n")
+    got = {r.district: r.complaint_count for r in files.read_dropzone_csv(spark, str(tmp_path), need).collect()}
+    assert got == {"x": 1, "y": 2, "z": None, "u": None}
 
 
 def test_category_counts_from_both_shapes(spark, tmp_path):
@@ -51,6 +52,11 @@ def test_sample_export_and_stamp_cache(spark, tmp_path):
     for stamp in ("a", "a", "b"):
         assert files.cached_matrix(spark, stamp, make, str(tmp_path / "c")).count() == 10
     assert len(built) == 2
+    doubled = files.cached_matrix(spark, "a", make, str(tmp_path / "c"), lambda m: m.withColumn("v", F.col("v") * 2))
+    assert doubled.agg(F.max("v")).first()[0] == 18.0
+    # Without its success mark the folder is what a broken write left.
+    (tmp_path / "c/stamp=a/_SUCCESS").unlink()
+    assert files.cached_matrix(spark, "a", make, str(tmp_path / "c")).count() == 10 and len(built) == 3
 
 
 def test_json_safe(spark):
@@ -181,7 +187,9 @@ def test_routing_is_cross_state_and_idempotent(spark):
     acks = spark.createDataFrame([("HO-cross", "me", at(2), False)], "handoff_id string, actor string, acked_at timestamp_ntz, complete boolean")
     done = al.ack_handoffs(first, acks)
     assert done.first().status == "ack"
-    assert {r.alert_id: r.routing_status for r in al.mirror_routing(alerts, done).collect()} == {"intra": None, "cross": "handoff_ack"}
+    assert {r.alert_id: r.routing_status for r in al.mirror_routing(alerts, done).collect()} == {"intra": "none", "cross": "handoff_ack"}
+    told = alerts.withColumn("routing_status", F.lit("intra"))
+    assert {r.alert_id: r.routing_status for r in al.mirror_routing(told, done.unionByName(done)).collect()} == {"intra": "intra", "cross": "handoff_ack"}
 
 
 def test_decisions_need_reasons(spark):
@@ -258,8 +266,21 @@ def test_depth_on_dag_and_cycle(spark):
     assert {r.node: r.depth for r in graph.chain_depth(money(spark, DAG)).collect()} == {
         "a": 0, "p": 0, "b": 1, "x": 1, "y": 1, "q": 1, "c": 2, "z": 2, "d": 3
     }
-    capped = {r.node: r.depth for r in graph.chain_depth(money(spark, CYCLE), 6).collect()}
-    assert capped["s"] == 0 and capped["m"] == capped["n"] == 0 and max(capped.values()) == 6
+    # A ring counts as one node; what no source reaches is 0.
+    ringed = {r.node: r.depth for r in graph.chain_depth(money(spark, [*CYCLE, ("w", "t1"), ("t1", "t2"), ("n", "o"), ("k", "k")])).collect()}
+    assert ringed == {"s": 0, "u": 1, "v": 1, "w": 1, "t1": 2, "t2": 3, "m": 0, "n": 0, "o": 0, "k": 0}
+
+
+def test_depth_of_a_long_chain_with_branches(spark):
+    pairs = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(200)] + [("c100", "side"), ("side", "c199"), ("x", "c150")]
+    got = {r.node: r.depth for r in graph.chain_depth(money(spark, pairs)).collect()}
+    assert got == {**{f"c{i:03d}": i for i in range(201)}, "side": 101, "x": 0}
+
+
+def test_cycle_groups(spark):
+    pairs = [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("d", "e"), ("e", "f"), ("f", "g"), ("g", "e"), ("z", "a")]
+    got = {r.node: r.cycle for r in graph.cycle_groups(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e", "f": "e", "g": "e", "z": "z"}
 
 
 def test_terminal_risk_survives_pure_cycles(spark):
@@ -282,8 +303,9 @@ def test_components_and_betweenness(spark):
     value = {r.node: r.betweenness for r in network.betweenness(star).collect()}
     # Five nodes, six pairs not counting the node itself: the centre lies on five of them, node 3 on three.
     assert value["c"] == pytest.approx(5 / 6) and value["3"] == pytest.approx(3 / 6) and value["1"] == 0
-    with pytest.raises(ValueError):
-        network.betweenness(star, max_nodes=3)
+    assert {r.node: r.betweenness for r in network.betweenness(star, batch_nodes=2).collect()} == pytest.approx(value)
+    long = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(400)], "src string, dst string")
+    assert {r.component for r in network.connected_components(long).collect()} == {"n000"}
 
 
 def test_network_scope_keeps_touching_nodes(spark):
