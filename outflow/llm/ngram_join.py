@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outflow.llm import exchange as X
-from outflow.llm.components import components
 from outflow.llm.words import split, window_starts, windows
+from outflow.operators.network import connected_components
 from outflow.session import durable
 
 BASE = "doc_id bigint, uid bigint, n_shingles bigint, set_id binary, shared bigint, weight double, prefix array<bigint>, segments array<struct<frag:int,tokens:array<bigint>>>"
@@ -135,7 +135,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     pairs = lists.join(centres, "token").where(F.col("set_id") != F.col("a")).where(may_link("n", "left", "na", "la"))
     pairs = durable(pairs.select("a", F.col("set_id").alias("b"), "na", F.col("n").alias("nb")).distinct())
     edges = durable(_linked(pairs, segments, percent))
-    groups = durable(components(edges))
+    groups = durable(connected_components(edges.toDF("src", "dst")))
 
     # Members of a list that are not in its centre's component.
     placed = lists.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
@@ -157,7 +157,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     )
     more = durable(_linked(more, segments, percent))
     if not more.isEmpty():
-        groups = durable(components(edges.union(more)))
+        groups = durable(connected_components(edges.union(more).toDF("src", "dst")))
 
     members = alive.select("set_id", "doc_id").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
     members = members.withColumn("component", F.coalesce("component", "set_id"))

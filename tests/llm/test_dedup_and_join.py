@@ -7,8 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 import outflow.llm.exchange as X
-from outflow.llm import ngram_join
-from outflow.llm.components import components
 from outflow.llm.ngram_join import link_classes
 from outflow.llm.substring_dedup import remove_repeats
 from outflow.llm.words import joined, split
@@ -118,13 +116,6 @@ def test_links_edge_rows(llm):
     assert link_classes(llm.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
-def test_fragments_cut_every_set(documents, texts, llm):
-    assert ngram_join.CUTS_LOG2 > 0
-    pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (200, 200)]
-    got = {r["node"]: r["component"] for r in components(llm.createDataFrame(pairs, "a int, b int")).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
-
-
 def test_hashed_text_matches_query_digest(documents):
     out = remove_repeats(documents(["a  b"])).select(F.sha2("kept_text", 256).alias("h")).first()
     assert out["h"] == hashlib.sha256(b"a b").hexdigest()
