@@ -299,14 +299,14 @@ CHECKS = f"""
 
 @query("j01_log_checks", f"WITH {CHECKS} SELECT * FROM checks", ("audit_log",))
 def _(t: Tables) -> DataFrame:
-    return auditlog.log_checks(t.audit_log, 1000)
+    return auditlog.log_checks(t.audit_log)
 
 
 @query("j01_verify_log", f"""
     WITH {CHECKS} SELECT count(*) FILTER (NOT (hash_ok AND link_ok)) = 0 AS intact, min(index) FILTER (NOT (hash_ok AND link_ok)) AS broken_at_index,
         count(*) AS records FROM checks""", ("audit_log",))
 def _(t: Tables) -> DataFrame:
-    return auditlog.verify_log(t.audit_log, 1000)
+    return auditlog.verify_log(t.audit_log)
 
 
 @query("j02_verify_blocks", """
@@ -318,7 +318,7 @@ def _(t: Tables) -> DataFrame:
     UNION ALL SELECT block_index, 'INVALID_POW' FROM b WHERE before IS NOT NULL AND NOT starts_with(hash, '00')
     UNION ALL SELECT block_index, 'BAD_GENESIS' FROM b WHERE before IS NULL AND (block_index <> 0 OR previous_hash <> repeat('0', 64))""", ("blocks",))
 def _(t: Tables) -> DataFrame:
-    return auditlog.verify_blocks(t.blocks, 2, slice_width=1000)
+    return auditlog.verify_blocks(t.blocks, 2)
 
 
 @query("j03_log_statistics", """

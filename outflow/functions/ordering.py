@@ -64,19 +64,41 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def previous_row(df: DataFrame, order: str, columns: Sequence[str], width: int) -> DataFrame:
-    """lag(column) over the whole table ordered by one integer key.
+def nearest_value(df: DataFrame, by: Sequence[str], order: Sequence[Column], value: str, name: str, forward: bool) -> DataFrame:
+    """Add the last non-null ``value`` at or before each row of the order within ``by`` (``forward``: the first at or after).
 
-    The key is cut into slices of ``width``. Inside a slice it is an ordinary lag; the first row of a slice
-    takes the last row of the nearest earlier slice that has any.
+    The value must rise with the order. No window holds more than one block, however hot a key.
     """
-    sliced = df.withColumn("_slice", F.expr(f"{order} div {width}"))
+    blocks = range_blocks(df, [*[F.col(c) for c in by], *order])
+    edge = F.min if forward else F.max
+    edges = blocks.groupBy(*by, BLOCK).agg(edge(value).alias("_edge"))
+    # At most one row per block and key.
+    over = Window.partitionBy(*by).orderBy(BLOCK)
+    span = over.rowsBetween(1, Window.unboundedFollowing) if forward else over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select(*by, BLOCK, edge("_edge").over(span).alias("_far"))
+    inside = Window.partitionBy(*by, BLOCK).orderBy(*order)
+    span = inside.rowsBetween(0, Window.unboundedFollowing) if forward else inside.rowsBetween(Window.unboundedPreceding, 0)
+    local = blocks.withColumn("_near", edge(value).over(span))
+    same = None
+    for c in [*by, BLOCK]:
+        equal = local[c].eqNullSafe(carried[c])
+        same = equal if same is None else same & equal
+    joined = local.join(carried, same)
+    return joined.select(*[local[c] for c in df.columns], F.coalesce("_near", "_far").alias(name))
+
+
+def previous_row(df: DataFrame, order: str, columns: Sequence[str]) -> DataFrame:
+    """lag(column) over the whole table ordered by one key.
+
+    Inside a block it is an ordinary lag; the first row of a block takes the last row of the nearest earlier block.
+    """
+    blocks = range_blocks(df, [F.col(order)])
     packed = F.struct(F.col(order).alias("_k"), *[F.col(c) for c in columns])
-    tails = sliced.groupBy("_slice").agg(F.max_by(packed, F.col(order)).alias("_tail"))
-    # One row per slice.
-    tails = tails.select("_slice", F.lag("_tail").over(Window.orderBy("_slice")).alias("_tail"))
-    inside = Window.partitionBy("_slice").orderBy(order)
-    with_lag = sliced.withColumn("_before", F.lag(packed).over(inside)).join(tails, "_slice")
+    tails = blocks.groupBy(BLOCK).agg(F.max_by(packed, F.col(order)).alias("_tail"))
+    # One row per block.
+    tails = tails.select(BLOCK, F.lag("_tail").over(Window.orderBy(BLOCK)).alias("_tail"))
+    inside = Window.partitionBy(BLOCK).orderBy(order)
+    with_lag = blocks.withColumn("_before", F.lag(packed).over(inside)).join(tails, BLOCK)
     before = F.coalesce("_before", "_tail")
     return with_lag.select(*df.columns, *[before[c].alias(f"previous_{c}") for c in columns])
 

@@ -1,4 +1,4 @@
-"""Verification and listing of hash-linked logs. The log is sliced by index, never sorted in one task."""
+"""Verification and listing of hash-linked logs. The log lies in range blocks, never sorted in one task."""
 
 from __future__ import annotations
 
@@ -10,31 +10,30 @@ from outflow.operators.listing import page
 from outflow.sources.views import block_hash, log_hash
 
 GENESIS = "0" * 64
-SLICE = 100_000
 
 
-def log_checks(log: DataFrame, slice_width: int = SLICE) -> DataFrame:
+def log_checks(log: DataFrame) -> DataFrame:
     """Every record with two verdicts: its own hash is right, its link to the record before is right."""
-    linked = previous_row(log, "index", ["hash"], slice_width)
+    linked = previous_row(log, "index", ["hash"])
     return linked.select(
         "index", (F.col("hash") == log_hash(F.col("prev_hash"))).alias("hash_ok"),
         (F.col("prev_hash") == F.coalesce("previous_hash", F.lit(GENESIS))).alias("link_ok"),
     )
 
 
-def verify_log(log: DataFrame, slice_width: int = SLICE) -> DataFrame:
+def verify_log(log: DataFrame) -> DataFrame:
     """One row: intact, first broken index, number of records."""
-    checks = log_checks(log, slice_width)
+    checks = log_checks(log)
     broken = F.min(F.when(~(F.col("hash_ok") & F.col("link_ok")), F.col("index")))
     return checks.agg(broken.isNull().alias("intact"), broken.alias("broken_at_index"), F.count("*").alias("records"))
 
 
-def verify_blocks(blocks: DataFrame, difficulty: int = 2, genesis: str = GENESIS, slice_width: int = SLICE) -> DataFrame:
+def verify_blocks(blocks: DataFrame, difficulty: int = 2, genesis: str = GENESIS) -> DataFrame:
     """(block_index, issue) rows; the first block is only checked for being a proper first block."""
     own = blocks.select(
         "block_index", "data", F.col("previous_hash").alias("link"), F.col("hash").alias("stored"), block_hash().alias("computed")
     )
-    linked = previous_row(own, "block_index", ["stored"], slice_width)
+    linked = previous_row(own, "block_index", ["stored"])
     before = F.col("previous_stored")
     issue = lambda condition, name: F.when(condition, F.lit(name))
     first = F.array(issue((F.col("block_index") != 0) | (F.col("link") != genesis), "BAD_GENESIS"))

@@ -10,11 +10,11 @@ import math
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
-from outflow.functions.ordering import running_totals
+from outflow.functions.ordering import nearest_value, running_totals
 from outflow.operators.listing import at, named_accounts
 
 
@@ -28,57 +28,34 @@ def _slice_of(ts: Column, seconds: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / seconds).cast("bigint")
 
 
-def _asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, out: str,
-          slice_seconds: int, forward: bool, strict: bool) -> DataFrame:
-    """Nearest right time per distinct (key, left time), found slice by slice.
+def _asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, out: str, forward: bool, strict: bool) -> DataFrame:
+    """Nearest right time per distinct (key, left time).
 
-    Inside a (key, slice) group a window carries the nearest time; across slices it is carried over one row per
-    slice and key. Only the key and the time travel: both sides are reduced to distinct times first.
+    Only the key and the time travel, and both sides are reduced to distinct times first. The rows are cut into range
+    blocks of like size over (key, time), so that a hot key is many blocks; from block to block one row is carried.
     """
-    slice_ = lambda df, c: df.withColumn("_slice", _slice_of(F.col(c), slice_seconds))
-    want = slice_(left.select(*by, F.col(left_ts).alias("_t")).distinct(), "_t")
-    have = slice_(right.select(*by, F.col(right_ts).alias("_t")).where(F.col("_t").isNotNull()).distinct(), "_t")
-
-    edge = F.min if forward else F.max
-    per_slice = have.groupBy(*by, "_slice").agg(edge("_t").alias("_edge"))
-    slices = want.select(*by, "_slice").distinct().withColumn("_edge", F.lit(None).cast("timestamp_ntz"))
-    axis = per_slice.unionByName(slices).groupBy(*by, "_slice").agg(F.max("_edge").alias("_edge"))
-    over_slices = Window.partitionBy(*by).orderBy("_slice")
-    if forward:
-        carried = F.min("_edge").over(over_slices.rowsBetween(1, Window.unboundedFollowing))
-    else:
-        carried = F.max("_edge").over(over_slices.rowsBetween(Window.unboundedPreceding, -1))
-    carried = axis.select(*by, "_slice", carried.alias("_far"))
-
+    want = left.select(*by, F.col(left_ts).alias("_t")).distinct()
+    have = right.select(*by, F.col(right_ts).alias("_t")).where(F.col("_t").isNotNull()).distinct()
     # On equal times, put the right row where the frame does (or, if strict, does not) reach it.
     right_side = 1 if forward != strict else 0
-    moment = F.lit(None).cast("timestamp_ntz")
-    both = have.select(*by, "_slice", "_t", F.lit(right_side).alias("_side"), F.col("_t").alias("_r")).unionByName(
-        want.select(*by, "_slice", "_t", F.lit(1 - right_side).alias("_side"), moment.alias("_r"))
-    )
-    inside = Window.partitionBy(*by, "_slice").orderBy("_t", "_side")
-    if forward:
-        near_ = F.first("_r", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        near_ = F.last("_r", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    is_left = F.col("_side") == 1 - right_side
-    found = both.withColumn("_near", near_).where(is_left)
-    return found.join(carried, [*by, "_slice"]).select(
-        *by, F.col("_t").alias(left_ts), F.coalesce("_near", "_far").alias(out)
+    both = have.select(*by, "_t", F.lit(right_side).alias("_side"), F.col("_t").alias("_r")).unionByName(
+        want.select(*by, "_t", F.lit(1 - right_side).alias("_side"), F.lit(None).cast("timestamp_ntz").alias("_r"))
     )
+    found = nearest_value(both, by, [F.col("_t"), F.col("_side")], "_r", out, forward)
+    return found.where(F.col("_side") == 1 - right_side).select(*by, F.col("_t").alias(left_ts), out)
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
-                  out: str = "matched_ts", slice_seconds: int = 86400, strict: bool = False) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, out: str = "matched_ts",
+                  strict: bool = False) -> DataFrame:
     """Add the latest right time at or before each left time (before, if strict) of the same key."""
-    matched = _asof(left, right, by, left_ts, right_ts, out, slice_seconds, False, strict)
+    matched = _asof(left, right, by, left_ts, right_ts, out, False, strict)
     return left.join(matched, [*by, left_ts], "left")
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str,
-                 out: str = "matched_ts", slice_seconds: int = 86400, strict: bool = False) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_ts: str, right_ts: str, out: str = "matched_ts",
+                 strict: bool = False) -> DataFrame:
     """Add the earliest right time at or after each left time (after, if strict) of the same key."""
-    matched = _asof(left, right, by, left_ts, right_ts, out, slice_seconds, True, strict)
+    matched = _asof(left, right, by, left_ts, right_ts, out, True, strict)
     return left.join(matched, [*by, left_ts], "left")
 
 
