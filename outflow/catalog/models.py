@@ -14,7 +14,6 @@ from outflow.plans import daily, hourly, model, splits
 from outflow.session import durable
 from outflow.sources.views import Tables
 
-SMALL = {"rounds": 4, "depth": 3}
 SPLIT = date(2024, 1, 22)
 
 
@@ -25,7 +24,7 @@ def split_matrix(t: Tables) -> DataFrame:
 @query("g02_fit_risk_model")
 def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
-    return model.evaluate(model.train(rows, daily.FEATURES, rounds=10), rows)
+    return model.evaluate(model.train(rows, daily.FEATURES), rows)
 
 
 @query("g03_platt")
@@ -40,27 +39,27 @@ def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
     families = [[c for f in ("A_complaint_only", "B_plus_geography") for c in model.FAMILIES[f]], model.FAMILIES["C_plus_financial"]]
     for i, columns in enumerate(families):
-        rows = durable(model.train(rows, columns, **SMALL).score(rows, f"p{i}"))
+        rows = durable(model.train(rows, columns).score(rows, f"p{i}"))
     stacked = model.stack(rows, ["p0", "p1"]).where("split = 'test'")
     return metrics.roc_auc(stacked, score="stacked")
 
 
 @query("g07_two_stage")
 def _(t: Tables) -> DataFrame:
-    scored = model.two_stage(split_matrix(t), daily.FEATURES, **SMALL)
+    scored = model.two_stage(split_matrix(t), daily.FEATURES)
     return scored.select("atm_id", "day", "city_risk", "score")
 
 
 @query("g08_calibrated_model")
 def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
-    return model.calibrated_model(rows, daily.FEATURES, **SMALL).score(rows).select("atm_id", "day", "score")
+    return model.calibrated_model(rows, daily.FEATURES).score(rows).select("atm_id", "day", "score")
 
 
 @query("g09_score_next_day")
 def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
-    fitted = model.train(rows, daily.FEATURES, **SMALL)
+    fitted = model.train(rows, daily.FEATURES)
     # The day after the last data day.
     tomorrow = t.raw("events").agg(F.date_add(F.max(F.to_date("ts")), 1)).first()[0]
     features = daily.atm_day_features(
@@ -71,7 +70,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("g29_ablation")
 def _(t: Tables) -> DataFrame:
-    return model.ablation(split_matrix(t), daily.FEATURES, **SMALL).select("model", "n_features", "roc_auc", "pr_auc", "brier", "precision_at_100")
+    return model.ablation(split_matrix(t), daily.FEATURES).select("model", "n_features", "roc_auc", "pr_auc", "brier", "precision_at_100")
 
 
 @query("g30_holdout_study")
@@ -85,28 +84,28 @@ def _(t: Tables) -> DataFrame:
         "new_hotspot": splits.new_hotspot(rows, t.withdrawals, SPLIT),
     }
     kept = {name: df.where(F.col("role").isNotNull()) for name, df in studies.items()}
-    return model.holdout_study(kept, daily.FEATURES, **SMALL).select("study", "roc_auc", "pr_auc", "brier")
+    return model.holdout_study(kept, daily.FEATURES).select("study", "roc_auc", "pr_auc", "brier")
 
 
 @query("g31_permutation_tests")
 def _(t: Tables) -> DataFrame:
-    return model.permutation_tests(split_matrix(t), daily.FEATURES, **SMALL)
+    return model.permutation_tests(split_matrix(t), daily.FEATURES)
 
 
 @query("g32_cross_validate")
 def _(t: Tables) -> DataFrame:
-    return model.cross_validate(matrix(t), daily.FEATURES, 3, **SMALL)
+    return model.cross_validate(matrix(t), daily.FEATURES)
 
 
 @query("g33_seed_stability")
 def _(t: Tables) -> DataFrame:
-    return model.seed_stability(split_matrix(t), daily.FEATURES, (0, 1), **SMALL)
+    return model.seed_stability(split_matrix(t), daily.FEATURES)
 
 
 @query("g34_counterfactual")
 def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
-    fitted = model.train(rows, daily.FEATURES, **SMALL)
+    fitted = model.train(rows, daily.FEATURES)
     tested = rows.where("split = 'test'")
     one = lambda factor: model.counterfactual(fitted, tested, factor=factor).withColumn("factor", F.lit(factor))
     return one(1.5).unionByName(one(0.5)).unionByName(one(0.0))
@@ -120,7 +119,7 @@ def _(t: Tables) -> DataFrame:
 @query("g45_feature_contributions")
 def _(t: Tables) -> DataFrame:
     rows = split_matrix(t)
-    fitted = model.train(rows, daily.FEATURES, **SMALL)
+    fitted = model.train(rows, daily.FEATURES)
     tested = rows.where("split = 'test'")
     return model.feature_contributions(tested, fitted.importances(t.spark), rows.where("split = 'train'"), ["atm_id", "day"])
 
@@ -132,4 +131,4 @@ def _(t: Tables) -> DataFrame:
     features = hourly.atm_hour_features(
         t.complaints, t.withdrawals, t.atms, t.city_centres, to_hour(first), to_hour(last) + 23
     )
-    return model.hourly_eval(features, hourly.FEATURES, **SMALL)
+    return model.hourly_eval(features, hourly.FEATURES)

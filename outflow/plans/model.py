@@ -210,7 +210,7 @@ def cross_validate(df: DataFrame, features: Sequence[str], folds: int = 5, seed:
     )
 
 
-def seed_stability(df: DataFrame, features: Sequence[str], seeds: Sequence[int] = (0, 1, 2), **knobs) -> DataFrame:
+def seed_stability(df: DataFrame, features: Sequence[str], seeds: Sequence[int] = (0, 1, 2, 3, 4), **knobs) -> DataFrame:
     """One row: smallest, largest, spread and mean AUC over model seeds."""
     runs = {str(s): roc_auc(train(df, features, seed=s, **knobs).score(df.where("split = 'test'")).select("score", "label")) for s in seeds}
     low, high = F.min("roc_auc"), F.max("roc_auc")
