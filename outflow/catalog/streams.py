@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outflow.catalog.registry import money, query, ts
+from outflow.catalog.registry import money, query, r6, ts
 from outflow.sources.views import Tables
 from outflow.streaming import jobs
 
@@ -13,6 +13,12 @@ from outflow.streaming import jobs
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
+# Actions come half an hour after the events and move the watermark.
+ACTED_CLOSED = """(SELECT max(timestamp + CASE WHEN regexp_extract(account_token, '[0-9]+$')::BIGINT % 3 = 0 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END)
+                   - INTERVAL 1 HOUR FROM withdrawals)"""
+SPREAD = "regexp_extract(account_token, '[0-9]+$')::BIGINT"
+
+
 def streams(t: Tables) -> tuple[DataFrame, DataFrame]:
     return jobs.stream_tables(t.spark, t.folder)
 
@@ -65,22 +71,41 @@ def _(t: Tables) -> DataFrame:
     return jobs.drained(jobs.stream_linked(complaints, withdrawals))
 
 
-@query("k07_stream_alerts")
+# The filter runs ahead of the watermark, which so follows the flagged rows.
+# The rule row by row: a flag within six hours of the last alert, and no more than 0.1 above it, is a re-observation.
+@query("k07_stream_alerts", f"""
+    WITH replayed AS (WITH RECURSIVE flags AS (
+        SELECT atm_id, timestamp AS moment, amount / 100000.0 AS risk, row_number() OVER (PARTITION BY atm_id ORDER BY timestamp, amount) AS n
+        FROM withdrawals WHERE amount / 100000.0 >= 0.70
+          AND timestamp <= (SELECT date_trunc('milliseconds', max(timestamp)) - INTERVAL 1 HOUR FROM withdrawals WHERE amount / 100000.0 >= 0.70)),
+    walk AS (
+        SELECT atm_id, n, moment, risk, 'new' AS outcome, NULL::DOUBLE AS delta, moment AS last_at, risk AS last_risk FROM flags WHERE n = 1
+        UNION ALL
+        SELECT f.atm_id, f.n, f.moment, f.risk, CASE WHEN recent AND f.risk - w.last_risk <= 0.1 THEN 'reobserved' ELSE 'new' END,
+               CASE WHEN recent THEN f.risk - w.last_risk END,
+               CASE WHEN recent AND f.risk - w.last_risk <= 0.1 THEN w.last_at ELSE f.moment END,
+               CASE WHEN recent AND f.risk - w.last_risk <= 0.1 THEN w.last_risk ELSE f.risk END
+        FROM walk w JOIN flags f ON f.atm_id = w.atm_id AND f.n = w.n + 1, LATERAL (SELECT f.moment - w.last_at <= INTERVAL 6 HOUR AS recent))
+    SELECT atm_id, {ts('walk.moment')} AS "at", {r6('risk')} AS risk_score, outcome, {r6('delta')} AS risk_delta_vs_last FROM walk)
+    SELECT * FROM replayed""", ("withdrawals",))
 def _(t: Tables) -> DataFrame:
     from outflow.streaming import stateful
 
     # Each withdrawal reports a risk for its machine.
     arriving = streams(t)[1].select("atm_id", F.col("timestamp").cast("timestamp").alias("at"), (F.col("amount") / 100000.0).alias("risk_score"))
-    return jobs.drained(stateful.stream_alerts(arriving))
+    return jobs.drained(stateful.stream_alerts(arriving.withWatermark("at", "1 hour")))
 
 
-@query("k08_stream_escalate")
+@query("k08_stream_escalate", f"""
+    SELECT transaction_id AS alert_id, {ts("withdrawals.timestamp + INTERVAL 2 HOUR")} AS escalated_at,
+           'Auto-escalated after 120 min without acknowledgement' AS decision_reason
+    FROM withdrawals WHERE {SPREAD} % 3 <> 0 AND withdrawals.timestamp + INTERVAL 2 HOUR <= {ACTED_CLOSED}""", ("withdrawals",))
 def _(t: Tables) -> DataFrame:
     from outflow.streaming import stateful
 
     # A withdrawal opens an alert; every third account acts on it within the hour.
     opened = streams(t)[1].select(F.col("transaction_id").alias("alert_id"), F.col("timestamp").cast("timestamp").alias("at"), "account_token")
-    acted = F.when(F.hash("account_token") % 3 == 0, F.array(F.lit("created"), F.lit("action"))).otherwise(F.array(F.lit("created")))
+    acted = F.when(F.expr("cast(regexp_extract(account_token, '[0-9]+$', 0) as bigint) % 3") == 0, F.array(F.lit("created"), F.lit("action"))).otherwise(F.array(F.lit("created")))
     events = opened.select("alert_id", "at", F.explode(acted).alias("kind")).withColumn(
         "at", F.when(F.col("kind") == "action", F.col("at") + F.expr("interval 30 minutes")).otherwise(F.col("at"))
     )

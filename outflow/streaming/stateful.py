@@ -1,7 +1,7 @@
 """Stateful alerting: the duplicate rule per machine and the escalation timer per alert.
 
-The state is one small record per key. Input rows of a key are folded in time order; the processors hold no
-more than the rows of one batch of one key.
+The state is one small record per key, and for alerts the rows that the watermark has not passed. Input is read frame by
+frame; no step joins the frames of a key's batch.
 """
 
 from __future__ import annotations
@@ -21,65 +21,116 @@ ALERT_OUT = "atm_id string, at timestamp, risk_score double, outcome string, ris
 ESCALATION_OUT = "alert_id string, escalated_at timestamp, decision_reason string"
 
 
+def micros(times: pd.Series) -> list[int]:
+    return times.astype("datetime64[us]").astype("int64").tolist()
+
+
 class AlertProcessor(StatefulProcessor):
-    """Remembers each machine's last alert (time, risk); later flags become new alerts or re-observations."""
+    """Remembers each machine's last alert (time, risk); later flags become new alerts or re-observations.
+
+    A row waits until the watermark has passed it, so rows are judged in the order of their times whatever batch they come in.
+    """
 
-    def __init__(self, threshold: float = HIGH, cooldown_hours: float = COOLDOWN_HOURS, rise: float = MATERIAL_RISE):
-        self.threshold, self.cooldown, self.rise = threshold, pd.Timedelta(hours=cooldown_hours), rise
+    def __init__(self, cooldown_hours: float = COOLDOWN_HOURS, rise: float = MATERIAL_RISE):
+        self.cooldown, self.rise = int(cooldown_hours * 3_600_000_000), rise
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, risk double")
+        self.handle = handle
+        self.last = handle.getValueState("last", "at_us long, risk double")
+        self.pending = handle.getListState("pending", "at_us long, risk double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at", "risk_score"])
-        state = self.last.get()
+        first = None
+        for frame in rows:
+            times = micros(frame["at"])
+            if times:
+                self.pending.appendList(list(zip(times, map(float, frame["risk_score"]))))
+                first = min(times) if first is None else min(first, *times)
+        if first is not None:
+            self._wake(first)
+        yield self._out([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted((int(r[0]), float(r[1])) for r in self.pending.get()) if self.pending.exists() else []
+        due = [r for r in waiting if r[0] <= passed]
+        rest = waiting[len(due):]
+        state = self.last.get() if self.last.exists() else None
         out = []
-        for at, risk in zip(batch["at"], batch["risk_score"]):
-            if risk < self.threshold:
-                continue
-            recent = state is not None and at - pd.Timestamp(state[0]) <= self.cooldown
+        for at, risk in due:
+            recent = state is not None and at - state[0] <= self.cooldown
             delta = risk - state[1] if recent else None
             if recent and delta <= self.rise:
                 out.append((key[0], at, risk, "reobserved", delta))
                 continue
             out.append((key[0], at, risk, "new", delta))
-            state = (at.to_pydatetime(), float(risk))
+            state = (at, risk)
+        if due:
             self.last.update(state)
-        yield pd.DataFrame(out, columns=["atm_id", "at", "risk_score", "outcome", "risk_delta_vs_last"]).astype(
-            {"risk_delta_vs_last": "float64", "at": "datetime64[ns]", "risk_score": "float64"}
-        )
+            if rest:
+                self.pending.put(rest)
+                self._wake(rest[0][0])
+            else:
+                self.pending.clear()
+        yield self._out(out)
+
+    def _wake(self, at_us: int) -> None:
+        self.handle.registerTimer(-(-at_us // 1000))
+
+    @staticmethod
+    def _out(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["atm_id", "at", "risk_score", "outcome", "risk_delta_vs_last"])
+        out["at"] = pd.to_datetime(out["at"].astype("int64"), unit="us")
+        return out.astype({"risk_delta_vs_last": "float64", "risk_score": "float64", "atm_id": "object", "outcome": "object"})
 
     def close(self) -> None:
         pass
 
 
 class EscalationProcessor(StatefulProcessor):
-    """Waits for action on an alert; without any it is escalated when its time is up."""
+    """Waits for action on an alert; without any it is escalated when its time is up.
+
+    An action counts from the alert's creation on, in whatever order and batch the two arrive.
+    """
 
     def __init__(self, timeout_minutes: int = 120):
         self.timeout = timeout_minutes
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.created = handle.getValueState("created", "at timestamp, due long")
+        self.known = handle.getValueState("known", "created_us long, acted_us long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("at")
-        for at, kind in zip(batch["at"], batch["kind"]):
-            if kind == "created":
-                due = int(at.timestamp() * 1000) + self.timeout * 60_000
-                self.created.update((at.to_pydatetime(), due))
-                self.handle.registerTimer(due)
-            elif self.created.exists():
-                self.handle.deleteTimer(self.created.get()[1])
-                self.created.clear()
+        created, acted = self.known.get() if self.known.exists() else (None, None)
+        before = created
+        for frame in rows:
+            for at, kind in zip(micros(frame["at"]), frame["kind"]):
+                if kind == "created":
+                    created = at if created is None else min(created, at)
+                else:
+                    acted = at if acted is None else max(acted, at)
+        self.known.update((created, acted))
+        if created is None or created != before:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            # Without a creation the timer only clears the state: by then the creation would be behind the watermark.
+            self.handle.registerTimer(self._due(created if created is not None else acted))
         yield pd.DataFrame({"alert_id": pd.Series(dtype=str), "escalated_at": pd.Series(dtype="datetime64[ns]"), "decision_reason": pd.Series(dtype=str)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.created.clear()
-        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        created, acted = self.known.get() if self.known.exists() else (None, None)
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        late = created is not None and self._due(created) == due
+        open_ = late and not (acted is not None and created <= acted)
+        if late or created is None:
+            self.known.clear()
         reason = f"Auto-escalated after {self.timeout} min without acknowledgement"
-        yield pd.DataFrame({"alert_id": [key[0]], "escalated_at": [at], "decision_reason": [reason]})
+        found = [(key[0], pd.Timestamp(created + self.timeout * 60_000_000, unit="us"), reason)] if open_ else []
+        out = pd.DataFrame(found, columns=["alert_id", "escalated_at", "decision_reason"])
+        yield out.astype({"alert_id": "object", "escalated_at": "datetime64[ns]", "decision_reason": "object"})
+
+    def _due(self, at_us: int) -> int:
+        return -(-at_us // 1000) + self.timeout * 60_000
 
     def close(self) -> None:
         pass
@@ -90,11 +141,11 @@ def use_rocksdb(df: DataFrame) -> None:
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def stream_alerts(scores: DataFrame, **rule) -> DataFrame:
-    """(atm_id, at, risk_score) stream to alert outcomes."""
+def stream_alerts(scores: DataFrame, threshold: float = HIGH, **rule) -> DataFrame:
+    """(atm_id, at, risk_score) stream with a watermark on ``at`` to alert outcomes; rows below the threshold never leave Spark."""
     use_rocksdb(scores)
-    return scores.groupBy("atm_id").transformWithStateInPandas(
-        AlertProcessor(**rule), outputStructType=ALERT_OUT, outputMode="append", timeMode="none"
+    return scores.where(scores["risk_score"] >= threshold).groupBy("atm_id").transformWithStateInPandas(
+        AlertProcessor(**rule), outputStructType=ALERT_OUT, outputMode="append", timeMode="eventTime"
     )
 
 

@@ -53,16 +53,22 @@ def plain_rule(rows):
 def test_alert_state_equals_plain_rule_across_batches(spark, tmp_path):
     rows = [("A", at(0), 0.72), ("A", at(1), 0.80), ("A", at(2), 0.85), ("A", at(7), 0.72), ("A", at(9), 0.72)]
     rows += [("B", at(h), 0.60 + (h * 7 % 40) / 100) for h in range(24)]
-    batches = [[r for r in rows if lo <= (r[1] - T0) / timedelta(hours=1) < lo + 8] for lo in (0, 8, 16)]
-    stream = arrivals(spark, str(tmp_path), batches, "atm_id string, at timestamp, risk_score double")
+    hours = lambda r: (r[1] - T0) / timedelta(hours=1)
+    batches = [[r for r in rows if lo <= hours(r) < lo + 8] for lo in (0, 8, 16)]
+    # Rows of one batch come late, out of order, but ahead of the watermark; the last batch only moves it.
+    late = [r for r in batches[0] if hours(r) in (2, 6)]
+    batches = [[r for r in batches[0] if r not in late], late[::-1] + batches[1][::-1], batches[2], [("Z", at(100), 0.9)]]
+    stream = arrivals(spark, str(tmp_path), batches, "atm_id string, at timestamp, risk_score double").withWatermark("at", "6 hours")
     got = sorted((r.atm_id, r.at, r.outcome) for r in jobs.drained(stateful.stream_alerts(stream)).collect())
     assert got == plain_rule(rows)
 
 
 def test_escalation_needs_two_quiet_hours(spark, tmp_path):
     batches = [
-        [("x", at(0), "created"), ("y", at(0), "created")], [("y", at(1), "action")], [("z", at(9), "created")],
+        # The action on v arrives a batch before its creation; the one on u came before its creation and does not count.
+        [("x", at(0), "created"), ("y", at(0), "created"), ("v", at(1), "action"), ("u", at(0), "action")],
+        [("y", at(1), "action"), ("v", at(0.95), "created"), ("u", at(0.9), "created")], [("z", at(9), "created")],
     ]
     stream = arrivals(spark, str(tmp_path), batches, "alert_id string, at timestamp, kind string")
     out = jobs.drained(stateful.stream_escalate(stream.withWatermark("at", "10 minutes")))
-    assert [(r.alert_id, r.escalated_at) for r in out.collect()] == [("x", at(2))]
+    assert sorted((r.alert_id, r.escalated_at) for r in out.collect()) == [("u", at(2.9)), ("x", at(2))]
