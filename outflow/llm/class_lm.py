@@ -272,7 +272,8 @@ def exchange_classes(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarra
             gain_column = _xlogx(cols + add_column) - _xlogx(cols)
             gain = gain_row.sum(1) + gain_column.sum(1) - gain_row[at, choices] - gain_column[at, choices]
             gain += _xlogx(own + row[choices] + column[choices] + loop) - _xlogx(own)
-            out_sum, in_sum = sub.sum(1), cols.sum(1)
+            # The word's neighbours stay in their classes' sums wherever it goes.
+            out_sum, in_sum = sub.sum(1) + column[choices], cols.sum(1) + row[choices]
             gain -= _xlogx(out_sum + row.sum() + loop) - _xlogx(out_sum) + _xlogx(in_sum + column.sum() + loop) - _xlogx(in_sum)
             best = int(choices[np.argmax(gain)])
             if gain[best - FIRST_WORD] <= gain[old - FIRST_WORD] + 1e-9:

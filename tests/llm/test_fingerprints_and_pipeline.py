@@ -107,7 +107,8 @@ def test_stages_by_brute_force(llm, documents, tmp_path):
     for r in rows[4]:
         taken[r["source"]] += len(brute.WORD.findall(r["text"]))
         assert r["n_chars"] == len(r["text"])
-    assert all(taken[s] == pytest.approx(goal[s], rel=0.1, abs=64) for s in sizes)
+    # Half a block by rounding, and a short last block.
+    assert all(taken[s] == pytest.approx(goal[s], abs=96) for s in sizes)
     assert [(r["doc_id"], r["text"]) for r in rows[5]] == [(r["doc_id"], r["text"]) for r in rows[4]]
     assert all(r["n_ids"] == len(r["ids"]) > 0 for r in rows[5])
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == len(rows[5])
