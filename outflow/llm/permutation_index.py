@@ -57,8 +57,8 @@ def unique(table: pa.Table) -> pa.Table:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = 256, length: int = 24,
-    share: float = 0.15, shard_rows: int = 4096, block_rows: int = 2048,
+    vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = 512, length: int = 64,
+    share: float = 0.2, shard_rows: int = 4096, block_rows: int = 2048,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of every query, itself left out. ``share``: of a shard, ranked exactly."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query"))
