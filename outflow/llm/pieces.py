@@ -17,6 +17,7 @@ columns are passed on unless they clash with a new one. An empty table gives an
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEPT_STRETCHES = 300_000
+KEPT_STRETCHES = 600_000
 #: Below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -38,6 +39,9 @@ class Pieces:
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.scores = {p.replace(MARK, " "): s for p, s in pieces.items()}
         self.byte_ids = byte_ids
+        # Pieces, and None for what only begins one.
+        self.trie: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.scores for i in range(1, len(p))}
+        self.trie.update(self.scores)
         self.longest = max(map(len, self.scores), default=1)
         self.unknown = min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
         long = [p for p in self.scores if len(p) > 1]
@@ -92,6 +96,35 @@ class Pieces:
                     back[0] = base
         yield self._path(base, len(chars), back, ids)
 
+    def short(self, chars: str) -> list[int]:
+        """The same for a stretch that fits into the window: nothing is final before its end."""
+        trie, n, unknown = self.trie, len(chars), self.unknown
+        best, back, piece = [float("-inf")] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0] = 0.0
+        for start in range(n):
+            before = best[start]
+            end = start + 1
+            found = trie.get(chars[start], 0)
+            if not found and before + unknown > best[end]:
+                best[end], back[end], piece[end] = before + unknown, start, -1
+            # Longer and longer, as long as a piece begins so.
+            while found != 0:
+                if found is not None and before + found[1] > best[end]:
+                    best[end], back[end], piece[end] = before + found[1], start, found[0]
+                end += 1
+                if end > n:
+                    break
+                found = trie.get(chars[start:end], 0)
+        out = []
+        while n:
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out.extend(self.byte_ids[b] for b in reversed(chars[n - 1].encode()))
+            n = back[n]
+        out.reverse()
+        return out
+
     @staticmethod
     def _path(base: int, end: int, back: list[int], ids: list[list[int]]) -> list[int]:
         runs = []
@@ -111,7 +144,8 @@ class Pieces:
             if ids is None:
                 if len(known) >= KEPT_STRETCHES:
                     known.clear()
-                ids = known[s] = np.array([i for run in self.stream(s) for i in run], np.int32).tobytes()
+                found = self.short(s) if len(s) < 2 * self.longest else [i for run in self.stream(s) for i in run]
+                ids = known[s] = array("i", found).tobytes()
             out.append(ids)
         return b"".join(out)
 
