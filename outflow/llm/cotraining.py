@@ -10,7 +10,7 @@ characters and kinds of characters, word length and immediate repetition; of the
 the logarithm of the length.
 
 Fitting takes at most ``labelled`` labelled and ``pool`` unlabelled documents, chosen by the hash of their ids; both
-bounds are parameters. Only their features (about two kilobytes a document) come to the driver.
+bounds are parameters. Their features (about two kilobytes a document) meet in one task, and the model comes to the driver.
 
 Defined cases: null text counts as empty, null language, source and length are values of their own; labels of null are left out, of several labels of a
 document the lowest counts; with no label every score is 1, with labels of one kind only it is their smoothed share; rows with one id are
@@ -19,6 +19,7 @@ scored separately. The input's columns are kept, but those named as a new one ar
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,13 +88,13 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 200) -> Logistic:
-        mean, scale = x.mean(0), x.std(0)
+        mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64)
         scale = np.where(scale > 1e-9, scale, 1.0)
-        z = (x - mean) / scale
+        z = ((x - mean) / scale).astype(np.float32)
         share = (y.sum() + 1) / (len(y) + 2)
         w, b, vw, vb = np.zeros(z.shape[1]), float(np.log(share / (1 - share))), 0.0, 0.0
         # Nesterov's gradient method; the step is the inverse of a bound of the curvature.
-        u = np.ones(z.shape[1]) / np.sqrt(z.shape[1])
+        u = np.full(z.shape[1], 1 / np.sqrt(z.shape[1]), np.float32)
         for _ in range(12):
             u = z.T @ (z @ u)
             u /= max(np.linalg.norm(u), 1e-12)
@@ -101,8 +102,8 @@ class Logistic:
         rate = 1.0 / (0.25 * (top + 1) + ridge)
         for _ in range(steps):
             aw, ab = w + 0.9 * vw, b + 0.9 * vb
-            error = 1 / (1 + np.exp(-np.clip(z @ aw + ab, -30, 30))) - y
-            nw, nb = aw - rate * (z.T @ error / len(z) + ridge * aw), ab - rate * error.mean()
+            error = 1 / (1 + np.exp(-np.clip(z @ aw.astype(np.float32) + ab, -30, 30))) - y
+            nw, nb = aw - rate * (z.T @ error.astype(np.float32) / len(z) + ridge * aw), ab - rate * error.mean()
             vw, vb, w, b = nw - w, nb - b, nw, nb
         return cls(mean, scale, w, b)
 
@@ -207,12 +208,16 @@ def fit(
                     ["turn", "y", "x", "m"],
                 )
 
-    rows = sample.withColumn("turn", F.xxhash64(F.lit(1), "id")).mapInArrow(features, "turn bigint, y double, x binary, m binary").toPandas()
-    rows = rows.sort_values("turn", kind="stable")
-    if not len(rows):
-        return co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0))
-    unpack = lambda blobs: np.stack([np.frombuffer(b, np.float32) for b in blobs]).astype(np.float64)
-    return co_train(unpack(rows["x"]), unpack(rows["m"]), rows["y"].to_numpy(np.float64), rounds)
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by("turn")
+        y = table.column("y").cast(pa.float64()).fill_null(np.nan).to_numpy()
+        x, m = (np.stack([np.frombuffer(b.as_py(), np.float32) for b in table.column(c)]) for c in ("x", "m"))
+        return pa.table({"model": pa.array([pickle.dumps(co_train(x, m, y, rounds))], pa.binary())})
+
+    rows = sample.withColumn("turn", F.xxhash64(F.lit(1), "id")).mapInArrow(features, "turn bigint, y double, x binary, m binary")
+    # One group of at most labelled + pool rows; the driver gets the model.
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(fitted, "model binary").first()
+    return pickle.loads(found["model"]) if found else co_train(np.zeros((0, 1)), np.zeros((0, 1)), np.zeros(0), rounds)
 
 
 def classify(
