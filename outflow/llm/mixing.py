@@ -24,7 +24,7 @@ from outflow.functions.ordering import numbered
 from outflow.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
-GRID = 48
+GRID = 16
 
 
 def apportion(items: DataFrame, key: str, unit: str, weight: str, seats: str) -> DataFrame:
@@ -89,11 +89,12 @@ def mix(
     sources = sized.groupBy("s").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     places = numbered(sources, [], [F.col("s")])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("position") - 1) % len(weights) + 1).cast("int"))
-    sources = durable(places.withColumn("weight", weight))
+    # A column of its own, not a literal, so that joins on it are joins on a key.
+    sources = durable(places.withColumn("weight", weight).withColumn("all", F.lit(0)))
     level = _level(sources, share, most)
     sources = sources.withColumn("target", F.least(most * F.col("source_size"), F.lit(level) * F.col("weight")))
     whole = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
-    shared = apportion(sources.withColumn("all", F.lit(0)).withColumn("seats", F.lit(round(whole / block))), "all", "s", "target", "seats")
+    shared = apportion(sources.withColumn("seats", F.lit(round(whole / block))), "all", "s", "target", "seats")
     sources = durable(
         sources.join(shared.select("s", "quota"), "s").withColumn(
             "shards", F.greatest(F.lit(1), F.ceil((F.col("source_size") + 32 * F.col("n_docs")) / shard_words)).cast("bigint")
@@ -104,11 +105,12 @@ def mix(
     lengths = lengths.join(sources.select("s", "source_size", "target", "quota"), "s")
     quotas = apportion(lengths, "s", "shard", "words", "quota").withColumnRenamed("quota", "seats")
     plan = lengths.join(quotas, ["s", "shard"]).withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint"))
-    plan = plan.withColumn("seats", F.least("seats", (most * F.col("blocks")).cast("bigint")))
-    plan = plan.select(
-        "s", "shard", "source_size", "target", F.expr("CASE WHEN blocks > 0 THEN seats div blocks ELSE 0 END").cast("bigint").alias("passes"),
-        F.expr("CASE WHEN blocks > 0 THEN seats % blocks ELSE 0 END").cast("bigint").alias("picks"),
-    )
+    # The quota in words: whole passes first, then the number of blocks that comes nearest to the rest, as the last block is short.
+    plan = plan.withColumn("quota_words", F.least(F.col("seats") * block, F.floor(most * F.col("words"))).cast("bigint"))
+    plan = plan.withColumn("passes", F.expr("CASE WHEN words > 0 THEN quota_words div words ELSE 0 END").cast("bigint"))
+    rest = F.col("quota_words") - F.col("passes") * F.col("words")
+    picks = F.when(F.col("words") > 0, F.round(rest * F.col("blocks") / F.col("words"))).otherwise(0)
+    plan = plan.select("s", "shard", "source_size", "target", "passes", picks.cast("bigint").alias("picks"))
     # A shard's rows meet in one group of bounded size: about shard_words words, at 32 for a document at least.
     by_shard = Window.partitionBy("s", "shard")
     order = by_shard.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size", "uid").rowsBetween(Window.unboundedPreceding, 0)
