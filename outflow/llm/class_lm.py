@@ -1,17 +1,20 @@
 """Perplexity under a class-based bigram model (operator 9).
 
-Method: Brown classes. The frequent words are put into classes by exchange clustering: each word in turn moves to the
-class that raises the likelihood of the class bigrams most, until a sweep moves none. Every other word belongs to a
-class of words of like frequency, words unseen in training to one of their own, and the text's end to another. A
-word's probability is P(class | class before) * P(word | class).
+Method: Brown classes. Every word seen twice or more in training belongs to one of them. The most frequent words are put into
+classes by exchange clustering: each word in turn moves to the class that raises the likelihood of the class bigrams most,
+until a sweep moves none. With these classes the exchange goes on in batches over all words: each word's neighbours are
+counted by class and it moves to the class that fits them best, half of the placed words a round, as long as the likelihood rises.
+Words seen once are a class of their own, so are words unseen in training, and the text's end. A word's probability
+is P(class | class before) * P(word | class).
 
-For the rare classes the transitions are counted as if the token at hand had not been seen: a word seen once counts
-as unseen, one seen twice as seen once, and so on. That gives unseen words the share they have in new text.
+For the transitions the words are counted as if the token at hand had not been seen: a word seen once counts
+as unseen, one seen twice as seen once. That gives unseen words the share they have in new text.
 
 Counts cover all training documents: groups of documents send their distinct words with counts to the shards that own the key ranges
-and get the totals back (see exchange.py). Words are told apart by a 64-bit hash. The driver holds the frequent words
-and their bigram table only: a word is frequent from ``share`` of the estimated tokens on, so their number does not
-grow with the input.
+and get the totals back (see exchange.py); in a round of the exchange they send the words' neighbours by class and get the words' new
+classes back. Words are told apart by a 64-bit hash. The driver holds the most frequent words (from ``share`` of the estimated tokens
+on) with their bigram table, where the exchange starts, and the bigram table of the classes; neither grows with the input. No word's class
+depends on that share: all others are placed in the shards.
 
 Defined cases: a null or empty text is the end token alone; a null id is held out; rows with one id are scored
 separately; with no training document every probability is that of an unseen word. Extra columns are ignored. An empty
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +33,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outflow.llm import exchange as X
-from outflow.llm.words import split
+from outflow.llm.words import mix, split
 from outflow.session import durable
 
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_log double, score double"
 CODED = (
     "grp int, doc_id array<bigint>, held_out array<boolean>, n_tokens array<bigint>, n_known array<bigint>, base_log array<double>,"
-    " rare_log array<double>, codes binary, frequent array<bigint>, frequent_counts array<bigint>, types bigint, tokens bigint, mass array<bigint>"
+    " codes binary, counts binary, places binary, cuts array<int>, frequent array<bigint>, frequent_counts array<bigint>, types bigint, tokens bigint"
 )
 CODED_TYPES = [
-    pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()),
-    pa.list_(pa.float64()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+    pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.binary(),
+    pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(),
 ]
 CODED_NAMES = " ".join(x.split()[0] for x in CODED.split(", "))
 BANDS = 40
-# Codes of a token: twice its band, plus one where the count is a power of two; unseen; then the group's frequent words.
-UNSEEN_CODE = 2 * BANDS
-# States of the model: end, unseen, bands, frequent words.
+# Words seen so often have a class.
+PLACED = 2
+# Rows of a round's lists that hold the class bigrams as they are, and as if the token at hand had not been seen.
+AS_SEEN, AS_UNSEEN = -1, -2
+# States: end, unseen, bands (by count; after the exchange only the first, for words seen once), then frequent words or classes.
 END, UNSEEN, FIRST_BAND = 0, 1, 2
 FIRST_WORD = FIRST_BAND + BANDS
 
@@ -56,7 +61,8 @@ def bands(counts: np.ndarray) -> np.ndarray:
 
 
 def score_texts(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = 32, share: float = 1 / 2000, sweeps: int = 20
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: int = 32, share: float = 1 / 2000, sweeps: int = 20,
+    least_gain: float = 1e-3,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), see the query's contract."""
     narrow = docs.select(
@@ -95,17 +101,16 @@ def score_texts(
         return X.to_table(rows, X.LIST_NAMES, X.LIST_TYPES)
 
     def totalled(table: pa.Table) -> pa.Table:
-        """Each group's answer, and one row (group -1) about the shard's words."""
+        """Each group's answer: its words' totals and their places among the shard's placed words; one row (group -1) about the shard."""
         keys = [np.frombuffer(b, np.uint64) for b in table.column("low").to_pylist()]
         counts = [np.frombuffer(zlib.decompress(b), np.uint32) for b in table.column("counts").to_pylist()]
         types, which = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(types), np.int64)
         np.add.at(totals, which, np.concatenate(counts).astype(np.int64))
-        answers = [zlib.compress(part.tobytes(), 1) for part in np.split(totals[which], np.cumsum([len(k) for k in keys])[:-1])]
+        both = np.stack([totals, np.cumsum(totals >= PLACED) - 1])[:, which]
+        answers = [zlib.compress(part.tobytes(), 1) for part in np.split(both, np.cumsum([len(k) for k in keys])[:-1], axis=1)]
         seen = totals[totals > 0]
-        rare = seen[seen < frequent_from]
-        mass = np.bincount(bands(rare), weights=rare, minlength=BANDS).astype(np.int64)
-        about = np.concatenate([[len(seen), seen.sum()], mass]).astype(np.int64).tobytes()
+        about = np.array([len(seen), seen.sum()], np.int64).tobytes()
         shard = table.column("shard")[0].as_py()
         rows = [(g, shard, a) for g, a in zip(table.column("grp").to_pylist(), answers)] + [(-1, shard, about)]
         return X.to_table(rows, "grp shard answer", [pa.int32(), pa.int32(), pa.binary()])
@@ -114,16 +119,14 @@ def score_texts(
         grp, blobs = key[0].as_py(), answers.column("answer").to_pylist()
         if grp < 0:
             about = np.sum([np.frombuffer(b, np.int64) for b in blobs], axis=0)
-            row = (-1, *[None] * 9, int(about[0]), int(about[1]), about[2:].tolist())
+            row = (-1, *[None] * 11, int(about[0]), int(about[1]))
             return X.to_table([row], CODED_NAMES, CODED_TYPES)
         table, words, types, which, held = read(table)
         by_shard = dict(zip(answers.column("shard").to_pylist(), blobs))
-        parts = [np.frombuffer(zlib.decompress(by_shard[s]), np.int64) for s in sorted(by_shard)]
-        counts = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        often = counts >= frequent_from
-        code = np.where(counts > 0, 2 * bands(counts) + (counts & (counts - 1) == 0), UNSEEN_CODE)
-        code[often] = UNSEEN_CODE + 1 + np.arange(int(often.sum()))
-        rare_log = np.where((counts > 0) & ~often, np.log10(np.maximum(counts, 1)), 0.0)
+        parts = [np.frombuffer(zlib.decompress(by_shard[s]), np.int64).reshape(2, -1) for s in sorted(by_shard)]
+        counts, places = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
+        often, placed = counts >= frequent_from, np.flatnonzero(counts >= PLACED)
+        cuts = np.searchsorted(placed, owners(types))
 
         def per_doc(values: np.ndarray) -> np.ndarray:
             sums = np.concatenate([[0], np.cumsum(values[which])])[words.first]
@@ -132,8 +135,9 @@ def score_texts(
         n = np.diff(words.first)
         row = (
             grp, table.column("doc_id").to_pylist(), held.tolist(), (n + 1).tolist(), per_doc((counts > 0).astype(np.int64)).tolist(),
-            per_doc(np.log10(counts + 0.1)).tolist(), per_doc(rare_log).tolist(), zlib.compress(code[which].astype(np.uint16).tobytes(), 1),
-            types[often].view(np.int64).tolist(), counts[often].tolist(), None, None, None,
+            per_doc(np.log10(counts + 0.1)).tolist(), zlib.compress(which.astype(np.uint32).tobytes(), 1), zlib.compress(counts.tobytes(), 1),
+            zlib.compress(np.diff(places[placed], prepend=0).astype(np.int32).tobytes(), 1), cuts.tolist(),
+            types[often].view(np.int64).tolist(), counts[often].tolist(), None, None,
         )
         return X.to_table([row], CODED_NAMES, CODED_TYPES)
 
@@ -150,25 +154,29 @@ def score_texts(
     frequent = corpus.where("grp >= 0").select(F.explode(F.arrays_zip("frequent", "frequent_counts")).alias("f")).distinct().toPandas()
     pairs = sorted((int(np.uint64(x[0] & (1 << 64) - 1)), x[1]) for x in frequent["f"]) if len(frequent) else []
     vocabulary = np.array([p[0] for p in pairs], np.uint64)
-    word_counts = np.array([p[1] for p in pairs], np.int64)
     states = FIRST_WORD + len(pairs)
 
-    def expanded(row: dict, as_unseen: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The group's token states with an end before each document and after the last; where the documents begin."""
-        codes = np.frombuffer(zlib.decompress(row["codes"]), np.uint16).astype(np.int64)
-        local = FIRST_WORD + np.searchsorted(vocabulary, np.array(row["frequent"], np.int64).view(np.uint64))
-        small = np.arange(UNSEEN_CODE)
-        band = FIRST_BAND + small // 2 - (small % 2 if as_unseen else 0)
-        band[band < FIRST_BAND] = UNSEEN
-        state = np.concatenate([band, [UNSEEN], local]).astype(np.int64)[codes]
+    def by_count(counts: np.ndarray, as_unseen: bool) -> np.ndarray:
+        """States of words by their counts alone."""
+        band = FIRST_BAND + bands(counts) - (as_unseen & (counts & (counts - 1) == 0))
+        return np.where((counts > 0) & (band >= FIRST_BAND), band, UNSEEN)
+
+    def expanded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' counts; the token's words, with a place past the last for an end before each document and after the last one;
+        where the documents begin; which bigrams are in training."""
+        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
         n = np.array(row["n_tokens"], np.int64)
         begin = np.cumsum(n) - n
-        out = np.full(int(n.sum()) + 1, END, np.int64)
+        out = np.full(int(n.sum()) + 1, len(counts), np.int64)
         word_at = np.ones(len(out), bool)
         word_at[begin] = False
         word_at[-1] = False
-        out[word_at] = state
-        return out, begin
+        out[word_at] = np.frombuffer(zlib.decompress(row["codes"]), np.uint32)
+        return counts, out, begin, np.repeat(~np.array(row["held_out"], bool), n)
+
+    def frequent_at(row: dict, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the group's frequent words are among its words and in the vocabulary."""
+        return np.flatnonzero(counts >= frequent_from), np.searchsorted(vocabulary, np.array(row["frequent"], np.int64).view(np.uint64))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -177,44 +185,159 @@ def score_texts(
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            out, begin = expanded(row, True)
-            train = np.repeat(~np.array(row["held_out"], bool), np.array(row["n_tokens"], np.int64))
+            counts, out, _, train = expanded(row)
+            state = np.append(by_count(counts, True), END)
+            at, place = frequent_at(row, counts)
+            state[at] = FIRST_WORD + place
+            out = state[out]
             cell = (out[:-1] * states + out[1:])[train]
             cells = sparse(*np.unique(cell, return_counts=True))
             yield pa.RecordBatch.from_arrays([pa.array([row["grp"]], pa.int32()), pa.array([cells], pa.binary())], ["grp", "cells"])
 
-    def summed(table: pa.Table) -> pa.Table:
-        total = np.zeros(states * states, np.int64)
-        for blob in table.column("cells").to_pylist():
-            cells, counts = dense(blob)
-            total[cells] += counts
-        cells = np.flatnonzero(total)
-        return pa.table({"grp": pa.array([0], pa.int32()), "cells": pa.array([sparse(cells, total[cells])], pa.binary())})
+    def summed(width: int) -> Callable[[pa.Table], pa.Table]:
+        def merge(table: pa.Table) -> pa.Table:
+            total = np.zeros(width * width, np.int64)
+            for blob in table.column("cells").to_pylist():
+                cells, counts = dense(blob)
+                total[cells] += counts
+            cells = np.flatnonzero(total)
+            return pa.table({"grp": pa.array([0], pa.int32()), "cells": pa.array([sparse(cells, total[cells])], pa.binary())})
+
+        return merge
 
     step = max(1, math.isqrt(groups))
-    table = corpus.where("grp >= 0").select("grp", "held_out", "n_tokens", "codes", "frequent").mapInArrow(bigrams, "grp int, cells binary")
-    table = table.withColumn("part", F.col("grp") % step).groupBy("part").applyInArrow(summed, "grp int, cells binary")
-    table = table.groupBy("grp").applyInArrow(summed, "grp int, cells binary").first()
-    seen = np.zeros(states * states, np.int64)
-    if table:
-        cells, counts = dense(table["cells"])
-        seen[cells] = counts
-    class_of = exchange_classes(seen.reshape(states, states), classes, sweeps)
-    transition, emission = model(seen.reshape(states, states), class_of, word_counts, np.array(about["mass"] if about else [0] * BANDS, np.int64))
-    n_classes = len(transition)
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def whole_table(parts: DataFrame, width: int) -> np.ndarray:
+        """The groups' bigram tables (grp, cells) added up in two steps."""
+        table = parts.withColumn("part", F.col("grp") % step).groupBy("part").applyInArrow(summed(width), "grp int, cells binary")
+        table = table.groupBy("grp").applyInArrow(summed(width), "grp int, cells binary").first()
+        seen = np.zeros(width * width, np.int64)
+        if table:
+            cells, counts = dense(table["cells"])
+            seen[cells] = counts
+        return seen.reshape(width, width)
+
+    documents = corpus.where("grp >= 0")
+    parts = documents.select("grp", "held_out", "n_tokens", "codes", "counts", "frequent").mapInArrow(bigrams, "grp int, cells binary")
+    start = exchange_classes(whole_table(parts, states), classes, sweeps)[FIRST_WORD:].astype(np.uint16)
+    width = FIRST_WORD + classes
+
+    def first_classes(row: dict, counts: np.ndarray) -> np.ndarray:
+        """The states of the group's placed words before the first round: of frequent ones their class, of others their band."""
+        first = by_count(counts, False).astype(np.uint16)
+        if len(start) < classes:
+            # Too few frequent words to tell classes apart: the others are dealt round.
+            places = np.cumsum(np.frombuffer(zlib.decompress(row["places"]), np.int32), dtype=np.int64)
+            first[counts >= PLACED] = FIRST_WORD + places % classes
+        at, place = frequent_at(row, counts)
+        first[at] = start[place]
+        return first[counts >= PLACED]
+
+    def neighbours(row: dict, placed: np.ndarray | None) -> pa.Table:
+        """For each shard the group's placed words, their classes and how often a class stands after or before each; the class bigrams."""
+        counts, out, _, train = expanded(row)
+        placed = first_classes(row, counts) if placed is None else placed
+        is_placed = counts >= PLACED
+        state, unseen = np.append(by_count(counts, False), END), np.append(by_count(counts, True), END)
+        state[:-1][is_placed] = placed
+        unseen[:-1][counts > PLACED] = state[:-1][counts > PLACED]
+        number = np.full(len(counts) + 1, -1, np.int64)
+        number[:-1][is_placed] = np.arange(int(is_placed.sum()))
+        before, after = out[:-1][train], out[1:][train]
+        cells = np.concatenate([(number[before] * 2) * width + state[after], (number[after] * 2 + 1) * width + state[before]])
+        cells, n = np.unique(cells[np.concatenate([number[before], number[after]]) >= 0], return_counts=True)
+        places = np.cumsum(np.frombuffer(zlib.decompress(row["places"]), np.int32), dtype=np.int64)
+        rows = []
+        for shard, (a, b) in enumerate(zip(row["cuts"][:-1], row["cuts"][1:])):
+            if b > a:
+                own = slice(*np.searchsorted(cells, [a * 2 * width, b * 2 * width]))
+                # At least one word of a shard begins its places anew.
+                low = zlib.compress(np.diff(places[a:b], prepend=0).astype(np.int32).tobytes(), 1)
+                high = zlib.compress(placed[a:b].tobytes(), 1)
+                gaps = np.diff(cells[own] - a * 2 * width, prepend=0)
+                rows.append((shard, row["grp"], b - a, low, high, zlib.compress(np.concatenate([gaps, n[own]]).astype(np.uint32).tobytes(), 1)))
+        for kind, of in ((AS_SEEN, state), (AS_UNSEEN, unseen)):
+            rows.append((kind, row["grp"], 0, sparse(*np.unique(of[before] * width + of[after], return_counts=True)), b"", b""))
+        return X.to_table(rows, X.LIST_NAMES, X.LIST_TYPES)
+
+    def first_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
-            out, begin = expanded(row, False)
-            of = class_of[out]
-            logs = transition.reshape(-1)[of[:-1] * n_classes + of[1:]] + emission[out[1:]]
-            total = np.add.reduceat(logs, begin) + np.array(row["rare_log"])
-            yield pa.RecordBatch.from_arrays([
-                pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"]), pa.array(row["n_tokens"], pa.int64()),
-                pa.array(row["n_known"], pa.int64()), pa.array(row["base_log"], pa.float64()), pa.array(total),
-            ], ["doc_id", "held_out", "n_tokens", "n_known", "base_log", "score"])
-
-    out = corpus.where("grp >= 0").mapInArrow(scored, RESULT)
+            yield from neighbours(row, None).to_batches()
+
+    def told(answers: pa.Table) -> np.ndarray:
+        """The classes of a group's placed words, from the shards' answers."""
+        found = sorted(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist()))
+        return np.concatenate([np.zeros(0, np.uint16)] + [np.frombuffer(zlib.decompress(a), np.uint16) for _, a in found])
+
+    def next_lists(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return neighbours(table.to_pylist()[0], told(answers))
+
+    def mover(table: np.ndarray, turn: int) -> Callable[[pa.Table], pa.Table]:
+        def moved(lists: pa.Table) -> pa.Table:
+            """Each group's words with their new classes."""
+            shard = lists.column("shard")[0].as_py()
+            places = [np.cumsum(np.frombuffer(zlib.decompress(b), np.int32), dtype=np.int64) for b in lists.column("low").to_pylist()]
+            old = np.zeros(max(int(p[-1]) for p in places) + 1, np.int64)
+            cells, counts = [], []
+            for p, high, blob in zip(places, lists.column("high").to_pylist(), lists.column("counts").to_pylist()):
+                old[p] = np.frombuffer(zlib.decompress(high), np.uint16)
+                gaps, n = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64).reshape(2, -1)
+                cell = np.cumsum(gaps)
+                cells.append(p[cell // (2 * width)] * 2 * width + cell % (2 * width))
+                counts.append(n)
+            cells, which = np.unique(np.concatenate(cells), return_inverse=True)
+            n = np.zeros(len(cells), np.int64)
+            np.add.at(n, which, np.concatenate(counts))
+            new = better_classes(table, old, cells, n)
+            # Words of the same neighbours would change places together for ever; half of them wait.
+            waits = (old >= FIRST_WORD) & ((mix(np.arange(len(old), dtype=np.uint64)) >> np.uint64(40)).astype(np.int64) + turn & 1 == 1)
+            new = np.where(waits, old, new).astype(np.uint16)
+            rows = [(g, shard, zlib.compress(new[p].tobytes(), 1)) for g, p in zip(lists.column("grp").to_pylist(), places)]
+            return X.to_table(rows, "grp shard answer", [pa.int32(), pa.int32(), pa.binary()])
+
+        return moved
+
+    narrow = documents.select("grp", "held_out", "n_tokens", "codes", "counts", "places", "cuts", "frequent")
+    lists = durable(narrow.mapInArrow(first_lists, X.LISTS))
+    turn, best, kept, seen, unseen = 0, None, None, None, None
+    placed = None
+    while True:
+        table_of = lambda kind: whole_table(lists.where(F.col("shard") == kind).select("grp", F.col("low").alias("cells")), width)
+        table = table_of(AS_SEEN)
+        value = likelihood(table)
+        # The first table has words in bands, which the next has not.
+        if turn < 2 or value > best:
+            raised, best, kept, seen, unseen = turn < 2 or value - best > least_gain * abs(best), value, placed, table, table_of(AS_UNSEEN)
+        else:
+            raised = False
+        # Both halves have had their turn after two rounds.
+        if turn > 2 and not raised or not table.any():
+            break
+        placed = durable(lists.where("shard >= 0").groupBy("shard").applyInArrow(mover(table, turn), X.ANSWERS))
+        lists = durable(narrow.groupBy("grp").cogroup(placed.groupBy("grp")).applyInArrow(next_lists, X.LISTS))
+        turn += 1
+    transition, mass = model(unseen), np.maximum(seen.sum(0), 1)
+
+    def score(row: dict, placed: np.ndarray) -> pa.RecordBatch:
+        counts, out, begin, _ = expanded(row)
+        state = np.append(by_count(counts, False), END)
+        state[:-1][counts >= PLACED] = placed
+        # Words unseen are one type.
+        emission = np.append(np.where(counts > 0, np.log10(np.maximum(counts, 1) / mass[state[:-1]]), 0.0), 0.0)
+        of = state[out]
+        total = np.add.reduceat(transition[of[:-1], of[1:]] + emission[out[1:]], begin)
+        return pa.RecordBatch.from_arrays([
+            pa.array(row["doc_id"], pa.int64()), pa.array(row["held_out"]), pa.array(row["n_tokens"], pa.int64()),
+            pa.array(row["n_known"], pa.int64()), pa.array(row["base_log"], pa.float64()), pa.array(total),
+        ], ["doc_id", "held_out", "n_tokens", "n_known", "base_log", "score"])
+
+    def scored(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([score(row, told(answers)) for row in table.to_pylist()])
+
+    if kept is None:
+        # No training token.
+        kept = documents.select("grp", F.lit(0).alias("shard"), F.lit(zlib.compress(b"")).alias("answer"))
+    out = documents.groupBy("grp").cogroup(kept.groupBy("grp")).applyInArrow(scored, RESULT)
     below = math.log10(n_train + 0.1 * (n_types + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + int(ends > 0)).alias("n_known"), F.lit(n_train).cast("bigint").alias("train_tokens"),
@@ -236,6 +359,52 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def likelihood(table: np.ndarray) -> float:
+    """The part of the class bigrams' log likelihood that depends on the classes."""
+    x = table.astype(np.float64)
+    return float(_xlogx(x).sum() - _xlogx(x.sum(0)).sum() - _xlogx(x.sum(1)).sum())
+
+
+def better_classes(table: np.ndarray, old: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood most while all others stay.
+
+    ``cells`` are sorted: twice the word's number, plus one where the class stands before it, times the states, plus the state.
+    """
+    width = len(table)
+    table = table.astype(np.float64)
+    choices = width - FIRST_WORD
+    gain = np.zeros((len(old), choices))
+    word, side, state = cells // (2 * width), cells // width % 2, cells % width
+    for a in range(0, len(cells), 1 << 16):
+        w, n = word[a : a + (1 << 16)], counts[a : a + (1 << 16)].astype(np.float64)
+        s, before = state[a : a + (1 << 16)], side[a : a + (1 << 16)] == 1
+        base = np.where(before[:, None], table[s, FIRST_WORD:], table[FIRST_WORD:, s].T)
+        own = np.flatnonzero(old[w] >= FIRST_WORD)
+        # The table without the word.
+        base[own, old[w[own]] - FIRST_WORD] -= n[own]
+        base = np.maximum(base, 0)
+        more = _xlogx(base + n[:, None]) - _xlogx(base)
+        heads = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[heads]] += np.add.reduceat(more, heads)
+    placed = np.flatnonzero(old >= FIRST_WORD)
+    for before, sums in ((0, table.sum(1)), (1, table.sum(0))):
+        of = side == before
+        n = np.bincount(word[of], weights=counts[of], minlength=len(old))
+        # A slice at a time, as the sums of all words by class would be as wide as the gains again.
+        for a in range(0, len(old), 1 << 16):
+            part = np.arange(a, min(len(old), a + (1 << 16)))
+            base = np.repeat(sums[None, FIRST_WORD:], len(part), axis=0)
+            own = np.flatnonzero(old[part] >= FIRST_WORD)
+            base[own, old[part[own]] - FIRST_WORD] -= n[part[own]]
+            base = np.maximum(base, 0)
+            gain[part] -= _xlogx(base + n[part, None]) - _xlogx(base)
+    best = gain.argmax(1)
+    stays = placed[gain[placed, best[placed]] <= gain[placed, old[placed] - FIRST_WORD] + 1e-9]
+    new = FIRST_WORD + best
+    new[stays] = old[stays]
+    return new
+
+
 def exchange_classes(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     """The class of every state. States that are not words keep classes of their own: 0 to FIRST_WORD - 1."""
     states = len(counts)
@@ -293,18 +462,10 @@ def exchange_classes(counts: np.ndarray, classes: int, sweeps: int) -> np.ndarra
     return class_of
 
 
-def model(counts: np.ndarray, class_of: np.ndarray, word_counts: np.ndarray, mass: np.ndarray, prior: float = 5.0) -> tuple[np.ndarray, np.ndarray]:
-    """log10 P(class | class) and log10 P(state's word | class), for a rare word without its count's logarithm."""
-    total = int(class_of.max()) + 1
-    one = np.zeros((len(class_of), total))
-    one[np.arange(len(class_of)), class_of] = 1
-    table = one.T @ counts @ one
-    share = (table.sum(0) + 0.5) / (table.sum() + 0.5 * total)
-    transition = np.log10((table + prior * share[None, :]) / (table.sum(1, keepdims=True) + prior))
-    emission = np.zeros(len(class_of))
-    emission[FIRST_BAND:FIRST_WORD] = -np.log10(np.maximum(mass, 1))
-    if len(word_counts):
-        of = class_of[FIRST_WORD:]
-        in_class = np.bincount(of, weights=word_counts, minlength=total)
-        emission[FIRST_WORD:] = np.log10(word_counts / in_class[of])
-    return transition, emission
+def model(table: np.ndarray, prior: float = 5.0) -> np.ndarray:
+    """log10 P(class | class)."""
+    # After the exchange no word is in a band but the first.
+    used = np.ones(len(table))
+    used[FIRST_BAND + 1 : FIRST_WORD] = 0
+    share = (table.sum(0) + 0.5 * used) / (table.sum() + 0.5 * used.sum())
+    return np.log10(np.maximum((table + prior * share[None, :]) / (table.sum(1, keepdims=True) + prior), 1e-300))

@@ -86,6 +86,17 @@ def test_exchange_never_lowers_the_likelihood():
     assert steps == sorted(steps) and steps[-1] > steps[0]
 
 
+def test_words_below_the_share_get_classes(documents):
+    """Two kinds of words seen a few times each take turns; only a class of their own tells which kind comes next."""
+    draw = random.Random(8)
+    kinds = [["left%d" % i for i in range(300)] + ["the"] * 40, ["right%d" % i for i in range(300)] + ["goes"] * 40]
+    texts = [" ".join(draw.choice(kinds[i % 2]) for i in range(60)) for _ in range(120)]
+    held = [r for r in score_texts(documents(texts), classes=2, share=0.02).collect() if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    # One of two kinds: log10(2) a token at most.
+    assert gain > 0.2
+
+
 def test_language_model_edge_rows(llm):
     rows = [(None, "a b", 1.0), (0, None, 2.0), (0, None, 2.0)]
     out = score_texts(llm.createDataFrame(rows, "doc_id bigint, text string, score double")).collect()
