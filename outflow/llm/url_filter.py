@@ -1,8 +1,8 @@
 """Verdicts on urls by host rules and by a tree of path templates (operator 8).
 
 Method: every host has a tree of path segments. From the root on, a segment that few of the node's pages
-share becomes a wildcard (with its file ending); one that many share stays. Leaves under one parent whose shares of
-good labels do not differ significantly are merged. A template is rejected when its smoothed purity, the share of
+share becomes a wildcard (with its file ending); one that many share stays. Labelled leaves under one parent are merged in the
+order of their shares of good labels, as long as a leaf does not differ significantly from the branch so far; a leaf without labels is in no branch. A template is rejected when its smoothed purity, the share of
 good labels drawn towards its host's and the whole table's, is too low. Rules go first, the longest that fits.
 
 Distinct paths are counted before anything is joined, and a node's kept segments are few by construction (each has a
@@ -16,7 +16,7 @@ result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outflow.session import durable
@@ -68,21 +68,17 @@ def judge_urls(
     overall = (everywhere[0] or 0.0) / everywhere[1] if everywhere[1] else 1.0
     host_rate = (F.col("host_good") + weight * overall) / (F.col("host_labelled") + weight)
     leaves = leaves.join(hosts, "host").withColumn("host_rate", host_rate).withColumn("parent", F.regexp_extract("template", "^(.*)/[^/]*$", 1))
-    rate = (F.col("good") + F.col("host_rate")) / (F.col("labelled") + 1)
-    # A node has at most 1 / literal_share kept segments and one wildcard for each file ending.
-    siblings = Window.partitionBy("host", "parent").orderBy("rate", "template")
-    leaves = leaves.withColumn("rate", rate)
-    for c in ("labelled", "good"):
-        leaves = leaves.withColumn(f"before_{c}", F.lag(c).over(siblings))
-    pooled = (F.col("good") + F.col("before_good")) / (F.col("labelled") + F.col("before_labelled"))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / F.col("before_labelled")))
-    both = (F.col("labelled") > 0) & (F.col("before_labelled") > 0)
-    differs = both & (F.abs(F.try_divide("good", "labelled") - F.try_divide("before_good", "before_labelled")) > similar * spread)
-    pooled_spread = F.when(both, differs).otherwise(F.lit(False))
-    leaves = leaves.withColumn("branch", F.sum(F.when(pooled_spread, 1).otherwise(0)).over(siblings))
-    branches = Window.partitionBy("host", "parent", "branch")
-    purity = (F.sum("good").over(branches) + weight * F.col("host_rate")) / (F.sum("labelled").over(branches) + weight)
-    leaves = leaves.select("host", "template", purity.alias("purity"))
+    # Leaves of one rate count together, so a node of n labels has at most about n^(2/3) rates.
+    leaves = leaves.withColumn("rate", F.try_divide("good", "labelled"))
+    rates = leaves.where("labelled > 0").groupBy("host", "parent", "rate").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
+    line = F.sort_array(F.collect_list(F.struct("rate", "labelled", "good")))
+    branches = rates.groupBy("host", "parent").agg(line.alias("line")).select("host", "parent", _branches("line", similar).alias("branches"))
+    leaves = leaves.join(branches, ["host", "parent"], "left")
+    own = F.element_at(F.filter("branches", lambda b: b["rate"] <= F.col("rate")), -1)
+    # A leaf without labels has no rate and takes the prior alone.
+    leaves = leaves.withColumn("own", F.when(F.col("labelled") > 0, own))
+    labelled, good = (F.coalesce(F.col("own")[c], F.lit(0.0)) for c in ("labelled", "good"))
+    leaves = leaves.select("host", "template", ((good + weight * F.col("host_rate")) / (labelled + weight)).alias("purity"))
 
     known = tree.select("host", "path", "template").join(leaves, ["host", "template"])
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
@@ -93,6 +89,24 @@ def judge_urls(
     )
 
 
+def _branches(line: str, similar: float) -> Column:
+    """The branches (lowest rate, labelled, good) of leaves in the order of their rates: one that differs from all before it in the branch begins the next."""
+
+    def step(done: Column, leaf: Column) -> Column:
+        last = done["last"]
+        pooled = (leaf["good"] + last["good"]) / (leaf["labelled"] + last["labelled"])
+        spread = F.sqrt(pooled * (1 - pooled) * (1 / leaf["labelled"] + 1 / last["labelled"]))
+        differs = leaf["rate"] - last["good"] / last["labelled"] > similar * spread
+        both = F.struct(last["rate"].alias("rate"), (last["labelled"] + leaf["labelled"]).alias("labelled"), (last["good"] + leaf["good"]).alias("good"))
+        return F.struct(
+            F.when(differs, F.concat(done["full"], F.array(last))).otherwise(done["full"]).alias("full"), F.when(differs, leaf).otherwise(both).alias("last")
+        )
+
+    first, rest = F.element_at(line, 1), F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0)))
+    start = F.struct(F.slice(line, 1, 0).alias("full"), first.alias("last"))
+    return F.aggregate(rest, start, step, lambda done: F.concat(done["full"], F.array(done["last"])))
+
+
 def _deeper(tree: DataFrame, level: int, literal_share: float, literal_pages: int) -> DataFrame:
     """The templates with one more segment, kept or generalised."""
     live = tree.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])

@@ -102,6 +102,30 @@ def test_templates_generalise_and_reject(llm):
     assert judge_urls(llm.createDataFrame([], "page_id bigint, url string"), llm.createDataFrame(labels, "doc_id bigint, quality int")).count() == 0
 
 
+def test_a_leaf_without_labels_joins_no_branch(llm):
+    # The files lie right under the host, so that they are leaves of one parent.
+    pages, labels = [], []
+    for name, n, labelled, good in (("spam", 50, 50, 0), ("quiet", 20, 0, 0), ("news", 100, 100, 100)):
+        for i in range(n):
+            pages.append((len(pages), f"http://h.io/{name}"))
+            if i < labelled:
+                labels.append((len(pages) - 1, int(i < good)))
+    out = judge_urls(llm.createDataFrame(pages, "page_id bigint, url string"), llm.createDataFrame(labels, "doc_id bigint, quality int"), rules=())
+    verdict = {r["path"]: r["verdict"] for r in out.collect()}
+    assert verdict == {"/spam": "block", "/quiet": "allow", "/news": "allow"}
+
+
+def test_neighbours_do_not_chain(llm):
+    pages, labels = [], []
+    for leaf in range(11):
+        for i in range(20):
+            pages.append((len(pages), f"http://h.io/leaf{leaf}"))
+            labels.append((len(pages) - 1, int(i < 2 * leaf)))
+    out = judge_urls(llm.createDataFrame(pages, "page_id bigint, url string"), llm.createDataFrame(labels, "doc_id bigint, quality int"), rules=())
+    verdict = {r["path"]: r["verdict"] for r in out.collect()}
+    assert verdict["/leaf0"] == verdict["/leaf1"] == "block" and verdict["/leaf9"] == verdict["/leaf10"] == "allow"
+
+
 def test_urls_with_deep_paths_and_bad_labels(llm):
     pages = llm.createDataFrame([(1, "http://h/" + "a/" * 300), (1, "http://h/" + "a/" * 300), (None, "http://h//x//")], "page_id bigint, url string")
     labels = llm.createDataFrame([(1, None), (1, 0), (1, 1), (None, 0)], "doc_id bigint, quality int")
