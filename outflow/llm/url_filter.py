@@ -1,16 +1,16 @@
 """Verdicts on urls by host rules and by a tree of path templates (operator 8).
 
-Method: every host has a tree of path segments. From the root on, a segment that few of the node's pages
-share becomes a wildcard (with its file ending); one that many share stays. Labelled leaves under one parent are merged in the
+Method: every host has a tree of path segments. From the root on, a segment of fewer than ``literal_pages`` pages below
+its node becomes a wildcard (with its file ending); all others stay, whatever the node's size. Labelled leaves under one parent are merged in the
 order of their shares of good labels, as long as a leaf does not differ significantly from the branch so far; a leaf without labels is in no branch. A template is rejected when its smoothed purity, the share of
 good labels drawn towards its host's and the whole table's, is too low. Rules go first, the longest that fits.
 
-Distinct paths are counted before anything is joined, and a node's kept segments are few by construction (each has a
-least share of the node), so neither a hot host nor a hot node meets in one task.
+Distinct paths are counted before anything is joined, and kept segments are rows joined on host, template and segment, so
+a node may keep any number and neither a hot host nor a hot node meets in one task.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged as such; a page without
 label teaches nothing; of several labels of one page the worst counts; null labels do not count; rows with one page id are
-judged separately. From ``depth`` segments on, the rest of a path counts as one segment. Extra columns are ignored. An empty table gives an empty
+judged separately. With ``depth``, from so many segments on the rest of a path counts as one segment. Extra columns are ignored. An empty table gives an empty
 result.
 """
 
@@ -45,7 +45,7 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
 
 def judge_urls(
     pages: DataFrame, labels: DataFrame, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id", good: str = "quality",
-    rules: tuple[tuple[str, str], ...] = RULES, literal_share: float = 0.02, literal_pages: int = 5, depth: int = 8, similar: float = 1.96,
+    rules: tuple[tuple[str, str], ...] = RULES, literal_pages: int = 5, depth: int | None = None, similar: float = 1.96,
     weight: float = 4.0, least_purity: float = 0.5,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity)."""
@@ -55,12 +55,18 @@ def judge_urls(
     paths = parsed.join(marks, "page_id", "left").groupBy("host", "path").agg(
         F.count("*").alias("n"), F.count("good").alias("labelled"), F.sum(F.when(F.col("good") > 0, 1).otherwise(0)).alias("good")
     )
-    segments = F.slice(F.split("path", "/", depth + 1), 2, depth + 1)
-    tree = durable(paths.withColumn("segments", segments).withColumn("template", F.lit("")))
-    level, deepest = 0, tree.agg(F.max(F.size("segments"))).first()[0] or 0
-    while level < deepest:
-        tree = durable(_deeper(tree, level, literal_share, literal_pages))
+    parts = F.split("path", "/") if depth is None else F.split("path", "/", depth + 1)
+    tree = durable(paths.withColumn("segments", F.slice(parts, 2, F.size(parts))).withColumn("template", F.lit("")))
+    level = 0
+    while True:
+        # Below nodes of few pages nothing can be kept, however deep their paths go.
+        nodes = tree.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n"))
+        if (nodes.agg(F.max("n")).first()[0] or 0) < literal_pages:
+            break
+        tree = durable(_deeper(tree, level, literal_pages))
         level += 1
+    rest = F.transform(F.slice("segments", level + 1, F.size("segments")), lambda s: F.concat(F.lit("/"), F.when(s == "", s).otherwise(_wildcard(s))))
+    tree = durable(tree.withColumn("template", F.concat("template", F.array_join(rest, ""))))
 
     leaves = tree.groupBy("host", "template").agg(*[F.sum(c).cast("double").alias(c) for c in ("n", "labelled", "good")])
     hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("good").alias("host_good"))
@@ -107,17 +113,16 @@ def _branches(line: str, similar: float) -> Column:
     return F.aggregate(rest, start, step, lambda done: F.concat(done["full"], F.array(done["last"])))
 
 
-def _deeper(tree: DataFrame, level: int, literal_share: float, literal_pages: int) -> DataFrame:
+def _wildcard(segment: Column) -> Column:
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z0-9]{1,5}$", 0))
+
+
+def _deeper(tree: DataFrame, level: int, literal_pages: int) -> DataFrame:
     """The templates with one more segment, kept or generalised."""
-    live = tree.where(F.size("segments") > level).withColumn("segment", F.col("segments")[level])
-    values = live.groupBy("host", "template", "segment").agg(F.sum("n").alias("k"))
-    totals = values.groupBy("host", "template").agg(F.sum("k").alias("total"))
-    kept = values.where(F.col("k") >= literal_pages).join(totals, ["host", "template"]).where(F.col("k") >= literal_share * F.col("total"))
-    # At most 1 / literal_share values a node.
-    kept = kept.groupBy("host", "template").agg(F.collect_set("segment").alias("literals"))
-    joined = tree.join(kept, ["host", "template"], "left")
-    segment = F.get("segments", F.lit(level))
-    wildcard = F.concat(F.lit("*"), F.regexp_extract(segment, r"\.[A-Za-z0-9]{1,5}$", 0))
-    literal = F.coalesce(F.array_contains("literals", segment), F.lit(False)) | (segment == "")
-    added = F.when(F.size("segments") > level, F.concat(F.lit("/"), F.when(literal, segment).otherwise(wildcard))).otherwise("")
+    tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
+    values = tree.where(F.size("segments") > level).groupBy("host", "template", "segment").agg(F.sum("n").alias("k"))
+    kept = values.where(F.col("k") >= literal_pages).select("host", "template", "segment", F.lit(True).alias("kept"))
+    joined = tree.join(kept, ["host", "template", "segment"], "left")
+    literal = F.coalesce("kept", F.lit(False)) | (F.col("segment") == "")
+    added = F.when(F.size("segments") > level, F.concat(F.lit("/"), F.when(literal, F.col("segment")).otherwise(_wildcard(F.col("segment"))))).otherwise("")
     return joined.select("host", "path", "n", "labelled", "good", "segments", F.concat("template", added).alias("template"))

@@ -126,6 +126,17 @@ def test_neighbours_do_not_chain(llm):
     assert verdict["/leaf0"] == verdict["/leaf1"] == "block" and verdict["/leaf9"] == verdict["/leaf10"] == "allow"
 
 
+def test_a_small_section_of_a_hot_host_is_told_apart(llm):
+    """60 sections of a sixtieth of the pages each; one is bad. Below, two branches of twelve segments differ in the tenth."""
+    pages, labels = [], []
+    for name in ["s%d/a" % i for i in range(60)] + ["deep/2/3/4/5/6/7/8/9/good/x", "deep/2/3/4/5/6/7/8/9/bad/x"]:
+        for _ in range(12):
+            pages.append((len(pages), f"http://h.io/{name}"))
+            labels.append((len(pages) - 1, int(not name.startswith("s7/") and "bad" not in name)))
+    out = judge_urls(llm.createDataFrame(pages, "page_id bigint, url string"), llm.createDataFrame(labels, "doc_id bigint, quality int"), rules=())
+    assert {r["path"] for r in out.collect() if r["verdict"] == "block"} == {"/s7/a", "/deep/2/3/4/5/6/7/8/9/bad/x"}
+
+
 def test_urls_with_deep_paths_and_bad_labels(llm):
     pages = llm.createDataFrame([(1, "http://h/" + "a/" * 300), (1, "http://h/" + "a/" * 300), (None, "http://h//x//")], "page_id bigint, url string")
     labels = llm.createDataFrame([(1, None), (1, 0), (1, 1), (None, 0)], "doc_id bigint, quality int")
