@@ -15,6 +15,7 @@ from outflow.llm.mixing import WORD, mix
 from outflow.llm.ngram_join import link_classes
 from outflow.llm.pieces import encode
 from outflow.llm.substring_dedup import remove_repeats
+from outflow.session import durable
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,8 +43,9 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each whole copy of a document, and one of the words picked beyond."""
     ready(spark)
-    plan = mix(docs).where("taken > 0").select(F.col("doc_id").alias("id"), "passes", "ranges")
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("id")))
+    # Ids may be null or repeated; the plan belongs to rows.
+    docs = durable(docs.withColumn("uid", F.monotonically_increasing_id()))
+    joined = docs.join(mix(docs, row="uid").where("taken > 0").select("uid", "passes", "ranges"), "uid")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     picked = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(words, (r["from"] + 1).cast("int"), (r["to"] - r["from"]).cast("int")))), " ")
     part = F.when(F.size("ranges") > 0, F.array(picked)).otherwise(F.array().cast("array<string>"))

@@ -74,18 +74,20 @@ def apportion(items: DataFrame, key: str, unit: str, weight: str, seats: str) ->
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (3, 1, 2),
-    share: float = 1.5, most: float = 2.0, block: int = 64, shard_words: int = 1 << 19, seed: int = 17,
+    share: float = 1.5, most: float = 2.0, block: int = 64, shard_words: int = 1 << 19, seed: int = 17, row: str | None = None,
 ) -> DataFrame:
     """(doc_id, source, size, source_size, target, passes, ranges, taken) of every document.
 
     ``passes`` whole copies of the document are in the mix, and after them the words [from, to) of each of ``ranges``.
+    ``row`` names a column that numbers the rows; it is then returned too, as ``uid``.
     """
     name = F.when(F.col(source).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
     sized = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), name.alias("s"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        *([F.col(row).alias("uid")] if row else []),
     )
-    sized = durable(sized.withColumn("uid", F.monotonically_increasing_id()))
+    sized = durable(sized if row else sized.withColumn("uid", F.monotonically_increasing_id()))
     sources = sized.groupBy("s").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     places = numbered(sources, [], [F.col("s")])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("position") - 1) % len(weights) + 1).cast("int"))
@@ -127,7 +129,8 @@ def mix(
     )
     picked: Column = F.aggregate("ranges", F.lit(0).cast("bigint"), lambda total, r: total + r["to"] - r["from"])
     return out.select(
-        "doc_id", "source", "size", "source_size", "target", "passes", "ranges", (F.col("passes") * F.col("size") + picked).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "passes", "ranges", (F.col("passes") * F.col("size") + picked).alias("taken"),
+        *(["uid"] if row else []),
     )
 
 

@@ -120,3 +120,10 @@ def test_stages_on_empty_tables(llm, documents, tmp_path):
     llm.createDataFrame([], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == 0
     assert remove_repeats(docs).count() == 0
+
+
+def test_mixture_keeps_rows_of_one_id_apart(llm):
+    rows = [(i, f"r{n} " * 100, "en", "s", 300) for n, i in enumerate([None] * 6 + [7] * 6)]
+    out = corpus_pipeline.mixture(llm, llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
+    words = [w for r in out for w in r["text"].split()]
+    assert 0 < len(words) <= 2 * 1200 and max(words.count(w) for w in set(words)) <= 200
