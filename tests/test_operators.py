@@ -228,11 +228,11 @@ def good_log(spark, n=5):
 def test_log_break_is_found(spark):
     rows = good_log(spark)
     frame = lambda r: spark.createDataFrame(r, schemas.AUDIT_LOG)
-    assert auditlog.verify_log(frame(rows), 2).first().intact
+    assert auditlog.verify_log(frame(rows)).first().intact
     changed = [r if r[0] != 2 else (*r[:5], "other", *r[6:]) for r in rows]
-    assert auditlog.verify_log(frame(changed), 2).first().broken_at_index == 2
+    assert auditlog.verify_log(frame(changed)).first().broken_at_index == 2
     relinked = [r if r[0] != 3 else (*r[:6], "1" * 64, r[7]) for r in rows]
-    assert auditlog.verify_log(frame(relinked), 2).first().broken_at_index == 3
+    assert auditlog.verify_log(frame(relinked)).first().broken_at_index == 3
 
 
 # ---------------------------------------------------------------- graphs
