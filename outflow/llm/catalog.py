@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from outflow.session import prepare
 from outflow.llm.class_lm import score_texts
 from outflow.llm.cotraining import classify
+from outflow.llm.hash_tree import grown, place, uniform
 from outflow.llm.imatch import fingerprints
 from outflow.llm.mixing import mix
 from outflow.llm.ngram_join import link_classes
@@ -76,6 +77,16 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "ranges")
 
 
+def op11_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """Sixteen shards, two to a rack and two racks to a region; the seventeenth comes as a region of its own."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    placed = place(docs, uniform(16), order=("doc_id", "size", "text_crc32"), after=grown(uniform(16)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,9 +98,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_class_lm": op9_class_lm,
     "op10_mixing": op10_mixing,
+    "op11_hash_tree": op11_hash_tree,
 }
 
+def _bytes_sql(text: str) -> str:
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+
+
+# The table of the CRC-32 polynomial, and the checksum of a text by it.
+CRC_TABLE_SQL = """SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_table"""
+
+
+def crc_sql(text: str) -> str:
+    """For a query that has ``crc_table`` in reach."""
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_bytes_sql(text)}), "
+        "lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT"
+    )
+
+
+def _hash_tree_sql() -> str:
+    draw = lambda path, weight: (
+        f"-ln((('0x' || substr(md5({path} || ':' || k), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0) / {weight}"
+    )
+    least = lambda prefix, n, weight: (
+        f"list_min(list_transform(range({n}), lambda i: {{'d': {draw(f'{prefix} || i', weight)}, 'c': i}})).c"
+    )
+    regions = "list_transform(range(5), lambda i: {'d': " + draw("'11/' || i", "(CASE WHEN i = 4 THEN 1.0 ELSE 4.0 END)") + ", 'c': i})"
+    return f"""
+        WITH t AS ({CRC_TABLE_SQL}),
+        d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 1 AS size, {crc_sql("coalesce(text, '')")} AS text_crc32,
+                     coalesce('+' || doc_id, '-null') AS k FROM documents, t),
+        r AS (SELECT *, {least("'11/'", 4, "4.0")} AS region, list_min({regions}).c AS grown_region FROM d),
+        q AS (SELECT *, {least("'11/' || region || '/'", 2, "2.0")} AS rack FROM r),
+        s AS (SELECT *, list_min(list_transform(range(2), lambda i: {{'d': {draw("'11/' || region || '/' || rack || '/' || (4 * region + 2 * rack + i)", "1.0")},
+                     'c': (4 * region + 2 * rack + i)}})).c AS shard FROM q)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard,
+               (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1)::BIGINT AS slot,
+               (CASE WHEN grown_region = 4 THEN 16 ELSE shard END)::INTEGER AS grown_shard
+        FROM s"""
+
+
 SQL: dict[str, str] = {
+    "op11_hash_tree": _hash_tree_sql(),
     "op2_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
         win AS (SELECT doc_id, unnest(range(1, len(words) - 18)) AS s, words FROM w WHERE len(words) >= 20),
