@@ -19,6 +19,7 @@ from outflow.llm.permutation_index import search
 from outflow.llm.pieces import decode, encode
 from outflow.llm.substring_dedup import remove_repeats
 from outflow.llm.url_filter import judge_urls
+from outflow.llm.vector_codes import compress
 from outflow.llm.wordpiece import count_tokens
 
 
@@ -87,6 +88,11 @@ def op11_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    coded = compress(table(spark, folder, "embeddings"))
+    return coded.rows.withColumn("codebooks_sha256", F.lit(coded.codebooks_sha256()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_substring_dedup": op2_substring_dedup,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_class_lm": op9_class_lm,
     "op10_mixing": op10_mixing,
     "op11_hash_tree": op11_hash_tree,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 def _bytes_sql(text: str) -> str:
@@ -140,7 +147,28 @@ def _hash_tree_sql() -> str:
         FROM s"""
 
 
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        d{i} AS (SELECT vec_id, label, x.p, b.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))) AS d, x.v
+              FROM parts x JOIN b{i} b ON x.p = b.p),
+        a{i} AS (SELECT vec_id, label, p, arg_min(e, d * 256 + e) AS e, min(d) AS d, any_value(v) AS v FROM d{i} GROUP BY vec_id, label, p),
+        m{i} AS (SELECT p, e, list(floor(s / n)::BIGINT ORDER BY i) AS v
+              FROM (SELECT p, e, i, sum(v[i])::DOUBLE AS s, count(*) AS n FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS i FROM a{i}) GROUP BY p, e, i) GROUP BY p, e),
+        b{i + 1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{i} b LEFT JOIN m{i} m ON b.p = m.p AND b.e = m.e),""")
+    return f"""
+        WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS (SELECT vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) r(p)),
+        b0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v FROM parts QUALIFY e < {entries}),{"".join(steps)}
+        text AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}),
+        rows AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM rows, text"""
+
+
 SQL: dict[str, str] = {
+    "op13_vector_codes": _vector_codes_sql(),
     "op11_hash_tree": _hash_tree_sql(),
     "op2_substring_dedup": r"""
         WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
