@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from outflow.session import prepare
 from outflow.llm.class_lm import score_texts
+from outflow.llm.conversation_repair import damage, repair, report
 from outflow.llm.cotraining import classify
 from outflow.llm.hash_tree import grown, place, uniform
 from outflow.llm.imatch import fingerprints
@@ -88,6 +89,17 @@ def op11_hash_tree(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation of the table, damaged and repaired."""
+    rows = table(spark, folder, "conversations")
+    known = rows.select(F.col("conv_id").alias("id")).distinct()
+    done = report(repair(damage(rows)))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return known.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     coded = compress(table(spark, folder, "embeddings"))
     return coded.rows.withColumn("codebooks_sha256", F.lit(coded.codebooks_sha256()))
@@ -105,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_class_lm": op9_class_lm,
     "op10_mixing": op10_mixing,
     "op11_hash_tree": op11_hash_tree,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -147,6 +160,56 @@ def _hash_tree_sql() -> str:
         FROM s"""
 
 
+def _conversation_repair_sql() -> str:
+    """A fold over each conversation's rows that keeps the least ``cost || audit`` for each state of the grammar.
+
+    Its elements are the rows and, before, between and behind them, a chance to insert one message.
+    """
+    add = lambda x, cost, letter: f"lpad((left({x}, 6)::INTEGER + {cost})::VARCHAR, 6, '0') || substr({x}, 7) || '{letter}'"
+    q = ["a[1]", "a[2]", "a[3]", "a[4]"]
+    inserted = [q[0], q[1], "least(" + ", ".join([q[2], *(add(q[i], 5, "I") for i in (0, 1, 3))]) + ")", f"least({q[3]}, {add(q[2], 5, 'I')})"]
+    extra = "(CASE r[2] WHEN 't' THEN 5 ELSE 0 END)"
+    kept = lambda initial, states: [f"CASE WHEN r[1] = '{initial}' AND r[2] <> 'x' THEN {add(q[i], extra, 'K')} END" for i in states]
+    changed = lambda states: [f"CASE WHEN r[2] <> 'x' THEN {add(q[i], f'1 + {extra}', 'R')} END" for i in states]
+    gone = [add(x, 2, "D") for x in q]
+    taken = [
+        gone[0], "least(" + ", ".join([gone[1], *kept("s", [0])]) + ")", "least(" + ", ".join([gone[2], *kept("u", [0, 1, 3]), *changed([0, 1, 3])]) + ")",
+        "least(" + ", ".join([gone[3], *kept("a", [2]), *changed([2])]) + ")",
+    ]
+    return rf"""
+        WITH t AS ({CRC_TABLE_SQL}),
+        o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS hit FROM conversations, t),
+        d AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+                     CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                     unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE hit <> 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c,
+                     regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS z FROM d),
+        f AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                     WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS c0 FROM n),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                     count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (i > 1 AND c0 || c NOT IN ('su', 'ua', 'au')) AS illegal,
+                     list([c, CASE fault WHEN 'truncated' THEN 't' WHEN '' THEN 'f' ELSE 'x' END] ORDER BY i) AS rows FROM f GROUP BY conv_id),
+        e AS (SELECT * EXCLUDE (rows), list_reduce(
+                  list_concat([['000000', NULL, NULL, NULL]], flatten(list_transform(rows, lambda r: [['', 'i'], r])), [['', 'i']]),
+                  lambda a, r: CASE WHEN r[2] = 'i' THEN [{", ".join(inserted)}] ELSE [{", ".join(taken)}] END) AS a FROM g),
+        b AS (SELECT * EXCLUDE (a), left(least(a[1], a[4]), 6)::BIGINT AS cost, substr(least(a[1], a[4]), 7) AS audit FROM e),
+        u AS (SELECT conv_id, unnest(range(1, len(audit) + 1)) AS j, audit FROM b),
+        v AS (SELECT conv_id, j, substr(audit, j, 1) AS edit, sum(CASE WHEN substr(audit, j, 1) = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY j) AS i FROM u),
+        w AS (SELECT v.conv_id, j, edit, f.role, f.text, row_number() OVER (PARTITION BY v.conv_id ORDER BY j) AS k,
+                     first_value(CASE WHEN edit = 'K' AND f.c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY v.conv_id ORDER BY j) AS led
+              FROM v LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.i = v.i WHERE edit <> 'D'),
+        said AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role || ':' || text
+                     ELSE CASE WHEN (k - led) % 2 = 1 THEN 'user:' ELSE 'assistant:' END || CASE WHEN edit = 'R' THEN text ELSE '' END END, chr(10) ORDER BY j) AS said
+                 FROM w GROUP BY conv_id)
+        SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(said, '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM k.conv_id
+        LEFT JOIN said ON said.conv_id IS NOT DISTINCT FROM k.conv_id"""
+
+
 def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     steps = []
     for i in range(rounds + 1):
@@ -168,6 +231,7 @@ def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> st
 
 
 SQL: dict[str, str] = {
+    "op12_conversation_repair": _conversation_repair_sql(),
     "op13_vector_codes": _vector_codes_sql(),
     "op11_hash_tree": _hash_tree_sql(),
     "op2_substring_dedup": r"""
