@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from outflow.session import prepare
 from outflow.llm.class_lm import score_texts
-from outflow.llm.conversation_repair import damage, repair, report
+from outflow.llm.conversation_repair import damage, repair_parts, report
 from outflow.llm.cotraining import classify
 from outflow.llm.hash_tree import grown, place, uniform
 from outflow.llm.imatch import fingerprints
@@ -93,7 +93,7 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation of the table, damaged and repaired."""
     rows = table(spark, folder, "conversations")
     known = rows.select(F.col("conv_id").alias("id")).distinct()
-    done = report(repair(damage(rows)))
+    done = report(*repair_parts(damage(rows)))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return known.join(done, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
         F.col("id").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
@@ -184,7 +184,9 @@ def _conversation_repair_sql() -> str:
                      CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
                      unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy FROM o WHERE hit <> 0),
         n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c,
-                     regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS z FROM d),
+                     regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS z FROM d),
         f AS (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
                      WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS c0 FROM n),
         g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,

@@ -146,13 +146,19 @@ def _judged(turns: list, roles: list[str], faults: list[tuple[int, str]]) -> dic
     }
 
 
-def repair(
+def repair(rows: DataFrame, **options) -> DataFrame:
+    """All repaired conversations in segments, see ``repair_parts``."""
+    whole, cut = repair_parts(rows, **options)
+    return whole.unionByName(cut) if cut is not None else whole
+
+
+def repair_parts(
     rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", bound: int = 1024
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame | None]:
     """The repaired conversations in segments: conv_id, segment, whole, cost, audit, counts of faults, turns, first and last turn, messages.
 
-    A conversation of up to ``bound`` rows is one segment and ``whole``; of a longer one every segment has its own part of
-    cost, audit, counts and messages. ``bound`` is rounded up to a power of two.
+    First the conversations of up to ``bound`` rows, each one segment and ``whole``; then, if there are any, the longer ones, of which every
+    segment has its own part of cost, audit, counts and messages. ``bound`` is rounded up to a power of two.
     """
     bits = max(1, math.ceil(math.log2(bound)))
     plain = rows.select(
@@ -168,8 +174,8 @@ def repair(
     order = ["conv_id", "turn", "role", "spread"]
     whole = short.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "turn", "role", "text").mapInArrow(_search_whole(kind), out)
     if not has_long:
-        return whole
-    return whole.unionByName(_repair_long(plain.join(long, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi"), order, bits, kind, out))
+        return whole, None
+    return whole, _repair_long(plain.join(long, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi"), order, bits, kind, out)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -329,12 +335,14 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from settled()
 
 
-def report(segments: DataFrame) -> DataFrame:
-    """conv_id, gaps, counts of faults, cost, audit, repaired_sha256 of every conversation that has rows."""
+def report(whole: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+    """conv_id, gaps, counts of faults, cost, audit, repaired_sha256 of every conversation that has rows, from its parts."""
     columns = ["conv_id", "gaps", *COUNTS[:4], "cost", "audit", "repaired_sha256"]
     gaps = F.coalesce(F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"), F.lit(0))
-    whole = segments.where("whole").withColumn("gaps", gaps).withColumn("repaired_sha256", F.sha2(lines(F.col("messages")), 256)).select(columns)
-    kind = dict(segments.dtypes)["conv_id"]
+    whole = whole.withColumn("gaps", gaps).withColumn("repaired_sha256", F.sha2(lines(F.col("messages")), 256)).select(columns)
+    if cut is None:
+        return whole
+    kind = dict(cut.dtypes)["conv_id"]
     schema = pa.schema([("conv_id", _arrow(kind)), *[(c, pa.int64()) for c in columns[1:7]], ("audit", pa.string()), ("repaired_sha256", pa.string())])
 
     def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -356,7 +364,7 @@ def report(segments: DataFrame) -> DataFrame:
         if now is not None:
             yield _closed(now)
 
-    kept = segments.where("NOT whole").withColumn("line", F.when(F.size("messages") > 0, lines(F.col("messages")))).drop("messages", "whole")
+    kept = cut.withColumn("line", F.when(F.size("messages") > 0, lines(F.col("messages")))).drop("messages", "whole")
     streamed = kept.repartition("conv_id").sortWithinPartitions("conv_id", "segment").mapInArrow(
         lambda batches: _batches(digested(batches), schema),
         f"conv_id {kind}, gaps bigint, " + ", ".join(f"{c} bigint" for c in COUNTS[:4]) + ", cost bigint, audit string, repaired_sha256 string",
