@@ -42,14 +42,29 @@ def stream_dedup(df: DataFrame, id_column: str, ts: str, delay: str = "1 hour")
     return event_time(df, ts, delay).dropDuplicatesWithinWatermark([id_column])
 
 
-def stream_activity(withdrawals: DataFrame, window: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Tumbling activity: emitted when the window is closed."""
+def stream_activity(withdrawals: DataFrame, complaints: DataFrame | None = None, window: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """Tumbling activity of both streams in one window state: emitted when the window is closed; windows need a withdrawal.
+
+    Each stream has its own watermark, and the query's is the lower one (``spark.sql.streaming.multipleWatermarkPolicy`` at its default),
+    so a stream that lags loses nothing. A row carries its kind as columns that are null for the other kind.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    drawn = event_time(withdrawals.select(F.col("timestamp").alias("at"), F.lit(1).alias("drawn"), "is_fraud_withdrawal", F.col("amount").cast("double").alias("amount")), "at", delay)
+    both = drawn.withColumn("filed", none("int"))
+    if complaints is not None:
+        filed = event_time(complaints.select(F.col("filing_timestamp").alias("at")), "at", delay)
+        both = both.unionByName(filed.select(
+            "at", none("int").alias("drawn"), none("boolean").alias("is_fraud_withdrawal"), none("double").alias("amount"), F.lit(1).alias("filed")
+        ))
     fraud = F.col("is_fraud_withdrawal")
-    grouped = event_time(withdrawals, "timestamp", delay).groupBy(F.window("timestamp", window)).agg(
-        F.count("*").alias("withdrawals"), F.count_if(fraud).alias("fraud_withdrawals"), exact_sum("amount").alias("amount_total"),
-        exact_sum(F.when(fraud, F.col("amount"))).alias("amount_fraud"),
+    grouped = both.groupBy(F.window("at", window)).agg(
+        F.count("drawn").alias("withdrawals"), F.count_if(fraud).alias("fraud_withdrawals"), F.count("filed").alias("complaints"),
+        exact_sum("amount").alias("amount_total"), exact_sum(F.when(fraud, F.col("amount"))).alias("amount_fraud"),
+    ).where("withdrawals > 0")
+    rate = F.round(F.col("fraud_withdrawals") / F.col("withdrawals"), 4).alias("fraud_rate")
+    return grouped.select(
+        F.col("window.start").cast("timestamp_ntz").alias("bucket"), "withdrawals", "fraud_withdrawals", "complaints", "amount_total", "amount_fraud", rate
     )
-    return grouped.select(F.col("window.start").cast("timestamp_ntz").alias("bucket"), "withdrawals", "fraud_withdrawals", "amount_total", "amount_fraud")
 
 
 def stream_trailing(withdrawals: DataFrame, length: str = "24 hours", slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -106,6 +121,6 @@ def drained(df: DataFrame) -> DataFrame:
 
 
 def hourly_cycle(df: DataFrame, cycle: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):
-    """Run scoring and alerting on each batch of new data; ``every`` keeps it running on a period."""
+    """Hand each batch of new data and its number to ``cycle``; ``every`` keeps it running on a period."""
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return df.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(**trigger).start()

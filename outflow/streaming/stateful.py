@@ -29,6 +29,8 @@ class AlertProcessor(StatefulProcessor):
     """Remembers each machine's last alert (time, risk); later flags become new alerts or re-observations.
 
     A row waits until the watermark has passed it, so rows are judged in the order of their times whatever batch they come in.
+    Waiting rows lie in a map by the millisecond at which they are due, each with a timer of its own: an arrival and a timer
+    touch the rows of their own millisecond, however many others wait.
     """
 
     def __init__(self, cooldown_hours: float = COOLDOWN_HOURS, rise: float = MATERIAL_RISE):
@@ -37,27 +39,30 @@ class AlertProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.last = handle.getValueState("last", "at_us long, risk double")
-        self.pending = handle.getListState("pending", "at_us long, risk double")
+        self.pending = handle.getMapState("pending", "due_ms long", "at_us array<long>, risk array<double>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        arrived: dict[int, list[tuple[int, float]]] = {}
         for frame in rows:
-            times = micros(frame["at"])
-            if times:
-                self.pending.appendList(list(zip(times, map(float, frame["risk_score"]))))
-                first = min(times) if first is None else min(first, *times)
-        if first is not None:
-            self._wake(first)
+            for at, risk in zip(micros(frame["at"]), map(float, frame["risk_score"])):
+                arrived.setdefault(-(-at // 1000), []).append((at, risk))
+        for due, new in arrived.items():
+            if self.pending.containsKey((due,)):
+                times, risks = self.pending.getValue((due,))
+                new = [*zip(times, risks), *new]
+            else:
+                self.handle.registerTimer(due)
+            times, risks = zip(*new)
+            self.pending.updateValue((due,), (list(times), list(risks)))
         yield self._out([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((int(r[0]), float(r[1])) for r in self.pending.get()) if self.pending.exists() else []
-        due = [r for r in waiting if r[0] <= passed]
-        rest = waiting[len(due):]
+        # Timers of one key expire in the order of their times.
+        bucket = (expiredTimerInfo.getExpiryTimeInMs(),)
+        times, risks = self.pending.getValue(bucket) if self.pending.containsKey(bucket) else ((), ())
         state = self.last.get() if self.last.exists() else None
         out = []
-        for at, risk in due:
+        for at, risk in sorted(zip(map(int, times), map(float, risks))):
             recent = state is not None and at - state[0] <= self.cooldown
             delta = risk - state[1] if recent else None
             if recent and delta <= self.rise:
@@ -65,18 +70,11 @@ class AlertProcessor(StatefulProcessor):
                 continue
             out.append((key[0], at, risk, "new", delta))
             state = (at, risk)
-        if due:
+        if out:
             self.last.update(state)
-            if rest:
-                self.pending.put(rest)
-                self._wake(rest[0][0])
-            else:
-                self.pending.clear()
+            self.pending.removeKey(bucket)
         yield self._out(out)
 
-    def _wake(self, at_us: int) -> None:
-        self.handle.registerTimer(-(-at_us // 1000))
-
     @staticmethod
     def _out(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["atm_id", "at", "risk_score", "outcome", "risk_delta_vs_last"])
