@@ -1,7 +1,7 @@
 """Self-exciting complaint intensity per city on a daily axis: grid-search fit and evaluation.
 
-The counts of one city form one array as long as the calendar. The decayed sum of past events follows the
-recurrence S(d) = (S(d-1) + n(d-1)) exp(-beta), folded over that array, so no day is paired with another.
+The decayed sum of past events, S(d) = (S(d-1) + n(d-1)) exp(-beta), is a prefix of affine maps over blocks of days
+(``functions/recurrence.py``): no day is paired with another, and no city is gathered in one row.
 """
 
 from __future__ import annotations
@@ -9,17 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from outflow.functions.recurrence import decayed_before
+
 # The search grid.
 BETAS = [0.05, 0.1, 0.2, 0.4, 0.8, 1.5]
 ALPHA_FRACTIONS = [0.1, 0.25, 0.5, 0.75, 0.95]
 
 
-def _decayed(counts: Column, beta: Column) -> Column:
-    """Array of S(d) for every day of the counts array."""
-    step = lambda acc, n: F.concat(acc, F.array((F.element_at(acc, -1) + n) * F.exp(-beta)))
-    return F.slice(F.aggregate(counts, F.array(F.lit(0.0)), step), 1, F.size(counts))
-
-
 def _log_gamma(x: Column) -> Column:
     """ln Gamma for x > 0: ten recurrence steps up, then the Stirling series."""
     shift = F.lit(0.0)
@@ -30,13 +26,6 @@ def _log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + series - shift
 
 
-def _city_arrays(daily: DataFrame) -> DataFrame:
-    """(city, first step, counts in calendar order) from the dense daily table."""
-    return daily.groupBy("city").agg(
-        F.min("step").alias("first_step"), F.array_sort(F.collect_list(F.struct("step", "n"))).alias("_days")
-    ).select("city", "first_step", F.col("_days.n").cast("array<double>").alias("counts"))
-
-
 def hawkes_fit(daily: DataFrame, horizon: Column) -> DataFrame:
     """(city, mu, alpha, beta) of greatest likelihood over the grid, from dense (city, step, n).
 
@@ -44,31 +33,34 @@ def hawkes_fit(daily: DataFrame, horizon: Column) -> DataFrame:
     logarithms is a difference of log-gamma values, so large days cost nothing extra. Cities with fewer than
     two events get (n / horizon, 0, 0.1).
     """
-    grid = F.array(*[
-        F.struct(F.lit(i).alias("order"), F.lit(b).alias("beta"), F.lit(f * b).alias("alpha"))
-        for i, (b, f) in enumerate((b, f) for b in BETAS for f in ALPHA_FRACTIONS)
-    ])
-    cities = _city_arrays(daily).withColumn("events", F.aggregate("counts", F.lit(0.0), lambda a, n: a + n))
+    cities = daily.groupBy("city").agg(F.sum(F.col("n").cast("double")).alias("events"), F.min("step").alias("first_step"))
     cities = cities.withColumn("horizon", F.greatest(horizon.cast("double"), F.lit(1.0)))
     cities = cities.withColumn("mu", F.greatest(F.col("events") / F.col("horizon"), F.lit(1e-6)))
-    betas = F.array(*[F.lit(b) for b in BETAS])
-    # One fold per decay rate; the excitation sizes share it.
-    folded = cities.withColumn("beta", F.explode(betas)).withColumn("decayed", _decayed(F.col("counts"), F.col("beta")))
-    choices = folded.withColumn(
-        "choice", F.explode(F.filter(grid, lambda g: g["beta"] == F.col("beta")))
-    ).withColumn("alpha", F.col("choice.alpha"))
-    base = lambda s: F.col("mu") / F.col("alpha") + s
-    log_terms = F.zip_with(
-        "counts", "decayed",
-        lambda n, s: F.when(n > 0, n * F.ln(F.col("alpha")) + _log_gamma(base(s) + n) - _log_gamma(base(s))).otherwise(0.0),
+    betas = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(b).alias("beta")) for i, b in enumerate(BETAS)]))
+    # One pass per decay rate; the excitation sizes share it.
+    tried = daily.select("city", "step", F.col("n").cast("double").alias("n"), betas.alias("b")).select("city", "step", "n", "b.place", "b.beta")
+    tried = decayed_before(tried, ["city", "place"], "step", "n", "beta", "s").join(cities, "city")
+    n, beta = F.col("n"), F.col("beta")
+
+    def log_term(fraction: float) -> Column:
+        alpha = F.lit(fraction) * beta
+        base = F.col("mu") / alpha + F.col("s")
+        return F.when(n > 0, n * F.ln(alpha) + _log_gamma(base + n) - _log_gamma(base)).otherwise(0.0)
+
+    age = F.col("horizon") - (F.col("step") - F.col("first_step"))
+    sums = tried.groupBy("city", "events", "mu", "horizon", "place", "beta").agg(
+        F.sum(n * (1 - F.exp(-beta * age))).alias("spent"), *[F.sum(log_term(f)).alias(f"l{i}") for i, f in enumerate(ALPHA_FRACTIONS)]
     )
-    position = F.sequence(F.lit(0), F.size("counts") - 1)
-    spent = F.zip_with("counts", position, lambda n, d: n * (1 - F.exp(-F.col("beta") * (F.col("horizon") - d))))
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + v)
-    integral = F.col("mu") * F.col("horizon") + F.col("alpha") / F.col("beta") * total(spent)
-    scored = choices.withColumn("ll", total(log_terms) - integral)
-    best = F.max_by(F.struct("alpha", "beta"), F.struct("ll", -F.col("choice.order"))).alias("best")
-    fitted = scored.groupBy("city", "events", "mu", "horizon").agg(best)
+    choices = F.array(*[
+        F.struct(
+            # alpha / beta is the fraction.
+            (F.col(f"l{i}") - F.col("mu") * F.col("horizon") - F.lit(f) * F.col("spent")).alias("ll"),
+            (-(F.col("place") * len(ALPHA_FRACTIONS) + i)).alias("order"), (F.lit(f) * beta).alias("alpha"), beta.alias("beta"),
+        )
+        for i, f in enumerate(ALPHA_FRACTIONS)
+    ])
+    best = F.max(F.array_max(choices)).alias("best")
+    fitted = sums.groupBy("city", "events", "mu", "horizon").agg(best)
     enough = F.col("events") >= 2
     return fitted.select(
         "city", F.when(enough, F.col("mu")).otherwise(F.col("events") / F.col("horizon")).alias("mu"),
@@ -79,8 +71,6 @@ def hawkes_fit(daily: DataFrame, horizon: Column) -> DataFrame:
 
 def hawkes_intensity(daily: DataFrame, params: DataFrame, out: str = "hawkes_intensity_24h") -> DataFrame:
     """Add mu + alpha * sum over strictly earlier days of n exp(-beta age); 0 for cities without parameters."""
-    lists = _city_arrays(daily).join(params, "city")
-    days = lists.select(
-        "city", "first_step", "mu", "alpha", F.posexplode(_decayed(F.col("counts"), F.col("beta"))).alias("offset", "s")
-    ).select("city", (F.col("first_step") + F.col("offset")).alias("step"), (F.col("mu") + F.col("alpha") * F.col("s")).alias(out))
-    return daily.join(days, ["city", "step"], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    known = params.select("city", F.col("mu").alias("_mu"), F.col("alpha").alias("_alpha"), F.col("beta").alias("_beta"))
+    summed = decayed_before(daily.join(known, "city", "left"), ["city"], "step", "n", "_beta", "_decayed")
+    return summed.select(*daily.columns, F.coalesce(F.col("_mu") + F.col("_alpha") * F.col("_decayed"), F.lit(0.0)).alias(out))
