@@ -12,9 +12,10 @@ from outflow.catalog.joins_windows import HAVERSINE
 from outflow.catalog.registry import day, money, query, r4, r6
 from outflow.functions import scalar as fx
 from outflow.operators import drift, fairness, metrics
-from outflow.plans import simulation, splits
+from outflow.plans import daily, simulation, splits
 from outflow.session import durable
 from outflow.sources.views import Tables
+from outflow.streaming.jobs import stream_folder
 
 TIE = ["atm_id", "day"]
 SPLIT = date(2024, 1, 22)
@@ -184,7 +185,7 @@ def _(t: Tables) -> DataFrame:
     return metrics.youden_threshold(t.scores)
 
 
-CHECKED = ["withdrawals_24h", "amount_sum_24h", "fraud_decay_7d", "n_complaints_city_7d", "night_ratio_24h", "mule_reuse_count_7d"]
+CHECKED = daily.FEATURES
 
 
 @query("g23_per_feature_auc", matrix_sql(f"""
@@ -366,14 +367,14 @@ def _(t: Tables) -> DataFrame:
     return simulation.intervention_sim(ranked, fraud, [10, 20, 50], rank_by="complaints_nearby")
 
 
-DRIFT_CHECKED = ["withdrawals_24h", "amount_sum_24h", "distinct_accounts_24h", "n_complaints_city_7d", "night_ratio_24h", "amount_max_7d"]
+DRIFT_CHECKED = drift.DRIFT_FEATURES
 
 
-def _drift_ctes() -> str:
+def _drift_ctes(current: str | None = None) -> str:
     long = lambda name, where: f"{name} AS (" + " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round({c}::DOUBLE, 6) AS v FROM matrix WHERE {where}" for c in DRIFT_CHECKED
     ) + ")"
-    return f"""{MATRIX_CTES}, {long('ref', f'day < {SPLIT_SQL}')}, {long('cur', f'day >= {SPLIT_SQL}')},
+    return f"""{MATRIX_CTES}, {long('ref', f'day < {SPLIT_SQL}')}, {long('cur', current or f'day >= {SPLIT_SQL}')},
     q AS (SELECT feature, unnest(quantile_cont(v, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS e FROM ref GROUP BY 1),
     e AS (SELECT feature, e, row_number() OVER (PARTITION BY feature ORDER BY e) AS b, count(*) OVER (PARTITION BY feature) AS ne
           FROM (SELECT DISTINCT feature, e FROM q)),
@@ -420,3 +421,27 @@ def _(t: Tables) -> DataFrame:
     status = drift.drift_status(drift.psi(after, drift.psi_reference(before, DRIFT_CHECKED), DRIFT_CHECKED))
     names = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",").alias(c)
     return status.select("status", "n_features", "n_flagged", "max_psi", "retrain_triggered", names("flagged"), names("warned"))
+
+
+# The periods of the history, by their first day after the split.
+PERIODS = {"early": (0, 4), "late": (4, 60)}
+
+
+def _history_sql(name: str, lo: int, hi: int) -> str:
+    return f"""SELECT '{name}' AS run, count(*) AS n_features, max(psi) AS max_psi, count(*) FILTER (psi > 0.2) AS n_flagged
+        FROM (WITH {_drift_ctes(f'day >= {SPLIT_SQL} + {lo} AND day < {SPLIT_SQL} + {hi}')} SELECT psi FROM psi)"""
+
+
+@query("g43_drift_history", " UNION ALL ".join(_history_sql(name, *days) for name, days in PERIODS.items()), VIEWS)
+def _(t: Tables) -> DataFrame:
+    before, after = _drift_parts(t)
+    reference = drift.psi_reference(before, DRIFT_CHECKED)
+    path = f"{stream_folder(t.spark)}/history"
+    # The first period is reported twice: the second report takes the place of the first.
+    for name in (*PERIODS, "early"):
+        lo, hi = PERIODS[name]
+        part = after.where((F.col("day") >= F.date_add(F.lit(SPLIT), lo)) & (F.col("day") < F.date_add(F.lit(SPLIT), hi)))
+        scored = drift.psi(part, reference, DRIFT_CHECKED)
+        report = scored.agg(F.count("*").alias("n_features"), F.max("psi").alias("max_psi"), F.count_if(F.col("psi") > drift.RED).alias("n_flagged"))
+        drift.append_history(report, path, name)
+    return drift.drift_history(t.spark, path, "run")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
 from outflow.functions.ordering import exact_quantiles, running_totals, value_ranks
+from outflow.functions.quantiles import exact_cuts
 from outflow.operators.listing import at, named_accounts, page
 from outflow.operators.scope import apply_scope, at_visible_atms
 from outflow.schemas import ADMIN, BANK
@@ -194,7 +195,8 @@ def unpivoted(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -
 
 def quantiles(df: DataFrame, columns: Sequence[str], at_: Sequence[float] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """(feature, q): exact interpolated quantiles of each column."""
-    return exact_quantiles(unpivoted(df, columns), ["feature"], "value", at_).select("feature", "q")
+    rows = [(c, q or None) for c, (_, q) in exact_cuts(df, columns, at_).items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, q array<double>")
 
 
 def score_status(scores: DataFrame, threshold: float = fx.HIGH) -> DataFrame:
@@ -231,11 +233,10 @@ def first_event(withdrawals: DataFrame) -> DataFrame:
 
 def terciles(df: DataFrame, column: str, name: str = "tercile") -> DataFrame:
     """low / mid / high by exact third quantiles, right-closed, so equal values share a group."""
-    cuts = exact_quantiles(df, [], column, [1 / 3, 2 / 3]).select("q").scalar()
+    _, cuts = exact_cuts(df, [column], [1 / 3, 2 / 3])[column]
+    low, mid = cuts or (None, None)
     c = F.col(column)
-    cut = df.withColumn("_cuts", cuts)
-    label = F.when(c <= F.element_at("_cuts", 1), "low").when(c <= F.element_at("_cuts", 2), "mid").otherwise("high")
-    return cut.withColumn(name, label).drop("_cuts")
+    return df.withColumn(name, F.when(c <= F.lit(low), "low").when(c <= F.lit(mid), "mid").otherwise("high"))
 
 
 def gini(df: DataFrame, column: str) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from outflow.functions import scalar as fx
-from outflow.functions.ordering import exact_quantiles
-from outflow.operators.aggregates import unpivoted
+from outflow.functions.quantiles import cell_counts, exact_cuts
 
 # The monitored features and the two alarm levels.
 DRIFT_FEATURES = [
@@ -25,48 +24,42 @@ BINS = 10
 FLOOR = 1e-6
 
 
-def _binned(long: DataFrame, profile: DataFrame) -> DataFrame:
-    """(feature, bin, n): rows per bin between consecutive edges, the last closed; values outside are dropped.
+def _shares(df: DataFrame, edges: dict[str, list[float]]) -> dict[str, list[float]]:
+    """Per feature the share of rows in each bin between consecutive edges, the last closed; values outside are dropped.
 
-    The edges are one array per monitored feature, so they travel as a single map value.
+    A feature with one edge has one bin, which holds every row.
     """
-    edges = profile.agg(F.map_from_entries(F.collect_list(F.struct("feature", "edges")))).scalar()
-    marked = long.withColumn("_e", F.element_at(edges, F.col("feature")))
-    v, n = F.col("value"), F.size("_e")
-    passed = F.size(F.filter("_e", lambda e: e <= v))
-    bin_ = F.when(n == 1, 1).when(v == F.element_at("_e", -1), n - 1).otherwise(passed)
-    inside = (n == 1) | ((F.col("bin") >= 1) & (F.col("bin") <= n - 1))
-    return marked.withColumn("bin", bin_).where(inside).groupBy("feature", "bin").agg(F.count("*").alias("n"))
-
-
-def _filled(binned: DataFrame, profile: DataFrame, name: str) -> DataFrame:
-    """Shares per feature and bin, empty bins included."""
-    bins = F.greatest(F.size("edges") - 1, F.lit(1))
-    grid = profile.select("feature", F.explode(F.sequence(F.lit(1), bins)).alias("bin"))
-    totals = binned.groupBy("feature").agg(F.sum("n").alias("total"))
-    joined = grid.join(binned, ["feature", "bin"], "left").join(totals, "feature", "left")
-    share = F.coalesce(F.col("n"), F.lit(0)) / F.greatest(F.coalesce("total", F.lit(1)), F.lit(1))
-    return joined.select("feature", "bin", share.alias(name))
+    out = {}
+    for feature, cells in cell_counts(df, edges).items():
+        at, between = cells[1::2], cells[2::2]
+        bins = [int(cells.sum())] if len(at) == 1 else [int(n) for n in at[:-1] + between[:-1]]
+        if len(at) > 1:
+            bins[-1] += int(at[-1])
+        total = max(sum(bins), 1)
+        out[feature] = [n / total for n in bins]
+    return out
 
 
 def psi_reference(df: DataFrame, features: Sequence[str] = tuple(DRIFT_FEATURES), bins: int = BINS) -> DataFrame:
     """(feature, edges, expected): distinct decile edges and the share of rows in each bin."""
-    long = unpivoted(df.na.fill(0.0, list(features)), features)
-    cuts = exact_quantiles(long, ["feature"], "value", [i / bins for i in range(bins + 1)])
-    profile = cuts.select("feature", F.array_distinct("q").alias("edges"))
-    shares = _filled(_binned(long, profile), profile, "share")
-    expected = F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda s: s["share"])
-    return profile.join(shares.groupBy("feature").agg(expected.alias("expected")), "feature")
+    filled = df.na.fill(0.0, list(features))
+    cuts = exact_cuts(filled, features, [i / bins for i in range(bins + 1)])
+    edges = {f: sorted(set(values)) for f, (rows, values) in cuts.items() if rows}
+    shares = _shares(filled, edges) if edges else {}
+    profile = [(f, [float(e) for e in edges[f]], shares[f]) for f in edges]
+    return df.sparkSession.createDataFrame(profile, "feature string, edges array<double>, expected array<double>")
 
 
 def psi(df: DataFrame, reference: DataFrame, features: Sequence[str] = tuple(DRIFT_FEATURES)) -> DataFrame:
     """(feature, psi): sum of (a - e) ln(a / e) over the bins, shares floored."""
-    long = unpivoted(df.na.fill(0.0, list(features)), features)
-    actual = _filled(_binned(long, reference), reference, "actual")
-    expected = reference.select("feature", F.posexplode("expected").alias("i", "expected")).withColumn("bin", F.col("i") + 1)
-    joined = expected.join(actual, ["feature", "bin"])
-    a, e = F.greatest(F.col("actual"), F.lit(FLOOR)), F.greatest(F.col("expected"), F.lit(FLOOR))
-    return joined.groupBy("feature").agg(fx.rounded(F.sum((a - e) * F.ln(a / e))).alias("psi"))
+    # One row per monitored feature.
+    profile = {r.feature: r for r in reference.where(F.col("feature").isin(list(features))).collect()}
+    shares = _shares(df.na.fill(0.0, list(profile)), {f: r.edges for f, r in profile.items()}) if profile else {}
+    rows = [(f, list(r.expected), shares[f]) for f, r in profile.items()]
+    both = df.sparkSession.createDataFrame(rows, "feature string, expected array<double>, actual array<double>")
+    floored = lambda c: F.greatest(c, F.lit(FLOOR))
+    term = F.zip_with("actual", "expected", lambda a, e: (floored(a) - floored(e)) * F.ln(floored(a) / floored(e)))
+    return both.select("feature", fx.rounded(F.aggregate(term, F.lit(0.0), lambda total, x: total + x)).alias("psi"))
 
 
 def drift_level(value: Column, threshold: float = RED) -> Column:
@@ -92,8 +85,9 @@ def drift_status(scored: DataFrame | None, spark: SparkSession | None = None, th
     )
 
 
-def append_history(report: DataFrame, path: str) -> None:
-    report.write.mode("append").parquet(path)
+def append_history(report: DataFrame, path: str, run: str) -> None:
+    """Add a report under the name of its run; a run that is repeated replaces its own report."""
+    report.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
 def drift_history(spark: SparkSession, path: str, order: str, keep: int | None = None) -> DataFrame:

@@ -127,7 +127,8 @@ def test_psi_zero_inflated_and_outside(spark):
 
 def test_drift_history_keeps_the_newest(spark, tmp_path):
     for i in range(4):
-        drift.append_history(spark.createDataFrame([(i,)], "n int"), str(tmp_path / "h"))
+        drift.append_history(spark.createDataFrame([(i,)], "n int"), str(tmp_path / "h"), f"day{i}")
+    drift.append_history(spark.createDataFrame([(3,)], "n int"), str(tmp_path / "h"), "day3")
     assert [r.n for r in drift.drift_history(spark, str(tmp_path / "h"), "n", 2).collect()] == [3, 2]
 
 
