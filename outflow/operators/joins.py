@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from outflow.functions import scalar as fx
 from outflow.functions.ordering import nearest_value, running_totals
 from outflow.operators.listing import at, named_accounts
+from outflow.session import durable
 
 
 def dense_grid(keys: DataFrame, name: str, start: Column, end: Column, step: str | None = None) -> DataFrame:
@@ -75,11 +76,40 @@ def pending_alerts(alerts: DataFrame, outcomes: DataFrame, as_of: datetime, hour
     return old.join(outcomes.select("alert_id"), "alert_id", "left_anti")
 
 
+#: Rows of one side that meet in one group of a join.
+GROUP_ROWS = 50_000
+#: Hot groups of a join that are sent to every task; beyond, the planner joins them.
+HOT_GROUPS = 100_000
+
+
+def bounded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], bound: int = GROUP_ROWS) -> DataFrame:
+    """An inner join on keys in which no group meets more than about ``bound`` rows of either side.
+
+    A key with more is cut into chunks of both sides by hash; every chunk of one side is sent to all chunks of the other, so
+    a hot key is a grid of groups. Keys below the bound are joined as they are.
+    """
+    n = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / bound).alias(name))
+    hot = durable(n(left, "_rows").join(n(right, "_cols"), list(keys)).where("_rows > 1 OR _cols > 1"))
+    groups = hot.count()
+    if not groups:
+        return left.join(right, list(keys))
+    hot = F.broadcast(hot) if groups <= HOT_GROUPS else hot
+    # The number of the row keeps equal rows apart.
+    chunk = lambda df, of: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) + F.monotonically_increasing_id(), F.coalesce(F.col(of), F.lit(1)))
+    all_of = lambda of: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(of), F.lit(1)).cast("bigint") - 1))
+    cut_left = left.join(hot, list(keys), "left").withColumn("_row", chunk(left, "_rows")).withColumn("_col", all_of("_cols"))
+    cut_right = right.join(hot, list(keys), "left").withColumn("_col", chunk(right, "_cols")).withColumn("_row", all_of("_rows"))
+    grid = [*keys, "_row", "_col"]
+    return cut_left.drop("_rows", "_cols").join(cut_right.drop("_rows", "_cols"), grid).drop("_row", "_col")
+
+
 def interval_join(left: DataFrame, events: DataFrame, key: str, left_ts: str, event_ts: str, lo_hours: float,
-                  hi_hours: float, slice_hours: int = 24) -> DataFrame:
+                  hi_hours: float, slice_hours: int = 24, bound: int = GROUP_ROWS) -> DataFrame:
     """Pairs with equal key and event time in [t + lo, t + hi].
 
-    Each left row is copied to the few time slices its interval touches, which makes (key, slice) an equi-join.
+    Each left row is copied to the few time slices its interval touches, which makes (key, slice) an equi-join. Events are counted
+    per key and slice first; a slice with more than ``bound`` of them is halved until its parts would hold no more, down to a
+    second. What even seconds leave together is cut into chunks.
     """
     span = lambda h: F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(float(h * 3600)))
     seconds = slice_hours * 3600
@@ -88,8 +118,20 @@ def interval_join(left: DataFrame, events: DataFrame, key: str, left_ts: str, ev
         "_slice", F.explode(F.sequence(_slice_of(F.col("_lo"), seconds), _slice_of(F.col("_hi"), seconds)))
     )
     sliced = events.withColumn("_slice", _slice_of(F.col(event_ts), seconds))
-    joined = wide.join(sliced, [key, "_slice"])
-    return joined.where((F.col(event_ts) >= F.col("_lo")) & (F.col(event_ts) <= F.col("_hi"))).drop("_slice", "_lo", "_hi")
+    keys = [key, "_slice"]
+    halvings = F.least(F.ceil(F.log2(F.col("_n") / bound)), F.lit(math.floor(math.log2(seconds)))).cast("int")
+    dense = sliced.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > bound).select(*keys, halvings.alias("_deep"))
+    dense = durable(dense)
+    if not dense.isEmpty():
+        parts = F.pow(F.lit(2.0), F.coalesce("_deep", F.lit(0)))
+        # Seconds from the slice's start, held inside the slice.
+        within = lambda ts: F.greatest(F.lit(0), F.least(F.lit(seconds - 1), F.unix_seconds(ts.cast("timestamp")) - F.col("_slice") * seconds))
+        part = lambda ts: F.floor(within(ts) * parts / seconds).cast("bigint")
+        wide = wide.join(dense, keys, "left").withColumn("_part", F.explode(F.sequence(part(F.col("_lo")), part(F.col("_hi"))))).drop("_deep")
+        sliced = sliced.join(dense, keys, "left").withColumn("_part", part(F.col(event_ts))).drop("_deep")
+        keys.append("_part")
+    joined = bounded_join(wide, sliced, keys, bound)
+    return joined.where((F.col(event_ts) >= F.col("_lo")) & (F.col(event_ts) <= F.col("_hi"))).drop(*keys[1:], "_lo", "_hi")
 
 
 def exists_within(grid: DataFrame, events: DataFrame, key: str, grid_ts: str, event_ts: str,
@@ -125,27 +167,31 @@ def _lon_cell(lon: Column, cells: Column) -> Column:
     return F.pmod(F.floor((lon + 180.0) / 360.0 * cells).cast("bigint"), cells)
 
 
+def _cells_around(points: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Every point with the up to nine cells that touch its own."""
+    around = points.withColumn("_b", _lat_band(F.col(lat), km)).withColumn("_band", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1)))
+    around = around.withColumn("_n", _lon_cells(F.col("_band"), km)).withColumn("_c", _lon_cell(F.col(lon), F.col("_n")))
+    ring = F.array_distinct(
+        F.array(F.pmod(F.col("_c") - 1, F.col("_n")), F.col("_c"), F.pmod(F.col("_c") + 1, F.col("_n")))
+    )
+    return around.withColumn("_cell", F.explode(ring)).drop("_b", "_n", "_c")
+
+
 def near(points: DataFrame, centres: DataFrame, km: float, point_lat: str, point_lon: str, centre_lat: str,
-         centre_lon: str, distance: str = "distance_km") -> DataFrame:
+         centre_lon: str, distance: str = "distance_km", bound: int = GROUP_ROWS) -> DataFrame:
     """Pairs of points and centres at most ``km`` apart.
 
     The earth is cut into latitude bands and, per band, longitude cells at least ``km`` wide. A centre sits in one
-    cell; a point is copied to the up to nine cells around it; the exact distance decides. Cells wrap at the date line.
+    cell; a point is copied to the up to nine cells around it; the exact distance decides. Cells wrap at the date line. A dense cell
+    is met in chunks of ``bound`` rows.
     """
     cells_c = _lon_cells(F.col("_band"), km)
     placed = centres.withColumn("_band", _lat_band(F.col(centre_lat), km)).withColumn(
         "_cell", _lon_cell(F.col(centre_lon), cells_c)
     )
-    around = points.withColumn("_b", _lat_band(F.col(point_lat), km)).withColumn(
-        "_band", F.explode(F.sequence(F.col("_b") - 1, F.col("_b") + 1))
-    )
-    around = around.withColumn("_n", _lon_cells(F.col("_band"), km)).withColumn("_c", _lon_cell(F.col(point_lon), F.col("_n")))
-    ring = F.array_distinct(
-        F.array(F.pmod(F.col("_c") - 1, F.col("_n")), F.col("_c"), F.pmod(F.col("_c") + 1, F.col("_n")))
-    )
-    around = around.withColumn("_cell", F.explode(ring)).drop("_b", "_n", "_c")
+    around = _cells_around(points, km, point_lat, point_lon)
     gap = fx.haversine_km(F.col(point_lat), F.col(point_lon), F.col(centre_lat), F.col(centre_lon))
-    pairs = around.join(placed, ["_band", "_cell"]).withColumn(distance, gap)
+    pairs = bounded_join(around, placed, ["_band", "_cell"], bound).withColumn(distance, gap)
     return pairs.where(F.col(distance) <= km).drop("_band", "_cell")
 
 
@@ -196,17 +242,72 @@ def amount_cluster(df: DataFrame, keys: Sequence[str], amount: str, tolerance: f
     return df.withColumn("_c", cents).join(sizes, [*keys, "_c"]).drop("_c")
 
 
-def proximity_counts(atms: DataFrame, complaints: DataFrame, km: float = 2.0) -> DataFrame:
+#: A cell with more places is split; the smallest cell is 2 ** -DEEPEST of the radius.
+LEAF_PLACES, DEEPEST = 1024, 12
+
+
+def _fine(level: int, lat: Column, lon: Column, km: float) -> tuple[Column, Column]:
+    """Row and column of the quarter cells of a level; two to a row and column of the level above."""
+    rows = F.floor(lat / (math.degrees(km / fx.EARTH_RADIUS_KM) / 2**level)).cast("bigint")
+    cells = _lon_cells(_lat_band(lat, km), km) * 2**level
+    return rows, _lon_cell(lon, cells)
+
+
+def _reach(level: int, km: float, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """No more than the least and no less than the greatest distance from a point to the cell (_band, _y, _x) of a level."""
+    height = math.degrees(km / fx.EARTH_RADIUS_KM) / 2**level
+    width = 360.0 / (_lon_cells(F.col("_band"), km) * 2**level)
+    south, west = F.col("_y") * height, F.col("_x") * width - 180.0
+    north, east = south + height, west + width
+    corners = [fx.haversine_km(lat, lon, y, x) for y in (south, north) for x in (west, east)]
+    farthest = F.when(width < 90, F.greatest(*corners)).otherwise(F.lit(float("inf")))
+    by_lat = F.radians(F.greatest(south - lat, lat - north, F.lit(0.0)))
+    turn = lambda a, b: F.least(F.abs(a - b), 360.0 - F.abs(a - b))
+    aside = F.when((lon >= west) & (lon <= east), 0.0).otherwise(F.least(turn(lon, west), turn(lon, east)))
+    by_lon = F.asin(F.cos(F.radians(lat)) * F.sin(F.radians(F.least(aside, F.lit(90.0)))))
+    return fx.EARTH_RADIUS_KM * F.greatest(by_lat, by_lon), farthest
+
+
+def proximity_counts(atms: DataFrame, complaints: DataFrame, km: float = 2.0, leaf: int = LEAF_PLACES) -> DataFrame:
     """(machine, day, n): complaints within ``km`` filed on the day or the day before; other days have no row.
 
-    Complaints are counted per place and day before the spatial join.
+    Complaints are counted per place and day first. Round by round, the cells around each machine are told apart: one that lies
+    beyond the radius is left, one wholly inside it gives its totals, one with at most ``leaf`` places is measured place by place, and any other is
+    split into four. So a dense cell is paired with a machine only along the edge of the circle.
     """
     places = complaints.where(F.col("victim_lat").isNotNull() & F.col("victim_lon").isNotNull()).groupBy(
         "victim_lat", "victim_lon", F.to_date("filing_timestamp").alias("filed")
     ).agg(F.count("*").alias("n"))
-    pairs = near(
-        atms.select("atm_id", "latitude", "longitude"), places, km, "latitude", "longitude", "victim_lat", "victim_lon"
-    )
+    lat, lon = F.col("victim_lat"), F.col("victim_lon")
+    places = durable(places.withColumn("_band", _lat_band(lat, km)).withColumn("_cell", _lon_cell(lon, _lon_cells(F.col("_band"), km))))
+    machines = atms.select("atm_id", "latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL")
+    asked = _cells_around(machines, km, "latitude", "longitude").withColumnsRenamed({"_cell": "_x"}).withColumn("_y", F.col("_band"))
+    cell, found = ["_band", "_y", "_x"], []
+    for level in range(DEEPEST + 1):
+        y, x = _fine(level, lat, lon, km)
+        here = places.withColumn("_y", y).withColumn("_x", x)
+        if level:
+            # Only what lies in cells that are still asked for.
+            here = here.join(asked.select(*cell).distinct(), cell, "left_semi")
+        sizes = here.groupBy(*cell).agg(F.count("*").alias("_places"))
+        least, most = _reach(level, km, F.col("latitude"), F.col("longitude"))
+        judged = asked.join(sizes, cell).withColumn("_least", least).withColumn("_most", most).where(F.col("_least") <= km * (1 + 1e-9))
+        inside = F.col("_most") <= km * (1 - 1e-9)
+        small = (F.col("_places") <= leaf) | F.lit(level == DEEPEST)
+        judged = durable(judged.withColumn("_do", F.when(inside, "whole").when(small, "each").otherwise("split")).select("atm_id", "latitude", "longitude", *cell, "_do"))
+        totals = here.groupBy(*cell, "filed").agg(F.sum("n").alias("n"))
+        found.append(judged.where("_do = 'whole'").join(totals, cell).select("atm_id", "filed", "n"))
+        gap = fx.haversine_km(F.col("latitude"), F.col("longitude"), lat, lon)
+        each = bounded_join(judged.where("_do = 'each'").drop("_do"), here.drop("_cell"), cell)
+        found.append(each.where(gap <= km).select("atm_id", "filed", "n"))
+        rest = judged.where("_do = 'split'")
+        if rest.isEmpty():
+            break
+        quarters = F.array(*[F.struct((2 * F.col("_y") + i).alias("_y"), (2 * F.col("_x") + j).alias("_x")) for i in (0, 1) for j in (0, 1)])
+        asked = rest.select("atm_id", "latitude", "longitude", "_band", F.inline(quarters))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
     return pairs.select("atm_id", "n", F.explode(F.sequence(F.col("filed"), F.date_add("filed", 1))).alias("day")).groupBy(
         "atm_id", "day"
     ).agg(F.sum("n").alias("complaints_nearby"))
