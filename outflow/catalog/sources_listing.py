@@ -287,9 +287,9 @@ def _(t: Tables) -> DataFrame:
     SELECT linked_account_token, string_agg(complaint_id, ',' ORDER BY n) AS complaint_ids FROM (
         SELECT linked_account_token, complaint_id, row_number() OVER (
             PARTITION BY linked_account_token ORDER BY filing_timestamp DESC, complaint_id) AS n FROM order_complaints)
-    WHERE n <= 20 GROUP BY 1""", ("order_complaints",))
+    GROUP BY 1""", ("order_complaints",))
 def _(t: Tables) -> DataFrame:
-    return listing.complaint_ids_for_account(t.order_complaints).select(
+    return listing.complaint_ids_for_account(t.order_complaints, None).select(
         "linked_account_token", F.array_join("complaint_ids", ",").alias("complaint_ids")
     )
 

@@ -180,13 +180,13 @@ def _(t: Tables) -> DataFrame:
                  QUALIFY row_number() OVER (PARTITION BY atm_id ORDER BY n DESC, account_token) <= 3),
     ids AS (SELECT account_token, string_agg(complaint_id, ',' ORDER BY p) AS ids FROM (
                 SELECT linked_account_token AS account_token, complaint_id, row_number() OVER (
-                    PARTITION BY linked_account_token ORDER BY filing_timestamp DESC, complaint_id) AS p FROM complaints) WHERE p <= 5 GROUP BY 1)
+                    PARTITION BY linked_account_token ORDER BY filing_timestamp DESC, complaint_id) AS p FROM complaints) GROUP BY 1)
     SELECT alert_id, act.account_token, coalesce(home_bank, a.bank_name) AS home_bank, ids AS linked_complaint_ids, amount AS amount_at_risk,
            CASE WHEN risk_score >= 0.85 THEN 'freeze' ELSE 'hold' END AS recommended_action
     FROM alerts a JOIN act ON a.atm_id = act.atm_id LEFT JOIN ids ON ids.account_token = act.account_token
     LEFT JOIN accounts c ON c.account_token = act.account_token""", ("alerts", "withdrawals", "complaints", "accounts"))
 def _(t: Tables) -> DataFrame:
-    blocks = al.fund_block(t.alerts, t.withdrawals, t.complaints, t.accounts, AS_OF, hours=None)
+    blocks = al.fund_block(t.alerts, t.withdrawals, t.complaints, t.accounts, AS_OF, None, hours=None)
     return blocks.select(
         "alert_id", "account_token", "home_bank", F.array_join("linked_complaint_ids", ",").alias("linked_complaint_ids"),
         "amount_at_risk", "recommended_action",
@@ -378,13 +378,15 @@ H24, D7 = f"filing_timestamp >= {AS_OF_SQL} - INTERVAL 24 HOUR", f"filing_timest
            (SELECT count(*) FROM alerts WHERE status = 'actioned') AS alerts_actioned,
            {_text_sql('complaints', 'victim_city', H24)} AS complaints_by_city_24h, {_text_sql('complaints', 'victim_city', D7)} AS complaints_by_city_7d,
            {_text_sql('complaints', 'complaint_type', H24)} AS complaints_by_type_24h,
+           (SELECT string_agg(city || '=' || '{{' || kinds || '}}', ',' ORDER BY city) FROM (SELECT city, string_agg('"' || k || '":' || n, ',' ORDER BY k) AS kinds
+            FROM (SELECT victim_city AS city, complaint_type AS k, count(*) AS n FROM complaints WHERE {H24} GROUP BY 1, 2) GROUP BY 1)) AS complaints_by_city_type_24h,
            {_text_sql('latest_scores', 'city', 'risk_score >= 0.7')} AS high_risk_atms_by_city,
            (SELECT string_agg(atm_id, ',' ORDER BY risk_score DESC, atm_id) FROM (SELECT atm_id, risk_score FROM latest_scores ORDER BY risk_score DESC, atm_id LIMIT 20)) AS hotspots""",
     ("complaints", "withdrawals", "atms", "alerts", "latest_scores"))
 def _(t: Tables) -> DataFrame:
     row = reports.summary_stats(t.complaints, t.withdrawals, t.atms, t.alerts, t.latest_scores, AS_OF)
-    maps = ["complaints_by_city_24h", "complaints_by_city_7d", "complaints_by_type_24h", "high_risk_atms_by_city"]
-    plain = [c for c in row.columns if c not in (*maps, "hotspots", "complaints_by_city_type_24h")]
+    maps = ["complaints_by_city_24h", "complaints_by_city_7d", "complaints_by_type_24h", "complaints_by_city_type_24h", "high_risk_atms_by_city"]
+    plain = [c for c in row.columns if c not in (*maps, "hotspots")]
     return row.select(*plain, *[_text(m) for m in maps], F.array_join("hotspots", ",").alias("hotspots"))
 
 
@@ -393,12 +395,12 @@ def _(t: Tables) -> DataFrame:
            (SELECT count(*) FROM complaints WHERE victim_city = s.city AND {H24}) AS complaints_24h,
            (SELECT count(*) FROM complaints WHERE victim_city = s.city AND {D7}) AS complaints_7d,
            (SELECT string_agg(atm_id, ',' ORDER BY p) FROM (SELECT city, atm_id, row_number() OVER (PARTITION BY city ORDER BY risk_score DESC, atm_id) AS p
-            FROM latest_scores) x WHERE x.city = s.city AND p <= 10) AS hotspots,
+            FROM latest_scores) x WHERE x.city = s.city) AS hotspots,
            coalesce((SELECT string_agg(alert_id, ',' ORDER BY p) FROM (SELECT city, alert_id, row_number() OVER (PARTITION BY city ORDER BY alerts.created_at DESC, alert_id) AS p
-            FROM alerts WHERE status IN ('new', 'acknowledged')) x WHERE x.city = s.city AND p <= 100), '') AS open_alerts
+            FROM alerts WHERE status IN ('new', 'acknowledged')) x WHERE x.city = s.city), '') AS open_alerts
     FROM latest_scores s GROUP BY 1""", ("complaints", "alerts", "latest_scores"))
 def _(t: Tables) -> DataFrame:
-    brief = reports.city_brief(t.complaints, t.alerts, t.latest_scores, AS_OF)
+    brief = reports.city_brief(t.complaints, t.alerts, t.latest_scores, AS_OF, None, None)
     return brief.select(
         "city", "atms_scored", "high_risk_atms", "complaints_24h", "complaints_7d", F.array_join("hotspots.atm_id", ",").alias("hotspots"),
         F.coalesce(F.array_join("open_alerts.alert_id", ","), F.lit("")).alias("open_alerts"),
@@ -406,30 +408,43 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("d33_situational_report", f"""
-    SELECT count(*) AS alerts_total, count(*) FILTER (status = 'new') AS alerts_new, count(*) FILTER (status = 'actioned') AS alerts_actioned,
+    SELECT 'situational' AS report_type, count(*) AS alerts_total, count(*) FILTER (status = 'new') AS alerts_new, count(*) FILTER (status = 'actioned') AS alerts_actioned,
            {_text_sql('complaints', 'victim_city', H24)} AS complaints_per_city_24h, {_text_sql('complaints', 'victim_city', D7)} AS complaints_per_city_7d,
            {_text_sql('complaints', 'complaint_type', H24)} AS complaints_by_type_24h,
            {_text_sql('alerts', 'district', 'risk_score >= 0.7')} AS high_risk_atms_per_district,
-           (SELECT {money('amount_at_risk')} FROM recovery) AS flagged, (SELECT {money('amount_recovered')} FROM recovery) AS recovered
+           (SELECT {money('amount_at_risk')} FROM recovery) AS flagged, (SELECT {money('amount_recovered')} FROM recovery) AS recovered,
+           (SELECT {money('amount_held')} FROM recovery) AS held, (SELECT {r6(f"round(100 * {money('amount_recovered')} / {money('amount_at_risk')}, 2)")} FROM recovery) AS recovery_rate_pct
     FROM alerts""", ("complaints", "alerts", "recovery"))
 def _(t: Tables) -> DataFrame:
     row = reports.situational_report(t.complaints, t.alerts, t.recovery, AS_OF, recovery_days=None)
     maps = ["complaints_per_city_24h", "complaints_per_city_7d", "complaints_by_type_24h", "high_risk_atms_per_district"]
     return row.select(
-        "alerts_total", "alerts_new", "alerts_actioned", *[_text(m) for m in maps],
-        F.col("recovery_funnel.flagged").alias("flagged"), F.col("recovery_funnel.recovered").alias("recovered"),
+        "report_type", "alerts_total", "alerts_new", "alerts_actioned", *[_text(m) for m in maps],
+        *[F.col(f"recovery_funnel.{c}").alias(c) for c in ("flagged", "held", "recovered", "recovery_rate_pct")],
     )
 
 
 @query("d34_hotspot_report", f"""
-    WITH close AS (SELECT atm_id, complaint_id, row_number() OVER (PARTITION BY atm_id ORDER BY filing_timestamp DESC, complaint_id) AS p
-                   FROM atms, complaints WHERE filing_timestamp BETWEEN {AS_OF_SQL} - INTERVAL 240 HOUR AND {AS_OF_SQL} AND {DIST} <= 2.0)
-    SELECT alert_id AS case_ref, state, {r6('risk_score')} AS risk_score, (SELECT count(*) FROM close c WHERE c.atm_id = a.atm_id) AS complaints_near,
-           coalesce((SELECT string_agg(complaint_id, ',' ORDER BY p) FROM close c WHERE c.atm_id = a.atm_id AND p <= 10), '') AS linked_complaints FROM alerts a""",
-    ("alerts", "atms", "complaints"))
+    WITH close AS (SELECT atm_id, complaint_id, complaint_type, amount_lost, linked_account_token,
+                          row_number() OVER (PARTITION BY atm_id ORDER BY filing_timestamp DESC, complaint_id) AS p
+                   FROM atms, complaints WHERE filing_timestamp BETWEEN {AS_OF_SQL} - INTERVAL 240 HOUR AND {AS_OF_SQL} AND {DIST} <= 2.0),
+    active AS (SELECT atm_id, string_agg(account_token, ',' ORDER BY p) AS accounts FROM (
+        SELECT atm_id, account_token, row_number() OVER (PARTITION BY atm_id ORDER BY count(*) DESC, account_token) AS p FROM withdrawals
+        WHERE timestamp BETWEEN {AS_OF_SQL} - INTERVAL 240 HOUR AND {AS_OF_SQL} AND account_token IN (SELECT linked_account_token FROM complaints) GROUP BY 1, 2)
+        WHERE p <= 3 GROUP BY 1),
+    listed AS (SELECT atm_id, count(*) AS n, string_agg(concat_ws(':', p, complaint_id, complaint_type, printf('%.2f', amount_lost), coalesce(linked_account_token, '-')), ',' ORDER BY p) AS found
+               FROM close GROUP BY 1)
+    SELECT 'hotspot' AS report_type, alert_id AS case_ref, a.atm_id, state, district, bank_name, police_station_area, {r6('risk_score')} AS risk_score,
+           coalesce(n, 0) AS complaints_near, coalesce(found, '') AS linked_complaints, coalesce(accounts, '') AS mule_account_tokens, {ADVICE} AS recommended_action
+    FROM alerts a LEFT JOIN listed USING (atm_id) LEFT JOIN active USING (atm_id)""",
+    ("alerts", "atms", "complaints", "withdrawals"))
 def _(t: Tables) -> DataFrame:
-    report = reports.hotspot_report(t.alerts, t.atms, t.complaints, t.withdrawals, AS_OF, 240)
+    report = reports.hotspot_report(t.alerts, t.atms, t.complaints, t.withdrawals, AS_OF, None, 240)
+    entry = lambda c: F.concat_ws(
+        ":", c["rank"].cast("string"), c["complaint_id"], c["complaint_type"], F.format_string("%.2f", c["amount_lost"]), F.coalesce(c["linked_account_token"], F.lit("-"))
+    )
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
     return report.select(
-        "case_ref", F.col("jurisdiction.state").alias("state"), "risk_score", "complaints_near",
-        F.coalesce(F.array_join("linked_complaints.complaint_id", ","), F.lit("")).alias("linked_complaints"),
+        "report_type", "case_ref", "atm_id", "jurisdiction.*", "risk_score", "complaints_near", text(F.transform("linked_complaints", entry)).alias("linked_complaints"),
+        text(F.col("mule_account_tokens")).alias("mule_account_tokens"), "recommended_action",
     )

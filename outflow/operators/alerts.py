@@ -167,11 +167,11 @@ def mirror_routing(alerts: DataFrame, handoffs: DataFrame) -> DataFrame:
 
 
 def fund_block(alerts: DataFrame, withdrawals: DataFrame, complaints: DataFrame, accounts: DataFrame, as_of: datetime,
-               hours: int | None = 24, top: int = 3) -> DataFrame:
-    """Recommendations to hold funds: the most active complaint-named accounts at each alerted machine."""
+               linked_ids: int | None, hours: int | None = 24, top: int = 3) -> DataFrame:
+    """Recommendations to hold funds: the most active complaint-named accounts at each alerted machine, with their newest complaints."""
     active = agg.account_activity_at_atm(withdrawals, complaints, as_of, hours, top).drop("rank")
-    ids = complaint_ids_for_account(complaints).select(
-        F.col("linked_account_token").alias("account_token"), F.slice("complaint_ids", 1, 5).alias("linked_complaint_ids")
+    ids = complaint_ids_for_account(complaints, linked_ids).select(
+        F.col("linked_account_token").alias("account_token"), F.col("complaint_ids").alias("linked_complaint_ids")
     )
     banks = accounts.select("account_token", "home_bank")
     joined = alerts.select("alert_id", "atm_id", "bank_name", "risk_score").join(active, "atm_id").join(ids, "account_token", "left")

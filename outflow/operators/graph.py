@@ -324,7 +324,8 @@ def graph_backtest(risk: DataFrame, positives: DataFrame, ks: Sequence[int] = (1
     marked = risk.join(positives.withColumn("label", F.lit(1)), "account_token", "left").na.fill(0, ["label"])
     rankings = {
         "terminal_risk": F.col("terminal_risk"), "inflow": F.col("inflow_inr"), "in_degree": F.col("in_degree").cast("double"),
-        "random": F.abs(F.xxhash64("account_token", F.lit(seed)) % 1_000_003).cast("double"),
+        # A digest, so that any engine can repeat the order.
+        "random": F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "account_token")), 1, 13), 16, 10).cast("double"),
     }
     out = None
     for name, value in rankings.items():

@@ -112,14 +112,16 @@ def list_outcomes(df: DataFrame, limit: int | None = None) -> DataFrame:
     return page(df, [F.col("evaluated_at").desc(), F.col("alert_id")], limit)
 
 
-def complaint_ids_for_account(complaints: DataFrame, per_account: int = 20) -> DataFrame:
-    """The newest complaint ids of every named account; the window limit is applied before the shuffle."""
+def complaint_ids_for_account(complaints: DataFrame, per_account: int | None) -> DataFrame:
+    """The newest ``per_account`` complaint ids of every named account, or all; a limit is applied before the shuffle."""
     newest = Window.partitionBy("linked_account_token").orderBy(F.col("filing_timestamp").desc(), "complaint_id")
     kept = (
         complaints.where(F.col("linked_account_token").isNotNull())
         .select("linked_account_token", "filing_timestamp", "complaint_id")
-        .withColumn("n", F.row_number().over(newest)).where(F.col("n") <= per_account)
+        .withColumn("n", F.row_number().over(newest))
     )
+    if per_account is not None:
+        kept = kept.where(F.col("n") <= per_account)
     listed = F.array_sort(F.collect_list(F.struct("n", "complaint_id")))
     return kept.groupBy("linked_account_token").agg(
         F.transform(listed, lambda s: s["complaint_id"]).alias("complaint_ids")

@@ -158,10 +158,10 @@ def fairness_cap(alerts: DataFrame, population: DataFrame, cycle_budget: Column
     ).drop("position", "budget")
 
 
-def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
-    """The first k rows per group. Spark limits each group before the shuffle, so hot groups shrink early."""
-    spec = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("rank", F.row_number().over(spec)).where(F.col("rank") <= k)
+def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None) -> DataFrame:
+    """The first k rows per group with their rank, or all. Spark limits each group before the shuffle, so hot groups shrink early."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
 def rolling_centroid(daily: DataFrame, centres: DataFrame, n: int = 8) -> DataFrame:

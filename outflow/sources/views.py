@@ -77,8 +77,8 @@ class Tables:
 
     @cached_property
     def complaints(self) -> DataFrame:
-        """One complaint per sign-up event; about a third name an account."""
-        filed = self.raw("events").where(F.col("event_type") == "signup").select(
+        """One complaint per event; about a third name an account."""
+        filed = self.raw("events").select(
             "event_id", "ts", "user_id", "value", spread_hash("event_id").alias("h")
         )
         return filed.withColumn("place", F.col("h") % 25).join(self.places, "place").select(
@@ -399,7 +399,7 @@ VIEW_SQL: dict[str, tuple[list[str], str]] = {
                CASE WHEN user_id % 3 = 0 THEN 'AC' || user_id END AS linked_account_token,
                'PH' || (user_id // 4) AS linked_phone_token,
                ['under_investigation', 'funds_frozen', 'funds_partially_recovered'][event_id % 3 + 1] AS status
-        FROM events JOIN places ON {_h('event_id')} % 25 = place WHERE event_type = 'signup'"""),
+        FROM events JOIN places ON {_h('event_id')} % 25 = place"""),
     "order_withdrawals": ([], f"""
         SELECT {LINE_ID} AS transaction_id, {LINE_TS} AS timestamp, 'A' || l_suppkey AS atm_id,
                'AC' || o_custkey AS account_token, l_extendedprice AS amount, l_linestatus AS channel,
