@@ -14,8 +14,10 @@ from outflow.operators.joins import asof_forward
 from outflow.operators.listing import hotspots
 from outflow.plans import daily, enrich, hawkes, hourly, lookups, six_hour
 from outflow.plans.steps import city_steps, data_span
+from outflow.plans.summary import DailySummary
 from outflow.schemas import FEATURE_TYPES
 from outflow.sources.views import Tables
+from outflow.streaming.jobs import stream_folder
 
 # First day after the training period of the event calendar.
 TRAIN_END, TRAIN_END_SQL = datetime(2024, 1, 22), "DATE '2024-01-22'"
@@ -25,21 +27,24 @@ def span(t: Tables):
     return data_span(t.complaints, t.withdrawals, 24)
 
 
-def learned(t: Tables, days=None) -> daily.Lookups:
-    """Lookup tables from the training days."""
-    first, _last = days or span(t)
+def learned(t: Tables, days=None, only: tuple[str, ...] = ("latency", "bank_rate", "hawkes")) -> daily.Lookups:
+    """Lookup tables from the training days; those that are not asked for are not fitted."""
     end = daily.step_of(F.lit(TRAIN_END).cast("timestamp_ntz"), 24)
-    train_days = city_steps(t.complaints, t.city_centres, first, end - 1, 24)
+
+    def fitted() -> DataFrame:
+        first, _last = days or span(t)
+        return hawkes.hawkes_fit(city_steps(t.complaints, t.city_centres, first, end - 1, 24), end - first)
+
     return daily.Lookups(
-        latency=lookups.latency_by_type(t.complaints, t.withdrawals, t.atms, TRAIN_END),
-        bank_rate=lookups.bank_fraud_rate(t.withdrawals, t.atms, TRAIN_END),
-        hawkes=hawkes.hawkes_fit(train_days, end - first),
+        latency=lookups.latency_by_type(t.complaints, t.withdrawals, t.atms, TRAIN_END) if "latency" in only else None,
+        bank_rate=lookups.bank_fraud_rate(t.withdrawals, t.atms, TRAIN_END) if "bank_rate" in only else None,
+        hawkes=fitted() if "hawkes" in only else None,
     )
 
 
-def matrix(t: Tables) -> DataFrame:
+def matrix(t: Tables, only: tuple[str, ...] = ("latency", "bank_rate", "hawkes"), **days_of) -> DataFrame:
     days = span(t)
-    return daily.atm_day_features(t.complaints, t.withdrawals, t.atms, t.city_centres, learned(t, days), span=days)
+    return daily.atm_day_features(t.complaints, t.withdrawals, t.atms, t.city_centres, learned(t, days, only), span=days, **days_of)
 
 
 VIEWS = ("atms", "days", "withdrawals", "complaints", "places")
@@ -276,7 +281,7 @@ SIX_COLUMNS = {
     FROM six LEFT JOIN rates ON six.bank_name = rates.bank_name LEFT JOIN latency ON latency.complaint_type = {TOP_TYPE}""",
     VIEWS)
 def _(t: Tables) -> DataFrame:
-    lookup = learned(t)
+    lookup = learned(t, only=("latency", "bank_rate"))
     features = six_hour.atm_6h_features(t.complaints, t.withdrawals, t.atms, t.city_centres, lookup)
     return features.select("atm_id", "window_start", *six_hour.FEATURES)
 
@@ -373,7 +378,7 @@ def _(t: Tables) -> DataFrame:
 @query("f09_hawkes_fit", f"""
     WITH {CITY_CTES}, {HAWKES_CTES} SELECT city, {r6('mu')} AS mu, {r6('alpha')} AS alpha, {r6('beta')} AS beta FROM hp""", VIEWS)
 def _(t: Tables) -> DataFrame:
-    return learned(t).hawkes
+    return learned(t, only=("hawkes",)).hawkes
 
 
 @query("f10_hawkes_intensity", f"""
@@ -382,7 +387,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     first, last = span(t)
     dense = city_steps(t.complaints, t.city_centres, first, last, 24)
-    return hawkes.hawkes_intensity(dense, learned(t).hawkes).select(
+    return hawkes.hawkes_intensity(dense, learned(t, only=("hawkes",)).hawkes).select(
         "city", F.to_date(daily.step_start(F.col("step"), 24)).alias("day"), "hawkes_intensity_24h"
     )
 
@@ -394,8 +399,9 @@ EMERGING = """round(round(least(0.4 * (least(n_complaints_city_24h / greatest(n_
 TRANSPARENT = f"round(round(0.5 * ({EMERGING}) + 0.5 * least(fraud_decay_7d, 1.0), 10), 4)"
 
 
-def transparent_scores(t: Tables) -> DataFrame:
-    features = matrix(t)
+def transparent_scores(t: Tables, **days_of) -> DataFrame:
+    # The score reads none of the features that are looked up.
+    features = matrix(t, (), **days_of)
     columns = {c: F.col(c) for c in daily.FEATURES}
     score = fx.rounded(0.5 * fx.emerging_risk(columns) + 0.5 * F.least(F.col("fraud_decay_7d"), F.lit(1.0)))
     return features.withColumn("risk_score", score)
@@ -405,8 +411,8 @@ def transparent_scores(t: Tables) -> DataFrame:
     SELECT atm_id, {day('day')} AS day, city, {r6(TRANSPARENT)} AS risk_score FROM matrix
     WHERE day = (SELECT max(day) FROM days) ORDER BY risk_score DESC, atm_id LIMIT 20"""), VIEWS)
 def _(t: Tables) -> DataFrame:
-    last = t.raw("events").agg(F.max(F.to_date("ts"))).scalar()
-    today = transparent_scores(t).where(F.col("day") == last)
+    last = F.lit(t.raw("events").agg(F.max(F.to_date("ts"))).first()[0])
+    today = transparent_scores(t, first_day=last, last_day=last)
     return hotspots(today, 20).select("atm_id", "day", "city", "risk_score")
 
 
@@ -426,3 +432,16 @@ def _(t: Tables) -> DataFrame:
     columns = {c: F.col(c) for c in daily.FEATURES}
     scored = matrix(t).drop("label").join(t.scores.select("atm_id", "day", "score"), ["atm_id", "day"])
     return scored.select("atm_id", "day", fx.intervention_priority(columns, F.col("score")).alias("intervention_priority"))
+
+
+@query("f01_day_from_summary", matrix_sql(
+    f"SELECT atm_id, {day('day')} AS day, {', '.join(f'{r6(c)} AS {c}' for c in daily.FEATURES)}, label FROM matrix WHERE day = (SELECT max(day) FROM days)"), VIEWS)
+def _(t: Tables) -> DataFrame:
+    """The last day from the kept summary, which is filled in two deliveries that overlap by two days."""
+    last = t.raw("events").agg(F.max(F.to_date("ts"))).first()[0]
+    kept = DailySummary(t.spark, f"{stream_folder(t.spark)}/summary")
+    drawn = F.to_date("timestamp")
+    kept.add(t.withdrawals.where(drawn < F.date_sub(F.lit(last), 3)))
+    kept.add(t.withdrawals.where(drawn >= F.date_sub(F.lit(last), 5)))
+    days = span(t)
+    return kept.day_features(last, t.complaints, t.atms, t.city_centres, learned(t, days), days).select("atm_id", "day", *daily.FEATURES, "label")

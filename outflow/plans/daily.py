@@ -12,7 +12,7 @@ from outflow.operators.aggregates import first_value_per
 from outflow.operators.joins import lookup
 from outflow.operators.windows import decayed_sum, ordered, rows_before
 from outflow.plans.hawkes import hawkes_intensity
-from outflow.plans.steps import Linked, before, city_daily, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
+from outflow.plans.steps import Linked, account_steps, before, city_daily, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
 from outflow.schemas import FEATURE_TYPES
 
 __all__ = ["FEATURES", "Lookups", "atm_day_features", "atm_day_label", "city_daily", "city_features", "machine_features"]
@@ -88,10 +88,10 @@ def city_features(complaints: DataFrame, centres: DataFrame, first: Column, last
     )
 
 
-def machine_features(withdrawals: DataFrame, complaints: DataFrame, atms: DataFrame, first: Column, last: Column,
+def machine_features(per_account: DataFrame, complaints: DataFrame, atms: DataFrame, first: Column, last: Column,
                      compat: bool = False) -> DataFrame:
-    """Withdrawal features per machine and day; every window shares one sort by machine and day."""
-    steps = machine_steps(withdrawals, complaints, atms, first, last, HOURS, LINKED, compat=compat)
+    """Withdrawal features per machine and day from ``account_steps``; every window shares one sort by machine and day."""
+    steps = machine_steps(per_account, complaints, atms, first, last, HOURS, LINKED, compat)
     spec = ordered(["atm_id"], "step")
     steps = steps.withColumn("amount_mean", F.when(F.col("n") > 0, F.col("cents") / F.col("n") / 100.0).otherwise(0.0))
     # Windows first, each once; everything derived from them in the next projection.
@@ -134,18 +134,23 @@ def calendar_features(day: Column) -> dict[str, Column]:
 
 
 def atm_day_features(
-    complaints: DataFrame, withdrawals: DataFrame, atms: DataFrame, centres: DataFrame, lookups: Lookups = Lookups(),
+    complaints: DataFrame, withdrawals: DataFrame | None, atms: DataFrame, centres: DataFrame, lookups: Lookups = Lookups(),
     first_day: Column | None = None, last_day: Column | None = None, span: tuple[Column, Column] | None = None,
-    compat: bool = False,
+    compat: bool = False, per_account: DataFrame | None = None,
 ) -> DataFrame:
     """The matrix with meta columns and the label, for [first_day, last_day] (default: the days with data).
 
-    Trailing windows always reach back to the first data day, also when a single day is asked for.
+    Of the withdrawals only the days that a row can look back on are read: eight before the first day. ``per_account`` gives them
+    already summed up (``plans/summary.py``); then a span must be given too.
     """
     start, end = span or data_span(complaints, withdrawals, HOURS)
     as_step = lambda d: step_of(d.cast("timestamp_ntz"), HOURS)
     last = end if last_day is None else as_step(last_day)
-    machines = machine_features(withdrawals, complaints, atms, start, last, compat)
+    begin = start if first_day is None else F.greatest(start, as_step(first_day) - 8)
+    if per_account is None:
+        read = withdrawals if first_day is None else withdrawals.where(F.col("timestamp") >= step_start(begin, HOURS))
+        per_account = account_steps(read, HOURS)
+    machines = machine_features(per_account, complaints, atms, begin, last, compat)
     cities = city_features(complaints, centres, start, last)
     if lookups.hawkes is not None:
         cities = hawkes_intensity(cities, lookups.hawkes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from outflow.operators.windows import ordered
-from outflow.plans.steps import Linked, before, city_steps, machine_steps, step_of, step_start
+from outflow.plans.steps import Linked, account_steps, before, city_steps, machine_steps, step_of, step_start
 
 HOURS = 1
 
@@ -29,9 +29,8 @@ def atm_hour_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataF
     Trailing hours end where the row's hour begins. The label says whether fraud follows within 24 hours.
     """
     begin = first - history_hours
-    steps = machine_steps(
-        withdrawals, complaints, atms, begin, last + 23, HOURS, {"linked_24h": Linked(24)}, F.lit(False), compat
-    )
+    per_account = account_steps(withdrawals, HOURS, F.lit(False))
+    steps = machine_steps(per_account, complaints, atms, begin, last + 23, HOURS, {"linked_24h": Linked(24)}, compat)
     spec = ordered(["atm_id"], "step")
     rolled = steps.select(
         "atm_id", "step", "linked_24h", before("n", spec, 1).alias("withdrawals_1h"), before("n", spec, 6).alias("withdrawals_6h"),

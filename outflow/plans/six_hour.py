@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from outflow.functions import scalar as fx
 from outflow.operators.windows import ordered
 from outflow.plans.daily import Lookups, with_learned
-from outflow.plans.steps import Linked, before, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
+from outflow.plans.steps import Linked, account_steps, before, city_steps, data_span, hours_since_last, machine_steps, step_of, step_start
 from outflow.schemas import FEATURE_TYPES
 
 HOURS = 6
@@ -38,9 +38,8 @@ def atm_6h_features(complaints: DataFrame, withdrawals: DataFrame, atms: DataFra
     """Counts named 6h / 24h cover 2 / 5 windows, kinds cover 28; three features are fixed at 0 in this set."""
     first, last = data_span(complaints, withdrawals, HOURS)
     # A window counts as night by its start hour, so only the one from midnight does.
-    steps = machine_steps(
-        withdrawals, complaints, atms, first, last, HOURS, {"linked_6h": Linked(2)}, F.hour("timestamp") < 6, compat
-    )
+    per_account = account_steps(withdrawals, HOURS, F.hour("timestamp") < 6)
+    steps = machine_steps(per_account, complaints, atms, first, last, HOURS, {"linked_6h": Linked(2)}, compat)
     spec = ordered(["atm_id"], "step")
     rolled = steps.select(
         "atm_id", "step", "linked_6h", before("n", spec, 1).alias("withdrawals_1h"), before("n", spec, 2).alias("withdrawals_6h"),

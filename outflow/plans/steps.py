@@ -59,27 +59,33 @@ def first_named(complaints: DataFrame, hours: int, compat: bool = False) -> Data
 ADDED = ["n", "w1", "w6", "cents", "round_n", "large_n", "heavy_n", "fraud_n", "night_n", "accounts"]
 
 
-def machine_steps(
-    withdrawals: DataFrame, complaints: DataFrame, atms: DataFrame, first: Column, last: Column, hours: int,
-    linked: dict[str, Linked], night: Column | None = None, compat: bool = False,
-) -> DataFrame:
-    """One row per machine and step: plain sums of the step, and the linked counts known at its start.
-
-    A linked withdrawal of step x, by an account first named in step m, belongs to every row t with
-    x < t <= x + window and m < t. It is entered as +1 at the first such row and -1 after the last, so the
-    count is a running sum, and neither the window nor the accounts are ever expanded.
-    """
+def account_steps(withdrawals: DataFrame, hours: int, night: Column | None = None) -> DataFrame:
+    """One row per machine, step and account with the plain sums of the step."""
     ts, amount = F.col("timestamp"), F.col("amount")
     hour = F.hour(ts)
     night = fx.is_night(hour) if night is None else night
     count = lambda condition: F.count_if(condition).cast("bigint")
-    per_account = withdrawals.groupBy("atm_id", step_of(ts, hours).alias("step"), "account_token").agg(
+    return withdrawals.groupBy("atm_id", step_of(ts, hours).alias("step"), "account_token").agg(
         F.count("*").alias("n"), count(hour >= 23).alias("w1"), count(hour >= 18).alias("w6"),
         F.sum(F.round(amount * 100).cast("bigint")).alias("cents"), count(amount % 1000 == 0).alias("round_n"),
         count(amount > 20000).alias("large_n"), count(amount > 50000).alias("heavy_n"),
         count(F.col("is_fraud_withdrawal")).alias("fraud_n"), count(night).alias("night_n"),
         F.max(amount).alias("amount_max"),
     ).withColumn("accounts", F.lit(1).cast("bigint"))
+
+
+def machine_steps(
+    per_account: DataFrame, complaints: DataFrame, atms: DataFrame, first: Column, last: Column, hours: int,
+    linked: dict[str, Linked], compat: bool = False,
+) -> DataFrame:
+    """One row per machine and step: plain sums of the step, and the linked counts known at its start, from ``account_steps``.
+
+    A linked withdrawal of step x, by an account first named in step m, belongs to every row t with
+    x < t <= x + window and m < t. It is entered as +1 at the first such row and -1 after the last, so the
+    count is a running sum, and neither the window nor the accounts are ever expanded.
+    """
+    # A row before the calendar would leave it without having entered it.
+    per_account = per_account.where(F.col("step").between(first, last))
     known = per_account.join(first_named(complaints, hours, compat), "account_token", "left")
 
     zero, none = F.lit(0).cast("bigint"), F.lit(0.0)
