@@ -70,8 +70,9 @@ def score_texts(
         F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 10 == 0, F.lit(True)).alias("held_out"),
     )
     size = X.text_bytes(narrow, "text")
-    groups = X.group_count(size)
-    dealt = narrow.withColumn("grp", X.hash_group(F.coalesce("doc_id", F.lit(-1)), groups))
+    # Larger groups than elsewhere: a word is sent once a group.
+    groups = X.group_count(size // 3)
+    dealt = narrow.withColumn("grp", X.hash_group(groups, "doc_id", "text"))
     shard_bits = max(0, math.ceil(math.log2(max(1.0, size / 6 / 8 / X.SHARD_KEYS * 2))))
     frequent_from = max(2.0, size / 6 * share)
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from outflow.llm.words import mix
 
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 4 << 20
 SHARD_KEYS = 4 << 20
 
 LISTS = "shard int, grp int, n int, low binary, high binary, counts binary"
@@ -34,29 +34,9 @@ def group_count(total_bytes: int) -> int:
     return max(1, math.ceil(total_bytes / GROUP_BYTES))
 
 
-def hash_group(key: Column, groups: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")
-
-
-def range_bounds(df: DataFrame, key: str, groups: int) -> list[int]:
-    """Ascending values of the key that cut the rows into about as many ranges; the driver gets these values only."""
-    if groups < 2:
-        return []
-    cuts = df.stat.approxQuantile(key, [i / groups for i in range(1, groups)], min(0.01, 0.2 / groups))
-    return sorted({int(c) for c in cuts})
-
-
-def range_group(key: str, bounds: list[int]) -> Column:
-    """The number of bounds at or below the key (null: 0), found in two steps of about the square root of their number."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(b[0]).cast("long") for b in blocks])
-    table = F.array(F.array().cast("array<bigint>"), *[F.array(*[F.lit(x).cast("long") for x in b]) for b in blocks])
-    at_or_below = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
-    block = at_or_below(heads)
-    return (F.greatest(block - 1, F.lit(0)) * step + at_or_below(F.element_at(table, block + 1))).cast("int")
+def hash_group(groups: int, *key: str) -> Column:
+    """A group by hash; with the text among the keys, rows of one id spread over many."""
+    return F.pmod(F.xxhash64(*key), F.lit(groups)).cast("int")
 
 
 class Sketch:

@@ -62,7 +62,7 @@ def link_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     size = X.text_bytes(narrow, "text")
     narrow = narrow.withColumn("uid", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    dealt = narrow.withColumn("grp", X.hash_group(F.col("uid"), X.group_count(size)))
+    dealt = narrow.withColumn("grp", X.hash_group(X.group_count(size), "uid", "text"))
     sketch = X.Sketch(size / 6, 1, spare)
 
     def sketched(table: pa.Table) -> pa.Table:

@@ -127,3 +127,101 @@ def test_mixture_keeps_rows_of_one_id_apart(llm):
     out = corpus_pipeline.mixture(llm, llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
     words = [w for r in out for w in r["text"].split()]
     assert 0 < len(words) <= 2 * 1200 and max(words.count(w) for w in set(words)) <= 200
+
+
+def near_copy_corpus(n, copies):
+    """``copies`` near copies of one text of 200 words, two words changed in each, among other texts of 200 words."""
+    rng = random.Random(copies)
+    words = [f"v{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(200)]
+    out = []
+    for i in range(n):
+        own = base.copy() if i < copies else [rng.choice(words) for _ in range(200)]
+        if i < copies:
+            for _ in range(2):
+                own[rng.randrange(200)] = f"new{i}x{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_near_copies_are_seen_however_many_there_are(documents):
+    likeness = {}
+    for copies in (60, 300):
+        out = {r["doc_id"]: r for r in fingerprints(documents(near_copy_corpus(900, copies))).collect()}
+        likeness[copies] = sum(out[i]["near_next"] for i in range(copies - 1)) / (copies - 1)
+        others = [out[i] for i in range(copies + 1, 899)]
+        assert sum(r["near_next"] for r in others) / len(others) < 0.1
+        edited_copies = sum(out[i]["near_edited"] for i in range(copies - 1)) / (copies - 1)
+        assert edited_copies >= sum(r["near_edited"] for r in others) / len(others)
+        shared = [set(out[i]["fingerprint"].split("-")) - {""} for i in range(copies)]
+        assert all(len(shared[i] & shared[i + 1]) > 5 for i in range(copies - 1))
+    assert likeness[60] > 0.8 and likeness[300] > 0.8
+
+
+def spark_hash(values):
+    """Spark's xxhash64 of longs or an int at the end, from its seed on."""
+    import xxhash
+
+    seed = 42
+    for value, size in values:
+        seed = xxhash.xxh64(value.to_bytes(size, "little", signed=True) if isinstance(value, int) else value.encode(), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_fingerprints(texts, low, high, rates, each, common_rates, few):
+    import re
+
+    own = [{w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w} for t in texts]
+    df = {}
+    for words in own:
+        for w in words:
+            df[w] = df.get(w, 0) + 1
+    n = len(texts)
+    common = {w for w, c in df.items() if c >= max(2.0, low * n) and c > max(2.0, high * n)}
+    band = {w for w, c in df.items() if max(2.0, low * n) <= c <= max(2.0, high * n)}
+
+    def levels(text):
+        words = {w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w}
+        out = []
+        for lexicon, some in ((band, rates), (common, common_rates)):
+            terms = sorted(spark_hash([(w, 0)]) for w in words & lexicon)
+            for r in some:
+                parts = [[t for t in terms if spark_hash([(t, 8), (r, 4)]) & ((1 << r) - 1) == i] for i in range(min(each, 1 << r))]
+                out.append([(spark_hash([(t, 8) for t in p]) % (1 << 64)) >> 32 if p else None for p in parts])
+        return len(words & band), len(words & band) + len(words & common), out
+
+    def printed(text):
+        _, n_terms, all_levels = levels(text)
+        if not n_terms:
+            return "t" + hashlib.sha256(text.encode()).hexdigest()
+        return "-".join("" if h is None else format(h, "x") for level in all_levels for h in level)
+
+    def near(a, b):
+        if printed(a) == printed(b):
+            return 1.0
+        (n_a, _, x), (n_b, _, y) = levels(a), levels(b)
+        used = equal = last = 0
+        for i, (p, q) in enumerate(zip(x, y)):
+            n_used = sum(h is not None or k is not None for h, k in zip(p, q))
+            if i >= len(rates) and min(n_a, n_b) >= few:
+                n_used = 0
+            same = sum(h is not None and h == k for h, k in zip(p, q))
+            if n_used and 4 * n_used <= 3 * len(p):
+                used, equal = used + n_used, equal + same
+            last = same / n_used if n_used else last
+        return equal / used if used else last
+
+    return printed, near
+
+
+def test_fingerprints_and_likeness_by_brute_force(documents, texts):
+    knobs = dict(low=0.05, high=0.3, rates=(1, 3, 5), each=8, common_rates=(2, 4), few=12)
+    some = [t or "" for t in texts if t is None or len(t) < 5000][:40] + near_copy_corpus(12, 6)
+    printed, near = brute_fingerprints(some, **knobs)
+    out = {r["doc_id"]: r for r in fingerprints(documents(some), **knobs).collect()}
+    for i, t in enumerate(some):
+        after = some[(i + 1) % len(some)]
+        assert out[i]["fingerprint"] == printed(t)
+        assert out[i]["edited_fingerprint"] == printed(edited(t, after))
+        assert out[i]["near_edited"] == pytest.approx(near(t, edited(t, after)))
+        assert out[i]["near_next"] == pytest.approx(near(t, after))
