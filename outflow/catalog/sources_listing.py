@@ -15,6 +15,7 @@ from outflow.schemas import ADMIN, BANK, DISTRICT, STATE
 from outflow.sources import files, tables
 from outflow.sources.views import Tables
 from outflow.streaming.jobs import stream_folder
+from outflow.streaming.jobs import stream_folder
 
 AS_OF = datetime(2024, 1, 21)
 SINCE = datetime(2024, 1, 14)
@@ -76,6 +77,28 @@ def _(t: Tables) -> DataFrame:
     return files.category_shares(counts)
 
 
+@query("a06_category_files", f"""
+    SELECT category, n, {r6('round(100.0 * n / sum(n) OVER (), 4)')} AS pct, 2 AS bad_files
+    FROM (SELECT complaint_type AS category, 2 * count(*) AS n FROM order_complaints GROUP BY 1)""", ("order_complaints",))
+def _(t: Tables) -> DataFrame:
+    """Every count once in a file per state and once in a list, with padded names and both spellings, beside two files of neither shape."""
+    counts = t.order_complaints.groupBy("victim_state", "complaint_type").agg(F.count("*").alias("n"))
+    padded = F.concat(F.lit(" "), "complaint_type", F.lit("\t"))
+    maps = counts.groupBy("victim_state").agg(F.map_from_entries(F.collect_list(F.struct(padded, "n"))).alias("kinds"))
+    maps = maps.select(F.to_json(F.create_map("victim_state", "kinds")).alias("value"))
+    totals = counts.groupBy("complaint_type").agg(F.sum("n").alias("n"))
+    rows = F.when(F.col("n") % 2 == 0, F.to_json(F.struct(padded.alias("Category"), F.col("n").alias("Count")))).otherwise(
+        F.to_json(F.struct(F.col("complaint_type").alias("category"), F.col("n").alias("count")))
+    )
+    lists = totals.agg(F.concat(F.lit("["), F.array_join(F.collect_list(rows), ","), F.lit("]")).alias("value"))
+    bad = t.spark.createDataFrame([("{broken",), ("17",)], "value string")
+    folder = f"{stream_folder(t.spark)}/categories"
+    # One document a file.
+    maps.unionByName(lists).unionByName(bad).write.option("maxRecordsPerFile", 1).text(folder)
+    bad_files = files.rejected_category_files(t.spark, folder).count()
+    return files.read_category_counts_json(t.spark, folder).withColumn("bad_files", F.lit(bad_files))
+
+
 @query("a09_json_safe", """
     SELECT account_token, atm_id, CASE WHEN amount = 0 THEN NULL ELSE 1000.0::DOUBLE / amount END IS NULL AS unusable
     FROM withdrawals""", ("withdrawals",))

@@ -41,18 +41,37 @@ def read_dropzone_csv(spark: SparkSession, path: str, required: dict[str, str])
     return out
 
 
+def _parsed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, doc, shape): every file as one VARIANT value; shape is null where it is no JSON, else map, list or other."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc"))
+    kind = F.schema_of_variant("doc")
+    shape = F.when(kind.startswith("OBJECT"), "map").when(kind.startswith("ARRAY"), "list").when(kind.isNotNull(), "other")
+    return text.withColumn("shape", shape)
+
+
 def read_category_counts_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested {state: {category: n}} or a list of {category, n} rows to category totals and shares."""
-    text = spark.read.text(path, wholetext=True)
-    nested = T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))
-    listed = T.ArrayType(T.StructType([T.StructField("category", T.StringType()), T.StructField("n", T.LongType())]))
-    is_list = F.ltrim("value").startswith("[")
-    from_map = (
-        text.where(~is_list).select(F.explode(F.from_json("value", nested)).alias("state", "counts"))
-        .select(F.explode("counts").alias("category", "n"))
+    """Files of nested {state: {category: n}} or of a list of rows to category totals and shares.
+
+    List rows name their fields Category and Count, category and count, or category and n. Names are trimmed; list rows without one, states that hold no
+    map and files that are neither shape are left aside (``rejected_category_files``).
+    """
+    docs = _parsed_files(spark, path)
+    part = lambda c, at, kind: F.try_variant_get(c, at, kind)
+    states = docs.where("shape = 'map'").select(F.explode(part(F.col("doc"), "$", "map<string,variant>")).alias("state", "held"))
+    from_map = states.select(F.explode(part(F.col("held"), "$", "map<string,variant>")).alias("category", "held")).select(
+        "category", part(F.col("held"), "$", "bigint").alias("n")
     )
-    from_list = text.where(is_list).select(F.inline(F.from_json("value", listed)))
-    return category_shares(from_map.unionByName(from_list))
+    rows = docs.where("shape = 'list'").select(F.explode(part(F.col("doc"), "$", "array<variant>")).alias("row"))
+    field = lambda name, kind: F.coalesce(part(F.col("row"), f"$.{name.title()}", kind), part(F.col("row"), f"$.{name}", kind))
+    from_list = rows.select(F.coalesce(field("category", "string"), F.lit("")).alias("category"), F.coalesce(field("count", "bigint"), part(F.col("row"), "$.n", "bigint"), F.lit(0)).alias("n"))
+    named = from_map.unionByName(from_list).withColumn("category", F.regexp_replace("category", r"^\s+|\s+$", ""))
+    return category_shares(named.where("category <> ''"))
+
+
+def rejected_category_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of the files that hold no counts."""
+    reason = F.when(F.col("shape").isNull(), "not JSON").otherwise("neither a map nor a list")
+    return _parsed_files(spark, path).where("shape IS NULL OR shape = 'other'").select("file", reason.alias("reason"))
 
 
 def category_shares(counts: DataFrame) -> DataFrame:
