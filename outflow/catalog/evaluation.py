@@ -190,8 +190,8 @@ CHECKED = daily.FEATURES
 
 @query("g23_per_feature_auc", matrix_sql(f"""
     SELECT feature, {r6('auc')} AS auc, {r6('abs(2 * (auc - 0.5))')} AS strength FROM (
-        SELECT feature, {r4(AUC)} AS auc FROM (
-            SELECT feature, label, {mid_rank('value', 'feature')} AS mid FROM (
+        SELECT feature, CASE WHEN count(DISTINCT value) > 1 THEN {r4(AUC)} END AS auc FROM (
+            SELECT feature, label, value, {mid_rank('value', 'feature')} AS mid FROM (
                 {' UNION ALL '.join(f"SELECT '{c}' AS feature, label, round({c}::DOUBLE, 9) AS value FROM matrix" for c in CHECKED)}))
         GROUP BY 1)"""), VIEWS)
 def _(t: Tables) -> DataFrame:
