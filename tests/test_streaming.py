@@ -1,6 +1,11 @@
 from datetime import datetime, timedelta
 
+import pytest
+
+from outflow import schemas
+from outflow.operators import alerts as al
 from outflow.streaming import jobs, stateful
+from outflow.streaming.cycle import AlertCycle
 
 T0 = datetime(2024, 1, 1)
 
@@ -72,3 +77,41 @@ def test_escalation_needs_two_quiet_hours(spark, tmp_path):
     stream = arrivals(spark, str(tmp_path), batches, "alert_id string, at timestamp, kind string")
     out = jobs.drained(stateful.stream_escalate(stream.withWatermark("at", "10 minutes")))
     assert sorted((r.alert_id, r.escalated_at) for r in out.collect()) == [("u", at(2.9)), ("x", at(2))]
+
+
+def test_activity_of_both_streams_waits_for_the_later_one(spark, tmp_path):
+    drawn = [[(f"w{i}", at(i), "A", 100.0, i % 3 == 0) for i in range(k, k + 10)] for k in (0, 10, 20)]
+    filed = [[(f"c{i}", at(i)) for i in (0, 1, 7, 13)], [("c9", at(14))]]
+    stream = arrivals(spark, str(tmp_path / "w"), drawn, WITHDRAWAL)
+    other = arrivals(spark, str(tmp_path / "c"), filed, "complaint_id string, filing_timestamp timestamp_ntz")
+    got = {r.bucket: (r.withdrawals, r.complaints, r.fraud_rate) for r in jobs.drained(jobs.stream_activity(stream, other)).collect()}
+    assert got == {at(0): (6, 2, 0.3333), at(6): (6, 1, 0.3333)}
+
+
+def test_a_repeated_or_failed_batch_changes_nothing(spark, tmp_path, monkeypatch):
+    atms = spark.createDataFrame([(f"A{i}", "B", "x", "C", "D", "S", "1", "P", 1.0, 2.0) for i in range(3)], schemas.ATMS)
+    cycle = AlertCycle(str(tmp_path / "cycle"), atms, {"withdrawals_24h": 1.0}, -3.0)
+    batch = lambda n, h: spark.createDataFrame([(f"w{h}.{i}", at(h), "A1", 100.0, False) for i in range(n)], WITHDRAWAL)
+    state = lambda: (sorted(map(tuple, cycle.alerts(spark).collect()), key=str), sorted(map(tuple, cycle.ledger(spark).collect())))
+    cycle.run(batch(5, 0), 0)
+    first = state()
+    assert [a[2] for a in first[0]] == ["A1"] and len(first[1]) == 1
+    cycle.run(batch(5, 0), 0)
+    assert state() == first
+
+    def broken(*_):
+        raise RuntimeError("lost before the ledger")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(al, "alert_cycle_summary", broken)
+        with pytest.raises(RuntimeError):
+            cycle.run(batch(1, 2), 1)
+    assert state() == first
+    cycle.run(batch(1, 2), 1)
+    (alert,) = cycle.alerts(spark).collect()
+    # Seen again by the second cycle, whose day holds all six rows, and not yet two hours old.
+    assert (alert.reobservation_count, alert.status) == (1, "new")
+    cycle.run(batch(1, 9), 2)
+    rows = {r.created_at: r.status for r in cycle.alerts(spark).collect()}
+    assert rows == {at(1): "escalated", at(10): "new"}
+    assert [r.created for r in cycle.ledger(spark).orderBy("batch").collect()] == [1, 0, 1]
