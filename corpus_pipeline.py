@@ -2,6 +2,10 @@
 
 Every stage takes the documents its predecessor kept, and all but the last return the columns of documents (doc_id,
 text, lang, source, n_chars). n_chars follows the text.
+
+Defined cases, in every stage: empty tables give empty results; a null text counts as an empty one; rows with a null id or with an id that
+other rows share are rows of their own; ties go to the smaller id, then to a hash or the number of the row; columns of documents beyond the
+five are left out.
 """
 
 from __future__ import annotations
@@ -26,11 +30,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays."""
+    """Of rows linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays, one without an id only if none has one.
+
+    Rows are told apart by a number of their own, so that null and repeated ids are linked like any other. Of rows that share the smallest
+    id one stays; rows without words are linked with nothing and all stay.
+    """
     ready(spark)
-    stays = link_classes(docs, width=5, percent=80).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id"))
-    kept = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.select(COLUMNS)
+    docs = durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid")))
+    linked = link_classes(docs, doc_id="uid", width=5, percent=80).select(F.col("doc_id").alias("uid"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid"))
+    stays = linked.join(docs.select("uid", "doc_id"), "uid").groupBy("component_id").agg(first["uid"].alias("uid"))
+    return docs.join(stays, "uid", "left_semi").select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +65,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text."""
+    """The ids of every text, and whether decoding them gives the text back (a null text is read as an empty one)."""
     ready(spark)
-    return encode(docs).select(*COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_ids"))
+    coded = encode(docs, decoded="decoded")
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return coded.select(*COLUMNS, "ids", F.size("ids").cast("bigint").alias("n_ids"), same.alias("round_trip"))
 
 
 STAGES = [

@@ -173,9 +173,12 @@ def load(path: str) -> Pieces:
 SLICE = 512
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = MODEL, name: str = "ids") -> DataFrame:
-    """The rows with the ids of their text, which is kept. ``path`` must be readable wherever Spark runs Python."""
-    columns = [c for c in docs.columns if c != name]
+def encode(docs: DataFrame, text: str = "text", path: str = MODEL, name: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The rows with the ids of their text, which is kept. ``path`` must be readable wherever Spark runs Python.
+
+    ``decoded`` names a further column for the text that the ids give back, found in the same pass.
+    """
+    columns = [c for c in docs.columns if c not in (name, decoded)]
     at = columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +188,14 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, name: str = "
                 batch = whole.slice(i, SLICE)
                 coded = [pieces.encode(t.as_py() or "") for t in batch.column(at)]
                 offsets = np.cumsum([0, *(len(b) // 4 for b in coded)]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), values)], [*columns, name])
+                ids = np.frombuffer(b"".join(coded), np.int32)
+                out = {name: pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))}
+                if decoded:
+                    out[decoded] = pieces.decode(ids.astype(np.int64), offsets)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *out.values()], [*columns, *out])
 
-    return _mapped(docs.select(*[F.col(f"`{c}`") for c in columns]), run, name, "array<int>")
+    kinds = {name: "array<int>"} | ({decoded: "string"} if decoded else {})
+    return _mapped(docs.select(*[F.col(f"`{c}`") for c in columns]), run, kinds)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str = MODEL, name: str = "decoded") -> DataFrame:
@@ -207,11 +214,11 @@ def decode(rows: DataFrame, ids: str = "ids", path: str = MODEL, name: str = "de
                 texts = pieces.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), offsets)
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*columns, name])
 
-    return _mapped(rows.select(*[F.col(f"`{c}`") for c in columns]), run, name, "string")
+    return _mapped(rows.select(*[F.col(f"`{c}`") for c in columns]), run, {name: "string"})
 
 
-def _mapped(rows: DataFrame, run, name: str, kind: str) -> DataFrame:
-    schema = rows.withColumn(name, F.lit(None).cast(kind)).schema
+def _mapped(rows: DataFrame, run, kinds: dict[str, str]) -> DataFrame:
+    schema = rows.withColumns({name: F.lit(None).cast(kind) for name, kind in kinds.items()}).schema
     for field in schema:
         field.nullable = True
     return rows.mapInArrow(run, schema)

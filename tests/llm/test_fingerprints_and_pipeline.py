@@ -110,7 +110,7 @@ def test_stages_by_brute_force(llm, documents, tmp_path):
     # Half a block by rounding, and a short last block.
     assert all(taken[s] == pytest.approx(goal[s], abs=96) for s in sizes)
     assert [(r["doc_id"], r["text"]) for r in rows[5]] == [(r["doc_id"], r["text"]) for r in rows[4]]
-    assert all(r["n_ids"] == len(r["ids"]) > 0 for r in rows[5])
+    assert all(r["n_ids"] == len(r["ids"]) > 0 and r["round_trip"] for r in rows[5])
     assert corpus_pipeline.run(llm, str(tmp_path)).count() == len(rows[5])
 
 
@@ -122,6 +122,23 @@ def test_stages_on_empty_tables(llm, documents, tmp_path):
     assert remove_repeats(docs).count() == 0
 
 
+def test_near_copies_are_rows_whatever_their_ids(llm):
+    a, b, c = prose(120), prose(120), prose(120)
+    near = " ".join(["changed", *b.split(" ")[1:]])
+    # Copies without an id, a second row of one id, a class without any id, rows without words.
+    texts = [(5, a), (None, a), (5, a), (3, b), (None, near), (None, c), (None, c), (9, c.upper()), (5, prose(90)), (None, None), (None, ""), (8, " ")]
+    rows = [(i, t, "en", f"s{n}", 1, n) for n, (i, t) in enumerate(texts)]
+    rows += [(None, d, "en", "x", 1, 0) for d in [prose(80)] * 3]
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, uid int")
+    out = corpus_pipeline.near_copies(llm, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r["doc_id"] is None, r["doc_id"], r["source"]) for r in out.collect()), key=str)
+    kept = [(i, f"s{n}") for n, (i, _) in enumerate(texts) if n not in (1, 2, 4, 5, 6)] + [(None, "x")]
+    if (False, 5, "s0") not in got:
+        kept[0] = (5, "s2")
+    assert got == sorted(((i is None, i, s) for i, s in kept), key=str)
+
+
 def test_mixture_keeps_rows_of_one_id_apart(llm):
     rows = [(i, f"r{n} " * 100, "en", "s", 300) for n, i in enumerate([None] * 6 + [7] * 6)]
     out = corpus_pipeline.mixture(llm, llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
