@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from outflow.catalog.registry import money, query, r4, r6
@@ -110,6 +110,38 @@ def _(t: Tables) -> DataFrame:
     return graph.trail_edges(e, graph.money_trail(e, _busiest_target(t))).select("src", "dst", "w", "amount")
 
 
+@query("h06_trail_graph", f"""
+    WITH {EDGES}, t AS (SELECT node FROM n WHERE starts_with(node, 'P') ORDER BY inflow DESC, node LIMIT 1),
+    direct AS (SELECT * FROM e WHERE dst = (SELECT node FROM t))
+    SELECT src, dst, w, amount, 1 AS hops FROM direct
+    UNION ALL SELECT src, dst, w, amount, 2 FROM e WHERE dst IN (SELECT src FROM direct)""", ("transfers",))
+def _(t: Tables) -> DataFrame:
+    return graph.trail_graph(edges(t), _busiest_target(t)).select("src", "dst", "w", "amount", "hops")
+
+
+# Suppliers of lines that follow each other in an order: a dense graph, full of cycles.
+RELAYS = """
+    lines AS (SELECT l_suppkey AS src, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS dst FROM lineitem),
+    relays AS (SELECT 'S' || src AS src, 'S' || dst AS dst, count(*) AS w FROM lines WHERE dst IS NOT NULL GROUP BY ALL)"""
+
+
+def relays(t: Tables) -> DataFrame:
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    lines = t.raw("lineitem").select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("S"), after).alias("dst"))
+    return lines.where("dst IS NOT NULL").groupBy("src", "dst").agg(F.count("*").alias("w"))
+
+
+@query("h06_trail_graph_cyclic", f"""
+    WITH RECURSIVE {RELAYS}, inward AS (SELECT * FROM relays WHERE src <> 'S1'),
+    ways(node, far) AS (
+        SELECT 'S1', 0 UNION SELECT i.src, ways.far + 1 FROM ways JOIN inward i ON i.dst = ways.node
+        WHERE ways.far < (SELECT least(count(DISTINCT src), 12) FROM inward)),
+    reached AS (SELECT node, min(far) AS far FROM ways GROUP BY 1)
+    SELECT src, dst, w, (far + 1)::INT AS hops FROM inward JOIN reached ON dst = node""")
+def _(t: Tables) -> DataFrame:
+    return graph.trail_graph(relays(t), "S1")
+
+
 # Orders in a row, every seventh link left out: chains longer than any fixed number of rounds, and a ring with a tail for each supplier.
 LONG_CHAINS = """
     long_chains AS (

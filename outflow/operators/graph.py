@@ -270,7 +270,7 @@ def money_trail(edges: DataFrame, account: str, branches: int | None = None, hop
     """(chain_no, chain, cut): the chains of senders that lead to an account, source first.
 
     Senders are followed by falling amount; an account that is already on the chain is not entered again. All chains are returned unless a
-    display asks for less: at most ``branches`` senders per account, ``hops`` steps, ``chains`` chains in depth-first order. ``cut`` marks a
+    display asks for less (on graphs of many cycles ask for ``chains``, or take the whole as ``trail_graph``): at most ``branches`` senders per account, ``hops`` steps, ``chains`` chains in depth-first order. ``cut`` marks a
     chain that ended at the limit of steps.
     """
     spark = edges.sparkSession
@@ -301,6 +301,30 @@ def money_trail(edges: DataFrame, account: str, branches: int | None = None, hop
     return placed.select(F.col("chain_no").cast("int").alias("chain_no"), F.reverse("path").alias("chain"), (~F.col("done")).alias("cut"))
 
 
+def trail_graph(edges: DataFrame, account: str, hops: int | None = None, compact: int = 16) -> DataFrame:
+    """The transfers whose receiver is the account or passes money on to it, with ``hops``: the fewest steps from the sender, by this transfer, to the account.
+
+    The whole sub-graph in as many rounds as its longest shortest way, however many chains and cycles it holds; ``money_trail`` lists single
+    chains. Transfers out of the account itself are left out. An account that nothing leads to has no rows. ``hops`` ends the search there;
+    found accounts lie in one file per round, put together every ``compact`` rounds.
+    """
+    links = durable(edges.where(F.col("src") != account).select("src", "dst").where("src <> dst").distinct())
+    found = frontier = durable(edges.sparkSession.range(1).select(F.lit(account).alias("node"), F.lit(0).alias("far")))
+    step = 0
+    while hops is None or step < hops - 1:
+        step += 1
+        senders = links.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        frontier = durable(senders.join(found, "node", "left_anti").select("node", F.lit(step).alias("far")))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+        if step % compact == 0:
+            found = durable(found)
+    reached = found.select(F.col("node").alias("dst"), (F.col("far") + 1).alias("hops"))
+    inward = edges.where(F.col("src") != account).join(reached, "dst")
+    return inward.select(*[edges[c] if c != "dst" else F.col("dst") for c in edges.columns if c != "hops"], reached["hops"])
+
+
 def trail_edges(edges: DataFrame, trail: DataFrame, limit: int | None = None) -> DataFrame:
     """Transfers touching the accounts of a trail, largest first; all of them unless a display asks for less."""
     nodes = trail.select(F.explode("chain").alias("node")).distinct()

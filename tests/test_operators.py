@@ -295,6 +295,20 @@ def test_trail_is_depth_first(spark):
     assert [r.chain for r in trail.orderBy("chain_no").collect()] == [["s1", "h1", "t"], ["s2", "h1", "t"], ["s3", "t"]]
 
 
+def test_trail_graph_ends_on_cycles(spark):
+    # Every account pays every other: too many chains to list, and one account that only receives.
+    names = [f"a{i:02d}" for i in range(30)]
+    pairs = [(a, b) for a in names for b in names if a != b] + [("far", "a07"), ("a03", "out"), ("a00", "a00"), ("x", "y")]
+    got = {(r.src, r.dst): r.hops for r in graph.trail_graph(money(spark, pairs), "a00").collect()}
+    want = {(a, b): 1 if b == "a00" else 2 for a, b in pairs if a != "a00" and b in names} | {("far", "a07"): 2}
+    assert got == want
+    assert set(graph.trail_graph(money(spark, pairs), "a00", hops=1).toPandas()["dst"]) == {"a00"}
+    assert graph.trail_graph(money(spark, pairs), "far").count() == 0
+    chain = [(f"c{i:02d}", f"c{i + 1:02d}") for i in range(12)] + [("c05", "c01")]
+    got = {(r.src, r.dst): r.hops for r in graph.trail_graph(money(spark, chain), "c12", compact=3).collect()}
+    assert got == {(a, b): 13 - int(b[1:]) for a, b in chain}
+
+
 def test_components_and_betweenness(spark):
     path = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(12)] + [("z1", "z2")]
     edges = spark.createDataFrame(path, "src string, dst string")
