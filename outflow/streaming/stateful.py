@@ -1,7 +1,7 @@
-"""Stateful alerting: the duplicate rule per machine and the escalation timer per alert.
+"""Stateful alerting: the duplicate rule per machine and the escalation of alerts that nobody acts on.
 
-The state is one small record per key, and for alerts the rows that the watermark has not passed. Input is read frame by
-frame; no step joins the frames of a key's batch.
+The state is one session per open alert, and for the duplicate rule the machines' last alerts within the cooldown and the rows that
+the watermark has not passed. Input is read frame by frame; no step joins the frames of a key's batch.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from outflow.functions.scalar import HIGH
@@ -18,7 +19,10 @@ from outflow.operators.alerts import COOLDOWN_HOURS, MATERIAL_RISE
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ALERT_OUT = "atm_id string, at timestamp, risk_score double, outcome string, risk_delta_vs_last double"
-ESCALATION_OUT = "alert_id string, escalated_at timestamp, decision_reason string"
+#: Waiting rows of one bucket of machines are kept by the hour.
+SLOT_MS = 3_600_000
+#: Keys of the alert state; a machine is in one of them.
+BUCKETS = 64
 
 
 def micros(times: pd.Series) -> list[int]:
@@ -29,8 +33,8 @@ class AlertProcessor(StatefulProcessor):
     """Remembers each machine's last alert (time, risk); later flags become new alerts or re-observations.
 
     A row waits until the watermark has passed it, so rows are judged in the order of their times whatever batch they come in.
-    Waiting rows lie in a map by the millisecond at which they are due, each with a timer of its own: an arrival and a timer
-    touch the rows of their own millisecond, however many others wait.
+    A key is a bucket of machines. Its waiting rows lie in a map by the hour in which they are due, each hour with one timer at its
+    earliest row: an arrival and a timer touch the rows of their own hour, and all rows of an hour that are due are judged in one call.
     """
 
     def __init__(self, cooldown_hours: float = COOLDOWN_HOURS, rise: float = MATERIAL_RISE):
@@ -38,42 +42,58 @@ class AlertProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at_us long, risk double")
-        self.pending = handle.getMapState("pending", "due_ms long", "at_us array<long>, risk array<double>")
+        rows = "atm_id array<string>, at_us array<long>, risk array<double>"
+        self.last = handle.getValueState("last", rows)
+        self.pending = handle.getMapState("pending", "slot long", rows)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list[tuple[int, float]]] = {}
+        arrived: dict[int, list[tuple[str, int, float]]] = {}
         for frame in rows:
-            for at, risk in zip(micros(frame["at"]), map(float, frame["risk_score"])):
-                arrived.setdefault(-(-at // 1000), []).append((at, risk))
-        for due, new in arrived.items():
-            if self.pending.containsKey((due,)):
-                times, risks = self.pending.getValue((due,))
-                new = [*zip(times, risks), *new]
+            for atm, at, risk in zip(frame["atm_id"].tolist(), micros(frame["at"]), map(float, frame["risk_score"])):
+                arrived.setdefault(_due(at) // SLOT_MS, []).append((atm, at, risk))
+        for slot, new in arrived.items():
+            due = min(_due(at) for _, at, _ in new)
+            if self.pending.containsKey((slot,)):
+                held = [*zip(*self.pending.getValue((slot,)))]
+                first = min(_due(int(at)) for _, at, _ in held)
+                if due < first:
+                    self.handle.deleteTimer(first)
+                    self.handle.registerTimer(due)
+                new = held + new
             else:
                 self.handle.registerTimer(due)
-            times, risks = zip(*new)
-            self.pending.updateValue((due,), (list(times), list(risks)))
+            self.pending.updateValue((slot,), _columns(new))
         yield self._out([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # Timers of one key expire in the order of their times.
-        bucket = (expiredTimerInfo.getExpiryTimeInMs(),)
-        times, risks = self.pending.getValue(bucket) if self.pending.containsKey(bucket) else ((), ())
-        state = self.last.get() if self.last.exists() else None
+        due, passed = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        slot = (due // SLOT_MS,)
+        held = [*zip(*self.pending.getValue(slot))] if self.pending.containsKey(slot) else []
+        rows = [(atm, int(at), float(risk)) for atm, at, risk in held]
+        ready = [r for r in rows if _due(r[1]) <= max(due, passed)]
+        later = [r for r in rows if _due(r[1]) > max(due, passed)]
+        if later:
+            self.pending.updateValue(slot, _columns(later))
+            self.handle.registerTimer(min(_due(at) for _, at, _ in later))
+        elif rows:
+            self.pending.removeKey(slot)
+        last = {atm: (int(at), float(risk)) for atm, at, risk in zip(*self.last.get())} if self.last.exists() else {}
         out = []
-        for at, risk in sorted(zip(map(int, times), map(float, risks))):
+        for atm, at, risk in sorted(ready, key=lambda r: r[1:]):
+            state = last.get(atm)
             recent = state is not None and at - state[0] <= self.cooldown
             delta = risk - state[1] if recent else None
             if recent and delta <= self.rise:
-                out.append((key[0], at, risk, "reobserved", delta))
+                out.append((atm, at, risk, "reobserved", delta))
                 continue
-            out.append((key[0], at, risk, "new", delta))
-            state = (at, risk)
+            out.append((atm, at, risk, "new", delta))
+            last[atm] = (at, risk)
         if out:
-            self.last.update(state)
-            self.pending.removeKey(bucket)
-        yield self._out(out)
+            # What comes later is later than these rows, so an alert out of the cooldown bears on nothing.
+            newest = max(at for _, at, _, _, _ in out)
+            self.last.update(_columns([(atm, at, risk) for atm, (at, risk) in last.items() if newest - at <= self.cooldown]))
+            yield self._out(out)
 
     @staticmethod
     def _out(rows: list[tuple]) -> pd.DataFrame:
@@ -85,53 +105,12 @@ class AlertProcessor(StatefulProcessor):
         pass
 
 
-class EscalationProcessor(StatefulProcessor):
-    """Waits for action on an alert; without any it is escalated when its time is up.
+def _due(at_us: int) -> int:
+    return -(-at_us // 1000)
 
-    An action counts from the alert's creation on, in whatever order and batch the two arrive.
-    """
-
-    def __init__(self, timeout_minutes: int = 120):
-        self.timeout = timeout_minutes
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.known = handle.getValueState("known", "created_us long, acted_us long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        created, acted = self.known.get() if self.known.exists() else (None, None)
-        before = created
-        for frame in rows:
-            for at, kind in zip(micros(frame["at"]), frame["kind"]):
-                if kind == "created":
-                    created = at if created is None else min(created, at)
-                else:
-                    acted = at if acted is None else max(acted, at)
-        self.known.update((created, acted))
-        if created is None or created != before:
-            if before is not None:
-                self.handle.deleteTimer(self._due(before))
-            # Without a creation the timer only clears the state: by then the creation would be behind the watermark.
-            self.handle.registerTimer(self._due(created if created is not None else acted))
-        yield pd.DataFrame({"alert_id": pd.Series(dtype=str), "escalated_at": pd.Series(dtype="datetime64[ns]"), "decision_reason": pd.Series(dtype=str)})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        created, acted = self.known.get() if self.known.exists() else (None, None)
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        late = created is not None and self._due(created) == due
-        open_ = late and not (acted is not None and created <= acted)
-        if late or created is None:
-            self.known.clear()
-        reason = f"Auto-escalated after {self.timeout} min without acknowledgement"
-        found = [(key[0], pd.Timestamp(created + self.timeout * 60_000_000, unit="us"), reason)] if open_ else []
-        out = pd.DataFrame(found, columns=["alert_id", "escalated_at", "decision_reason"])
-        yield out.astype({"alert_id": "object", "escalated_at": "datetime64[ns]", "decision_reason": "object"})
-
-    def _due(self, at_us: int) -> int:
-        return -(-at_us // 1000) + self.timeout * 60_000
-
-    def close(self) -> None:
-        pass
+def _columns(rows: list[tuple]) -> tuple[list, ...]:
+    return tuple(map(list, zip(*rows)))
 
 
 def use_rocksdb(df: DataFrame) -> None:
@@ -142,14 +121,25 @@ def use_rocksdb(df: DataFrame) -> None:
 def stream_alerts(scores: DataFrame, threshold: float = HIGH, **rule) -> DataFrame:
     """(atm_id, at, risk_score) stream with a watermark on ``at`` to alert outcomes; rows below the threshold never leave Spark."""
     use_rocksdb(scores)
-    return scores.where(scores["risk_score"] >= threshold).groupBy("atm_id").transformWithStateInPandas(
+    dealt = scores.where(scores["risk_score"] >= threshold).withColumn("bucket", F.pmod(F.xxhash64("atm_id"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(
         AlertProcessor(**rule), outputStructType=ALERT_OUT, outputMode="append", timeMode="eventTime"
     )
 
 
 def stream_escalate(events: DataFrame, timeout_minutes: int = 120) -> DataFrame:
-    """(alert_id, at, kind = created or action) stream with a watermark on ``at`` to escalations."""
+    """(alert_id, at, kind = created or action) stream with a watermark on ``at`` to escalations.
+
+    An alert is a session that ends when nothing has happened to it for the timeout. An action counts from the alert's creation on, in
+    whatever order and batch the two arrive.
+    """
     use_rocksdb(events)
-    return events.groupBy("alert_id").transformWithStateInPandas(
-        EscalationProcessor(timeout_minutes), outputStructType=ESCALATION_OUT, outputMode="append", timeMode="eventTime"
+    created = F.col("kind").eqNullSafe("created")
+    seen = events.groupBy("alert_id", F.session_window("at", f"{timeout_minutes} minutes")).agg(
+        F.min(F.when(created, F.col("at"))).alias("created"), F.max(F.when(~created, F.col("at"))).alias("acted")
+    )
+    unanswered = seen.where(F.col("created").isNotNull() & (F.col("acted").isNull() | (F.col("acted") < F.col("created"))))
+    return unanswered.select(
+        "alert_id", (F.col("created") + F.expr(f"interval {timeout_minutes} minutes")).alias("escalated_at"),
+        F.lit(f"Auto-escalated after {timeout_minutes} min without acknowledgement").alias("decision_reason"),
     )

@@ -115,3 +115,74 @@ def test_a_repeated_or_failed_batch_changes_nothing(spark, tmp_path, monkeypatch
     rows = {r.created_at: r.status for r in cycle.alerts(spark).collect()}
     assert rows == {at(1): "escalated", at(10): "new"}
     assert [r.created for r in cycle.ledger(spark).orderBy("batch").collect()] == [1, 0, 1]
+
+
+def test_escalation_keeps_no_python_state_per_alert(spark, tmp_path):
+    batches = [[(f"a{i}", at(0), "created") for i in range(20)] + [("a3", at(0.5), "action"), ("a4", at(0.25), "created")], [("z", at(9), "created")]]
+    stream = arrivals(spark, str(tmp_path), batches, "alert_id string, at timestamp, kind string")
+    escalated = stateful.stream_escalate(stream.withWatermark("at", "10 minutes"))
+    assert "TransformWithState" not in escalated._jdf.queryExecution().analyzed().toString()
+    got = {r.alert_id: r.escalated_at for r in jobs.drained(escalated).collect()}
+    assert got == {f"a{i}": at(2) for i in range(20) if i != 3}
+
+
+class FakeState:
+    """The calls of a state handle, counted."""
+
+    def __init__(self):
+        self.timers, self.calls, self.values, self.one = set(), 0, {}, None
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def registerTimer(self, due):
+        self.calls += 1
+        self.timers.add(due)
+
+    def deleteTimer(self, due):
+        self.timers.remove(due)
+
+    def containsKey(self, key):
+        return key in self.values
+
+    def getValue(self, key):
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def exists(self):
+        return self.one is not None
+
+    def get(self):
+        return self.one
+
+    def update(self, value):
+        self.one = value
+
+
+def test_waiting_rows_of_an_hour_share_one_timer(spark):
+    import pandas as pd
+
+    state, rule = FakeState(), stateful.AlertProcessor()
+    rule.init(state)
+    rows = [(f"M{i % 7}", at(0) + timedelta(seconds=(i * 977) % 3500), 0.7 + (i * 31 % 29) / 100) for i in range(500)]
+    for part in (rows[:200], rows[200:]):
+        list(rule.handleInputRows((1,), iter([pd.DataFrame(part, columns=["atm_id", "at", "risk_score"])]), None))
+    assert len(state.timers) == 1 and state.calls <= 6
+    out, watermark = [], 0
+    clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda self: watermark, "getExpiryTimeInMs": lambda self: due})()
+    zero = int((T0 - datetime(1970, 1, 1)) / timedelta(milliseconds=1))
+    for minutes in (20, 40, 120):
+        watermark = zero + minutes * 60_000
+        while due := min((t for t in state.timers if t <= watermark), default=None):
+            state.timers.remove(due)
+            for frame in rule.handleExpiredTimer((1,), clock, clock):
+                out += [(r.atm_id, r.at.to_pydatetime(), r.outcome) for r in frame.itertuples()]
+    assert not state.timers and sorted(out) == plain_rule(rows)
