@@ -118,7 +118,7 @@ def calibrated_model(df: DataFrame, features: Sequence[str], tail: float = 0.2,
     """Trees on the earlier days, calibration on the last share of days."""
     days = df.select(day).distinct()
     cut = splits.numbered(days, [], [F.col(day)], "_p").withColumn("_late", F.col("_p") > F.floor(days.agg(F.count("*")).scalar() * (1 - tail)))
-    marked = durable(df.drop("split").join(cut.select(day, "_late"), day).withColumn("split", F.when(F.col("_late"), "tail").otherwise("train")).drop("_late"))
+    marked = durable(df.drop("split").join(F.broadcast(cut.select(day, "_late")), day).withColumn("split", F.when(F.col("_late"), "tail").otherwise("train")).drop("_late"))
     trees = fit_risk_model(marked, features, **knobs)
     late = raw_scores(trees, marked.where("split = 'tail'"))
     both = marked.where("split = 'train'").select("label").distinct().count() == 2
@@ -267,7 +267,8 @@ def hourly_eval(features: DataFrame, columns: Sequence[str], **knobs) -> DataFra
     placed = splits.numbered(days, [], [F.col("day")], "_p")
     cut = F.floor(days.agg(F.count("*")).scalar() * 0.7)
     split = F.when(F.col("_p") > cut, "test").when(F.col("_p") > cut - 3, "val").otherwise("train")
-    whole = durable(dated.join(placed.select("day", split.alias("split")), "day"))
+    # One row per calendar day: sent to the rows, as a join by day would bring all rows of a day into one task.
+    whole = durable(dated.join(F.broadcast(placed.select("day", split.alias("split"))), "day"))
     model = train(whole, columns, **knobs)
     tested = model.score(whole.where("split = 'test'")).select("atm_id", "hour", "score", "label")
     return std_block(tested, ["atm_id", "hour"])

@@ -22,7 +22,7 @@ def chrono_split(df: DataFrame, day: str, train: float = 0.7, validation: float
     cut = F.floor(total * train)
     held = F.greatest(F.floor(cut * validation), F.lit(2))
     label = F.when(F.col("_p") > cut, "test").when(F.col("_p") > cut - held, "val").otherwise("train")
-    return df.join(placed.select(day, label.alias("split")), day)
+    return df.join(F.broadcast(placed.select(day, label.alias("split"))), day)
 
 
 def rank_ensemble(df: DataFrame, a: str, b: str, out: str = "ensemble") -> DataFrame:
