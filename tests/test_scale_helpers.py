@@ -128,3 +128,35 @@ def test_the_next_event_of_a_hot_key_takes_one_pass(spark):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
     # A frame that shrinks towards the end is computed anew for every row: the square of a block's rows.
     assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_a_split_by_day_sends_the_days_to_the_rows(spark):
+    from outflow.plans import splits
+
+    rows = spark.range(400).selectExpr("id", "date_add(date'2024-01-01', cast(id % 20 as int)) AS day")
+    split = splits.chrono_split(rows, "day")
+    assert "strategy=broadcast" in plan_of(split)
+    assert {(r.split, r.n) for r in split.groupBy("split").count().toDF("split", "n").collect()} == {("train", 240), ("val", 40), ("test", 120)}
+
+
+def test_machines_are_dealt_out_before_their_calendar(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from outflow import schemas
+    from outflow.plans import steps
+    from outflow.sources.views import Tables
+
+    atms = spark.createDataFrame([(f"A{i}", "b", "br", "X", "DX", "S", "1", "ps", 1.0, 2.0) for i in range(9)], schemas.ATMS).coalesce(1)
+    none = lambda schema: spark.createDataFrame([], schema)
+    account = steps.account_steps(none(schemas.WITHDRAWALS), 24)
+    grid = steps.machine_steps(account, none(schemas.COMPLAINTS), atms, F.lit(1).cast("bigint"), F.lit(40).cast("bigint"), 24, {"l": steps.Linked(1)})
+    assert "REPARTITION_BY_NUM" in plan_of(grid) and grid.count() == 360
+    spark.range(9).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    events = spark.range(30).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 5 as int)) AS ts", "id AS user_id", "'error' AS event_type", "200.0D AS value", "'' AS props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    scores = Tables(spark, str(tmp_path)).scores
+    assert "REPARTITION_BY_NUM" in plan_of(scores) and scores.count() == 45
