@@ -104,7 +104,8 @@ def mix(
     )
     placed = sized.join(sources.select("s", "shards"), "s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
     lengths = placed.groupBy("s", "shard").agg(F.sum("size").alias("words"))
-    lengths = lengths.join(sources.select("s", "source_size", "target", "quota"), "s")
+    # Written down, as every pass of the search for the divisor reads it.
+    lengths = durable(lengths.join(sources.select("s", "source_size", "target", "quota"), "s"))
     quotas = apportion(lengths, "s", "shard", "words", "quota").withColumnRenamed("quota", "seats")
     plan = lengths.join(quotas, ["s", "shard"]).withColumn("blocks", F.ceil(F.col("words") / block).cast("bigint"))
     # The quota in words: whole passes first, then the number of blocks that comes nearest to the rest, as the last block is short.

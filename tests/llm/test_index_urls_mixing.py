@@ -199,3 +199,17 @@ def test_mix_edge_rows(llm):
     assert len(out) == 6 and all(r["taken"] <= 2 * r["size"] for r in out)
     assert mix(docs.limit(0)).count() == 0
     assert all(r["taken"] == 0 for r in mix(docs.where("text IS NULL")).collect())
+
+
+def test_the_search_for_seats_reads_shards_that_are_written_down(mixed, monkeypatch):
+    from outflow.llm import mixing
+
+    plans, whole = [], mixing.apportion
+
+    def seen(items, *names):
+        plans.append(items._jdf.queryExecution().optimizedPlan().toString())
+        return whole(items, *names)
+
+    monkeypatch.setattr(mixing, "apportion", seen)
+    mix(mixed[2], shard_words=20_000)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
