@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ from outflow.session import durable, shuffle_width
 # Weights of in-degree, terminal ratio, depth, rank and inflow in the terminal risk.
 RISK_WEIGHTS = (0.30, 0.25, 0.15, 0.15, 0.15)
 HOT_EDGES = 1_000_000  # out-edges of one node per slice before its edges are spread over several slices
+HOT_GROUPS = 100_000  # such nodes that are sent to every task; beyond, the planner joins them
 
 
 def weighted_edges(transfers: DataFrame) -> DataFrame:
@@ -37,41 +39,82 @@ def fixed_edges(transfers: DataFrame) -> DataFrame:
     return durable(weighted_edges(transfers))
 
 
-def transfer_nodes(edges: DataFrame) -> DataFrame:
-    """(node, in_degree, out_degree, inflow): degrees count parallel transfers."""
+def node_stats(edges: DataFrame) -> DataFrame:
+    """(node, in_degree, out_degree, inflow, n_in, n_out, pairs) from one pass over the edges.
+
+    Degrees count parallel transfers; n_in and n_out count the edges from and to other nodes, pairs all edges out.
+    """
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    other = F.when(F.col("src") != F.col("dst"), one).otherwise(none)
+    amount = F.col("amount") if "amount" in edges.columns else F.lit(0.0)
+    end = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
     ends = edges.select(
         F.inline(
             F.array(
-                F.struct(F.col("src").alias("node"), F.lit(0).cast("bigint").alias("i"), F.col("w").alias("o"), F.lit(0.0).alias("a")),
-                F.struct(F.col("dst").alias("node"), F.col("w").alias("i"), F.lit(0).cast("bigint").alias("o"), F.col("amount").alias("a")),
+                end(node=F.col("src"), i=none, o=F.col("w"), a=F.lit(0.0), x=none, y=other, p=one),
+                end(node=F.col("dst"), i=F.col("w"), o=none, a=amount, x=other, y=none, p=none),
             )
         )
     )
-    return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), exact_sum("a").alias("inflow"))
+    return ends.groupBy("node").agg(
+        F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), exact_sum("a").alias("inflow"),
+        F.sum("x").alias("n_in"), F.sum("y").alias("n_out"), F.sum("p").alias("pairs"),
+    )
+
 
+def transfer_nodes(edges: DataFrame) -> DataFrame:
+    """(node, in_degree, out_degree, inflow): degrees count parallel transfers."""
+    return node_stats(edges).select("node", "in_degree", "out_degree", "inflow")
+
+
+class Placed(NamedTuple):
+    """A graph whose edges lie still, partitioned and sorted by source, while the nodes' values come to them.
+
+    The edges of a node with very many of them lie in several slices, and the node sends its value to each.
+    """
 
-def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_edges: int = HOT_EDGES) -> DataFrame:
+    nodes: DataFrame
+    links: DataFrame
+    hot: DataFrame | None
+
+    def sent(self, senders: DataFrame) -> DataFrame:
+        """The links out of the senders, with the senders' other columns."""
+        rows = senders.withColumnRenamed("node", "src")
+        if self.hot is None:
+            return self.links.join(rows, "src")
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1))
+        return self.links.join(rows.join(self.hot, "src", "left").withColumn("slice", each).drop("slices"), ["src", "slice"])
+
+
+def place(edges: DataFrame, hot_edges: int = HOT_EDGES) -> Placed:
+    """The edges (src, dst, w) moved once, for all rounds of the operators that follow them; ``links`` is to be unpersisted by the caller."""
+    nodes = durable(node_stats(edges))
+    hot = durable(nodes.where((F.col("pairs") > hot_edges) & F.col("node").isNotNull()).select(
+        F.col("node").alias("src"), F.ceil(F.col("pairs") / hot_edges).cast("int").alias("slices")
+    ))
+    links, keys, groups = edges.select("src", "dst", "w").where("src IS NOT NULL"), ["src"], hot.count()
+    if groups:
+        hot, keys = F.broadcast(hot) if groups <= HOT_GROUPS else hot, ["src", "slice"]
+        of = F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1))).cast("int")
+        links = links.join(hot, "src", "left").withColumn("slice", of).drop("slices")
+    links = links.repartition(shuffle_width(edges.sparkSession), *keys).sortWithinPartitions(*keys).persist(StorageLevel.MEMORY_AND_DISK)
+    return Placed(nodes, links, hot if groups else None)
+
+
+def pagerank(
+    edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_edges: int = HOT_EDGES, placed: Placed | None = None
+) -> DataFrame:
     """(node, page_rank) after a fixed number of iterations, dangling mass spread evenly, largest rank = 1.
 
     With M the transition matrix, an iteration is x' = d M x + c 1, where c depends only on the dangling mass of x.
     So x is a combination of the vectors u_k = M^k 1, and only those need the graph: u_k is made from u_(k-1) by
     one join, keeps only its non-zero rows and, where money cannot flow on in circles, soon has none. The
     coefficients follow from one number per k, the dangling sum of u_k.
-
-    The edges stay in place, partitioned by source and slice; the edges of a node with very many of them lie in
-    several slices, and the node sends its value to each.
     """
-    width = shuffle_width(edges.sparkSession)
-    out = edges.groupBy("src").agg(F.sum("w").alias("out_w"), F.count("*").alias("pairs"))
-    slices = out.select("src", "out_w", F.ceil(F.col("pairs") / hot_edges).cast("int").alias("slices")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    placed = edges.select("src", "dst", "w").join(slices, "src").select(
-        "src", F.pmod(F.xxhash64("dst"), F.col("slices")).cast("int").alias("slice"), "dst", (F.col("w") / F.col("out_w")).alias("share")
-    ).repartition(width, "src", "slice").persist(StorageLevel.MEMORY_AND_DISK)
-    senders = slices.select(F.col("src").alias("node"), "slices")
-    nodes = durable(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(senders, "node", "left"))
-    n, sinks = nodes.agg(F.count("*"), F.count_if(F.col("slices").isNull())).first()
+    graph = place(edges, hot_edges) if placed is None else placed
+    pays = F.col("node").isNotNull() & (F.col("out_degree") > 0)
+    nodes = graph.nodes.select("node", F.when(pays, F.col("out_degree")).alias("out_w"))
+    n, sinks = nodes.agg(F.count("*"), F.count_if(F.col("out_w").isNull())).first()
     if n == 0:
         return nodes.select("node", F.lit(0.0).alias("page_rank"))
 
@@ -79,18 +122,18 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_
     powers: list[DataFrame] = []
     dangling = [float(sinks)]
     for _ in range(iterations):
-        sent = current.where(F.col("slices").isNotNull()).select(
-            F.col("node").alias("src"), "u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+        received = graph.sent(current.where(F.col("out_w").isNotNull())).groupBy(F.col("dst").alias("node")).agg(
+            F.sum(F.col("u") * (F.col("w") / F.col("out_w"))).alias("u")
         )
-        received = placed.join(sent, ["src", "slice"]).groupBy(F.col("dst").alias("node")).agg(
-            F.sum(F.col("u") * F.col("share")).alias("u")
-        )
-        current = durable(received.join(senders, "node", "left"))
-        rows, lost = current.agg(F.count("*"), F.sum(F.when(F.col("slices").isNull(), F.col("u")))).first()
+        current = durable(received.join(nodes, "node", "left"))
+        rows, paying, lost = current.agg(F.count("*"), F.count("out_w"), F.sum(F.when(F.col("out_w").isNull(), F.col("u")))).first()
         if rows == 0:
             break
         powers.append(current)
         dangling.append(lost or 0.0)
+        if paying == 0:
+            # Nothing flows on: the next vector has no rows.
+            break
 
     weights = [1.0 / n]
     for _ in range(iterations):
@@ -100,84 +143,93 @@ def pagerank(edges: DataFrame, damping: float = 0.85, iterations: int = 40, hot_
     for power, weight in zip(powers, weights[1:]):
         total = total.unionByName(power.select("node", (F.col("u") * weight).alias("x")))
     ranks = durable(total.groupBy("node").agg(F.sum("x").alias("rank")))
-    placed.unpersist()
-    slices.unpersist()
+    if placed is None:
+        graph.links.unpersist()
     return ranks.select("node", (F.col("rank") / ranks.agg(F.max("rank")).scalar()).alias("page_rank"))
 
 
-def chain_depth(edges: DataFrame) -> DataFrame:
+def chain_depth(edges: DataFrame, hot_edges: int = HOT_EDGES, placed: Placed | None = None) -> DataFrame:
     """(node, depth) from weighted edges: longest path from any source, 0 where no source reaches.
 
     Nodes on a common cycle count as one, at the depth at which the longest path enters it. There is no limit of depth:
     runs of nodes with one way in and one way out are shortened by jumps, and the rest is peeled off by in-degree; what
     is left then lies on cycles or behind them, so the cycles are contracted and the peeling starts anew.
     """
-    pairs = durable(edges.select("src", "dst").where("src <> dst").distinct())
-    ids = durable(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    graph = placed
+    if graph is None:
+        graph = place(durable(edges.select("src", "dst").distinct().withColumn("w", F.lit(1).cast("bigint"))), hot_edges)
     # A source has no way in, not even from itself.
-    entered = edges.select(F.col("dst").alias("node")).distinct()
-    roots = durable(ids.join(entered, "node", "left_anti"))
-    found, left = _peel(pairs, ids, roots)
+    nodes = graph.nodes.select("node", "n_in", "n_out", (F.col("in_degree") == 0).alias("root"))
+    found, left = _peel(graph, nodes)
     if not left.isEmpty():
+        pairs = graph.links.select("src", "dst").where("src <> dst")
         inner = pairs.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
         groups = cycle_groups(inner.select("src", "dst"))
-        named = durable(ids.join(groups, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle")))
+        named = durable(nodes.join(groups, "node", "left").select("node", F.coalesce("cycle", "node").alias("cycle"), "root"))
         ends = lambda c: named.select(F.col("node").alias(c), F.col("cycle").alias(f"{c}_cycle"))
         contracted = pairs.join(ends("src"), "src").join(ends("dst"), "dst").where("src_cycle <> dst_cycle")
-        contracted = durable(contracted.select(F.col("src_cycle").alias("src"), F.col("dst_cycle").alias("dst")).distinct())
-        found, _ = _peel(contracted, durable(named.select(F.col("cycle").alias("node")).distinct()), roots)
+        contracted = durable(contracted.select(F.col("src_cycle").alias("src"), F.col("dst_cycle").alias("dst")).distinct().withColumn("w", F.lit(1).cast("bigint")))
+        inside = place(contracted, hot_edges)
+        # The node that names a cycle is on it, so a source keeps its own name.
+        whole = named.where("node = cycle").select("node", "root").join(inside.nodes.select("node", "n_in", "n_out"), "node", "left").na.fill(0, ["n_in", "n_out"])
+        found, _ = _peel(inside, durable(whole))
+        inside.links.unpersist()
         found = named.join(found.withColumnRenamed("node", "cycle"), "cycle").select("node", "depth")
-    return ids.join(found, "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))
-
-
-def _peel(pairs: DataFrame, ids: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Depths of the nodes that no cycle leads to (null where no root does), and the nodes left over."""
-    ways_in = pairs.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n_in"), F.min("src").alias("before"))
-    ways_out = pairs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n_out"))
-    degrees = durable(ids.join(ways_in, "node", "left").join(ways_out, "node", "left").na.fill(0, ["n_in", "n_out"]))
-    # Nodes in a run jump to the node that the run hangs on; a run that is a ring never gets there.
-    run = durable(degrees.where("n_in = 1 AND n_out = 1").select("node", F.col("before").alias("head"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("open")))
-    reach = 0
-    while True:
-        ahead = run.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
-        run = durable(run.join(ahead, "head", "left").select(
-            "node", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")
-        ))
-        still = run.where("open").count()
-        # After as many doublings as the longest possible run has, only rings are open.
-        reach += 1
-        if still == 0 or 2**reach > run.count():
-            break
-    inside = run.where("NOT open").select("node", "head", "steps")
-    hooks = run.select("node")
-    plain = degrees.join(hooks, "node", "left_anti")
-    ends = pairs.join(plain.select(F.col("node").alias("dst")), "dst", "left_semi")
-    links = ends.join(inside.select(F.col("node").alias("src"), "head", "steps"), "src", "left")
-    links = links.join(run.where("open").select(F.col("node").alias("src")), "src", "left_anti")
-    links = durable(links.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
-
-    waiting = durable(plain.select("node", F.col("n_in").alias("missing"), F.lit(None).cast("bigint").alias("depth")))
-    start = waiting.where("missing = 0").join(roots.withColumn("root", F.lit(True)), "node", "left")
-    ready = durable(start.select("node", F.when(F.col("root"), F.lit(0).cast("bigint")).alias("depth")))
-    waiting = waiting.where("missing > 0")
+    depths = durable(nodes.join(found, "node", "left").select("node", F.coalesce("depth", F.lit(0)).cast("int").alias("depth")))
+    if placed is None:
+        graph.links.unpersist()
+    return depths
+
+
+def _peel(graph: Placed, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Depths of the nodes (node, n_in, n_out, root) that no cycle leads to (null where no root does), and the nodes left over."""
+    runners = nodes.where("n_in = 1 AND n_out = 1").select("node")
+    # A run as a step from its head to the node behind it.
+    steps = inside = None
+    if not runners.isEmpty():
+        into = graph.links.where("src <> dst").join(runners.select(F.col("node").alias("dst")), "dst")
+        run = durable(into.select(F.col("dst").alias("node"), F.col("src").alias("head"), F.lit(1).cast("bigint").alias("steps"), F.lit(True).alias("open")))
+        # Nodes in a run jump to the node that the run hangs on; a run that is a ring never gets there.
+        reach, size = 0, run.count()
+        while True:
+            ahead = run.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("steps").alias("more"))
+            run = durable(run.join(ahead, "head", "left").select(
+                "node", F.coalesce("next", "head").alias("head"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("open")
+            ))
+            still = run.where("open").count()
+            # After as many doublings as the longest possible run has, only rings are open.
+            reach += 1
+            if still == 0 or 2**reach > size:
+                break
+        inside = run.where("NOT open").select("node", "head", "steps")
+        out = graph.sent(inside).where("src <> dst").select("head", "dst", "steps").join(run.select(F.col("node").alias("dst")), "dst", "left_anti")
+        steps = durable(out.select(F.col("head").alias("src"), "dst", (F.col("steps") + 1).alias("steps")))
+
+    plain = nodes if inside is None else nodes.join(run.select("node"), "node", "left_anti")
+    none = F.lit(None).cast("bigint")
+    waiting = durable(plain.select("node", F.col("n_in").alias("missing"), "n_out", F.when(F.col("root"), F.lit(0).cast("bigint")).otherwise(none).alias("depth")))
+    ready, waiting = waiting.where("missing = 0"), waiting.where("missing > 0")
     done = [ready]
-    while not ready.isEmpty():
-        sent = links.join(ready.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(
-            F.count("*").alias("came"), F.max(F.col("depth") + F.col("steps")).alias("offer")
-        )
+    while not (going := ready.where("n_out > 0").select("node", "depth")).isEmpty():
+        # Offers to nodes on runs find nobody waiting.
+        offers = graph.sent(going).where("src <> dst").select("dst", (F.col("depth") + 1).alias("offer"))
+        if steps is not None:
+            offers = offers.unionByName(steps.join(going.withColumnRenamed("node", "src"), "src").select("dst", (F.col("depth") + F.col("steps")).alias("offer")))
+        sent = offers.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("came"), F.max("offer").alias("offer"))
         waiting = durable(waiting.join(sent, "node", "left").select(
-            "node", (F.col("missing") - F.coalesce("came", F.lit(0))).alias("missing"), F.greatest("depth", "offer").alias("depth")
+            "node", (F.col("missing") - F.coalesce("came", F.lit(0))).alias("missing"), "n_out", F.greatest("depth", "offer").alias("depth")
         ))
-        ready = waiting.where("missing = 0").select("node", "depth")
-        waiting = waiting.where("missing > 0")
+        ready, waiting = waiting.where("missing = 0"), waiting.where("missing > 0")
         done.append(ready)
-    heads = done[0]
+    heads = done[0].select("node", "depth")
     for more in done[1:]:
-        heads = heads.unionByName(more)
-    heads = durable(heads)
-    on_run = inside.join(heads.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
-    found = durable(heads.unionByName(on_run))
-    return found, ids.join(found.select("node"), "node", "left_anti")
+        heads = heads.unionByName(more.select("node", "depth"))
+    if inside is not None:
+        heads = durable(heads)
+        on_run = inside.join(heads.withColumnRenamed("node", "head"), "head").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+        heads = heads.unionByName(on_run)
+    found = durable(heads)
+    return found, nodes.where("node IS NOT NULL").select("node").join(found.select("node"), "node", "left_anti")
 
 
 def cycle_groups(pairs: DataFrame) -> DataFrame:
@@ -236,9 +288,12 @@ def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
 
 def terminal_risk(edges: DataFrame, ranks: DataFrame | None = None, depths: DataFrame | None = None) -> DataFrame:
     """One row per account: degrees, inflow, depth, rank and the terminal cash-out risk in [0, 1]."""
-    ranks = pagerank(edges) if ranks is None else ranks
-    depths = chain_depth(edges) if depths is None else depths
-    rows = transfer_nodes(edges).join(ranks, "node").join(depths, "node")
+    # Ranks and depths follow the same edges, which are moved once for both.
+    graph = place(edges)
+    ranks = pagerank(edges, placed=graph) if ranks is None else ranks
+    depths = chain_depth(edges, placed=graph) if depths is None else depths
+    graph.links.unpersist()
+    rows = graph.nodes.select("node", "in_degree", "out_degree", "inflow").join(ranks, "node").join(depths, "node")
     tops = rows.agg(
         F.struct(F.max("in_degree").alias("i"), F.max("inflow").alias("a"), F.max("depth").alias("d"))
     ).scalar()

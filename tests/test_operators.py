@@ -289,6 +289,21 @@ def test_terminal_risk_survives_pure_cycles(spark):
     assert len(rows) == 2 and all(0 <= r.terminal_risk <= 1 for r in rows)
 
 
+def test_terminal_risk_moves_its_edges_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df, keep=graph.durable: written.append(set(df.columns)) or keep(df))
+    rows = graph.terminal_risk(money(spark, DAG)).collect()
+    assert {r.account_token: r.chain_depth for r in rows} == {"a": 0, "p": 0, "b": 1, "x": 1, "y": 1, "q": 1, "c": 2, "z": 2, "d": 3}
+    # No copy of the edges is written; nodes, hot nodes and the steps over runs are.
+    assert not [c for c in written if {"src", "dst"} <= c and "steps" not in c]
+
+
+def test_depth_ignores_missing_ends(spark):
+    rows = [("a", "b", 1), ("b", None, 1), (None, "c", 1), ("a", "c", 1), ("c", "d", 1), ("a", "d", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, w bigint")
+    assert {r.node: r.depth for r in graph.chain_depth(edges, hot_edges=1).collect()} == {None: 0, "a": 0, "b": 1, "c": 1, "d": 2}
+
+
 def test_trail_is_depth_first(spark):
     pairs = [("s1", "h1"), ("s2", "h1"), ("h1", "t"), ("s3", "t")]
     trail = graph.money_trail(money(spark, pairs), "t")
