@@ -96,7 +96,7 @@ def score_texts(
         counts = np.bincount(which[train], minlength=len(types))
         cut = owners(types)
         rows = [
-            (s, grp, b - a, types[a:b].tobytes(), b"", zlib.compress(counts[a:b].astype(np.uint32).tobytes(), 1))
+            (s, grp, b - a, types[a:b].tobytes(), b"", squeeze(counts[a:b].astype(np.uint32)))
             for s, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a
         ]
         return X.to_table(rows, X.LIST_NAMES, X.LIST_TYPES)
@@ -104,12 +104,12 @@ def score_texts(
     def totalled(table: pa.Table) -> pa.Table:
         """Each group's answer: its words' totals and their places among the shard's placed words; one row (group -1) about the shard."""
         keys = [np.frombuffer(b, np.uint64) for b in table.column("low").to_pylist()]
-        counts = [np.frombuffer(zlib.decompress(b), np.uint32) for b in table.column("counts").to_pylist()]
+        counts = [loosened(b, np.uint32) for b in table.column("counts").to_pylist()]
         types, which = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.zeros(len(types), np.int64)
         np.add.at(totals, which, np.concatenate(counts).astype(np.int64))
         both = np.stack([totals, np.cumsum(totals >= PLACED) - 1])[:, which]
-        answers = [zlib.compress(part.tobytes(), 1) for part in np.split(both, np.cumsum([len(k) for k in keys])[:-1], axis=1)]
+        answers = [squeeze(part.ravel()) for part in np.split(both, np.cumsum([len(k) for k in keys])[:-1], axis=1)]
         seen = totals[totals > 0]
         about = np.array([len(seen), seen.sum()], np.int64).tobytes()
         shard = table.column("shard")[0].as_py()
@@ -124,7 +124,7 @@ def score_texts(
             return X.to_table([row], CODED_NAMES, CODED_TYPES)
         table, words, types, which, held = read(table)
         by_shard = dict(zip(answers.column("shard").to_pylist(), blobs))
-        parts = [np.frombuffer(zlib.decompress(by_shard[s]), np.int64).reshape(2, -1) for s in sorted(by_shard)]
+        parts = [loosened(by_shard[s], np.int64).reshape(2, -1) for s in sorted(by_shard)]
         counts, places = np.concatenate(parts, axis=1) if parts else np.zeros((2, 0), np.int64)
         often, placed = counts >= frequent_from, np.flatnonzero(counts >= PLACED)
         cuts = np.searchsorted(placed, owners(types))
@@ -136,8 +136,8 @@ def score_texts(
         n = np.diff(words.first)
         row = (
             grp, table.column("doc_id").to_pylist(), held.tolist(), (n + 1).tolist(), per_doc((counts > 0).astype(np.int64)).tolist(),
-            per_doc(np.log10(counts + 0.1)).tolist(), zlib.compress(which.astype(np.uint32).tobytes(), 1), zlib.compress(counts.tobytes(), 1),
-            zlib.compress(np.diff(places[placed], prepend=0).astype(np.int32).tobytes(), 1), cuts.tolist(),
+            per_doc(np.log10(counts + 0.1)).tolist(), squeeze(which.astype(np.uint32)), squeeze(counts),
+            squeeze(np.diff(places[placed], prepend=0).astype(np.int32)), cuts.tolist(),
             types[often].view(np.int64).tolist(), counts[often].tolist(), None, None,
         )
         return X.to_table([row], CODED_NAMES, CODED_TYPES)
@@ -165,14 +165,14 @@ def score_texts(
     def expanded(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The words' counts; the token's words, with a place past the last for an end before each document and after the last one;
         where the documents begin; which bigrams are in training."""
-        counts = np.frombuffer(zlib.decompress(row["counts"]), np.int64)
+        counts = loosened(row["counts"], np.int64)
         n = np.array(row["n_tokens"], np.int64)
         begin = np.cumsum(n) - n
         out = np.full(int(n.sum()) + 1, len(counts), np.int64)
         word_at = np.ones(len(out), bool)
         word_at[begin] = False
         word_at[-1] = False
-        out[word_at] = np.frombuffer(zlib.decompress(row["codes"]), np.uint32)
+        out[word_at] = loosened(row["codes"], np.uint32)
         return counts, out, begin, np.repeat(~np.array(row["held_out"], bool), n)
 
     def frequent_at(row: dict, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,7 +228,7 @@ def score_texts(
         first = by_count(counts, False).astype(np.uint16)
         if len(start) < classes:
             # Too few frequent words to tell classes apart: the others are dealt round.
-            places = np.cumsum(np.frombuffer(zlib.decompress(row["places"]), np.int32), dtype=np.int64)
+            places = np.cumsum(loosened(row["places"], np.int32), dtype=np.int64)
             first[counts >= PLACED] = FIRST_WORD + places % classes
         at, place = frequent_at(row, counts)
         first[at] = start[place]
@@ -247,16 +247,16 @@ def score_texts(
         before, after = out[:-1][train], out[1:][train]
         cells = np.concatenate([(number[before] * 2) * width + state[after], (number[after] * 2 + 1) * width + state[before]])
         cells, n = np.unique(cells[np.concatenate([number[before], number[after]]) >= 0], return_counts=True)
-        places = np.cumsum(np.frombuffer(zlib.decompress(row["places"]), np.int32), dtype=np.int64)
+        places = np.cumsum(loosened(row["places"], np.int32), dtype=np.int64)
         rows = []
         for shard, (a, b) in enumerate(zip(row["cuts"][:-1], row["cuts"][1:])):
             if b > a:
                 own = slice(*np.searchsorted(cells, [a * 2 * width, b * 2 * width]))
                 # At least one word of a shard begins its places anew.
-                low = zlib.compress(np.diff(places[a:b], prepend=0).astype(np.int32).tobytes(), 1)
-                high = zlib.compress(placed[a:b].tobytes(), 1)
+                low = squeeze(np.diff(places[a:b], prepend=0).astype(np.int32))
+                high = squeeze(placed[a:b])
                 gaps = np.diff(cells[own] - a * 2 * width, prepend=0)
-                rows.append((shard, row["grp"], b - a, low, high, zlib.compress(np.concatenate([gaps, n[own]]).astype(np.uint32).tobytes(), 1)))
+                rows.append((shard, row["grp"], b - a, low, high, squeeze(np.concatenate([gaps, n[own]]).astype(np.uint32))))
         for kind, of in ((AS_SEEN, state), (AS_UNSEEN, unseen)):
             rows.append((kind, row["grp"], 0, sparse(*np.unique(of[before] * width + of[after], return_counts=True)), b"", b""))
         return X.to_table(rows, X.LIST_NAMES, X.LIST_TYPES)
@@ -268,7 +268,7 @@ def score_texts(
     def told(answers: pa.Table) -> np.ndarray:
         """The classes of a group's placed words, from the shards' answers."""
         found = sorted(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist()))
-        return np.concatenate([np.zeros(0, np.uint16)] + [np.frombuffer(zlib.decompress(a), np.uint16) for _, a in found])
+        return np.concatenate([np.zeros(0, np.uint16)] + [loosened(a, np.uint16) for _, a in found])
 
     def next_lists(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         return neighbours(table.to_pylist()[0], told(answers))
@@ -277,12 +277,12 @@ def score_texts(
         def moved(lists: pa.Table) -> pa.Table:
             """Each group's words with their new classes."""
             shard = lists.column("shard")[0].as_py()
-            places = [np.cumsum(np.frombuffer(zlib.decompress(b), np.int32), dtype=np.int64) for b in lists.column("low").to_pylist()]
+            places = [np.cumsum(loosened(b, np.int32), dtype=np.int64) for b in lists.column("low").to_pylist()]
             old = np.zeros(max(int(p[-1]) for p in places) + 1, np.int64)
             cells, counts = [], []
             for p, high, blob in zip(places, lists.column("high").to_pylist(), lists.column("counts").to_pylist()):
-                old[p] = np.frombuffer(zlib.decompress(high), np.uint16)
-                gaps, n = np.frombuffer(zlib.decompress(blob), np.uint32).astype(np.int64).reshape(2, -1)
+                old[p] = loosened(high, np.uint16)
+                gaps, n = loosened(blob, np.uint32).astype(np.int64).reshape(2, -1)
                 cell = np.cumsum(gaps)
                 cells.append(p[cell // (2 * width)] * 2 * width + cell % (2 * width))
                 counts.append(n)
@@ -293,7 +293,7 @@ def score_texts(
             # Words of the same neighbours would change places together for ever; half of them wait.
             waits = (old >= FIRST_WORD) & ((mix(np.arange(len(old), dtype=np.uint64)) >> np.uint64(40)).astype(np.int64) + turn & 1 == 1)
             new = np.where(waits, old, new).astype(np.uint16)
-            rows = [(g, shard, zlib.compress(new[p].tobytes(), 1)) for g, p in zip(lists.column("grp").to_pylist(), places)]
+            rows = [(g, shard, squeeze(new[p])) for g, p in zip(lists.column("grp").to_pylist(), places)]
             return X.to_table(rows, "grp shard answer", [pa.int32(), pa.int32(), pa.binary()])
 
         return moved
@@ -337,7 +337,7 @@ def score_texts(
 
     if kept is None:
         # No training token.
-        kept = documents.select("grp", F.lit(0).alias("shard"), F.lit(zlib.compress(b"")).alias("answer"))
+        kept = documents.select("grp", F.lit(0).alias("shard"), F.lit(squeeze(np.zeros(0, np.uint16))).alias("answer"))
     out = documents.groupBy("grp").cogroup(kept.groupBy("grp")).applyInArrow(scored, RESULT)
     below = math.log10(n_train + 0.1 * (n_types + 1))
     return out.select(
@@ -346,12 +346,22 @@ def score_texts(
     )
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """The values, compressed with all first bytes before all second ones and so on: the high bytes are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
+
+
+def loosened(blob: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def sparse(cells: np.ndarray, counts: np.ndarray) -> bytes:
-    return zlib.compress(np.concatenate([np.diff(cells, prepend=0), counts]).astype(np.int64).tobytes(), 1)
+    return squeeze(np.concatenate([np.diff(cells, prepend=0), counts]).astype(np.int64))
 
 
 def dense(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(blob), np.int64)
+    both = loosened(blob, np.int64)
     half = len(both) // 2
     return np.cumsum(both[:half]), both[half:]
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import outflow.llm.exchange as X
-from outflow.llm.class_lm import FIRST_WORD, exchange_classes, score_texts
+from outflow.llm.class_lm import FIRST_WORD, exchange_classes, loosened, score_texts, squeeze
 from outflow.llm.cotraining import classify, co_train
 from tests.llm import brute
 
@@ -97,6 +97,15 @@ def test_words_below_the_share_get_classes(documents):
     assert gain > 0.2
 
 
+@pytest.mark.parametrize("kind", [np.uint16, np.int32, np.uint32, np.int64])
+def test_numbers_are_packed_by_their_bytes(kind):
+    rng = np.random.default_rng(3)
+    values = (2 ** rng.uniform(0, 6 if kind is np.uint16 else 14, 5000)).astype(kind)
+    assert loosened(squeeze(values), kind).tolist() == values.tolist()
+    assert len(loosened(squeeze(values[:0]), kind)) == 0
+    assert len(squeeze(values)) < 0.95 * len(zlib.compress(values.tobytes(), 1))
+
+
 def test_language_model_edge_rows(llm):
     rows = [(None, "a b", 1.0), (0, None, 2.0), (0, None, 2.0)]
     out = score_texts(llm.createDataFrame(rows, "doc_id bigint, text string, score double")).collect()
