@@ -32,15 +32,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays, one without an id only if none has one.
 
-    Rows are told apart by a number of their own, so that null and repeated ids are linked like any other. Of rows that share the smallest
-    id one stays; rows without words are linked with nothing and all stay.
+    Rows are told apart by a hash of all their columns, so that nothing is written down to number them; null and repeated ids are linked like
+    any other. Of rows that share the smallest id one stays, of equal rows one; rows without words are linked with nothing and all stay.
+    The documents are read several times and must be the same each time, as rows of a table are.
     """
     ready(spark)
-    docs = durable(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("uid")))
-    linked = link_classes(docs, doc_id="uid", width=5, percent=80).select(F.col("doc_id").alias("uid"), "component_id")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid"))
-    stays = linked.join(docs.select("uid", "doc_id"), "uid").groupBy("component_id").agg(first["uid"].alias("uid"))
-    return docs.join(stays, "uid", "left_semi").select(COLUMNS)
+    # A hash skips nulls, so it is told where they are.
+    docs = docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("uid"))
+    linked = link_classes(docs, doc_id="uid", width=5, percent=80).withColumnRenamed("doc_id", "uid")
+    # Equal rows are in one class, unless they have no words.
+    linked = linked.groupBy("uid").agg(F.max("n_shingles").alias("n"), F.min("component_id").alias("component_id"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid", ((F.col("n") > 0) & (F.col("copies") > 1)).alias("thin")))
+    stays = linked.join(docs.select("uid", "doc_id").distinct(), "uid").groupBy("component_id").agg(first.alias("f")).select("f.uid", "f.thin")
+    kept = docs.join(stays, "uid")
+    # One of equal rows, which are few: the rest is not shuffled for it.
+    thinned = kept.where("thin").dropDuplicates(["uid"])
+    return kept.where("NOT thin").unionByName(thinned).select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,5 +91,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        if stage is near_copies:
+            # Not the classifier's fit anew for each reading.
+            docs = durable(docs)
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -139,6 +139,16 @@ def test_near_copies_are_rows_whatever_their_ids(llm):
     assert got == sorted(((i is None, i, s) for i, s in kept), key=str)
 
 
+def test_near_copies_write_no_texts_down(llm, monkeypatch):
+    written = []
+    monkeypatch.setattr(corpus_pipeline, "durable", lambda df, keep=corpus_pipeline.durable: written.append(df.columns) or keep(df))
+    text = prose(60)
+    rows = [(1, text, "en", "s", 1), (2, text, "en", "s", 1), (3, prose(60), "en", "s", 1)]
+    docs = llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(llm, docs, "").collect()) == [1, 3]
+    assert not [c for c in written if "text" in c]
+
+
 def test_mixture_keeps_rows_of_one_id_apart(llm):
     rows = [(i, f"r{n} " * 100, "en", "s", 300) for n, i in enumerate([None] * 6 + [7] * 6)]
     out = corpus_pipeline.mixture(llm, llm.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
