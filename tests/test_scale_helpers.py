@@ -5,10 +5,12 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from outflow.functions.quantiles import cell_counts, exact_cuts
 from outflow.functions.recurrence import decayed_before
 from outflow.operators import joins
+from outflow.plans import reports
 
 
 def test_decayed_sum_over_many_blocks_and_gaps(spark):
@@ -160,3 +162,61 @@ def test_machines_are_dealt_out_before_their_calendar(spark, tmp_path):
     events.write.parquet(str(tmp_path / "events.parquet"))
     scores = Tables(spark, str(tmp_path)).scores
     assert "REPARTITION_BY_NUM" in plan_of(scores) and scores.count() == 45
+
+
+def hotspot_tables(spark):
+    """Machines and complaints around two towns; with rows that come twice, places and ids that are missing and an alert of an unknown machine."""
+    rng, as_of = random.Random(7), datetime(2024, 1, 10)
+    spot = lambda: (rng.choice([12.0, 40.0]) + rng.uniform(-0.03, 0.03), rng.choice([77.0, 179.99]) + rng.uniform(-0.03, 0.009))
+    atms = [(f"A{i}", *spot()) for i in range(40)] + [("A3", *spot()), ("A4", None, 77.0), ("A50", None, 1.0), (None, 12.0, 77.0)]
+    alerts = [(f"L{i}-{k}", f"A{i}", 0.7 + i / 200) for i in [*range(0, 40, 2), 3, 50, 99] for k in range(1 + i % 3)] + [("L", None, 0.9), ("L0-0", "A0", 0.7)]
+    filed = lambda i: as_of - timedelta(hours=rng.choice([0, 1, 1, 5, 23, 24, 25]), seconds=rng.choice([0, 0, i]))
+    complaints = [(None if i == 5 else f"C{i}", filed(i), f"k{i % 3}", *spot(), i + 0.5, f"AC{i % 4}" if i % 3 else None) for i in range(300)]
+    complaints += [complaints[7], ("C900", None, "k0", 12.0, 77.0, 1.0, None), ("C901", as_of, "k0", None, 77.0, 1.0, None)]
+    place = "'S' state, 'D' district, 'B' bank_name, 'P' police_station_area"
+    return (
+        spark.createDataFrame(alerts, "alert_id string, atm_id string, risk_score double").selectExpr("*", *place.split(", ")),
+        spark.createDataFrame(atms, "atm_id string, latitude double, longitude double"),
+        spark.createDataFrame(complaints, "complaint_id string, filing_timestamp timestamp_ntz, complaint_type string, victim_lat double, victim_lon double, "
+                              "amount_lost double, linked_account_token string"),
+        spark.createDataFrame([("A0", "AC1", as_of, 1.0)], "atm_id string, account_token string, timestamp timestamp_ntz, amount double"),
+        as_of, alerts, atms, complaints,
+    )
+
+
+@pytest.mark.parametrize(("most", "bound"), [(None, 20), (3, 200_000)])
+def test_hotspot_lists_equal_brute_force(spark, monkeypatch, most, bound):
+    monkeypatch.setattr(reports, "ALERTS_A_ROW", 1)
+    alerts, atms, complaints, withdrawals, as_of, raised, machines, filed = hotspot_tables(spark)
+    p = math.pi / 180
+    km = lambda a, b, c, d: 2 * 6371.0 * math.asin(min(1, math.sqrt(
+        math.sin((c - a) * p / 2) ** 2 + math.cos(a * p) * math.cos(c * p) * math.sin((d - b) * p / 2) ** 2)))
+    recent = [c for c in filed if c[1] and as_of - timedelta(hours=24) <= c[1] <= as_of and c[3] is not None]
+    want = []
+    for alert, machine, score in raised:
+        near = [c for m, la, lo in machines if machine and m == machine and la is not None for c in recent if km(la, lo, c[3], c[4]) <= 2.0]
+        near.sort(key=lambda c: (as_of - c[1], c[0] or ""))
+        listed = [(i + 1, c[0], c[2], c[5], c[6]) for i, c in enumerate(near[:most])]
+        want.append((alert, machine, score, len(near), listed or None, ["AC1"] if machine == "A0" else None))
+    assert sum(n for *_, n, _, _ in want) > 200
+    report = reports.hotspot_report(alerts, atms, complaints, withdrawals, as_of, most, bound=bound)
+    got = [(r.case_ref, r.atm_id, r.risk_score, r.complaints_near, r.linked_complaints and [tuple(x) for x in r.linked_complaints], r.mule_account_tokens)
+           for r in report.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_hotspot_lists_stay_where_they_are_made(spark):
+    alerts, atms, complaints, withdrawals, as_of, *_ = hotspot_tables(spark)
+    once = atms.where("atm_id IS NOT NULL").dropDuplicates(["atm_id"])
+    plan = plan_of(reports.hotspot_report(alerts, once, complaints, withdrawals, as_of, None)).split("== Physical Plan ==")[1].splitlines()
+    made = next(i for i, line in enumerate(plan) if "filter(" in line and "lambda" in line)
+    assert not any("Exchange" in line or "Sort " in line for line in plan[:made])
+
+
+def test_a_busy_cell_is_shared_out(spark):
+    points = spark.range(200).selectExpr("id p", "12.0D + id / 10000 la", "77.0D lo")
+    centres = spark.range(50).selectExpr("id c", "12.0D cla", "77.0D clo")
+    got = joins.lists_near(centres, points, 1.0, "cla", "clo", "la", "lo", F.struct("p"), "found", share=5)
+    assert {r.c: [x.p for x in r.found] for r in got.collect()} == {c: list(range(90)) for c in range(50)}
+    assert joins.crowded(centres, points, 1.0, "cla", "clo", "la", "lo", 10).count() == 50
+    assert joins.crowded(centres, points, 1.0, "cla", "clo", "la", "lo", 200).count() == 0
