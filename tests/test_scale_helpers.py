@@ -220,3 +220,13 @@ def test_a_busy_cell_is_shared_out(spark):
     assert {r.c: [x.p for x in r.found] for r in got.collect()} == {c: list(range(90)) for c in range(50)}
     assert joins.crowded(centres, points, 1.0, "cla", "clo", "la", "lo", 10).count() == 50
     assert joins.crowded(centres, points, 1.0, "cla", "clo", "la", "lo", 200).count() == 0
+
+
+def test_arrays_are_gathered_by_as_many_tasks_as_they_need(spark):
+    points = spark.range(400).selectExpr("id p", "12.0D + id / 1000 la", "77.0D + id / 1000 lo").coalesce(1)
+    centres = spark.range(40).selectExpr("id c", "12.0D + id / 100 cla", "77.0D + id / 100 clo")
+    got = joins.lists_near(centres, points, 1.0, "cla", "clo", "la", "lo", F.struct("p"), "found", gathered=100)
+    # 400 points in nine copies each, and none is gathered before it is dealt out.
+    assert plan_of(got).count(", 36), REPARTITION_BY_NUM") == 2
+    pairs = joins.near(points, centres, 1.0, "la", "lo", "cla", "clo").groupBy("c").agg(F.sort_array(F.collect_list("p")).alias("found"))
+    assert {r.c: [x.p for x in r.found] for r in got.where("found IS NOT NULL AND size(found) > 0").collect()} == {r.c: r.found for r in pairs.collect()}
