@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from outflow.catalog.registry import money, query, r4, r6
 from outflow.functions.ordering import numbered
 from outflow.operators import graph, network
+from outflow.operators.aggregates import exact_sum
 from outflow.operators.listing import accounts_in_scope
 from outflow.schemas import BANK
 from outflow.sources.views import Tables
@@ -82,10 +83,10 @@ def _(t: Tables) -> DataFrame:
     return graph.top_terminal(graph.terminal_risk(edges(t)), 50).select("account_token", "terminal_risk", "in_degree")
 
 
-def _busiest_target(t: Tables) -> str:
+def _busiest_target(e: DataFrame) -> str:
     """The cash-out point with the greatest inflow: the account the trail is asked for."""
-    last = t.transfers.where(F.col("to_token").startswith("P")).groupBy("to_token").agg(F.sum("amount").alias("a"))
-    return last.orderBy(F.round("a", 2).desc(), "to_token").first()["to_token"]
+    last = e.where(F.col("dst").startswith("P")).groupBy("dst").agg(exact_sum("amount").alias("a"))
+    return last.orderBy(F.col("a").desc(), "dst").first()["dst"]
 
 
 TRAIL = f"""{EDGES}, t AS (SELECT node FROM n WHERE starts_with(node, 'P') ORDER BY inflow DESC, node LIMIT 1),
@@ -98,7 +99,8 @@ TRAIL = f"""{EDGES}, t AS (SELECT node FROM n WHERE starts_with(node, 'P') ORDER
 @query("h06_money_trail", f"""
     WITH {TRAIL} SELECT (row_number() OVER (ORDER BY b1, b2))::INT AS chain_no, array_to_string(chain, '>') AS chain, false AS cut FROM c""", ("transfers",))
 def _(t: Tables) -> DataFrame:
-    trail = graph.money_trail(edges(t), _busiest_target(t))
+    e = edges(t)
+    trail = graph.money_trail(e, _busiest_target(e))
     return trail.select("chain_no", F.array_join("chain", ">").alias("chain"), "cut")
 
 
@@ -107,7 +109,7 @@ def _(t: Tables) -> DataFrame:
     SELECT src, dst, w, amount FROM e WHERE src IN (SELECT node FROM touched) OR dst IN (SELECT node FROM touched)""", ("transfers",))
 def _(t: Tables) -> DataFrame:
     e = edges(t)
-    return graph.trail_edges(e, graph.money_trail(e, _busiest_target(t))).select("src", "dst", "w", "amount")
+    return graph.trail_edges(e, graph.money_trail(e, _busiest_target(e))).select("src", "dst", "w", "amount")
 
 
 @query("h06_trail_graph", f"""
@@ -116,7 +118,8 @@ def _(t: Tables) -> DataFrame:
     SELECT src, dst, w, amount, 1 AS hops FROM direct
     UNION ALL SELECT src, dst, w, amount, 2 FROM e WHERE dst IN (SELECT src FROM direct)""", ("transfers",))
 def _(t: Tables) -> DataFrame:
-    return graph.trail_graph(edges(t), _busiest_target(t)).select("src", "dst", "w", "amount", "hops")
+    e = edges(t)
+    return graph.trail_graph(e, _busiest_target(e)).select("src", "dst", "w", "amount", "hops")
 
 
 # Suppliers of lines that follow each other in an order: a dense graph, full of cycles.

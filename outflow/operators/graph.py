@@ -25,6 +25,7 @@ from outflow.session import durable, shuffle_width
 RISK_WEIGHTS = (0.30, 0.25, 0.15, 0.15, 0.15)
 HOT_EDGES = 1_000_000  # out-edges of one node per slice before its edges are spread over several slices
 HOT_GROUPS = 100_000  # such nodes that are sent to every task; beyond, the planner joins them
+SENT_NODES = 100_000  # accounts of a trail that are sent to the edges, which then lie still; beyond, the planner joins them
 
 
 def weighted_edges(transfers: DataFrame) -> DataFrame:
@@ -321,9 +322,17 @@ def top_terminal(risk: DataFrame, k: int = 50, min_in_degree: int = 1, visible:
     return rows.orderBy(F.col("terminal_risk").desc(), "account_token").limit(k)
 
 
-def money_trail(edges: DataFrame, account: str, branches: int | None = None, hops: int | None = None, chains: int | None = None) -> DataFrame:
+def _meeting(edges: DataFrame, nodes: DataFrame, end: str, few: int = SENT_NODES) -> DataFrame:
+    """The edges with one of the nodes (node), written down before, at the end named: a few nodes go to the edges, and only what meets them moves on."""
+    named = nodes.select(F.col("node").alias(end))
+    return edges.join(F.broadcast(named) if nodes.count() <= few else named, end, "left_semi").select(edges.columns)
+
+
+def money_trail(edges: DataFrame, account: str, branches: int | None = None, hops: int | None = None, chains: int | None = None, few: int = SENT_NODES) -> DataFrame:
     """(chain_no, chain, cut): the chains of senders that lead to an account, source first.
 
+    The edges are read once per step, so they should be written down; those that go on a step are written down for it.
+
     Senders are followed by falling amount; an account that is already on the chain is not entered again. All chains are returned unless a
     display asks for less (on graphs of many cycles ask for ``chains``, or take the whole as ``trail_graph``): at most ``branches`` senders per account, ``hops`` steps, ``chains`` chains in depth-first order. ``cut`` marks a
     chain that ended at the limit of steps.
@@ -337,7 +346,9 @@ def money_trail(edges: DataFrame, account: str, branches: int | None = None, hop
         step += 1
         open_ = paths.where(~F.col("done"))
         tips = open_.select("key", "path", F.element_at("path", -1).alias("dst"))
-        into = edges.select("src", "dst", "amount").join(tips, "dst").where(~F.array_contains("path", F.col("src")))
+        ends = durable(tips.select(F.col("dst").alias("node")).distinct())
+        step_edges = durable(_meeting(edges.select("src", "dst", "amount"), ends, "dst", few))
+        into = step_edges.join(tips, "dst").where(~F.array_contains("path", F.col("src")))
         # The senders of one account: a chain has a group of its own.
         order = Window.partitionBy("key").orderBy(F.col("amount").desc(), "src")
         followed = into.withColumn("b", F.row_number().over(order))
@@ -380,12 +391,10 @@ def trail_graph(edges: DataFrame, account: str, hops: int | None = None, compact
     return inward.select(*[edges[c] if c != "dst" else F.col("dst") for c in edges.columns if c != "hops"], reached["hops"])
 
 
-def trail_edges(edges: DataFrame, trail: DataFrame, limit: int | None = None) -> DataFrame:
+def trail_edges(edges: DataFrame, trail: DataFrame, limit: int | None = None, few: int = SENT_NODES) -> DataFrame:
     """Transfers touching the accounts of a trail, largest first; all of them unless a display asks for less."""
-    nodes = trail.select(F.explode("chain").alias("node")).distinct()
-    touching = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select(edges.columns).unionByName(
-        edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(edges.columns)
-    ).distinct().orderBy(F.col("amount").desc(), "src", "dst")
+    nodes = durable(trail.select(F.explode("chain").alias("node")).distinct())
+    touching = _meeting(edges, nodes, "src", few).unionByName(_meeting(edges, nodes, "dst", few)).distinct().orderBy(F.col("amount").desc(), "src", "dst")
     return touching if limit is None else touching.limit(limit)
 
 

@@ -310,6 +310,31 @@ def test_trail_is_depth_first(spark):
     assert [r.chain for r in trail.orderBy("chain_no").collect()] == [["s1", "h1", "t"], ["s2", "h1", "t"], ["s3", "t"]]
 
 
+def trail_money(spark):
+    return money(spark, [("s1", "h1"), ("s2", "h1"), ("h1", "t"), ("s3", "t"), ("t", "out")] + [(f"u{i}", f"v{i}") for i in range(50)])
+
+
+@pytest.fixture
+def no_small_tables(spark):
+    """The planner takes no table for small, as with large ones."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_trail_edges_lie_still(spark, monkeypatch, no_small_tables):
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df, keep=graph.durable: written.append(keep(df)) or written[-1])
+    edges = trail_money(spark)
+    touching = graph.trail_edges(edges, graph.money_trail(edges, "t"))
+    assert "SortMergeJoin" not in touching._jdf.queryExecution().executedPlan().toString()
+    # Of the edges only those of one step are written.
+    assert [d.count() for d in written if {"src", "dst"} <= set(d.columns)] == [2, 2, 0]
+    want = {("s1", "h1"), ("s2", "h1"), ("h1", "t"), ("s3", "t"), ("t", "out")}
+    joined = graph.trail_edges(edges, graph.money_trail(edges, "t", few=0), few=0)
+    assert {(r.src, r.dst) for r in touching.collect()} == {(r.src, r.dst) for r in joined.collect()} == want
+
+
 def test_trail_graph_ends_on_cycles(spark):
     # Every account pays every other: too many chains to list, and one account that only receives.
     names = [f"a{i:02d}" for i in range(30)]
