@@ -13,6 +13,7 @@ from outflow.operators import graph, network
 from outflow.operators.aggregates import exact_sum
 from outflow.operators.listing import accounts_in_scope
 from outflow.schemas import BANK
+from outflow.session import durable
 from outflow.sources.views import Tables
 
 ITERATIONS = 40
@@ -142,7 +143,7 @@ def relays(t: Tables) -> DataFrame:
     reached AS (SELECT node, min(far) AS far FROM ways GROUP BY 1)
     SELECT src, dst, w, (far + 1)::INT AS hops FROM inward JOIN reached ON dst = node""")
 def _(t: Tables) -> DataFrame:
-    return graph.trail_graph(relays(t), "S1")
+    return graph.trail_graph(durable(relays(t)), "S1")
 
 
 # Orders in a row, every seventh link left out: chains longer than any fixed number of rounds, and a ring with a tail for each supplier.

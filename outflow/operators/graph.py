@@ -367,19 +367,20 @@ def money_trail(edges: DataFrame, account: str, branches: int | None = None, hop
     return placed.select(F.col("chain_no").cast("int").alias("chain_no"), F.reverse("path").alias("chain"), (~F.col("done")).alias("cut"))
 
 
-def trail_graph(edges: DataFrame, account: str, hops: int | None = None, compact: int = 16) -> DataFrame:
+def trail_graph(edges: DataFrame, account: str, hops: int | None = None, compact: int = 16, few: int = SENT_NODES) -> DataFrame:
     """The transfers whose receiver is the account or passes money on to it, with ``hops``: the fewest steps from the sender, by this transfer, to the account.
 
     The whole sub-graph in as many rounds as its longest shortest way, however many chains and cycles it holds; ``money_trail`` lists single
     chains. Transfers out of the account itself are left out. An account that nothing leads to has no rows. ``hops`` ends the search there;
-    found accounts lie in one file per round, put together every ``compact`` rounds.
+    found accounts lie in one file per round, put together every ``compact`` rounds. The edges are read once per round, so they should be
+    written down; no copy of them is made.
     """
-    links = durable(edges.where(F.col("src") != account).select("src", "dst").where("src <> dst").distinct())
+    links = edges.where(F.col("src") != account).select("src", "dst").where("src <> dst")
     found = frontier = durable(edges.sparkSession.range(1).select(F.lit(account).alias("node"), F.lit(0).alias("far")))
     step = 0
     while hops is None or step < hops - 1:
         step += 1
-        senders = links.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+        senders = _meeting(links, frontier, "dst", few).select(F.col("src").alias("node")).distinct()
         frontier = durable(senders.join(found, "node", "left_anti").select("node", F.lit(step).alias("far")))
         if frontier.isEmpty():
             break
@@ -387,6 +388,7 @@ def trail_graph(edges: DataFrame, account: str, hops: int | None = None, compact
         if step % compact == 0:
             found = durable(found)
     reached = found.select(F.col("node").alias("dst"), (F.col("far") + 1).alias("hops"))
+    reached = F.broadcast(reached) if found.count() <= few else reached
     inward = edges.where(F.col("src") != account).join(reached, "dst")
     return inward.select(*[edges[c] if c != "dst" else F.col("dst") for c in edges.columns if c != "hops"], reached["hops"])
 

@@ -335,6 +335,17 @@ def test_trail_edges_lie_still(spark, monkeypatch, no_small_tables):
     assert {(r.src, r.dst) for r in touching.collect()} == {(r.src, r.dst) for r in joined.collect()} == want
 
 
+def test_trail_graph_edges_lie_still(spark, monkeypatch, no_small_tables):
+    written = []
+    monkeypatch.setattr(graph, "durable", lambda df, keep=graph.durable: written.append(set(df.columns)) or keep(df))
+    edges = trail_money(spark)
+    found = graph.trail_graph(edges, "t")
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert not [c for c in written if {"src", "dst"} <= c]
+    want = {("s1", "h1"): 2, ("s2", "h1"): 2, ("h1", "t"): 1, ("s3", "t"): 1}
+    assert {(r.src, r.dst): r.hops for r in found.collect()} == {(r.src, r.dst): r.hops for r in graph.trail_graph(edges, "t", few=0).collect()} == want
+
+
 def test_trail_graph_ends_on_cycles(spark):
     # Every account pays every other: too many chains to list, and one account that only receives.
     names = [f"a{i:02d}" for i in range(30)]
